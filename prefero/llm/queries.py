@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import language_id, mixing, quality, secrets_scan, token_counts
-from prefero.llm.common import crc_mod, table
+from prefero.llm import decontaminate, language_id, mixing, quality, secrets_scan, token_counts
+from prefero.llm.common import ascii_lower, crc_mod, table
 
 #: Share of tokens beyond which a text is over the limit.
 TOKEN_LIMIT = 2048
@@ -19,6 +19,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_contamination(docs, table(spark, sf_dir, "benchmark"))
+    none = F.array().cast("array<string>")
+    return found.select(
+        "doc_id",
+        F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(decontaminate.WORDS)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.size("leak.hits"), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("leak.items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce("leak.items", none), ","), 256).alias("items_sha256"),
+        F.col("leak").isNotNull().alias("contaminated"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +73,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_token_counts, op6_quality, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op5_token_counts, op6_quality, op9_secrets, op10_language)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
