@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import decontaminate, language_id, mixing, quality, secrets_scan, token_counts
-from prefero.llm.common import ascii_lower, crc_mod, table
+from prefero.llm import decontaminate, language_id, mixing, permutation_index, quality, secrets_scan, token_counts, url_filters
+from prefero.llm.common import ascii_lower, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
 TOKEN_LIMIT = 2048
@@ -19,6 +19,35 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+#: The dated list of op2 (fixed values): entry, kind, action, date, put on the list or taken off.
+URL_LIST = (
+    ("cheap-pills.example.com", "domain", "block", "2024-01-15", True),
+    ("cheap-pills.example.com", "domain", "block", "2024-06-01", False),
+    ("cheap-pills.example.com", "domain", "block", "2024-09-10", True),
+    ("www.cheap-pills.example.com/en", "prefix", "allow", "2024-10-01", True),
+    ("casino-win.example.org", "domain", "block", "2024-03-01", True),
+    ("www.casino-win.example.org", "host", "allow", "2024-08-01", True),
+    ("www.casino-win.example.org", "host", "allow", "2024-08-20", False),
+    ("free-bets.example.com", "domain", "block", "2024-02-01", True),
+    ("m.free-bets.example.com/de", "prefix", "allow", "2024-02-01", True),
+    ("ads-track.example.org", "host", "block", "2024-01-01", True),
+    ("tionsh.example.net/fr", "prefix", "block", "2024-05-01", True),
+    ("tionsh.example.net/fr", "prefix", "block", "2024-07-01", False),
+    ("blog.tionble.example.com", "host", "block", "2024-04-01", True),
+    ("example.net", "domain", "block", "2024-12-01", True),
+)
+#: The table has no fetch times: a page is fetched on a day of 2024 that the hash of its id names.
+FETCH_DAYS = 366
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.conv(F.substring(F.md5(id_text("page_id")), 1, 8), 16, 10).cast("long") % FETCH_DAYS
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("fetched"))
+    events = spark.createDataFrame(URL_LIST, "entry string, kind string, action string, at string, listed boolean").withColumn("at", F.col("at").cast("date"))
+    found = url_filters.with_verdicts(captures, events)
+    return found.select("page_id", url_filters.host_of(F.col("url")).alias("host"), "fetched", "filter.verdict", "filter.entry", "filter.kind", "filter.since")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -52,6 +81,10 @@ def _spans_of(kind: str) -> Column:
     return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, 20)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_scan.with_secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s")
     base = [r.kind for r in secrets_scan.BASE_RULES]
@@ -73,7 +106,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op5_token_counts, op6_quality, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op9_secrets, op10_language)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
@@ -100,5 +133,27 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 """
 
 
+def _op2_sql() -> str:
+    values = ", ".join(f"('{e}', '{k}', '{a}', DATE '{d}', {str(on).lower()})" for e, k, a, d, on in URL_LIST)
+    return rf"""
+WITH ev(entry, kind, action, dated, listed) AS (VALUES {values}),
+iv AS (
+  SELECT * FROM (SELECT entry, kind, action, dated AS since, listed, lead(dated) OVER (PARTITION BY entry, kind, action ORDER BY dated) AS until FROM ev) WHERE listed
+), p AS (
+  SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '{url_filters.HOST}', 1)), '.'), '') AS host,
+    '/' || array_to_string(list_filter(string_split(regexp_extract(url, '{url_filters.PATH}', 1), '/'), lambda x: x <> ''), '/') || '/' AS path,
+    DATE '2024-01-01' + (('0x' || substr(md5(coalesce(page_id::VARCHAR, 'null')), 1, 8))::BIGINT % {FETCH_DAYS})::INT AS fetched
+  FROM pages
+), m AS (
+  SELECT p.*, iv.*, row_number() OVER (PARTITION BY page_id, url ORDER BY list_position(['domain', 'host', 'prefix'], kind) DESC, length(entry) DESC, action = 'block' DESC) AS n
+  FROM p JOIN iv ON since <= fetched AND (until IS NULL OR fetched < until) AND (
+    kind = 'domain' AND (host = entry OR ends_with(host, '.' || entry)) OR kind = 'host' AND host = entry
+    OR kind = 'prefix' AND starts_with(host || path, entry || '/'))
+)
+SELECT p.page_id, p.host, p.fetched, coalesce(m.action, 'none') AS verdict, m.entry, m.kind, m.since
+FROM p LEFT JOIN m ON m.n = 1 AND p.page_id IS NOT DISTINCT FROM m.page_id AND p.url IS NOT DISTINCT FROM m.url
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql()}
