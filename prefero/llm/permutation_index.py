@@ -2,11 +2,11 @@
 
 ``PIVOTS`` vectors of a bounded sample (those whose ids hash lowest) are pivots.
 Each vector is represented by its ``LISTED`` nearest pivots in order.  A block
-of vectors posts its ranks in one inverted file per pivot; a query walks the
-files of its own pivots, sums the rank differences (Spearman's footrule, with
-rank ``LISTED`` for a pivot that a vector does not list), and the share ``KEPT`` of
-the block with the least footrule, ties included, is reranked by the exact inner
-product in double precision.
+of vectors posts its ranks in one inverted file per pivot; a query sums the
+differences between its own ranks and the files' (Spearman's footrule, with rank
+``LISTED`` for a pivot that is not listed), and the share ``KEPT`` of the block with
+the least footrule, ties included, is reranked by the exact inner product in
+double precision.
 
 Vectors that are null, zero, hold null or non-finite components, or are not of
 the table's commonest length take no part, nor do rows without an id; an id that
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from prefero.llm.common import id_text, staged
 
-PIVOTS, LISTED, KEPT = 128, 64, 0.25
+PIVOTS, LISTED, KEPT = 128, 128, 0.3
 #: Vectors of a block and queries of a chunk, about.
 BLOCK, CHUNK = 16_384, 8_192
 
@@ -52,7 +52,7 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def inverted_files(order: np.ndarray, pivots: int) -> np.ndarray:
     """One file for each pivot: its rank in every vector's list, LISTED where it is not in it.
 
-    About half of all vectors list any one pivot, so the files are stored dense.
+    Most vectors list any one pivot, so the files are stored dense.
     """
     files = np.full((pivots, len(order)), LISTED, np.int16)
     files[order.T, np.arange(len(order))] = np.arange(order.shape[1], dtype=np.int16)[:, None]
@@ -69,12 +69,11 @@ def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list, list, list]:
     files = inverted_files(nearest_pivots(x, pivots), len(pivots))
-    own = nearest_pivots(q, pivots)
-    ranks = np.arange(own.shape[1], dtype=np.int16)[:, None]
+    own = inverted_files(nearest_pivots(q, pivots), len(pivots))
     keep = min(len(ids), max(4 * k, math.ceil(KEPT * len(ids))))
     out: tuple[list, list, list] = ([], [], [])
     for i, query in enumerate(query_ids):
-        footrule = np.abs(files[own[i]] - ranks).sum(axis=0, dtype=np.int32)
+        footrule = np.abs(files - own[:, i : i + 1]).sum(axis=0, dtype=np.int16)  # below PIVOTS * LISTED
         at = np.flatnonzero(footrule <= np.partition(footrule, keep - 1)[keep - 1])
         at = at[ids[at] != query]
         if not len(at):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import decontaminate, language_id, mixing, permutation_index, quality, secrets_scan, token_counts, url_filters
+from prefero.llm import decontaminate, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
 from prefero.llm.common import ascii_lower, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
@@ -77,6 +77,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.with_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def _spans_of(kind: str) -> Column:
     return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
 
@@ -106,7 +110,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
