@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import decontaminate, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
+from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
 from prefero.llm.common import ascii_lower, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
@@ -48,6 +48,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", url_filters.host_of(F.col("url")).alias("host"), "fetched", "filter.verdict", "filter.entry", "filter.kind", "filter.since")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_mod("doc_id", 7)
+    part = F.when(fold == 2, 0).when(fold == 3, interpolated_lm.ASIDE).otherwise(interpolated_lm.LEARN)
+    found = interpolated_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text", part.alias("part")))
+    return found.select("doc_id", (F.col("part") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -110,7 +117,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
