@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word for sizes and language-model tokens: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What separates such words.
+SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: str.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -51,6 +53,20 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def parts_between(text: Column, separators: str) -> Column:
+    """The non-empty parts of a text between runs of separators; none for null.
+
+    Splitting takes time in proportion to the text; extracting every match of a
+    pattern copies the text for each.
+    """
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
+
+
+def word_count(text: Column) -> Column:
+    """Number of words between ASCII white space; 0 for null."""
+    return F.size(parts_between(text, SPACES)).cast("long")
+
+
 def id_text(col: str) -> Column:
     """An id as text; a null id has the text of null, so it stays defined."""
     return F.coalesce(F.col(col).cast("string"), F.lit("null"))

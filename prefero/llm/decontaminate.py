@@ -17,15 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefero.llm.common import ascii_lower, id_text, small_side, staged
+from prefero.llm.common import ascii_lower, id_text, parts_between, small_side, staged
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words, once A-Z are lower-cased.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a span that must be found wherever it is shared, and words of a k-gram.
 SPAN, K = 10, 5
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    return parts_between(ascii_lower(text), SEPARATORS)
 
 
 def text_key(text: Column) -> Column:

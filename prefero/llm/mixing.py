@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefero.llm.common import WORD, id_text, small_side, staged
+from prefero.llm.common import id_text, small_side, staged, word_count
 
 #: Bits of md5 that make one uniform draw.
 DRAW_BITS = 52
@@ -32,7 +32,7 @@ def source_targets(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: f
     is min(cap * size, level * weight), and the level follows from the sources
     sorted by cap * size / weight.  The windows run over one row per source.
     """
-    per = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).alias("source_size"))
+    per = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(word_count(F.col("text"))).alias("source_size"))
     per = per.withColumn("n", F.row_number().over(W.orderBy(F.col("mix_source").asc_nulls_last())))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("weight", F.element_at(cycle, ((F.col("n") - 1) % len(weights) + 1).cast("int")))
@@ -64,7 +64,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float =
     whole = F.floor(targets["rate"])
     copies = whole + F.when(draw < targets["rate"] - whole, 1).otherwise(0)
     plan = F.struct(
-        F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        word_count(docs["text"]).alias("size"),
         targets["source_size"],
         targets["target"],
         targets["rate"],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
-from prefero.llm.common import ascii_lower, crc_mod, id_text, table
+from prefero.llm.common import crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
 TOKEN_LIMIT = 2048
@@ -61,7 +61,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     return found.select(
         "doc_id",
-        F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(decontaminate.WORDS)), F.lit(0)).cast("long").alias("n_words"),
+        F.size(decontaminate.words_of(F.col("text"))).cast("long").alias("n_words"),
         F.coalesce(F.size("leak.hits"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("leak.items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("leak.items", none), ","), 256).alias("items_sha256"),
