@@ -18,7 +18,7 @@ class Text:
     """A piece of SQL with Python's operators."""
 
     def __init__(self, sql: object) -> None:
-        self.sql = repr(float(sql)) if isinstance(sql, int | float) else str(sql)
+        self.sql = f"{float(sql):.17e}" if isinstance(sql, int | float) else str(sql)
 
     def __str__(self) -> str:
         return self.sql

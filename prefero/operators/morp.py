@@ -131,20 +131,14 @@ class MORP:
         self.bind()
         refuse_nulls(self.df, [*self.design.columns(), *self.outcomes])
         d, v = len(self.outcomes), len(self.design.names)
-        unpack, probabilities = self.unpack, self._probabilities_only()
-
-        def kernel(theta: np.ndarray, data: dict[str, np.ndarray]) -> np.ndarray:
-            means = data["x"].reshape(len(data["x"]), d, v) @ unpack(theta)[0]
-            return np.log(np.maximum(probabilities(theta, means, data["y"].astype(int).reshape(-1, d)), FLOOR))
-
-        lik = Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), kernel, len(self.names))
+        lik = Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names))
         try:
             best = minimize(lik.objective, self._start(), iterations=iterations)
             n, ll, g, outer = lik.at(best.theta)
             hessian = lik.hessian(best.theta) if self.se != "bhhh" else None
             if self.structure == "full" and 2 < d <= 4:  # the report is of the exact probability at the optimum
                 approximate, self.method = self.method, "exact"
-                exact = Likelihood(lik.rows, self._exact_kernel(d, v), len(self.names))
+                exact = Likelihood(lik.rows, self._kernel(d, v), len(self.names))
                 n, ll = exact.value(best.theta)
                 self.method = approximate
         finally:
@@ -159,10 +153,7 @@ class MORP:
         twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "results")}
         return twin
 
-    def _probabilities_only(self):
-        return self._plain()._probabilities
-
-    def _exact_kernel(self, d: int, v: int):
+    def _kernel(self, d: int, v: int):
         twin = self._plain()
 
         def kernel(theta: np.ndarray, data: dict[str, np.ndarray]) -> np.ndarray:
@@ -220,15 +211,15 @@ class MORP:
 
     def joint(self) -> DataFrame:
         """One row for each combination of categories (from 1) with its mean probability; marginalise by grouping."""
-        d, v, theta, probabilities, unpack = len(self.outcomes), len(self.design.names), self.results.extra["theta"], self._probabilities_only(), self._plain().unpack
+        d, v, theta, twin = len(self.outcomes), len(self.design.names), self.results.extra["theta"], self._plain()
         combos = list(itertools.product(*[range(c) for c in self.categories]))
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = np.zeros(len(combos)), 0
             for rows in batches:
                 if len(rows):
-                    means = as_arrays(rows)["x"].reshape(len(rows), d, v) @ unpack(theta)[0]
-                    total += [probabilities(theta, means, np.tile(c, (len(rows), 1))).sum() for c in combos]
+                    means = as_arrays(rows)["x"].reshape(len(rows), d, v) @ twin.unpack(theta)[0]
+                    total += [twin._probabilities(theta, means, np.tile(c, (len(rows), 1))).sum() for c in combos]
                     n += len(rows)
             yield pd.DataFrame({"combo": range(len(combos)), "s": total, "n": n})
 

@@ -4,26 +4,495 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed coefficients: utility of alternative k is asc[k] + slope[k] * o_totalprice / 1e5.
-MNL_ASC = (0.0, 0.2, -0.1, 0.3, 0.1)
-MNL_SLOPE = (0.0, -0.05, 0.08, 0.02, -0.1)
+from prefero.functions import distributions as dist
+from prefero.functions.algebra import COLUMNS, TEXT, Text
+from prefero.kernels.mvn import METHODS, mvn_cdf
+from prefero.operators import mnp, scenario
+from prefero.operators.mnl import MNL, sums
+from prefero.operators.mnp import MNP
+from prefero.operators.morp import MORP
+from prefero.operators.mdcev import MDCEV
+from prefero.operators.spec import choice_index, compile_spec, rebased, spec_of_matrix
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and the SQL that checks it."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# --- multinomial logit: the priority of an order --------------------------------------------------
+
+PRIORITIES = ("urgent", "high", "medium", "unspecified", "low")
+MNL_SPEC = {f"asc_{p}": {p: "uno"} for p in PRIORITIES[1:]} | {"price": {p: "price" for p in PRIORITIES[1:4]}, "month": {"urgent": "month", "low": "half"}}
+MNL_BETA = (0.2, -0.1, 0.3, 0.1, -0.05, 0.04)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    first = F.substring("o_orderpriority", 1, 1).cast("int")
+    month = F.month("o_orderdate") / 12.0
+    return o.select("o_orderkey", *[(first == k + 1).cast("int").alias(p) for k, p in enumerate(PRIORITIES)], (F.col("o_totalprice") / 1e5).alias("price"), month.alias("month"), (month / 2.0).alias("half"))
+
+
+def _mnl(spark: SparkSession, sf_dir: str, se: str = "bhhh") -> MNL:
+    model = MNL(_orders(spark, sf_dir), PRIORITIES, MNL_SPEC, se=se)
+    model.from_estimates(MNL_BETA)
+    return model
+
+
+def _mnl_utilities(price: str = "price", month: str = "month", half: str = "half") -> list[str]:
+    return [f"0.04 * {month}", f"0.2 + -0.05 * {price}", f"-0.1 + -0.05 * {price}", f"0.3 + -0.05 * {price}", f"0.1 + 0.04 * {half}"]
+
+
+_ORDERS_SQL = """o AS (SELECT o_orderkey, substr(o_orderpriority, 1, 1)::INT - 1 AS y, o_totalprice / 1e5 AS price, month(o_orderdate) / 12.0 AS month, month(o_orderdate) / 24.0 AS half FROM orders)"""
+
+
+def _softmax_sql(utilities: list[str], source: str = "o", keep: str = "y, price, month, half, o_orderkey") -> str:
+    e = ", ".join(f"exp({u}) AS e{k}" for k, u in enumerate(utilities))
+    s = " + ".join(f"e{k}" for k in range(len(utilities)))
+    p = ", ".join(f"e{k} / ({s}) AS p{k}" for k in range(len(utilities)))
+    return f"e AS (SELECT {keep}, {e} FROM {source}), p AS (SELECT {keep}, {p} FROM e)"
+
+
+_MNL_CTE = f"WITH {_ORDERS_SQL}, {_softmax_sql(_mnl_utilities())}"
+
+
+def _shares_sql(names: tuple[str, ...], label: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {label}'{n}' AS alternative, round(avg(p{k}), 6) AS share FROM p" for k, n in enumerate(names))
+
+
+@_query(f"{_MNL_CTE} {_shares_sql(PRIORITIES, chr(39) + 'baseline' + chr(39) + ' AS scenario, ')}")
 def mnl_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean predicted shares of five order priorities."""
-    x = F.col("o_totalprice") / 1e5
-    e = [F.exp(F.lit(a) + F.lit(b) * x) for a, b in zip(MNL_ASC, MNL_SLOPE, strict=True)]
-    total = sum(e[1:], e[0])
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").agg(*[F.round(F.avg(v / total), 6).alias(f"share_{k}") for k, v in enumerate(e)])
+    """Mean predicted shares of the priorities."""
+    return _rounded(_mnl(spark, sf_dir).ate(), "share")
+
+
+@_query(f"{_MNL_CTE} SELECT o_orderkey, {', '.join(f'round(p{k}, 6) AS p_{n}' for k, n in enumerate(PRIORITIES))}, (list_position([p0, p1, p2, p3, p4], greatest(p0, p1, p2, p3, p4)) - 1)::INT AS predicted FROM p")
+def mnl_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"p_{p}" for p in PRIORITIES]
+    return _rounded(_mnl(spark, sf_dir).predict().select("o_orderkey", *names, "predicted"), *names)
+
+
+def _mnl_sums(spark: SparkSession, sf_dir: str) -> tuple:
+    m = _mnl(spark, sf_dir)
+    return sums(m.df, m.design, MNL_BETA, m.y)
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@_query(f"{_MNL_CTE} SELECT count(*) AS n, round(sum(ln(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 ELSE p4 END, 1e-4))), 4) AS loglik FROM p")
+def mnl_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, ll, *_ = _mnl_sums(spark, sf_dir)
+    return _frame(spark, [(n, round(ll, 4))], "n long, loglik double")
+
+
+#: Value of each coefficient's column in each alternative, in SQL.
+_X = [[None, "1.0", None, None, None], [None, None, "1.0", None, None], [None, None, None, "1.0", None], [None, None, None, None, "1.0"], [None, "price", "price", "price", None], ["month", None, None, None, "half"]]
+_MEANS = [" + ".join(f"p{j} * {c}" for j, c in enumerate(row) if c) for row in _X]
+_SCORES = [f"(CASE y {' '.join(f'WHEN {j} THEN {c}' for j, c in enumerate(row) if c)} ELSE 0.0 END - ({mean}))" for row, mean in zip(_X, _MEANS, strict=True)]
+_PAIRS = [(a, b) for a in range(6) for b in range(a, 6)]
+
+
+@_query(f"{_MNL_CTE} " + " UNION ALL ".join(f"SELECT '{n}' AS coefficient, round(sum({s}), 4) AS score FROM p" for n, s in zip(MNL_SPEC, _SCORES, strict=True)))
+def mnl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _mnl_sums(spark, sf_dir)[2]
+    return _frame(spark, [(n, round(float(x), 4)) for n, x in zip(MNL_SPEC, g, strict=True)], "coefficient string, score double")
+
+
+def _pair_sql(terms: list[str]) -> str:
+    return f"{_MNL_CTE} " + " UNION ALL ".join(f"SELECT {a} AS i, {b} AS j, round(sum({t}), 3) AS value FROM p" for (a, b), t in zip(_PAIRS, terms, strict=True))
+
+
+def _upper(spark: SparkSession, x: np.ndarray) -> DataFrame:
+    return _frame(spark, [(a, b, round(float(x[a, b]), 3)) for a, b in _PAIRS], "i int, j int, value double")
+
+
+@_query(_pair_sql([f"({' + '.join([f'p{j} * {_X[a][j]} * {_X[b][j]}' for j in range(5) if _X[a][j] and _X[b][j]] or ['0.0'])}) - ({_MEANS[a]}) * ({_MEANS[b]})" for a, b in _PAIRS]))
+def mnl_hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative Hessian of the log-likelihood, upper triangle."""
+    return _upper(spark, _mnl_sums(spark, sf_dir)[3])
+
+
+@_query(_pair_sql([f"{_SCORES[a]} * {_SCORES[b]}" for a, b in _PAIRS]))
+def mnl_bhhh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the scores' outer products, upper triangle."""
+    return _upper(spark, _mnl_sums(spark, sf_dir)[4])
+
+
+@_query()
+def mnl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mnl(spark, sf_dir).fit().to_dataframe(spark)
+
+
+EVENTS = ("click", "error", "purchase", "signup", "view")
+EVENT_BETA = (0.1, -0.2, 0.3, 0.05)
+_EVENT_AVAILABLE = ["1.0", "(event_id % 2 = 0)::INT", "(event_id % 3 > 0)::INT", "1.0", "(event_id % 5 > 0)::INT"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> MNL:
+    e = _table(spark, sf_dir, "events")
+    free = [F.lit(1.0), (F.col("event_id") % 2 == 0).cast("double"), (F.col("event_id") % 3 > 0).cast("double"), F.lit(1.0), (F.col("event_id") % 5 > 0).cast("double")]
+    wide = e.select("event_id", *[(F.col("event_type") == t).cast("int").alias(t) for t in EVENTS], (F.col("value") / 100.0).alias("amount"), *[a.alias(f"av_{t}") for a, t in zip(free, EVENTS, strict=True)])
+    spec = {"asc_error": {"error": "uno"}, "asc_purchase": {"purchase": "UNO"}, "amount": {"purchase": "amount", "view": 0.5}, "asc_view": {"view": 1}}
+    model = MNL(wide, EVENTS, spec, [f"av_{t}" for t in EVENTS])
+    model.from_estimates(EVENT_BETA)
+    return model
+
+
+@_query(
+    "WITH o AS (SELECT value / 100.0 AS amount, " + ", ".join(f"{a} AS a{k}" for k, a in enumerate(_EVENT_AVAILABLE)) + " FROM events), "
+    "e AS (SELECT a0 AS e0, a1 * exp(0.1) AS e1, a2 * exp(-0.2 + 0.3 * amount) AS e2, a3 AS e3, a4 * exp(0.3 * 0.5 + 0.05) AS e4 FROM o), "
+    "p AS (SELECT " + ", ".join(f"e{k} / (e0 + e1 + e2 + e3 + e4) AS p{k}" for k in range(5)) + " FROM e) " + _shares_sql(EVENTS, "'baseline' AS scenario, ")
+)
+def mnl_available_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares where not every alternative is available to all."""
+    return _rounded(_events(spark, sf_dir).ate(), "share")
+
+
+SCENARIOS = {"dear": {"price": 3.0}, "swap": {"month": "half", "half": "month"}}
+
+
+def _scenario_sql() -> str:
+    runs = {"baseline": ("price", "month", "half"), "dear": ("3.0", "month", "half"), "swap": ("price", "half", "month")}
+    parts = [f"SELECT * FROM (WITH {_softmax_sql(_mnl_utilities(*a))} {_shares_sql(PRIORITIES, f'{chr(39)}{s}{chr(39)} AS scenario, ')})" for s, a in runs.items()]
+    return f"WITH {_ORDERS_SQL} " + " UNION ALL ".join(parts)
+
+
+@_query(_scenario_sql())
+def ate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares under each scenario, one of which swaps two columns, in one pass."""
+    return _rounded(_mnl(spark, sf_dir).ate(SCENARIOS), "share")
+
+
+@_query(
+    f"WITH s AS ({_scenario_sql().replace('round(avg', 'round(1 * avg')}), b AS (SELECT * FROM s WHERE scenario = 'baseline'), t AS (SELECT * FROM s WHERE scenario = 'dear') "
+    "SELECT alternative, round(100 * (t.share - b.share) / b.share, 3) AS change FROM b JOIN t USING (alternative)"
+)
+def ate_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of each share in per cent."""
+    shares = _rounded(_mnl(spark, sf_dir).ate(SCENARIOS), "share")
+    return scenario.comparison(shares, "baseline", "dear").select("alternative", F.round("change", 3).alias("change"))
+
+
+def _cell_sql() -> str:
+    out = []
+    for s, value in (("base", "0.5"), ("treatment", "2.0")):
+        u = _mnl_utilities()
+        u[1] = f"0.2 + -0.05 * {value}"
+        out.append(f"SELECT * FROM (WITH {_softmax_sql(u)} {_shares_sql(PRIORITIES, f'{chr(39)}{s}{chr(39)} AS scenario, ')})")
+    return f"WITH {_ORDERS_SQL} " + " UNION ALL ".join(out)
+
+
+@_query(_cell_sql())
+def ate_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares with one alternative's value of one coefficient held at two levels."""
+    return _rounded(_mnl(spark, sf_dir).ate_cell("high", "price", 0.5, 2.0), "share")
+
+
+@_query("SELECT o_orderkey, substr(o_orderpriority, 1, 1)::INT - 1 AS choice FROM orders")
+def choice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).select("o_orderkey", choice_index(PRIORITIES).alias("choice"))
+
+
+@_query(f"WITH {_ORDERS_SQL} SELECT o_orderkey, round(0.2, 6) AS u_high, round(0.04 * month + 0.333333 * price, 6) AS u_low FROM o")
+def spec_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix specification, compiled."""
+    df = _orders(spark, sf_dir)
+    design = compile_spec(spec_of_matrix([["uno", "sero", 0], ["sero", "month", "price"]], ("high", "low"), ("a", "b", "c")), ("high", "low"), df.columns)
+    u = design.utilities((0.2, 0.04, 0.333333))
+    return df.select("o_orderkey", F.round(u[0], 6).alias("u_high"), F.round(u[1], 6).alias("u_low"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_linenumber - (SELECT min(l_linenumber) FROM lineitem) AS y FROM lineitem")
+def ordinal_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("int").alias("line"), F.col("l_quantity").alias("q"))
+    model = MORP(df, ["line"], {"q": {"line": "q"}})
+    model.bind()
+    return df.select("l_orderkey", "l_linenumber", rebased("line", model.lowest[0]).alias("y"))
+
+
+# --- discrete-continuous: what customers spend by priority ----------------------------------------
+
+GOODS = ("outside", "urgent", "high", "other")
+MDCEV_UTILITY = {"asc_urgent": {"urgent": "uno"}, "asc_high": {"high": "uno"}, "asc_other": {"other": "uno"}, "balance": {"urgent": "wealth"}}
+MDCEV_SATIATION = {"urgent": {"urgent": "uno"}, "high": {"high": "uno"}, "other": {"other": "uno"}}
+MDCEV_BETA, MDCEV_GAMMA, MDCEV_SIGMA = (-0.5, -0.4, 0.2, 0.3), (0.5, 0.4, 0.6), 0.8
+
+
+def _spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    spend = F.col("o_totalprice") / 1e5
+    kind = F.substring("o_orderpriority", 1, 1)
+    per = o.groupBy("o_custkey").agg(*[F.sum(F.when(test, spend).otherwise(0.0)).alias(g) for g, test in (("urgent", kind == "1"), ("high", kind == "2"), ("other", kind > "2"))])
+    c = _table(spark, sf_dir, "customer").select("c_custkey", (F.greatest("c_acctbal", F.lit(1.0)) / 1e3).alias("outside"), (F.col("c_acctbal") / 1e4).alias("wealth"))
+    return c.join(per, c["c_custkey"] == per["o_custkey"]).select("c_custkey", *GOODS, "wealth")
+
+
+_SPEND_SQL = """s AS (
+  SELECT c_custkey, greatest(c_acctbal, 1.0) / 1e3 AS q0, q1, q2, q3, c_acctbal / 1e4 AS wealth FROM customer JOIN (
+    SELECT o_custkey, sum(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN o_totalprice / 1e5 ELSE 0.0 END) AS q1,
+      sum(CASE WHEN substr(o_orderpriority, 1, 1) = '2' THEN o_totalprice / 1e5 ELSE 0.0 END) AS q2,
+      sum(CASE WHEN substr(o_orderpriority, 1, 1) > '2' THEN o_totalprice / 1e5 ELSE 0.0 END) AS q3 FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey)"""
+
+
+def _mdcev(spark: SparkSession, sf_dir: str, traditional: bool) -> MDCEV:
+    model = MDCEV(_spending(spark, sf_dir), GOODS, MDCEV_UTILITY, MDCEV_SATIATION, traditional=traditional)
+    model.from_estimates(MDCEV_BETA, MDCEV_GAMMA, MDCEV_SIGMA)
+    return model
+
+
+def _mdcev_sql(traditional: bool) -> str:
+    """The likelihood written out by the number of goods consumed, apart from the library's formula."""
+    psi = ["0.0", "(-0.5 + 0.3 * wealth)", "-0.4", "0.2"]
+    f = ["0.0", "exp(0.5)", "exp(0.4)", "exp(0.6)"]
+    base = "- ln(q0)" if traditional else ""
+    gaps = ", ".join(f"exp(-((0.0 {base}) - ({psi[k]} - ln((q{k} + {f[k]}) / {f[k]}))) / 0.8) AS e{k}, (q{k} > 0)::INT AS u{k}" for k in (1, 2, 3))
+    if traditional:
+        jac = "1.0 / q0 * " + " * ".join(f"(CASE WHEN u{k} = 1 THEN 1.0 / (q{k} + {f[k]}) ELSE 1.0 END)" for k in (1, 2, 3)) + " * (q0 + " + " + ".join(f"u{k} * (q{k} + {f[k]})" for k in (1, 2, 3)) + ")"
+    else:
+        jac = " * ".join(f"(CASE WHEN u{k} = 1 THEN 1.0 / (q{k} + {f[k]}) ELSE 1.0 END)" for k in (1, 2, 3))
+    top = " * ".join(f"(CASE WHEN u{k} = 1 THEN e{k} / 0.8 ELSE 1.0 END)" for k in (1, 2, 3))
+    return f"WITH {_SPEND_SQL}, e AS (SELECT *, {gaps} FROM s) SELECT c_custkey, round(ln({jac} * factorial(u1 + u2 + u3) * {top} / pow(1.0 + e1 + e2 + e3, u1 + u2 + u3 + 1)), 6) AS loglik FROM e"
+
+
+@_query(_mdcev_sql(True))
+def mdcev_loglik_traditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mdcev(spark, sf_dir, True)
+    return m.df.select("c_custkey", F.round(m.loglik_column(), 6).alias("loglik"))
+
+
+@_query(_mdcev_sql(False))
+def mdcev_loglik_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mdcev(spark, sf_dir, False)
+    return m.df.select("c_custkey", F.round(m.loglik_column(), 6).alias("loglik"))
+
+
+@_query()
+def mdcev_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mdcev(spark, sf_dir, True).fit(60).to_dataframe(spark)
+
+
+@_query()
+def mdcev_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participation and mean quantity of each good over simulated errors."""
+    return _rounded(_mdcev(spark, sf_dir, True).participation(budget=3.0, replications=20, id_column="c_custkey"), "participation", "quantity")
+
+
+@_query()
+def mdcev_ate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_mdcev(spark, sf_dir, True).ate({"rich": {"wealth": 1.0}}, budget=3.0, replications=20, id_column="c_custkey"), "share")
+
+
+# --- ordered probit: a line's number; quality and toxicity of texts --------------------------------
+
+LINE_CUTS = (-1.2, -0.7, -0.2, 0.2, 0.7, 1.3)
+_PHI = lambda x: str(dist.normal_cdf(Text(x), TEXT))
+_LINES_SQL = "m AS (SELECT l_linenumber - 1 AS y, 0.3 * (l_quantity / 50.0) - 0.2 * l_discount AS mu FROM lineitem)"
+_LINE_P = "c AS (SELECT y, " + ", ".join(f"{_PHI(f'({t} - mu)')} AS c{i + 1}" for i, t in enumerate(LINE_CUTS)) + " FROM m), p AS (SELECT y, c1 AS p0, " + ", ".join(f"c{i + 1} - c{i} AS p{i}" for i in range(1, 6)) + ", 1.0 - c6 AS p6 FROM c)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> MORP:
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50.0).alias("quantity"), "l_discount")
+    model = MORP(df, ["l_linenumber"], {"quantity": {"l_linenumber": "quantity"}, "discount": {"l_linenumber": "l_discount"}})
+    model.from_estimates((0.3, -0.2), [LINE_CUTS], lowest=[1])
+    return model
+
+
+@_query(f"WITH {_LINES_SQL}, {_LINE_P} " + " UNION ALL ".join(f"SELECT 'baseline' AS scenario, 'l_linenumber' AS outcome, {k + 1} AS category, round(avg(p{k}), 6) AS share FROM p" for k in range(7)))
+def morp_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_lines(spark, sf_dir).ate(), "share")
+
+
+@_query(f"WITH {_LINES_SQL}, {_LINE_P} SELECT count(*) AS n, round(avg(ln(greatest(CASE y {' '.join(f'WHEN {k} THEN p{k}' for k in range(7))} END, 1e-300))), 6) AS loglik FROM p")
+def morp_loglik_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _lines(spark, sf_dir)
+    ps = model._marginals()[0]
+    y = rebased("l_linenumber", 1)
+    p = F.element_at(F.array(*ps), y + 1)
+    return _rounded(model.df.agg(F.count("*").alias("n"), F.avg(F.log(F.greatest(p, F.lit(1e-300)))).alias("loglik")), "loglik")
+
+
+@_query(f"WITH {_LINES_SQL}, {_LINE_P} SELECT category, count(*) AS n FROM (SELECT list_position([p0, p1, p2, p3, p4, p5, p6], greatest(p0, p1, p2, p3, p4, p5, p6))::INT AS category FROM p) GROUP BY category")
+def morp_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).predict().groupBy(F.col("category_l_linenumber").alias("category")).agg(F.count("*").alias("n"))
+
+
+RHO = -0.35
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.log(1.0 + F.col("n_chars")) / 10.0).alias("length"))
+    return labels.join(docs, "doc_id")
+
+
+_PAIR_P = {
+    (1, 1): str(dist.bivariate_normal_cdf(Text("h"), Text("k"), RHO, TEXT)),
+    (1, 2): f"({_PHI('h')} - {dist.bivariate_normal_cdf(Text('h'), Text('k'), RHO, TEXT)})",
+    (2, 1): f"({_PHI('k')} - {dist.bivariate_normal_cdf(Text('h'), Text('k'), RHO, TEXT)})",
+}
+_PAIR_P[(2, 2)] = f"(1.0 - {_PHI('h')} - {_PHI('k')} + {dist.bivariate_normal_cdf(Text('h'), Text('k'), RHO, TEXT)})"
+
+
+@_query("WITH m AS (SELECT -1.0 - 0.2 * ln(1.0 + n_chars) / 10.0 AS h, 1.1 - 0.4 * ln(1.0 + n_chars) / 10.0 AS k FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL) " + " UNION ALL ".join(f"SELECT {a} AS quality, {b} AS toxic, round(avg({p}), 6) AS probability FROM m" for (a, b), p in _PAIR_P.items()))
+def morp_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean probability of each combination of two correlated answers."""
+    model = MORP(_labels(spark, sf_dir), ["quality", "toxic"], {"quality": {"quality": "length"}, "toxic": {"toxic": "length"}}, structure="full")
+    model.from_estimates((0.2, 0.4), [(-1.0,), (1.1,)], np.array([[1.0, RHO], [RHO, 1.0]]), lowest=[0, 0])
+    return _rounded(model.joint(), "probability")
+
+
+@_query()
+def morp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = MORP(_labels(spark, sf_dir), ["quality", "toxic"], {"quality": {"quality": "length"}, "toxic": {"toxic": "length"}}, structure="full")
+    return model.fit(40).to_dataframe(spark)
+
+
+# --- multinomial probit: the flag of a line --------------------------------------------------------
+
+FLAGS = ("A", "N", "R")
+MNP_SPEC = {"asc_n": {"N": "uno"}, "asc_r": {"R": "uno"}, "quantity": {"A": "quantity", "R": "discount"}}
+MNP_BETA = (0.3, -0.2, 0.4)
+MNP_KERNEL = np.array([[1.0, 0.5], [0.5, 1.44]])
+
+
+def _flags(spark: SparkSession, sf_dir: str, **kind) -> MNP:
+    li = _table(spark, sf_dir, "lineitem")
+    df = li.select(*[(F.col("l_returnflag") == f).cast("int").alias(f) for f in FLAGS], (F.col("l_quantity") / 50.0).alias("quantity"), F.col("l_discount").alias("discount"))
+    return MNP(df, FLAGS, MNP_SPEC, **kind)
+
+
+def _mnp_sql(kernel: np.ndarray, tail: str, beta: tuple = MNP_BETA) -> str:
+    """Probabilities p0, p1, p2 by columns of limits, then of bivariate distributions."""
+    v = [f"{beta[2]} * q", f"{beta[0]}", f"{beta[1]} + {beta[2]} * d"]
+    limits, ps = [], []
+    for c in range(3):
+        cov = mnp.differences(kernel, c)
+        rivals = [k for k in range(3) if k != c]
+        limits += [f"(({v[c]}) - ({v[k]})) / {float(np.sqrt(cov[i, i]))!r} AS z{c}{i}" for i, k in enumerate(rivals)]
+        rho = float(cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1]))
+        ps.append(f"{dist.bivariate_normal_cdf(Text(f'z{c}0'), Text(f'z{c}1'), rho, TEXT)} AS p{c}")
+    return f"WITH o AS (SELECT l_quantity / 50.0 AS q, l_discount AS d FROM lineitem), z AS (SELECT {', '.join(limits)} FROM o), p AS (SELECT {', '.join(ps)} FROM z) {tail}"
+
+
+@_query(_mnp_sql(MNP_KERNEL, _shares_sql(FLAGS, "'baseline' AS scenario, ")))
+def mnp_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of three alternatives with correlated errors, as Columns."""
+    model = _flags(spark, sf_dir, structure="full")
+    model.from_estimates(MNP_BETA, MNP_KERNEL)
+    return _rounded(scenario.mean_by_scenario(model.df, {"baseline": model.closed_shares()}, FLAGS), "share")
+
+
+@_query(_mnp_sql(0.5 * np.eye(2) + 0.5, _shares_sql(FLAGS, "'baseline' AS scenario, ")))
+def mnp_shares_iid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with independent errors, through the batch kernel."""
+    model = _flags(spark, sf_dir)
+    model.from_estimates(MNP_BETA)
+    return _rounded(model.ate(), "share")
+
+
+@_query()
+def mnp_random_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _flags(spark, sf_dir, random=["quantity"])
+    model.from_estimates(MNP_BETA, theta_rest=[-0.7])
+    return _rounded(model.ate({"no_discount": {"discount": 0.0}}), "share")
+
+
+@_query()
+def mnp_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _flags(spark, sf_dir, segments=2)
+    model.from_estimates(MNP_BETA, theta_rest=[0.4, -0.1, 0.2, 0.5])
+    return _rounded(model.ate(), "share")
+
+
+@_query()
+def mnp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).fit(25).to_dataframe(spark)
+
+
+# --- functions of rows ----------------------------------------------------------------------------
+
+_ROW = "l_orderkey, l_linenumber"
+
+
+def _function_query(name: str, formulas: dict[str, Callable]) -> None:
+    """A query of scalar functions of x (from quantity) and y (from discount), with SQL from the same formulas."""
+    sql = f"WITH o AS (SELECT {_ROW}, l_quantity / 10.0 - 2.5 AS x, l_discount * 20.0 - 1.0 AS y FROM lineitem) SELECT {_ROW}, " + ", ".join(f"round({f(Text('x'), Text('y'), TEXT)}, 6) AS {n}" for n, f in formulas.items()) + " FROM o"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10.0 - 2.5).alias("x"), (F.col("l_discount") * 20.0 - 1.0).alias("y"))
+        return o.select("l_orderkey", "l_linenumber", *[F.round(f(F.col("x"), F.col("y"), COLUMNS), 6).alias(n) for n, f in formulas.items()])
+
+    run.__name__ = name
+    _query(sql)(run)
+
+
+_function_query("dist_normal", {"pdf": lambda x, y, m: dist.normal_pdf(x, m), "logpdf": lambda x, y, m: dist.normal_logpdf(x, m), "cdf": lambda x, y, m: dist.normal_cdf(x, m)})
+_function_query("dist_bivariate_normal", {"cdf": lambda x, y, m: dist.bivariate_normal_cdf(x, y, 0.6, m)})
+_function_query("dist_extreme", {"gumbel": lambda x, y, m: dist.gumbel_cdf(x, m), "gumbel_pdf": lambda x, y, m: dist.gumbel_pdf(x, m), "reverse": lambda x, y, m: dist.reverse_gumbel_cdf(x, m), "reverse_pdf": lambda x, y, m: dist.reverse_gumbel_pdf(x, m), "logistic": lambda x, y, m: dist.logistic_cdf(x, m), "logistic_pdf": lambda x, y, m: dist.logistic_pdf(x, m)})
+_function_query("dist_truncated_normal", {"pdf": lambda x, y, m: dist.truncated_normal_pdf(x, -1.0, 2.0, 0.2, 1.3, m), "cdf": lambda x, y, m: dist.truncated_normal_cdf(x, -1.0, 2.0, 0.2, 1.3, m), "mean": lambda x, y, m: dist.truncated_normal_mean(x, m), "variance": lambda x, y, m: dist.truncated_normal_variance(x, m)})
+_function_query("dist_skew_normal", {"pdf": lambda x, y, m: dist.skew_normal_pdf(x, 1.5, m), "cdf": lambda x, y, m: dist.skew_normal_cdf(x, 1.5, m)})
+_function_query(
+    "mv_logistic",
+    {
+        "cdf": lambda x, y, m: dist.mv_logistic_cdf([x, y], m),
+        "pdf": lambda x, y, m: dist.mv_logistic_pdf([x, y], m),
+        "partial": lambda x, y, m: dist.mv_logistic_partial([x], [y], m),
+        "survival": lambda x, y, m: dist.mv_logistic_survival([x, y], m),
+        "rectangle": lambda x, y, m: dist.mv_logistic_rectangle([x - 1.0, y - 1.0], [x, y], m),
+    },
+)
+
+
+@_query()
+def mvn_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean trivariate normal probability of all lines by each method."""
+    names = [*METHODS, "exact"]
+    cov = np.array([[1.0, 0.3, 0.1], [0.3, 1.0, 0.4], [0.1, 0.4, 1.0]])
+    o = _table(spark, sf_dir, "lineitem").select(F.array(F.col("l_quantity") / 25.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0).alias("a"))
+
+    def task(batches):
+        import pandas as pd
+
+        total, n = np.zeros(len(names)), 0
+        for rows in batches:
+            if len(rows):
+                a = np.array(rows["a"].tolist(), float)
+                total += [mvn_cdf(a, cov, m).sum() for m in names]
+                n += len(rows)
+        yield pd.DataFrame({"method": names, "s": total, "n": n})
+
+    return o.mapInPandas(task, "method string, s double, n long").groupBy("method").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("probability"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"mnl_shares": mnl_shares}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    terms = [f"exp({a} + {b} * o_totalprice / 1e5)" for a, b in zip(MNL_ASC, MNL_SLOPE, strict=True)]
-    return {"mnl_shares": "SELECT " + ", ".join(f"round(avg({t} / ({' + '.join(terms)})), 6) AS share_{k}" for k, t in enumerate(terms)) + " FROM orders"}
+    return dict(_SQL)
