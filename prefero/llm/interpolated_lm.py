@@ -38,9 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefero.llm.common import ASCII_LOWER, WORD, staged
+from prefero.llm.common import WORD, lowered_bytes, staged
 
-WORDS = re.compile(WORD)
+WORDS = re.compile(WORD.encode())
 #: Characters of a chunk of texts and of the share of a key range, about.
 CHUNK, RANGE = 6_000_000, 8_000_000
 KEY_BITS = 56
@@ -52,8 +52,26 @@ END, START = 0, 1
 LEARN, ASIDE = 1, 2
 
 
-def _number(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+class _Ids(dict):
+    """Numbers words as they come; 0 and 1 are the end and the start."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self) + 2
+        return i
+
+
+class _Numbers(dict):
+    """Word to a 64-bit number; starts anew when it holds many words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = n = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+
+_NUMBERS = _Numbers()
+_THE_END = np.zeros(1, np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,17 +87,15 @@ class ChunkGrams:
     its word and of its bigram among them.  A key's lowest bit tells words (0) from bigrams (1).
     """
 
-    def __init__(self, texts: list[str]) -> None:
-        ids: dict[str, int] = {}
-        flat: list[int] = []
-        ends: list[int] = []
+    def __init__(self, texts: list[bytes]) -> None:
+        ids = _Ids()
+        parts: list[np.ndarray] = []
         for t in texts:
-            for w in WORDS.findall(t.translate(ASCII_LOWER)):
-                flat.append(ids.setdefault(w, len(ids) + 2))
-            flat.append(END)
-            ends.append(len(flat))
-        self.tokens, self.ends = np.array(flat, np.int64), np.array(ends, np.int64)
-        numbers = np.array([_number("\x00end"), _number("\x00start"), *map(_number, ids)], np.uint64)
+            words = WORDS.findall(t)
+            parts += [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), _THE_END]
+        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.ends = np.cumsum([len(p) for p in parts])[1::2]
+        numbers = np.array([_NUMBERS[b" end"], _NUMBERS[b" start"], *map(_NUMBERS.__getitem__, ids)], np.uint64)
         before = np.concatenate([[START], self.tokens[:-1]])
         before[self.ends[:-1]] = START
         pairs, pair_of = np.unique(before * len(numbers) + self.tokens, return_inverse=True)
@@ -117,14 +133,14 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 def _pack_texts(texts: list[str]) -> tuple[bytes, list[int]]:
-    coded = [t.encode("utf-8", "replace") for t in texts]
-    return zstandard.compress(b"".join(coded), 3), [len(c) for c in coded]
+    coded = [lowered_bytes(t) for t in texts]
+    return zstandard.compress(b"".join(coded), 9), [len(c) for c in coded]
 
 
-def _unpack_texts(data: bytes, sizes: np.ndarray) -> list[str]:
+def _unpack_texts(data: bytes, sizes: np.ndarray) -> list[bytes]:
     raw, at, out = zstandard.decompress(data), 0, []
     for n in sizes:
-        out.append(raw[at : at + n].decode())
+        out.append(raw[at : at + n])
         at += n
     return out
 
@@ -138,7 +154,7 @@ def _chunk_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"chunk": [first + n], "ids": [ids], "parts": [parts], "sizes": [sizes], "texts": [data]})
 
     for rows in batches:
-        for i, part, text in zip(rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None), rows["part"], rows["text"], strict=True):
+        for i, part, text in zip(rows["doc_id"], rows["part"], rows["text"], strict=True):
             text = text or ""
             if texts and size + len(text) > CHUNK:
                 yield packed()
@@ -168,7 +184,7 @@ def _asking(ranges: int):
                     {
                         "range": of[cuts].astype(np.int64),
                         "chunk": row.chunk,
-                        "keys": [_pack(grams.keys[a:b]) for a, b in zip(cuts, ends, strict=True)],
+                        "keys": [_pack(np.diff(grams.keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, ends, strict=True)],
                         "counts": [_pack(counts[a:b].ravel()) for a, b in zip(cuts, ends, strict=True)],
                     }
                 )
@@ -182,7 +198,7 @@ WHOLE = -1
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Counts over all chunks for each chunk's keys of one range, and the range's totals of words."""
-    keys = [_unpack(k, np.uint64) for k in rows["keys"]]
+    keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
     counts = np.concatenate([_unpack(c, np.int32) for c in rows["counts"]]).reshape(-1, 2)
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.stack([np.bincount(at, counts[:, j], len(found)) for j in (0, 1)], axis=1).astype(np.int64)
@@ -211,26 +227,25 @@ def _assembled(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     out, a = [], 0
     for i, part, b in zip(row.ids, parts, grams.ends, strict=True):
         w, p = grams.word_at[a:b], grams.pair_at[a:b]
-        aside = (counts[w, 0].tobytes(), counts[p, 0].tobytes()) if part == ASIDE else (None, None)
-        out.append((i, int(part), both[w].tobytes(), both[p].tobytes(), *aside))
+        aside = (_pack(counts[w, 0].copy()), _pack(counts[p, 0].copy())) if part == ASIDE else (None, None)
+        out.append((i, int(part), _pack(both[w]), _pack(both[p]), *aside))
         a = b
     return pd.DataFrame(out, columns=list(none))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, part, word, pair, ...: packed counts of every token's word and bigram, staged.
+    """doc_id (as text), part, word, pair, ...: packed counts of every token's word and bigram, staged.
 
     ``docs`` has doc_id, text and part: LEARN, ASIDE (learned from, but held aside for
     the mixture's weights) or 0.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = docs.select("doc_id", F.col("part").cast("int").alias("part"), "text")
+    whole = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("part").cast("int").alias("part"), "text")
     size = whole.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     ranges = max(1, math.ceil(size / RANGE))
-    chunks = staged(whole.mapInPandas(_chunk_task, f"chunk long, ids array<{kind}>, parts array<int>, sizes array<int>, texts binary"), "chunks")
+    chunks = staged(whole.mapInPandas(_chunk_task, "chunk long, ids array<string>, parts array<int>, sizes array<int>, texts binary"), "chunks")
     asked = chunks.mapInPandas(_asking(ranges), "range long, chunk long, keys binary, counts binary")
     answers = asked.groupBy("range").applyInPandas(_answer, "chunk long, range long, counts binary")
-    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_assembled, f"doc_id {kind}, part int, word binary, pair binary, word_learn binary, pair_learn binary")
+    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_assembled, "doc_id string, part int, word binary, pair binary, word_learn binary, pair_learn binary")
     return staged(rows, "token-counts")
 
 
@@ -252,7 +267,7 @@ def _ratio_cells(word: np.ndarray, pair: np.ndarray, total: int, distinct: int)
 def _cells(total: int, distinct: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            cells = [_ratio_cells(np.frombuffer(w, np.int32), np.frombuffer(p, np.int32), total, distinct) for w, p in zip(rows["word_learn"], rows["pair_learn"], strict=True)]
+            cells = [_ratio_cells(_unpack(w, np.int32), _unpack(p, np.int32), total, distinct) for w, p in zip(rows["word_learn"], rows["pair_learn"], strict=True)]
             if cells:
                 found, n = np.unique(np.concatenate(cells), return_counts=True)
                 yield pd.DataFrame({"cell": found, "n": n})
@@ -281,8 +296,8 @@ def _texts_scored(total: int, distinct: int, weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for i, part, w, p in zip(rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None), rows["part"], rows["word"], rows["pair"], strict=True):
-                word, pair = np.frombuffer(w, np.int32), np.frombuffer(p, np.int32)
+            for i, part, w, p in zip(rows["doc_id"], rows["part"], rows["word"], rows["pair"], strict=True):
+                word, pair = _unpack(w, np.int32), _unpack(p, np.int32)
                 bucket, p2, p1 = _estimates(word, pair, total, distinct, int(word[-1]))
                 mix = weights[bucket]
                 mixed = mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (distinct + 1) if total else np.ones(len(word))
@@ -295,7 +310,6 @@ def _texts_scored(total: int, distinct: int, weights: np.ndarray):
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, part, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (see ``token_counts``)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = token_counts(docs)
     totals = rows.where(F.col("part") == WHOLE).select("word").collect()  # one row
     learn_total, total, learn_distinct, distinct = map(int, np.frombuffer(totals[0]["word"], np.int64)) if totals else (0, 0, 0, 0)
@@ -303,6 +317,7 @@ def scored(docs: DataFrame) -> DataFrame:
     cells = texts.where(F.col("part") == ASIDE).select("word_learn", "pair_learn").mapInPandas(_cells(learn_total, learn_distinct), "cell long, n long")
     table = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")  # as many rows as cells are in use
     weights = mixture_weights(table["cell"].to_numpy(np.int64), table["n"].to_numpy(float))
-    return texts.select("doc_id", "part", "word", "pair").mapInPandas(
-        _texts_scored(total, distinct, weights), f"doc_id {kind}, part int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    found = texts.select("doc_id", "part", "word", "pair").mapInPandas(
+        _texts_scored(total, distinct, weights), "doc_id string, part int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
