@@ -13,8 +13,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What separates such words.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: str.translate table that lower-cases A-Z and nothing else.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows up to which a small derived table is broadcast; beyond it a shuffle join runs.
 BROADCAST_ROWS = 100_000
 
@@ -53,6 +51,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def lowered_bytes(text: str) -> bytes:
+    """UTF-8 with A-Z in lower case; ASCII classes split it as they split the text."""
+    return text.encode("utf-8", "replace").lower()
+
+
 def parts_between(text: Column, separators: str) -> Column:
     """The non-empty parts of a text between runs of separators; none for null.
 

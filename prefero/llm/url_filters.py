@@ -30,9 +30,9 @@ KINDS = ("domain", "host", "prefix")
 
 def intervals(events: DataFrame) -> DataFrame:
     """entry, kind, action, since, until (null: still on the list) from entry, kind, action, at, listed."""
-    known = events.select("entry", "kind", "action", "at", "listed").na.drop().groupBy("entry", "kind", "action", "at").agg(F.max("listed").alias("listed"))
+    known = events.select(ascii_lower(F.col("entry")).alias("entry"), "kind", "action", "at", "listed").na.drop().groupBy("entry", "kind", "action", "at").agg(F.max("listed").alias("listed"))
     following = F.lead("at").over(W.partitionBy("entry", "kind", "action").orderBy("at"))
-    return known.withColumn("until", following).where("listed").select(ascii_lower(F.col("entry")).alias("entry"), "kind", "action", F.col("at").alias("since"), "until")
+    return known.withColumn("until", following).where("listed").select("entry", "kind", "action", F.col("at").alias("since"), "until")
 
 
 def host_of(url: Column) -> Column:
@@ -67,8 +67,8 @@ def with_verdicts(captures: DataFrame, events: DataFrame, out: str = "filter") -
     on = (asked["of.kind"] == active["kind"]) & (asked["of.entry"] == active["entry"]) & (active["since"] <= asked["place.fetched"]) & (active["until"].isNull() | (asked["place.fetched"] < active["until"]))
     order = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.length("entry"), F.col("action") == "block", "action", "since")
     best = F.max_by(F.struct(F.col("action").alias("verdict"), "entry", "kind", "since"), order)
-    found = small_side(staged(asked.join(active, on).groupBy("place").agg(best.alias("found")), "verdicts"))
+    found = small_side(staged(asked.join(active, on).groupBy("place").agg(best.alias("_found")).withColumnRenamed("place", "_found_place"), "verdicts"))
     none = F.struct(F.lit("none").alias("verdict"), F.lit(None).cast("string").alias("entry"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(active.schema["since"].dataType).alias("since"))
     kept = captures.drop(out).withColumn("_place", place)
-    joined = kept.join(found, kept["_place"] == found["place"], "left")
-    return joined.select(*[kept[c] for c in captures.columns if c != out], F.coalesce("found", none).alias(out))
+    joined = kept.join(found, kept["_place"] == found["_found_place"], "left")
+    return joined.select(*[kept[c] for c in captures.columns if c != out], F.coalesce("_found", none).alias(out))
