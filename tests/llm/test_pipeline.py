@@ -1,0 +1,77 @@
+"""Each stage of the pipeline against a brute-force version on its own input."""
+
+import re
+
+import corpus_pipeline
+import pytest
+from test_queries import LOWER, brute_classes
+
+from prefero.llm import common, quality, secrets_scan
+
+NAMES = ["quality", "near_duplicates", "decontamination", "secrets", "mixing"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
+    out, docs = [], common.table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.staged(stage(spark, docs, sf_dir), name)
+        out.append((name, docs, after))
+        docs = after
+    return {name: (before.toPandas(), after.toPandas()) for name, before, after in out}
+
+
+def test_names_and_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == NAMES and corpus_pipeline.ORACLE_SQL is None
+    for name in NAMES[:-1]:
+        before, after = stages[name]
+        assert list(before.columns) == list(after.columns)
+
+
+def test_quality(spark, sf_dir, stages):
+    before, after = stages["quality"]
+    labels = common.table(spark, sf_dir, "labels").toPandas().set_index("doc_id")["quality"]
+    known = before[before["doc_id"].isin(labels.index)]
+    wrong = (known["doc_id"].isin(after["doc_id"]) != (known["doc_id"].map(labels) == 1)).mean()
+    assert wrong < 0.05 and quality.FIT_ROWS == 20_000
+
+
+def test_near_duplicates(stages):
+    before, after = stages["near_duplicates"]
+    before = before.sort_values("doc_id")
+    roots = brute_classes(before["text"].tolist())
+    assert sorted(after["doc_id"]) == sorted(before.groupby(roots)["doc_id"].min())
+
+
+def test_decontamination(stages, duck):
+    before, after = stages["decontamination"]
+    words = lambda t: " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))) + " "
+    spans = set()
+    for (t,) in duck.execute("SELECT text FROM benchmark").fetchall():
+        w = words(t).split()
+        spans |= {" " + " ".join(w[j : j + 10]) + " " for j in range(max(1, len(w) - 9)) if w}
+    clean = [i for i, t in zip(before["doc_id"], before["text"], strict=True) if not any(s in words(t) for s in spans)]
+    assert sorted(after["doc_id"]) == sorted(clean)
+
+
+def test_secrets(stages):
+    before, after = (x.set_index("doc_id") for x in stages["secrets"])
+    scanner = secrets_scan.Scanner()
+    assert sorted(before.index) == sorted(after.index)
+    for i, t in before["text"].items():
+        spans = scanner.scan([t])[0]
+        if not spans:
+            assert after.loc[i]["text"] == t
+        else:
+            assert "[secret]" in after.loc[i]["text"] and not [s for s in scanner.scan([after.loc[i]["text"]])[0] if s[0] in ("access", "hex")]
+        assert after.loc[i]["n_chars"] == len(after.loc[i]["text"])
+
+
+def test_mixing(stages):
+    before, after = stages["mixing"]
+    size = before.assign(n=[len(t.split()) for t in before["text"]]).groupby("source")["n"].sum()
+    taken = after.assign(n=[len(t.split()) for t in after["text"]]).groupby("source")["n"].sum()
+    assert set(after["doc_id"]) <= set(before["doc_id"])
+    assert taken.sum() == pytest.approx(size.sum(), rel=0.25)
+    assert (taken <= 3 * size.reindex(taken.index)).all()
+    assert after.groupby("doc_id")["mix_copy"].max().le(3).all()
