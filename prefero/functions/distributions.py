@@ -117,21 +117,48 @@ def mv_logistic_cdf(xs: list, m=COLUMNS):
 
 def mv_logistic_pdf(xs: list, m=COLUMNS):
     """K! e^-sum(x) / (1 + sum of e^-x)^(K+1)."""
-    return math.factorial(len(xs)) * m.exp(-total(xs)) * _power(mv_logistic_cdf(xs, m), len(xs) + 1)
+    return mv_logistic_mixed(xs, [], [], m)
 
 
 def mv_logistic_partial(points: list, limits: list, m=COLUMNS):
     """Density in ``points`` times distribution in ``limits``: M! e^-sum(points) / (1 + all e^-x)^(M+1)."""
-    return math.factorial(len(points)) * m.exp(-total(points)) * _power(mv_logistic_cdf([*points, *limits], m), len(points) + 1)
+    return mv_logistic_mixed(points, limits, [], m)
 
 
 def mv_logistic_survival(xs: list, m=COLUMNS):
-    """P(all X_k > x_k) by inclusion and exclusion."""
-    out = []
-    for mask in range(1 << len(xs)):
-        some = [x for i, x in enumerate(xs) if mask >> i & 1]
-        out.append(m.lift((-1.0) ** len(some)) * (mv_logistic_cdf(some, m) if some else m.lift(1.0)))
-    return total(out)
+    """P(all X_k > x_k)."""
+    return mv_logistic_mixed([], [], xs, m)
+
+
+def mv_logistic_mixed(points: list, below: list, above: list, m=COLUMNS):
+    """Density at ``points``, distribution at ``below`` and tail at ``above``; the tail by inclusion and exclusion."""
+    return _mixed_terms(points, below, above, m)[0]
+
+
+def mv_logistic_gradient(points: list, below: list, above: list, m=COLUMNS) -> list:
+    """Derivatives of ``mv_logistic_mixed`` by every argument, in the order given."""
+    return _mixed_terms(points, below, above, m)[1]
+
+
+def _mixed_terms(points: list, below: list, above: list, m) -> tuple:
+    n = len(points)
+    values, slopes = [], [[] for _ in range(n + len(below) + len(above))]
+    for mask in range(1 << len(above)):
+        some = [i for i in range(len(above)) if mask >> i & 1]
+        xs = [*points, *below, *[above[i] for i in some]]
+        if not xs:
+            values.append(m.lift(1.0))
+            continue
+        e = [m.exp(-x) for x in xs]
+        share = 1.0 / (1.0 + total(e))
+        value = (-1.0) ** len(some) * math.factorial(n) * _power(share, n + 1)
+        if n:
+            value = value * m.exp(-total(points))
+        values.append(value)
+        at = [*range(n + len(below)), *[n + len(below) + i for i in some]]
+        for k, (i, term) in enumerate(zip(at, e, strict=True)):
+            slopes[i].append(value * ((n + 1.0) * term * share - (1.0 if k < n else 0.0)))
+    return total(values), [total(s) for s in slopes]
 
 
 def mv_logistic_rectangle(lower: list, upper: list, m=COLUMNS):
@@ -143,6 +170,11 @@ def mv_logistic_rectangle(lower: list, upper: list, m=COLUMNS):
     return total(out)
 
 
+def located(xs: list, mean: list, scale: list) -> list:
+    """Arguments of a distribution with locations and scales; its density is divided by the scales of its points."""
+    return [(x - mu) / s for x, mu, s in zip(xs, mean, scale, strict=True)]
+
+
 def _power(x: object, n: int) -> object:
     out = x
     for _ in range(n - 1):
@@ -150,6 +182,30 @@ def _power(x: object, n: int) -> object:
     return out
 
 
+def student_cdf(x: np.ndarray, freedom: float) -> np.ndarray:
+    """Student's t distribution on arrays, by quadrature over the angle of its tangent."""
+    x = np.asarray(x, float)
+    end = np.arctan(x / math.sqrt(freedom))
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+    angle = end[..., None] * (1 + nodes) / 2
+    area = (weights * np.cos(angle) ** (freedom - 1)).sum(axis=-1) * end / 2
+    return 0.5 + area * math.gamma((freedom + 1) / 2) / (math.gamma(freedom / 2) * math.sqrt(math.pi))
+
+
+def skew_t_pdf(x: np.ndarray, shape: float = 0.0, freedom: float = 5.0) -> np.ndarray:
+    """Skew-t density on arrays."""
+    x = np.asarray(x, float)
+    plain = math.gamma((freedom + 1) / 2) / (math.gamma(freedom / 2) * math.sqrt(freedom * math.pi)) * (1 + x * x / freedom) ** (-(freedom + 1) / 2)
+    return 2 * plain * student_cdf(shape * x * np.sqrt((freedom + 1) / (freedom + x * x)), freedom + 1)
+
+
+def owen_t(h: np.ndarray, a: float) -> np.ndarray:
+    """Owen's T on arrays: the integral of e^(-h^2 (1 + x^2) / 2) / (1 + x^2) / 2 pi from 0 to a."""
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+    x = a * (1 + nodes) / 2
+    return (weights * np.exp(-0.5 * np.asarray(h, float)[..., None] ** 2 * (1 + x * x)) / (1 + x * x)).sum(axis=-1) * a / 2 / (2 * math.pi)
+
+
 def normal_ppf(p: np.ndarray) -> np.ndarray:
     """Normal quantiles on arrays: a start from the tail's logarithm, then Newton steps on the distribution."""
     from prefero.functions.algebra import ARRAYS

@@ -18,7 +18,9 @@ NODES, WEIGHTS = np.polynomial.legendre.leggauss(20)
 LONG_NODES, LONG_WEIGHTS = np.polynomial.legendre.leggauss(48)
 TINY = 1e-300
 #: method: variables truncated at a time, variables in the first factor, further variables that each later factor looks at.
-METHODS = {"me": (1, 1, 0), "ovus": (1, 2, 1), "ovbs": (1, 3, 2), "bme": (2, 2, 0), "tvbs": (2, 4, 0)}
+METHODS = {"me": (1, 1, 0), "ovus": (1, 2, 1), "ovbs": (1, 3, 2), "bme": (2, 2, 0), "tvbs": (2, 4, 0), "tg": (1, 1, 0), "tgbme": (2, 2, 0)}
+#: Methods that take what is truncated as known: only means move, spread is the conditional one.
+FIXED = ("tg", "tgbme")
 
 
 def phi(x: np.ndarray) -> np.ndarray:
@@ -70,12 +72,12 @@ def exact(a: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def _truncate_one(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _truncate_one(a: np.ndarray, mean: np.ndarray, cov: np.ndarray, fixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of the others, once the first variable lies below its limit."""
     sd = np.sqrt(np.maximum(cov[:, 0, 0], 1e-15))
     w = (a[:, 0] - mean[:, 0]) / sd
     shift = -density(w) / np.maximum(phi(w), TINY)
-    kept = np.maximum(1 + shift * (w - shift), 1e-15)
+    kept = np.zeros(len(a)) if fixed else np.maximum(1 + shift * (w - shift), 1e-15)
     along = cov[:, 1:, 0] / sd[:, None]
     return mean[:, 1:] + along * shift[:, None], cov[:, 1:, 1:] - (1 - kept)[:, None, None] * along[:, :, None] * along[:, None, :]
 
@@ -98,8 +100,10 @@ def truncated_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np
     return mean + np.stack(m, axis=1) * sd, c * sd[:, :, None] * sd[:, None, :]
 
 
-def _truncate_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _truncate_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray, fixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
     new_mean, new_cov = truncated_pair(a[:, :2], mean[:, :2], cov[:, :2, :2])
+    if fixed:
+        new_cov = np.zeros_like(new_cov)
     pair = cov[:, :2, :2] + np.eye(2) * 1e-12
     slope = np.linalg.solve(pair, cov[:, :2, 2:])  # (N, 2, rest)
     mean_rest = mean[:, 2:] + np.einsum("nir,ni->nr", slope, new_mean - mean[:, :2])
@@ -149,7 +153,7 @@ def _finite(a: np.ndarray, cov: np.ndarray, method: str, draws: int, seed: int)
     done = 0
     while known < k:
         n = min(step, a.shape[1] - 1)
-        mean, cov = _truncate_one(a, mean, cov) if n == 1 else _truncate_pair(a, mean, cov)
+        mean, cov = _truncate_one(a, mean, cov, method in FIXED) if n == 1 else _truncate_pair(a, mean, cov, method in FIXED)
         a, done = a[:, n:], done + n
         have = known - done  # of those left, how many earlier factors cover
         if step == 2 and have >= 2:
@@ -164,6 +168,55 @@ def _finite(a: np.ndarray, cov: np.ndarray, method: str, draws: int, seed: int)
     return np.clip(out, 0.0, 1.0)
 
 
+def log_mvn_cdf(a: np.ndarray, cov: np.ndarray, method: str = "me") -> np.ndarray:
+    return np.log(np.maximum(mvn_cdf(a, cov, method), TINY))
+
+
+def mvn_cdf_gradient(a: np.ndarray, cov: np.ndarray, method: str = "ovus", step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the same approximation by limits (N, K) and by the covariances' upper triangles (N, K(K+1)/2)."""
+    a = np.asarray(a, float)
+    n, k = a.shape
+    cov = np.broadcast_to(np.asarray(cov, float), (n, k, k))
+    by_limit = np.stack([(mvn_cdf(a + step * e, cov, method) - mvn_cdf(a - step * e, cov, method)) / (2 * step) for e in np.eye(k)], axis=1)
+    out = []
+    for i, j in zip(*np.triu_indices(k), strict=True):
+        e = np.zeros((k, k))
+        e[i, j] = e[j, i] = step
+        out.append((mvn_cdf(a, cov + e, method) - mvn_cdf(a, cov - e, method)) / (2 * step))
+    return by_limit, np.stack(out, axis=1)
+
+
+def truncated_moments(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of normals below their limits, variable after variable: each truncation moves all others.
+
+    One truncation leaves a normal approximation, so more than one variable is approximate.
+    """
+    mean, cov = np.array(mean, float), np.array(np.broadcast_to(cov, (len(a), a.shape[1], a.shape[1])), float)
+    for i in range(a.shape[1]):
+        sd = np.sqrt(np.maximum(cov[:, i, i], 1e-15))
+        w = (a[:, i] - mean[:, i]) / sd
+        shift = -density(w) / np.maximum(phi(w), TINY)
+        kept = np.maximum(1 + shift * (w - shift), 1e-15)
+        along = cov[:, :, i] / sd[:, None]
+        mean = mean + along * shift[:, None]
+        cov = cov - (1 - kept)[:, None, None] * along[:, :, None] * along[:, None, :]
+    return mean, cov
+
+
+def greedy_order(a: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Order of one row's variables: next is always the one whose limit is least likely met, given those before."""
+    left, mean, cov, out = list(range(len(a))), np.zeros(len(a)), np.array(cov, float), []
+    while left:
+        w = [(a[i] - mean[i]) / np.sqrt(max(cov[i, i], 1e-15)) for i in left]
+        i = left.pop(int(np.argmin(w)))
+        out.append(i)
+        z = (a[i] - mean[i]) / np.sqrt(max(cov[i, i], 1e-15))
+        shift = float(-density(np.array([z]))[0] / max(phi(np.array([z]))[0], TINY)) * np.sqrt(max(cov[i, i], 1e-15))
+        slope = cov[:, i] / max(cov[i, i], 1e-15)
+        mean, cov = mean + slope * shift, cov - np.outer(slope, cov[i])
+    return np.array(out)
+
+
 def halton(n: int, dims: int, seed: int = 0) -> np.ndarray:
     """Van der Corput sequences in the first primes, shifted at random modulo one."""
     primes: list[int] = []

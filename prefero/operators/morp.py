@@ -228,6 +228,11 @@ class MORP:
         return sums.select(*[F.get(F.get(table, F.col("combo")), F.lit(i)).alias(o) for i, o in enumerate(self.outcomes)], "probability")
 
 
+def marginal(joint: DataFrame, outcome: str) -> DataFrame:
+    """category, probability of one outcome from the table of combinations."""
+    return joint.groupBy(F.col(outcome).alias("category")).agg(F.sum("probability").alias("probability"))
+
+
 def iid_loglik(means: list, limits: list[tuple], m=COLUMNS):
     """Log-likelihood of independent outcomes from their (lower, upper) limits."""
     return m.log(m.greatest(product([normal_cdf(u - mu, m) - normal_cdf(low - mu, m) for mu, (low, u) in zip(means, limits, strict=True)]), FLOOR))

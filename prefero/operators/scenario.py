@@ -55,3 +55,9 @@ def comparison(shares: DataFrame, base: str, treatment: str) -> DataFrame:
         F.max(F.when(F.col("scenario") == base, F.col("share"))).alias("base"), F.max(F.when(F.col("scenario") == treatment, F.col("share"))).alias("treatment")
     )
     return wide.withColumn("change", F.when(F.col("base") > 0, 100 * (F.col("treatment") - F.col("base")) / F.col("base")).otherwise(F.lit(float("nan"))))
+
+
+def summary(shares: DataFrame) -> str:
+    """Shares as text, a row per alternative and a column per scenario; there are few of either."""
+    table = shares.toPandas().pivot(index="alternative", columns="scenario", values="share")
+    return table.to_string(float_format=lambda x: f"{x:.4f}")

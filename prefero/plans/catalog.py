@@ -465,6 +465,9 @@ _function_query(
         "partial": lambda x, y, m: dist.mv_logistic_partial([x], [y], m),
         "survival": lambda x, y, m: dist.mv_logistic_survival([x, y], m),
         "rectangle": lambda x, y, m: dist.mv_logistic_rectangle([x - 1.0, y - 1.0], [x, y], m),
+        "mixed": lambda x, y, m: dist.mv_logistic_mixed([x], [0.5 * x], [y], m),
+        "slope": lambda x, y, m: dist.mv_logistic_gradient([x], [0.5 * x], [y], m)[2],
+        "located": lambda x, y, m: dist.mv_logistic_pdf(dist.located([x, y], [0.1, -0.2], [1.5, 0.8]), m) / (1.5 * 0.8),
     },
 )
 

@@ -12,6 +12,9 @@ from prefero.functions.algebra import ARRAYS
 from prefero.functions.distributions import normal_cdf
 
 
+KINDS = ("bhhh", "hessian", "sandwich")
+
+
 def covariance(kind: str, outer: np.ndarray | None, hessian: np.ndarray | None) -> np.ndarray:
     """``bhhh``: inverse of the scores' outer product; ``hessian``: of the negative Hessian of the log-likelihood; ``sandwich``: both."""
     inverse = lambda x: np.linalg.pinv(np.asarray(x, float))
@@ -42,6 +45,10 @@ class Estimates:
     def se(self) -> np.ndarray:
         return np.full(len(self.theta), np.nan) if self.cov is None else np.sqrt(np.maximum(np.diag(self.cov), 0.0))
 
+    @property
+    def loglik_total(self) -> float:
+        return self.loglik * self.n
+
     @property
     def t(self) -> np.ndarray:
         return np.divide(self.theta, self.se, out=np.zeros(len(self.theta)), where=self.se > 0)

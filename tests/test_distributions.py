@@ -122,3 +122,34 @@ def test_rectangle_and_partial():
     inside = np.array([[0.1, 0.2]])
     assert mvn.truncated_mvn_cdf(up, low, up, cov)[0] == pytest.approx(1.0)
     assert mvn.truncated_mvn_density(inside, low, up, cov)[0] == pytest.approx(mvn.mvn_density(inside, cov)[0] / mvn.mvn_rectangle(low, up, cov, "me")[0])
+
+
+def test_mv_logistic_gradient_by_differences():
+    xs, e = [0.3, -0.4, 0.2, 0.6, -0.1], 1e-6
+    f = lambda v: dist.mv_logistic_mixed(*[[np.array([x]) for x in part] for part in (v[:2], v[2:3], v[3:])], ARRAYS)[0]
+    got = dist.mv_logistic_gradient(*[[np.array([x]) for x in part] for part in (xs[:2], xs[2:3], xs[3:])], ARRAYS)
+    for i in range(5):
+        up, down = ([x + s * e * (k == i) for k, x in enumerate(xs)] for s in (1, -1))
+        assert got[i][0] == pytest.approx((f(up) - f(down)) / (2 * e), abs=1e-8)
+
+
+def test_mvn_gradient_moments_and_order():
+    a, cov = np.array([[0.4, 0.7]]), np.array([[1.0, 0.5], [0.5, 2.0]])
+    by_limit, by_cov = mvn.mvn_cdf_gradient(a, cov)
+    np.testing.assert_allclose(by_limit[0, 0], mvn.partial_mvn(a[:, :1], a[:, 1:], cov)[0], atol=1e-6)
+    assert by_cov[0, 1] == pytest.approx(mvn.mvn_density(a, cov)[0], abs=1e-6)  # d P / d covariance is the density
+    mean, c = mvn.truncated_moments(np.array([[0.4, 40.0]]), np.zeros((1, 2)), cov)
+    exact_mean, exact_cov = mvn.truncated_pair(np.array([[0.4, 40.0]]), np.zeros((1, 2)), cov[None])
+    np.testing.assert_allclose(mean, exact_mean, atol=1e-6)
+    np.testing.assert_allclose(c, exact_cov, atol=1e-6)
+    assert mvn.greedy_order(np.array([1.0, -2.0, 0.5]), np.eye(3)).tolist() == [1, 2, 0]
+    np.testing.assert_allclose(mvn.log_mvn_cdf(a, cov), np.log(mvn.mvn_cdf(a, cov)))
+
+
+def test_student_skew_t_and_owen():
+    x = np.linspace(-3, 3, 13)
+    np.testing.assert_allclose(dist.student_cdf(x, 1.0), 0.5 + np.arctan(x) / np.pi, atol=1e-12)
+    np.testing.assert_allclose(dist.student_cdf(x, 2.0), 0.5 + x / (2 * np.sqrt(2 + x * x)), atol=1e-12)
+    z = np.linspace(-60, 60, 240_001)
+    assert np.trapezoid(dist.skew_t_pdf(z, 1.5, 5.0), z) == pytest.approx(1, abs=1e-5)
+    np.testing.assert_allclose(dist.normal_cdf(x, ARRAYS) - 2 * dist.owen_t(x, 1.5), dist.skew_normal_cdf(x, 1.5, ARRAYS), atol=1e-10)
