@@ -21,7 +21,7 @@ from prefero.functions.algebra import ARRAYS, COLUMNS, product, total
 from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, reader, scenarios_of
 from prefero.operators.spec import compile_spec
-from prefero.plans.estimates import Estimates, covariance
+from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood
 from prefero.plans.optim import minimize
 
@@ -99,7 +99,8 @@ class MDCEV:
     good's held at -1000), log scale; the scale is reported itself.
     """
 
-    def __init__(self, df: DataFrame, goods: Sequence[str], utility: Mapping, satiation: Mapping, prices: Sequence[str] | None = None, traditional: bool = True, weight: str | None = None, se: str = "bhhh") -> None:
+    def __init__(self, df: DataFrame, goods: Sequence[str], utility: Mapping, satiation: Mapping, prices: Sequence[str] | None = None, traditional: bool = True, weight: str | None = None, se: str = "bhhh", all_se: bool = False) -> None:
+        self.all_se = all_se
         self.df, self.goods, self.traditional, self.weight, self.se = df, list(goods), traditional, weight, se
         self.x, self.z = compile_spec(utility, goods, df.columns), compile_spec(satiation, goods, df.columns)
         self.prices = prices
@@ -144,15 +145,16 @@ class MDCEV:
             start = np.where(self._active(), 0.0, OUTSIDE)
             best = minimize(lik.objective, start, active=self._active(), iterations=iterations)
             n, ll, g, outer = lik.at(best.theta)
-            hessian = lik.hessian(best.theta) if self.se != "bhhh" else None
+            hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
         finally:
             lik.close()
         natural = best.theta.copy()
         natural[-1] = np.exp(natural[-1])
         slope = np.ones(len(natural))
         slope[-1] = natural[-1]  # from the log scale to the scale
-        cov = covariance(self.se, outer, hessian) * np.outer(slope, slope)
-        self.results = Estimates(self.names, natural, cov, ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, {"theta": best.theta})
+        of = lambda kind: covariance(kind, outer, hessian) * np.outer(slope, slope)
+        extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
+        self.results = Estimates(self.names, natural, of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
         return self.results
 
     def from_estimates(self, utility: Sequence[float], satiation: Sequence[float], sigma: float) -> Estimates:
@@ -204,6 +206,10 @@ class MDCEV:
         rates = self.participation(**kwargs).withColumn("rate", F.when(F.col("good") == self.goods[0], 1.0).otherwise(F.col("participation")))
         return rates.select("good", (F.col("rate") / F.sum("rate").over(_whole())).alias("rate"))
 
+    def predict_choice(self, **kwargs) -> DataFrame:
+        """The one good of the greatest participation rate; the outside good's is one, so ties go to it."""
+        return self.predict(**kwargs).orderBy(F.desc("rate"), F.array_position(F.array(*map(F.lit, self.goods)), F.col("good"))).limit(1)
+
     def ate(self, scenarios: Scenarios, **kwargs) -> DataFrame:
         """scenario, alternative, share: participation under the table as it is and under each scenario."""
         parts = [self.participation(overrides=o, **kwargs).select(F.lit(s).alias("scenario"), F.col("good").alias("alternative"), F.col("participation").alias("share")) for s, o in ({"baseline": {}} | scenarios_of(scenarios)).items()]

@@ -16,7 +16,7 @@ from prefero.kernels.mvn import mvn_cdf
 from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, reader, scenarios_of
 from prefero.operators.spec import choice_index, compile_spec
-from prefero.plans.estimates import Estimates, covariance
+from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
 
@@ -74,8 +74,9 @@ class MNP:
 
     def __init__(
         self, df: DataFrame, alternatives: Sequence[str], spec: Mapping, availability: Sequence[str] | None = None, structure: str = "iid",
-        random: Sequence[str] = (), correlated: bool = False, segments: int = 1, method: str = "ovus", se: str = "bhhh",
+        random: Sequence[str] = (), correlated: bool = False, segments: int = 1, method: str = "ovus", se: str = "bhhh", all_se: bool = False,
     ) -> None:
+        self.all_se = all_se
         if structure not in STRUCTURES:
             raise ValueError(f"no such structure: {structure!r}")
         self.df, self.alternatives, self.structure, self.segments, self.method, self.se = df, list(alternatives), structure, segments, method, se
@@ -193,11 +194,13 @@ class MNP:
         try:
             best = minimize(lik.objective, start, active=active, iterations=iterations)
             n, ll, g, outer = lik.at(best.theta)
-            hessian = lik.hessian(best.theta) if self.se != "bhhh" else None
+            hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
         finally:
             lik.close()
         slope = jacobian(self.natural, best.theta)
-        self.results = Estimates(self.names, self.natural(best.theta), slope.T @ covariance(self.se, outer, hessian) @ slope, ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, {"theta": best.theta})
+        of = lambda kind: slope.T @ covariance(kind, outer, hessian) @ slope
+        extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
+        self.results = Estimates(self.names, self.natural(best.theta), of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
         return self.results
 
     def from_estimates(self, beta: Sequence[float], kernel: np.ndarray | None = None, theta_rest: Sequence[float] = ()) -> Estimates:

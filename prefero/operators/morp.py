@@ -17,7 +17,7 @@ from prefero.kernels.mvn import mvn_rectangle
 from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, reader, scenarios_of
 from prefero.operators.spec import compile_spec, rebased
-from prefero.plans.estimates import Estimates, covariance
+from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
 
@@ -52,7 +52,8 @@ class MORP:
     given and is kept for later tables.
     """
 
-    def __init__(self, df: DataFrame, outcomes: Sequence[str], spec: Mapping[str, Mapping[str, object]], structure: str = "iid", fix_scales: bool = True, method: str = "ovus", se: str = "bhhh") -> None:
+    def __init__(self, df: DataFrame, outcomes: Sequence[str], spec: Mapping[str, Mapping[str, object]], structure: str = "iid", fix_scales: bool = True, method: str = "ovus", se: str = "bhhh", all_se: bool = False) -> None:
+        self.all_se = all_se
         if structure not in STRUCTURES:
             raise ValueError(f"no such structure: {structure!r}")
         self.df, self.outcomes, self.structure, self.fix_scales, self.method, self.se = df, list(outcomes), structure, fix_scales, method, se
@@ -135,7 +136,7 @@ class MORP:
         try:
             best = minimize(lik.objective, self._start(), iterations=iterations)
             n, ll, g, outer = lik.at(best.theta)
-            hessian = lik.hessian(best.theta) if self.se != "bhhh" else None
+            hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
             if self.structure == "full" and 2 < d <= 4:  # the report is of the exact probability at the optimum
                 approximate, self.method = self.method, "exact"
                 exact = Likelihood(lik.rows, self._kernel(d, v), len(self.names))
@@ -144,7 +145,9 @@ class MORP:
         finally:
             lik.close()
         slope = jacobian(self.natural, best.theta)
-        self.results = Estimates(self.names, self.natural(best.theta), slope.T @ covariance(self.se, outer, hessian) @ slope, ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, {"theta": best.theta})
+        of = lambda kind: slope.T @ covariance(kind, outer, hessian) @ slope
+        extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
+        self.results = Estimates(self.names, self.natural(best.theta), of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
         return self.results
 
     def _plain(self) -> MORP:

@@ -119,10 +119,12 @@ ORD = {"a": {"y1": "x1"}, "b": {"y2": "x2"}}
 
 @pytest.mark.parametrize("structure", ["iid", "full"])
 def test_morp_fit(spark, structure):
-    m = MORP(spark.createDataFrame(ordinal()), ["y1", "y2"], ORD, structure=structure)
+    m = MORP(spark.createDataFrame(ordinal()), ["y1", "y2"], ORD, structure=structure, all_se=True)
     r = m.fit(40)
     truth = [0.5, -0.3, -0.5, 0.5, -0.3, 0.7] + ([0.3] if structure == "full" else [])
     assert abs(r.theta - truth).max() < 0.35 and (r.se > 0).all()
+    assert {k: v.shape for k, v in r.extra["cov"].items()} == {k: (len(truth),) * 2 for k in ("bhhh", "hessian", "sandwich")}
+    np.testing.assert_allclose(np.sqrt(np.diag(r.extra["cov"]["hessian"])), r.se, rtol=0.5)
     again = MORP(spark.createDataFrame(ordinal()), ["y1", "y2"], ORD, structure=structure)
     again.from_estimates(r.theta[:2], [r.theta[2:4], r.theta[4:6]], None if structure == "iid" else np.array([[1, r.theta[6]], [r.theta[6], 1]]))
     np.testing.assert_allclose(again.results.extra["theta"], r.extra["theta"], atol=1e-9)
