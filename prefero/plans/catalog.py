@@ -435,6 +435,29 @@ def mnp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).fit(25).to_dataframe(spark)
 
 
+STATES = ("AF", "NF", "NO", "RF")
+
+
+@_query()
+def mnp_four_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four alternatives with free covariance: trivariate probabilities by the batch kernel."""
+    li = _table(spark, sf_dir, "lineitem")
+    state = F.concat("l_returnflag", "l_linestatus")
+    df = li.select(*[(state == s).cast("int").alias(s) for s in STATES], (F.col("l_quantity") / 50.0).alias("quantity"), F.col("l_discount").alias("discount"))
+    model = MNP(df, STATES, {"asc_nf": {"NF": "uno"}, "asc_no": {"NO": "uno"}, "quantity": {"AF": "quantity", "RF": "discount"}}, structure="full")
+    model.from_estimates((-0.4, 0.3, 0.5), np.array([[1.0, 0.4, 0.3], [0.4, 1.2, 0.5], [0.3, 0.5, 0.9]]))
+    return _rounded(model.ate({"no_discount": {"discount": 0.0}}), "share")
+
+
+@_query()
+def morp_three_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint probabilities of three correlated answers."""
+    df = _labels(spark, sf_dir).withColumn("long", (F.col("length") > 0.75).cast("int"))
+    model = MORP(df, ["quality", "toxic", "long"], {"b": {"quality": "length", "toxic": "length"}}, structure="full")
+    model.from_estimates((0.3,), [(-1.0,), (1.1,), (0.2,)], np.array([[1.0, -0.3, 0.2], [-0.3, 1.0, 0.1], [0.2, 0.1, 1.0]]), lowest=[0, 0, 0])
+    return _rounded(model.joint(), "probability")
+
+
 # --- functions of rows ----------------------------------------------------------------------------
 
 _ROW = "l_orderkey, l_linenumber"
