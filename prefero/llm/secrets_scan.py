@@ -11,7 +11,6 @@ rows repeat their spans; extra columns pass through.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,28 +94,27 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
 
     ``n_chars``, where there is one, follows the new text; texts without secrets stay as they are.
     """
+
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, s, mark) for t, s in zip(texts, spans, strict=True)], dtype="object")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(rules)
+        for texts in batches:
+            clean: list = []
+            for block in blocks("" if t is None else t for t in texts):
+                clean += [_cut(t, s, mark) if s else None for t, s in zip(block, scanner.scan(block), strict=True)]
+            yield pd.Series(clean, dtype="object")
 
-    found = with_secret_spans(docs, rules, "_secret_spans")
-    found = found.withColumn("text", F.when(F.size("_secret_spans") > 0, cut("text", "_secret_spans")).otherwise(F.col("text")))
+    found = docs.withColumn("_redacted", cut(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.size("_secret_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.drop("_secret_spans")
+        found = found.withColumn("n_chars", F.coalesce(F.length("_redacted").cast(kind), F.col("n_chars")))
+    return found.withColumn("text", F.coalesce("_redacted", "text")).drop("_redacted")
 
 
-def _cut(text: str | None, spans: Iterator | None, mark: str) -> str | None:
-    if text is None or spans is None or not len(spans):
-        return text
+def _cut(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     out, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            out += [text[at : s["start"]], mark]
-        at = max(at, s["end"])
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
     return "".join([*out, text[at:]])
-
-
-def spans_sha256(joined: str) -> str:
-    return hashlib.sha256(joined.encode()).hexdigest()
