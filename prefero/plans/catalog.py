@@ -219,7 +219,7 @@ def choice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", choice_index(PRIORITIES).alias("choice"))
 
 
-@_query(f"WITH {_ORDERS_SQL} SELECT o_orderkey, round(0.2, 6) AS u_high, round(0.04 * month + 0.333333 * price, 6) AS u_low FROM o")
+@_query(f"WITH {_ORDERS_SQL} SELECT o_orderkey, round(0.2::DOUBLE, 6) AS u_high, round(0.04 * month + 0.333333 * price, 6) AS u_low FROM o")
 def spec_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix specification, compiled."""
     df = _orders(spark, sf_dir)

@@ -55,7 +55,9 @@ def same_rows(a, b, tolerance=1e-9):
     assert len(a) == len(b)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
     for c in cols:
-        if a[c].dtype == object or b[c].dtype == object or "date" in str(b[c].dtype):
+        if str(a[c].dtype) == "bool":
+            assert a[c].tolist() == b[c].tolist(), c
+        elif a[c].dtype == object or b[c].dtype == object or "date" in str(b[c].dtype):
             left, right = (["" if v is None or v != v else str(v)[:10] if "date" in str(type(v)).lower() or "timestamp" in str(type(v)).lower() else str(v) for v in x[c]] for x in (a, b))
             assert left == right, c
         else:
