@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
-from prefero.llm.common import crc_mod, id_text, table
+from prefero.llm.common import LOWER, UPPER, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
 TOKEN_LIMIT = 2048
@@ -144,6 +144,26 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 """
 
 
+def _op4_sql() -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {words} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS run
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS run
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), m AS (SELECT r, s, n, item FROM dw JOIN iw USING (n, run)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
 def _op2_sql() -> str:
     values = ", ".join(f"('{e}', '{k}', '{a}', DATE '{d}', {str(on).lower()})" for e, k, a, d, on in URL_LIST)
     return rf"""
@@ -167,4 +187,4 @@ FROM p LEFT JOIN m ON m.n = 1 AND p.page_id IS NOT DISTINCT FROM m.page_id AND p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql()}
