@@ -123,7 +123,7 @@ def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 def _pack(x: np.ndarray) -> bytes:
     """Bytes of an array, plane by plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 3)
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
@@ -212,29 +212,34 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "range", "counts"])
 
 
+#: Columns of assembled chunks: whose texts they are, tokens of each, and packed counts of every token's word and bigram.
+ASSEMBLED = "ids array<string>, parts array<int>, sizes array<int>, word binary, pair binary, word_learn binary, pair_learn binary"
+
+
 def _assembled(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """For each text of a chunk the counts of its tokens; for the whole corpus one row of totals."""
-    none = {"doc_id": [], "part": [], "word": [], "pair": [], "word_learn": [], "pair_learn": []}
+    """A chunk's tokens with the counts of their words and bigrams; for the whole corpus one row of totals.
+
+    The counts over the learning part alone are kept for texts held aside.
+    """
+    columns = [c.split()[0] for c in ASSEMBLED.split(", ")]
     if not len(answers):
-        return pd.DataFrame(none)
+        return pd.DataFrame({c: [] for c in columns})
     if answers["chunk"].iat[0] == WHOLE:
         stats = sum(_unpack(c, np.int64) for c in answers["counts"])
-        return pd.DataFrame({"doc_id": [None], "part": [WHOLE], "word": [stats.tobytes()], "pair": [None], "word_learn": [None], "pair_learn": [None]})
+        return pd.DataFrame([([None], [WHOLE], [0], stats.tobytes(), None, None, None)], columns=columns)
     counts = np.concatenate([_unpack(c, np.int32) for c in answers.sort_values("range")["counts"]]).reshape(-1, 2)
     row = next(chunks.itertuples())
     grams, parts = _grams_of(row)
+    sizes = np.diff(grams.ends, prepend=0)
+    aside = np.repeat(parts, sizes) == ASIDE
     both = counts.sum(axis=1).astype(np.int32)
-    out, a = [], 0
-    for i, part, b in zip(row.ids, parts, grams.ends, strict=True):
-        w, p = grams.word_at[a:b], grams.pair_at[a:b]
-        aside = (_pack(counts[w, 0].copy()), _pack(counts[p, 0].copy())) if part == ASIDE else (None, None)
-        out.append((i, int(part), _pack(both[w]), _pack(both[p]), *aside))
-        a = b
-    return pd.DataFrame(out, columns=list(none))
+    learn = np.ascontiguousarray(counts[:, 0])
+    packed = [_pack(x) for x in (both[grams.word_at], both[grams.pair_at], learn[grams.word_at[aside]], learn[grams.pair_at[aside]])]
+    return pd.DataFrame([(list(row.ids), parts.tolist(), sizes.tolist(), *packed)], columns=columns)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id (as text), part, word, pair, ...: packed counts of every token's word and bigram, staged.
+    """Chunks of texts with packed counts of every token's word and bigram (see ASSEMBLED), staged.
 
     ``docs`` has doc_id, text and part: LEARN, ASIDE (learned from, but held aside for
     the mixture's weights) or 0.
@@ -245,20 +250,25 @@ def token_counts(docs: DataFrame) -> DataFrame:
     chunks = staged(whole.mapInPandas(_chunk_task, "chunk long, ids array<string>, parts array<int>, sizes array<int>, texts binary"), "chunks")
     asked = chunks.mapInPandas(_asking(ranges), "range long, chunk long, keys binary, counts binary")
     answers = asked.groupBy("range").applyInPandas(_answer, "chunk long, range long, counts binary")
-    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_assembled, "doc_id string, part int, word binary, pair binary, word_learn binary, pair_learn binary")
+    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_assembled, ASSEMBLED)
     return staged(rows, "token-counts")
 
 
-def _estimates(word: np.ndarray, pair: np.ndarray, total: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, bigram and word estimates of each token, from the counts of its word and bigram; ``texts``: c(start)."""
-    context = np.concatenate([[texts], word[:-1]]).astype(float)
+def _estimates(word: np.ndarray, pair: np.ndarray, starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, bigram and word estimates of each token, from the counts of its word and bigram; ``starts``: where texts begin."""
+    context = np.concatenate([[0], word[:-1]]).astype(float)
+    context[starts] = word[-1]  # each text has one start, as it has one end
     bucket = np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(int) + 1, BUCKETS - 1), 0)
     return bucket, np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0), word / max(total, 1)
 
 
-def _ratio_cells(word: np.ndarray, pair: np.ndarray, total: int, distinct: int) -> np.ndarray:
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _ratio_cells(word: np.ndarray, pair: np.ndarray, starts: np.ndarray, total: int, distinct: int) -> np.ndarray:
     """Each token's cell: bucket and rounded log-ratios of its estimates to the uniform one."""
-    bucket, p2, p1 = _estimates(word, pair, total, distinct, int(word[-1]))
+    bucket, p2, p1 = _estimates(word, pair, starts, total)
     uniform = 1 / (distinct + 1)
     level = lambda p: np.where(p > 0, np.clip(np.round(np.log(np.maximum(p, 1e-300) / uniform) / STEP).astype(np.int64) + 500, 1, 999), 0)
     return (bucket * 1000 + level(p2)) * 1000 + level(p1)
@@ -267,10 +277,11 @@ def _ratio_cells(word: np.ndarray, pair: np.ndarray, total: int, distinct: int)
 def _cells(total: int, distinct: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            cells = [_ratio_cells(_unpack(w, np.int32), _unpack(p, np.int32), total, distinct) for w, p in zip(rows["word_learn"], rows["pair_learn"], strict=True)]
-            if cells:
-                found, n = np.unique(np.concatenate(cells), return_counts=True)
-                yield pd.DataFrame({"cell": found, "n": n})
+            for row in rows.itertuples():
+                sizes = np.array(row.sizes)[np.array(row.parts) == ASIDE]
+                if len(sizes):
+                    found, n = np.unique(_ratio_cells(_unpack(row.word_learn, np.int32), _unpack(row.pair_learn, np.int32), _starts(sizes), total, distinct), return_counts=True)
+                    yield pd.DataFrame({"cell": found, "n": n})
 
     return run
 
@@ -295,15 +306,24 @@ def mixture_weights(cells: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> n
 def _texts_scored(total: int, distinct: int, weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for i, part, w, p in zip(rows["doc_id"], rows["part"], rows["word"], rows["pair"], strict=True):
-                word, pair = _unpack(w, np.int32), _unpack(p, np.int32)
-                bucket, p2, p1 = _estimates(word, pair, total, distinct, int(word[-1]))
+            for row in rows.itertuples():
+                word, pair, sizes = _unpack(row.word, np.int32), _unpack(row.pair, np.int32), np.array(row.sizes)
+                starts = _starts(sizes)
+                bucket, p2, p1 = _estimates(word, pair, starts, total)
                 mix = weights[bucket]
                 mixed = mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (distinct + 1) if total else np.ones(len(word))
-                base = np.log10((word + 1.0) / (total + (distinct + 1.0))).sum()
-                out.append((i, part, len(word), int((word > 0).sum()), total, float(base), float(np.log10(mixed).sum())))
-            yield pd.DataFrame(out, columns=["doc_id", "part", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                per_text = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pd.Series(row.ids, dtype="object"),
+                        "part": row.parts,
+                        "n_tokens": sizes,
+                        "n_known": per_text((word > 0).astype(np.int64)),
+                        "train_tokens": total,
+                        "base_score": per_text(np.log10((word + 1.0) / (total + (distinct + 1.0)))),
+                        "score": per_text(np.log10(mixed)),
+                    }
+                )
 
     return run
 
@@ -311,13 +331,14 @@ def _texts_scored(total: int, distinct: int, weights: np.ndarray):
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, part, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (see ``token_counts``)."""
     rows = token_counts(docs)
-    totals = rows.where(F.col("part") == WHOLE).select("word").collect()  # one row
+    is_whole = F.get("parts", F.lit(0)) == WHOLE
+    totals = rows.where(is_whole).select("word").collect()  # one row
     learn_total, total, learn_distinct, distinct = map(int, np.frombuffer(totals[0]["word"], np.int64)) if totals else (0, 0, 0, 0)
-    texts = rows.where(F.col("part") != WHOLE)
-    cells = texts.where(F.col("part") == ASIDE).select("word_learn", "pair_learn").mapInPandas(_cells(learn_total, learn_distinct), "cell long, n long")
+    texts = rows.where(~is_whole)
+    cells = texts.select("parts", "sizes", "word_learn", "pair_learn").mapInPandas(_cells(learn_total, learn_distinct), "cell long, n long")
     table = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")  # as many rows as cells are in use
     weights = mixture_weights(table["cell"].to_numpy(np.int64), table["n"].to_numpy(float))
-    found = texts.select("doc_id", "part", "word", "pair").mapInPandas(
+    found = texts.select("ids", "parts", "sizes", "word", "pair").mapInPandas(
         _texts_scored(total, distinct, weights), "doc_id string, part int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
