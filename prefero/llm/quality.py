@@ -41,7 +41,7 @@ class _Entries(dict):
     """Token to vocabulary entry; starts anew when it holds many tokens."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if token.isdecimal():
             entry = NUMBER

@@ -27,7 +27,7 @@ LATIN_END = 0x24F
 #: Pre-tokens remembered by a worker before the table starts anew.
 REMEMBERED = 500_000
 #: Characters of text handled together.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 def _latin_class(kind: str) -> str:
