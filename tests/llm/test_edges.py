@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,23 @@ def test_language(odd, none):
 def test_hashes_match_spark(spark):
     assert spark.range(20).selectExpr("id", "crc32(cast(id as string)) c").where("id is not null").collect() == [(i, zlib.crc32(str(i).encode())) for i in range(20)]
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2('', 256)").first()[0]
+
+
+def test_near_duplicates_by_scattered_edits(spark):
+    """Every pair of short texts at similarity 0.8 is found, and all but a few of longer ones with edits at random places."""
+    rng = np.random.default_rng(11)
+    word = lambda n: ["w" + str(x) for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for n in [*range(5, 61), *[60, 100, 200, 300, 600] * 20]:
+        a = word(n)
+        b = a.copy()
+        # of short texts, each kind of edit as far apart as it can be, or in the middle; of longer ones, at random
+        places = [n // 2] if n < 10 else range(4, 5 * (n // 5), 5) if n <= 34 else sorted(rng.choice(n, n // 5, replace=False))
+        for i in list(places)[::-1]:
+            b[i : i + 1] = [] if n % 2 else word(1)
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_size"] for r in order_minhash.with_classes(df).collect()}
+    short = {i for i, t in rows if len(t.split()) <= 34}
+    assert all(got[i] == 2 for i in short)
+    assert sum(n == 2 for n in got.values()) >= 0.99 * len(rows) and max(got.values()) == 2
