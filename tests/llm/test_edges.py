@@ -173,3 +173,11 @@ def test_near_duplicates_by_scattered_edits(spark):
     short = {i for i, t in rows if len(t.split()) <= 34}
     assert all(got[i] == 2 for i in short)
     assert sum(n == 2 for n in got.values()) >= 0.99 * len(rows) and max(got.values()) == 2
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """One id on several different texts loses none of them; near copies without id are one class."""
+    text = lambda s: " ".join(f"{s}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (1, text("c")), (2, text("c") + " more"), (None, text("d")), (None, text("d") + " more")]
+    kept = [r["text"] for r in order_minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and {text("a"), text("b"), text("c")} < set(kept) and sum(t.startswith("d0 ") for t in kept) == 1
