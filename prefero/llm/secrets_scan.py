@@ -42,9 +42,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: What may stand between the lines of a key: line ends, also escaped as in JSON, or missing; quotes, indents, marks.
+BETWEEN = r"(?:[\s\x22'>#|*,;]|\\+[nrt])"
+#: A private key: header to END line or, where that is missing, fields such as Proc-Type and base64 as far as it goes.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN|-----END)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{BETWEEN}+[A-Z][A-Za-z]*-[A-Za-z-]+:[^\r\n\\]*)*"
+    rf"(?:{BETWEEN}*(?:[A-Za-z0-9+/=]{{16,}}|[A-Za-z0-9+/=]+(?=[\x20\t]*(?:[\r\n\x22'<\\]|\Z))))*)"
+)
 #: Further kinds that the scan adds to the base ones.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{30,}"),
     Rule("bearer", r"Bearer [A-Za-z0-9+/_.=-]{20,}"),

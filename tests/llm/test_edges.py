@@ -181,3 +181,15 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     rows = [(1, text("a")), (1, text("b")), (1, text("c")), (2, text("c") + " more"), (None, text("d")), (None, text("d") + " more")]
     kept = [r["text"] for r in order_minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(kept) == 4 and {text("a"), text("b"), text("c")} < set(kept) and sum(t.startswith("d0 ") for t in kept) == 1
+
+
+def test_private_keys_go_whole(spark):
+    """No part of a key's body stays, with or without its END line."""
+    lines = [hashlib.sha512(bytes([i])).hexdigest().upper()[:64] for i in range(12)] + ["Zm9vYmFy="]
+    rows = []
+    for sep in ("\n", "\r\n", "\\n", "\n> "):
+        for end in (sep + "-----END RSA PRIVATE KEY-----", ""):
+            for fields in ("", f"{sep}Proc-Type: 4,ENCRYPTED{sep}DEK-Info: AES-128-CBC,AB12"):
+                rows.append((len(rows), "see -----BEGIN RSA PRIVATE KEY-----" + fields + sep + sep.join(lines) + end + "\nThe rest, as it was."))
+    got = secrets_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["text"] for r in got} == {"see [secret]\nThe rest, as it was."}
