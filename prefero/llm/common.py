@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word for sizes and language-model tokens: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What separates such words.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a small derived table is broadcast; beyond it a shuffle join runs.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a measured table is broadcast; beyond it a shuffle join runs.
+BROADCAST_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none, the warehouse folder (shared by definition) is used.
+    Where none is named, a session in one process uses its warehouse folder; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
@@ -34,17 +36,46 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, keeps the result if executors are lost, and freezes what
-    an upstream plan might otherwise compute differently the second time.
+    an upstream plan might otherwise compute differently the second time.  The
+    folder goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prefero-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _cell_bytes(cell: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(cell), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.aggregate(F.coalesce(cell, F.array().cast(kind)), F.lit(24).cast("long"), lambda n, x: n + _cell_bytes(x, kind.elementType))
+        return F.greatest(F.size(cell), F.lit(0)).cast("long") * 8 + 24
+    if isinstance(kind, T.StructType):
+        return sum((_cell_bytes(cell[f.name], f.dataType) for f in kind), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows as Spark holds them, about."""
+    return df.agg(F.sum(sum((_cell_bytes(df[f.name], f.dataType) for f in df.schema), F.lit(16).cast("long")))).collect()[0][0] or 0
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a staged table) marked for broadcast if its measured size is small, else as it is."""
+    return F.broadcast(df) if measured_bytes(df) <= most else df
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no column of ``frames`` has it in either case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(col: Column) -> Column:
@@ -79,8 +110,3 @@ def crc_mod(col: str, n: int) -> Column:
     """crc32 of an id's text modulo n: the split of rows into folds."""
     return F.crc32(id_text(col)) % n
 
-
-def crc_mod_py(value: object, n: int) -> int:
-    """``crc_mod`` for one value, as Python tasks need it."""
-    text = "null" if value is None else str(value)
-    return zlib.crc32(text.encode()) % n

@@ -156,23 +156,53 @@ def test_hashes_match_spark(spark):
 
 
 def test_near_duplicates_by_scattered_edits(spark):
-    """Every pair of short texts at similarity 0.8 is found, and all but a few of longer ones with edits at random places."""
+    """Every pair of short texts at similarity 0.8 is found; of longer ones, with edits at random places, as many as five-word k-mers promise."""
     rng = np.random.default_rng(11)
     word = lambda n: ["w" + str(x) for x in rng.integers(0, 10**9, n)]
-    rows = []
-    for n in [*range(5, 61), *[60, 100, 200, 300, 600] * 20]:
+    rows, share = [], {}
+    for n, s in [*((n, 0.8) for n in range(5, 61)), *[(n, s) for n in (60, 100, 200, 300, 600) for s in (0.8, 0.85, 0.9)] * 20]:
         a = word(n)
         b = a.copy()
         # of short texts, each kind of edit as far apart as it can be, or in the middle; of longer ones, at random
-        places = [n // 2] if n < 10 else range(4, 5 * (n // 5), 5) if n <= 34 else sorted(rng.choice(n, n // 5, replace=False))
+        places = [n // 2] if n < 10 else range(4, 5 * (n // 5), 5) if n <= 34 else sorted(rng.choice(n, int(n * (1 - s) + 1e-9), replace=False))
         for i in list(places)[::-1]:
             b[i : i + 1] = [] if n % 2 else word(1)
+        share[len(rows)] = s if n >= 60 else None
         rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_size"] for r in order_minhash.with_classes(df).collect()}
     short = {i for i, t in rows if len(t.split()) <= 34}
-    assert all(got[i] == 2 for i in short)
-    assert sum(n == 2 for n in got.values()) >= 0.99 * len(rows) and max(got.values()) == 2
+    assert all(got[i] == 2 for i in short) and max(got.values()) == 2
+    for s, least in ((0.8, 0.85), (0.85, 0.98), (0.9, 1.0)):
+        of = [got[i] == 2 for i, x in share.items() if x == s]
+        assert len(of) >= 100 and np.mean(of) >= least, s
+
+
+def test_near_duplicates_of_a_crowd(spark, monkeypatch):
+    """Texts that share a passage but are no links: pairs compared grow with the texts, and links among them are found."""
+    compared = {}
+    links = order_minhash._links
+    for n in (100, 400):
+        rng = np.random.default_rng(n)
+        word = lambda k: ["w" + str(x) for x in rng.integers(0, 10**9, k)]  # noqa: B023, E731
+        shared, rows = word(60), []
+        for _ in range(n):
+            own = word(25)
+            rows.append((len(rows), " ".join(shared + own)))
+            if len(rows) % 10 == 0:  # a link within the crowd
+                own[3:5] = word(2)
+                rows.append((len(rows), " ".join(shared + own)))
+        compared[n] = 0
+
+        def counted(pairs, texts, n=n):
+            compared[n] += pairs.count()
+            return links(pairs, texts)
+
+        monkeypatch.setattr(order_minhash, "_links", counted)
+        got = [r["class_size"] for r in order_minhash.with_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        twins = len(rows) - n
+        assert sum(x == 2 for x in got) >= 0.95 * 2 * twins and max(got) == 2
+    assert compared[400] <= 4.5 * compared[100]
 
 
 def test_near_duplicates_with_repeated_and_null_ids(spark):

@@ -185,7 +185,7 @@ def test_op8_brute_force(spark, sf_dir, docs):
 
 
 def test_op8_hot_buckets(spark):
-    """Many texts that share a passage but are otherwise apart, and a chain of edits among them, by blocks."""
+    """Many texts that share a passage but are otherwise apart, and a chain of edits among them."""
     rng = np.random.default_rng(4)
     word = lambda n: " ".join("w" + str(x) for x in rng.integers(0, 10**6, n))
     shared = word(60)
@@ -196,12 +196,7 @@ def test_op8_hot_buckets(spark):
         base[60 + 9 * k : 69 + 9 * k] = word(9).split()
         texts.append(" ".join(base))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    before = order_minhash.PAIRS
-    order_minhash.PAIRS = 64
-    try:
-        got = {r["doc_id"]: r["class_id"] for r in order_minhash.with_classes(df).collect()}
-    finally:
-        order_minhash.PAIRS = before
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.with_classes(df).collect()}
     assert got == {i: (140 if i >= 140 else i) for i in range(144)}
 
 
