@@ -135,11 +135,11 @@ def test_op7_footrule_and_files():
     """The files give the footrule of whole lists, and a query reads its own pivots' files alone."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8))
-    pivots = x[:40] / np.linalg.norm(x[:40], axis=1, keepdims=True)
+    pivots = x[:80] / np.linalg.norm(x[:80], axis=1, keepdims=True)
     listed = permutation_index.LISTED
     order = permutation_index.nearest_pivots(x, pivots)
-    files = permutation_index.InvertedFiles(order, 40)
-    ranks = np.full((300, 40), listed)
+    files = permutation_index.InvertedFiles(order, 80)
+    ranks = np.full((300, 80), listed)
     np.put_along_axis(ranks, order, np.arange(order.shape[1])[None], 1)
     for q in (0, 7, 150):
         footrule = np.abs(ranks - ranks[q]).sum(axis=1)
