@@ -9,7 +9,9 @@ extended: the spans around a matching k-gram are compared word by word.
 An item of fewer than ``span`` words is one span itself; its whole is looked for
 among all runs of as many words.  Null texts and texts without words have no
 spans.  Equal texts are examined once.  A null item id is listed as ``null``;
-repeated items count once.  Extra columns play no part.
+repeated items count once.  Whole texts of any length are searched; repeated rows are marked
+each.  Without documents or items nothing is marked.  Extra columns pass through, whatever their
+names, and one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefero.llm.common import ascii_lower, id_text, parts_between, small_side, staged
+from prefero.llm.common import ascii_lower, id_text, parts_between, small_side, staged, unused
 
 #: What separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,7 +69,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     """key, hits, items: for each text that shares a span, the places (from 1) of its hit words and the items' ids, sorted.
 
     ``key`` is ``text_key`` of the text.  The benchmark's fingerprints are broadcast
-    if a count proves them few, and join by shuffle otherwise.
+    if their measured size is small, and join by shuffle otherwise.
     """
     items = staged(_items(benchmark), "items")
     lengths = [r[0] for r in items.where(F.size("words") < span).select(F.size("words").alias("n")).distinct().orderBy("n").collect()]  # below span
@@ -114,11 +116,13 @@ def _short_starts(words: Column, length: int, fps: Column) -> Column:
 def with_contamination(docs: DataFrame, benchmark: DataFrame, out: str = "leak") -> DataFrame:
     """``docs`` with a struct (hits, items), null for texts that share nothing; extra columns pass through."""
     found = small_side(staged(contamination(docs, benchmark), "contamination"))
-    found = found.select(F.col("key").alias("_leak_key"), F.struct("hits", "items").alias(out))
     kept = docs.drop(out)
-    return kept.join(found, text_key(kept["text"]) == found["_leak_key"], "left").drop("_leak_key")
+    of = unused("_leak_key", kept)
+    found = found.select(F.col("key").alias(of), F.struct("hits", "items").alias(out))
+    return kept.join(found, text_key(kept["text"]) == found[of], "left").drop(of)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Only the documents that share no span with any item."""
-    return with_contamination(docs, benchmark, "_leak").where(F.col("_leak").isNull()).drop("_leak")
+    leak = unused("_leak", docs)
+    return with_contamination(docs, benchmark, leak).where(F.col(leak).isNull()).drop(leak)

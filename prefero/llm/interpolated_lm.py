@@ -20,7 +20,7 @@ of their tokens, which is all that the mixing and the scores need.
 Texts are lower-cased (A-Z); tokens are words and one end per text.  Null and
 empty texts are the end alone.  If nothing is learned, N and V are 0 and every
 token has the uniform probability 1.  Rows repeat as they come; extra columns
-are dropped.  Keys have 56 bits, so unequal n-grams meet in a key with a chance
+are dropped; an empty table gives an empty result.  Totals are 64-bit numbers.  Keys have 56 bits, so unequal n-grams meet in a key with a chance
 of one in 7e16 per pair.
 """
 
@@ -206,7 +206,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     stats = np.array([words[:, 0].sum(), words.sum(), (words[:, 0] > 0).sum(), (words.sum(axis=1) > 0).sum()], np.int64)
     out, a = [], 0
     for chunk, k in zip(rows["chunk"], keys, strict=True):
-        out.append((chunk, rows["range"].iat[0], _pack(total[at[a : a + len(k)]].astype(np.int32).ravel())))
+        out.append((chunk, rows["range"].iat[0], _pack(total[at[a : a + len(k)]].ravel())))
         a += len(k)
     out.append((WHOLE, rows["range"].iat[0], _pack(stats)))
     return pd.DataFrame(out, columns=["chunk", "range", "counts"])
@@ -227,12 +227,12 @@ def _assembled(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     if answers["chunk"].iat[0] == WHOLE:
         stats = sum(_unpack(c, np.int64) for c in answers["counts"])
         return pd.DataFrame([([None], [WHOLE], [0], stats.tobytes(), None, None, None)], columns=columns)
-    counts = np.concatenate([_unpack(c, np.int32) for c in answers.sort_values("range")["counts"]]).reshape(-1, 2)
+    counts = np.concatenate([_unpack(c, np.int64) for c in answers.sort_values("range")["counts"]]).reshape(-1, 2)
     row = next(chunks.itertuples())
     grams, parts = _grams_of(row)
     sizes = np.diff(grams.ends, prepend=0)
     aside = np.repeat(parts, sizes) == ASIDE
-    both = counts.sum(axis=1).astype(np.int32)
+    both = counts.sum(axis=1)
     learn = np.ascontiguousarray(counts[:, 0])
     packed = [_pack(x) for x in (both[grams.word_at], both[grams.pair_at], learn[grams.word_at[aside]], learn[grams.pair_at[aside]])]
     return pd.DataFrame([(list(row.ids), parts.tolist(), sizes.tolist(), *packed)], columns=columns)
@@ -280,7 +280,7 @@ def _cells(total: int, distinct: int):
             for row in rows.itertuples():
                 sizes = np.array(row.sizes)[np.array(row.parts) == ASIDE]
                 if len(sizes):
-                    found, n = np.unique(_ratio_cells(_unpack(row.word_learn, np.int32), _unpack(row.pair_learn, np.int32), _starts(sizes), total, distinct), return_counts=True)
+                    found, n = np.unique(_ratio_cells(_unpack(row.word_learn, np.int64), _unpack(row.pair_learn, np.int64), _starts(sizes), total, distinct), return_counts=True)
                     yield pd.DataFrame({"cell": found, "n": n})
 
     return run
@@ -307,7 +307,7 @@ def _texts_scored(total: int, distinct: int, weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row in rows.itertuples():
-                word, pair, sizes = _unpack(row.word, np.int32), _unpack(row.pair, np.int32), np.array(row.sizes)
+                word, pair, sizes = _unpack(row.word, np.int64), _unpack(row.pair, np.int64), np.array(row.sizes)
                 starts = _starts(sizes)
                 bucket, p2, p1 = _estimates(word, pair, starts, total)
                 mix = weights[bucket]

@@ -5,13 +5,18 @@ words padded by a space) over all its learning texts.  A document's own most
 frequent n-grams are compared to each profile by out-of-place distance: the
 sum of rank differences, the profile's length for an n-gram it lacks.
 
-Texts that are null or hold no letter are ``und`` with score 0, and so is every
-text if nothing could be learned.  Ties go to the language first by code point.
+Texts that are null or hold no letter (of Unicode's letter categories; numbers such as
+the superscript two are none) are ``und`` with score 0, and so is every
+text if nothing could be learned.  Ties go to the language first by code point, ties
+between n-grams to the smaller number.  Whole texts are read, however long.  Repeated
+rows count, and are answered, each; an empty table gives an empty result; other
+columns pass through, and one named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +31,11 @@ from prefero.llm.token_counts import blocks
 #: N-grams in a profile.
 PROFILE = 300
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+#: What Python counts as part of a word though it is no letter: numbers that are no decimal digits.
+NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORDS = re.compile(rf"[^\W\d_{NO_LETTERS}]+")
+#: N-grams that a task counts before it hands them on.
+HELD = 500_000
 #: Bits of one code point in an n-gram's number.
 BITS = 21
 
@@ -81,6 +90,10 @@ def document_ranks(text: str) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")][:PROFILE]
 
 
+def _as_rows(lang: str, counts: dict[int, int]) -> pd.DataFrame:
+    return pd.DataFrame({"lang": lang, "gram": np.fromiter(counts.keys(), np.int64, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
+
+
 def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     for rows in batches:
@@ -93,8 +106,10 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     mine = held[lang]
                     for c, n in zip(*map(np.ndarray.tolist, gram_counts(words)), strict=True):
                         mine[c] += n
+                    if len(mine) > HELD:
+                        yield _as_rows(lang, held.pop(lang))
     for lang, mine in held.items():
-        yield pd.DataFrame({"lang": lang, "gram": np.fromiter(mine.keys(), np.int64, len(mine)), "n": np.fromiter(mine.values(), np.int64, len(mine))})
+        yield _as_rows(lang, mine)
 
 
 def profiles(docs: DataFrame) -> DataFrame:

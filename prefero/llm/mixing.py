@@ -6,7 +6,8 @@ hash-seeded draw falls below the rate's fraction.
 
 Null texts have size 0; a null source is a source of its own, sorted last.
 Repeated rows draw alike, since the draw depends on seed and doc_id alone.
-Empty input gives an empty result; extra columns pass through ``mix``.
+Texts count whole, however long.  Empty input gives an empty result; extra columns pass through,
+and one named as a result is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefero.llm.common import id_text, small_side, staged, word_count
+from prefero.llm.common import id_text, small_side, staged, unused, word_count
 
 #: Bits of md5 that make one uniform draw.
 DRAW_BITS = 52
@@ -53,10 +54,10 @@ def source_targets(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: f
     )
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """``docs`` with a struct ``mix``: size, source_size, target, rate, copies.
+def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", out: str = "mix") -> DataFrame:
+    """``docs`` with a struct ``out``: size, source_size, target, rate, copies.
 
-    The table of sources is staged, and broadcast once its row count is known
+    The table of sources is staged, and broadcast once its measured size is known
     to be small; otherwise it joins by shuffle, where AQE splits a hot source.
     """
     targets = small_side(staged(source_targets(docs, weights, cap), "sources"))
@@ -70,10 +71,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float =
         targets["rate"],
         copies.cast("long").alias("copies"),
     )
-    return docs.join(targets, docs["source"].eqNullSafe(targets["mix_source"])).select(*[docs[c] for c in docs.columns if c != "mix"], plan.alias("mix"))
+    return docs.join(targets, docs["source"].eqNullSafe(targets["mix_source"])).select(*[docs[c] for c in docs.columns if c != out], plan.alias(out))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with mix_copy from 1."""
-    planned = mix_plan(docs, weights, cap, seed).where("mix.copies > 0")
-    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).drop("mix")
+    """The mixed corpus: every document as often as the mix takes it, with mix_copy from 1 (a longer name where the table has that one)."""
+    plan = unused("mix", docs)
+    planned = mix_plan(docs, weights, cap, seed, plan).where(f"`{plan}`.copies > 0")
+    return planned.withColumn(unused("mix_copy", docs), F.explode(F.sequence(F.lit(1), F.col(f"{plan}.copies").cast("int")))).drop(plan)

@@ -10,7 +10,9 @@ temperature.
 
 The network is fitted on at most ``FIT_ROWS`` labelled rows (those with the
 lowest hash of their id); the vectors use every document.  Empty and null texts
-pool to zeros and get the network's score for that.  Without usable labels of
+pool to zeros and get the network's score for that.  Equal texts get equal scores; repeated rows are
+scored each; texts of any length are read whole; an empty table gives an empty result; extra columns
+pass through, and one named as the result is replaced.  Without usable labels of
 both classes each text gets the labels' mean, or 1 if there are none.
 """
 
@@ -180,8 +182,10 @@ def fit_network(docs: DataFrame, labels: DataFrame, table: np.ndarray, fit_rows:
 
     # fit_rows bounds the chosen rows, so they may be broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = joined.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("of"), "quality", pool("text").alias("pooled")).toPandas()
-    rows = rows.sort_values(["doc_id", "of"], kind="stable")
+    # of an id that repeats, the text of least hash stands for it, so the rows collected are fit_rows at most
+    one = joined.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality"), F.md5(F.coalesce("text", F.lit("")))).alias("r"))
+    rows = one.select("doc_id", "r.quality", pool("r.text").alias("pooled")).toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")
     inputs = np.array(rows["pooled"].tolist(), float).reshape(len(rows), 2 * DIMS)
     return Network(inputs, (rows["quality"].to_numpy(float) >= 0.5).astype(float))
 

@@ -3,10 +3,12 @@
 Each Arrow batch of texts is a segment with an inverted index of the trigrams
 that the rules' Boolean queries name.  A rule's postings are intersected, and
 its regular expression verifies only the candidates; rules without mandatory
-trigrams (``hex``) scan every text.  Whole texts, no shuffle.
+trigrams (``hex`` alone) scan every text.  Whole texts of any length, no shuffle.
 
-Null texts are empty.  Spans are code-point offsets, end exclusive; repeated
-rows repeat their spans; extra columns pass through.
+Null texts are empty.  Spans are code-point offsets, end exclusive, by start and at one
+start in the order of the rules; repeated
+rows repeat their spans; an empty table gives an empty result; extra columns pass through,
+and one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefero.llm.common import unused
 from prefero.llm.token_counts import blocks
 from prefero.llm.trigram_index import SegmentIndex, trigram_query, trigrams_of
 
@@ -112,11 +115,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
                 clean += [_cut(t, s, mark) if s else None for t, s in zip(block, scanner.scan(block), strict=True)]
             yield pd.Series(clean, dtype="object")
 
-    found = docs.withColumn("_redacted", cut(F.col("text")))
+    clean_text = unused("_redacted", docs)
+    found = docs.withColumn(clean_text, cut(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.coalesce(F.length("_redacted").cast(kind), F.col("n_chars")))
-    return found.withColumn("text", F.coalesce("_redacted", "text")).drop("_redacted")
+        found = found.withColumn("n_chars", F.coalesce(F.length(clean_text).cast(kind), F.col("n_chars")))
+    return found.withColumn("text", F.coalesce(clean_text, "text")).drop(clean_text)
 
 
 def _cut(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:

@@ -1,14 +1,16 @@
 """Token counts of whole texts under a byte-pair tokenizer.
 
 Whole-token shortcut: which vocabulary strings encode alone as one token is
-proved once per worker by encoding them.  A text's pre-tokens that are among
+proved once, before the job, by encoding each; workers get the list.  A text's pre-tokens that are among
 them count one without any merging; only the other distinct pre-tokens are
 merged, once per worker while they stay in a bounded table.
 
 Texts of Latin letters are split here by the tokenizer's own pattern; any text
 with other characters is normalised and split by the library, and one that
 holds a special token's opening mark is encoded by the library as a whole.
-A null text counts as empty.  Texts without words have no tokens.
+A null text counts as empty.  Texts without words have no tokens.  Texts of any length are
+counted whole, repeated rows each; an empty table gives an empty result; extra columns pass
+through, and one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +50,22 @@ SPECIAL_MARK = "<|"
 class PreTokenCounter:
     """Counts the tokens of texts; holds the proved whole tokens and what was merged so far."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: list[str] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.pattern = _pre_token_pattern()
-        self.known = self.whole = self._prove()
+        self.known = self.whole = dict.fromkeys(self.prove() if whole is None else whole, 1)
 
-    def _prove(self) -> dict[str, int]:
-        ends = [v[:-4] for v in self.library.get_vocab() if v.endswith("</w>") and v[:-4].isascii()]
-        found = self.library.encode_batch(ends, add_special_tokens=False)
-        # alone means: the string is one pre-token and one token
-        return {v: 1 for v, e in zip(ends, found, strict=True) if len(e.ids) == 1 and self.pattern.fullmatch(v)}
+    def prove(self) -> list[str]:
+        """The vocabulary strings that are one pre-token and that one token when they stand alone."""
+        from tokenizers.decoders import ByteLevel
+
+        mark, read = self.library.model.end_of_word_suffix or "", ByteLevel()
+        strings, ids = zip(*[(read.decode([v.removesuffix(mark)]), i) for v, i in self.library.get_vocab().items() if v.endswith(mark)], strict=True)
+        found = self.library.encode_batch(list(strings), add_special_tokens=False)
+        return [s for s, i, e in zip(strings, ids, found, strict=True) if e.ids == [i] and SPECIAL_MARK not in s and self.split(s) == [s]]
 
     def split(self, text: str) -> list[str]:
         if not UNUSUAL.search(text):
@@ -96,9 +102,9 @@ def blocks(texts: Iterable[str], at_once: int = AT_ONCE) -> Iterator[list[str]]:
         yield block
 
 
-def _counter(path: str) -> Callable[[Iterator], Iterator]:
+def _counter(path: str, whole: Broadcast) -> Callable[[Iterator], Iterator]:
     def run(batches: Iterator) -> Iterator:
-        counter = PreTokenCounter(path)
+        counter = PreTokenCounter(path, whole.value)
         for texts in batches:
             counts: list[int] = []
             for block in blocks("" if t is None else t for t in texts):
@@ -111,9 +117,9 @@ def _counter(path: str) -> Callable[[Iterator], Iterator]:
 def with_token_counts(docs: DataFrame, tokenizer_path: str, out: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each whole text; extra columns pass through.
 
-    ``tokenizer_path`` names a tokenizer file present on every executor.
+    ``tokenizer_path`` names a tokenizer file present on the driver and every executor.
     """
-    run = _counter(tokenizer_path)
+    run = _counter(tokenizer_path, docs.sparkSession.sparkContext.broadcast(PreTokenCounter(tokenizer_path, []).prove()))
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

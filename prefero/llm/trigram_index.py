@@ -13,9 +13,15 @@ from itertools import product
 from re import _constants as C
 from re import _parser
 
+import numpy as np
+
 Query = frozenset[frozenset[str]]
+#: Characters of a class that is followed one by one.
+CLASS = 8
 #: Strings followed at once through a sequence; beyond it the run of literals is broken.
 FOLLOWED = 64
+#: Bytes indexed at once.
+PIECE = 1_000_000
 #: Clauses kept; a query that would need more demands less instead.
 CLAUSES = 64
 
@@ -26,11 +32,11 @@ def _set_chars(items: Sequence) -> set[str] | None:
     for op, arg in items:
         if op is C.LITERAL:
             out.add(chr(arg).lower())
-        elif op is C.RANGE and arg[1] - arg[0] < 4:
+        elif op is C.RANGE and arg[1] - arg[0] < CLASS:
             out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-        if len(out) > 4:
+        if len(out) > CLASS:
             return None
     return out
 
@@ -111,12 +117,28 @@ def trigram_query(pattern: str) -> Query | None:
 
 
 class SegmentIndex:
-    """Inverted index of one segment of texts: posting lists for the trigrams that queries name."""
+    """Inverted index of one segment of texts: the posting lists of the trigrams that queries name.
+
+    One pass over the segment's bytes numbers the trigram at every place; those that
+    queries name are posted with the text that the place lies in.
+    """
 
     def __init__(self, texts: Sequence[str], trigrams: Iterable[str]) -> None:
         self.n = len(texts)
-        lowered = [t.lower() for t in texts]
-        self.postings = {g: {i for i, t in enumerate(lowered) if g in t} for g in trigrams}
+        coded = [t.encode("utf-8", "replace").lower() for t in texts]
+        self.postings: dict[str, set[int]] = {g: set() for g in trigrams}
+        named = {int.from_bytes(g.encode(), "little"): g for g in self.postings if g.isascii()}
+        wanted = np.zeros(1 << 16, bool)
+        wanted[[_slot(x) for x in named]] = True
+        ends = np.cumsum([len(c) for c in coded])
+        for start, piece in _pieces(b"".join(coded)):
+            code = piece[:-2].astype(np.uint32) | piece[1:-1].astype(np.uint32) << np.uint32(8) | piece[2:].astype(np.uint32) << np.uint32(16)
+            at = np.flatnonzero(wanted[_slot(code)])
+            text = np.searchsorted(ends, start + at, side="right")
+            whole = start + at + 3 <= ends[text]  # a trigram does not reach into the next text
+            for x, i in set(zip(code[at][whole].tolist(), text[whole].tolist(), strict=True)):
+                if x in named:
+                    self.postings[named[x]].add(i)
 
     def candidates(self, query: Query | None) -> Iterable[int]:
         if query is None:
@@ -131,3 +153,14 @@ class SegmentIndex:
 def trigrams_of(queries: Iterable[Query | None]) -> list[str]:
     return sorted({g for q in queries if q is not None for c in q for g in c})
 
+
+def _slot(code):
+    """Sixteen bits of a trigram's number."""
+    return (code ^ code >> 9) & 0xFFFF
+
+
+def _pieces(data: bytes) -> Iterable[tuple[int, np.ndarray]]:
+    """Arrays of up to PIECE places and where they start; the last two bytes are those of the next one's first trigrams."""
+    whole = np.frombuffer(data, np.uint8)
+    for start in range(0, max(0, len(whole) - 2), PIECE):
+        yield start, whole[start : start + PIECE + 2]

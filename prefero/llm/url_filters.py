@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefero.llm.common import ascii_lower, small_side, staged
+from prefero.llm.common import ascii_lower, small_side, staged, unused
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -30,7 +30,8 @@ KINDS = ("domain", "host", "prefix")
 
 def intervals(events: DataFrame) -> DataFrame:
     """entry, kind, action, since, until (null: still on the list) from entry, kind, action, at, listed."""
-    known = events.select(ascii_lower(F.col("entry")).alias("entry"), "kind", "action", "at", "listed").na.drop().groupBy("entry", "kind", "action", "at").agg(F.max("listed").alias("listed"))
+    host, rest = F.substring_index("entry", "/", 1), F.regexp_extract("entry", r"^[^/]*(/.*)$", 1)
+    known = events.select(F.concat(ascii_lower(host), rest).alias("entry"), "kind", "action", "at", "listed").na.drop().groupBy("entry", "kind", "action", "at").agg(F.max("listed").alias("listed"))
     following = F.lead("at").over(W.partitionBy("entry", "kind", "action").orderBy("at"))
     return known.withColumn("until", following).where("listed").select("entry", "kind", "action", F.col("at").alias("since"), "until")
 
@@ -57,7 +58,7 @@ def with_verdicts(captures: DataFrame, events: DataFrame, out: str = "filter") -
     """``captures`` (url, fetched) with a struct: verdict, entry, kind, since.
 
     Only distinct (host, path, fetched) meet the list.  The intervals, and then the
-    verdicts found, are broadcast if a count proves them few; else they join by
+    verdicts found, are broadcast if their measured size is small; else they join by
     shuffle, where AQE splits what a hot host brings together.
     """
     active = small_side(staged(intervals(events), "intervals"))
@@ -69,6 +70,8 @@ def with_verdicts(captures: DataFrame, events: DataFrame, out: str = "filter") -
     best = F.max_by(F.struct(F.col("action").alias("verdict"), "entry", "kind", "since"), order)
     found = small_side(staged(asked.join(active, on).groupBy("place").agg(best.alias("_found")).withColumnRenamed("place", "_found_place"), "verdicts"))
     none = F.struct(F.lit("none").alias("verdict"), F.lit(None).cast("string").alias("entry"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(active.schema["since"].dataType).alias("since"))
-    kept = captures.drop(out).withColumn("_place", place)
-    joined = kept.join(found, kept["_place"] == found["_found_place"], "left")
-    return joined.select(*[kept[c] for c in captures.columns if c != out], F.coalesce("_found", none).alias(out))
+    mine, theirs, verdict = (unused(n, captures) for n in ("_place", "_found_place", "_found"))
+    kept = captures.drop(out).withColumn(mine, place)
+    found = found.select(F.col("_found_place").alias(theirs), F.col("_found").alias(verdict))
+    joined = kept.join(found, kept[mine] == found[theirs], "left")
+    return joined.select(*[kept[c] for c in captures.columns if c != out], F.coalesce(verdict, none).alias(out))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, mix string, mix_copy string, key string, hits string, words string, comp string, s string, place string, found string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, mix string, mix_copy string, key string, hits string, words string, comp string, s string, place string, found string, _quality string, _leak string, _leak_key string, _redacted string, _dedup_row string, _place string, _found string, id string, band string"
 LONG = "the quick brown fox jumps over lazy dogs again " * 3000
 
 
 def rows_of(texts, lang="en", source="a"):
-    return [(i, t, lang, source, None if t is None else len(t), 7, "t", "m", "c", "k", "h", "w", "x", "s", "p", "f") for i, t in texts]
+    return [(i, t, lang, source, None if t is None else len(t), 7, "t", "m", "c", "k", "h", "w", "x", "s", "p", "f", *[f"u{k}" for k in range(9)]) for i, t in texts]
 
 
 @pytest.fixture(scope="module")
@@ -150,6 +150,43 @@ def test_language(odd, none):
     assert {r["language"]["lang"] for r in language_id.with_language(odd, language_id.profiles(none)).collect()} == {"und"}
 
 
+def test_no_letters_no_language():
+    for t in ("²", "½ ¼", "①②", "Ⅷ", "12 ٣", "!?"):
+        assert not len(language_id.document_ranks(t)), t
+    assert len(language_id.document_ranks("a²")) == len(language_id.document_ranks("a"))
+
+
+def test_clashing_columns_come_through(odd, spark, bench):
+    """No column of the table is lost or changed by a stage, whatever its name."""
+    own = [f"u{k}" for k in range(9)]
+    names = ["_quality", "_leak", "_leak_key", "_redacted", "_dedup_row", "_place", "_found", "id", "band"]
+    for out in (mixing.mix(odd), decontaminate.decontaminated(odd, bench), secrets_scan.redact(odd), order_minhash.deduplicated(odd)):
+        assert set(odd.columns) <= set(out.columns)
+        assert {tuple(r) for r in out.select(*names, "mix", "mix_copy").collect()} == {(*own, "m", "c")}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    import corpus_pipeline
+
+    labels.write.parquet(path := spark.conf.get("spark.checkpoint.dir") + "/clash/labels.parquet")
+    kept = corpus_pipeline.keep_quality(spark, odd, path.rpartition("/")[0])
+    assert kept.columns == odd.columns and {tuple(r) for r in kept.select(*names).collect()} <= {tuple(own)}
+
+
+def test_small_sides_are_measured(spark):
+    from prefero.llm import common
+
+    wide = common.staged(spark.range(10).selectExpr("id", "array_repeat(id, 200000) AS many", "array_repeat(repeat('x', 10), 3) AS texts"), "wide")
+    assert common.measured_bytes(wide) > 16_000_000
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert not hint(common.small_side(wide)) and hint(common.small_side(wide.select("id")))
+
+
+def test_prefixes_of_the_list_keep_their_case(spark):
+    ev = spark.createDataFrame([("Bad.example.com/Promo", "prefix", "block", "2024-01-01", True)], "entry string, kind string, action string, at string, listed boolean")
+    df = spark.createDataFrame([(1, "http://bad.example.com/Promo/x", "2024-05-01"), (2, "http://bad.example.com/promo/x", "2024-05-01")], "page_id long, url string, fetched string")
+    got = {r["page_id"]: r["filter"]["verdict"] for r in url_filters.with_verdicts(df, ev).collect()}
+    assert got == {1: "block", 2: "none"}
+
+
 def test_hashes_match_spark(spark):
     assert spark.range(20).selectExpr("id", "crc32(cast(id as string)) c").where("id is not null").collect() == [(i, zlib.crc32(str(i).encode())) for i in range(20)]
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2('', 256)").first()[0]
