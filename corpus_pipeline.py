@@ -13,8 +13,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality.with_quality(docs, common.table(spark, sf_dir, "labels"), "_quality")
-    return scored.where("_quality >= 0.5").drop("_quality")
+    score = common.unused("_quality", docs)
+    scored = quality.with_quality(docs, common.table(spark, sf_dir, "labels"), score)
+    return scored.where(f"{score} >= 0.5").drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
