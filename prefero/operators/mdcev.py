@@ -10,7 +10,7 @@ where d is a good's baseline difference to the outside good and c the Jacobian.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from prefero.functions.algebra import ARRAYS, COLUMNS, product, total
 from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, reader, scenarios_of
-from prefero.operators.spec import compile_spec
+from prefero.operators.spec import Design, compile_spec, given
 from prefero.plans.estimates import KINDS, Estimates, covariance
-from prefero.plans.likelihood import Likelihood
+from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
 
 FLOOR = 1e-4
@@ -106,13 +106,14 @@ class MDCEV:
         self.prices = prices
         self.results: Estimates | None = None
 
-    def _price(self, read=lambda n: F.col(n).cast("double")) -> list[Column]:
+    def _price(self, read=given) -> list[Column]:
         return [F.lit(1.0)] * len(self.goods) if self.prices is None else [read(c) for c in self.prices]
 
-    def _packed(self, overrides: Overrides = {}) -> list[Column]:  # noqa: B006
+    def _packed(self, overrides: Overrides = {}, utility: Design | None = None, quantities: bool = True) -> list[Column]:  # noqa: B006
         read = reader(self.df.columns, overrides)
         pack = lambda d: F.array(*[F.lit(0.0) if (c := d.value(j, v, read)) is None else c for j in range(len(self.goods)) for v in range(len(d.names))])
-        return [pack(self.x).alias("x"), pack(self.z).alias("z"), F.array(*[read(g) for g in self.goods]).alias("q"), F.array(*self._price(read)).alias("p")]
+        q = [F.array(*[read(g) for g in self.goods]).alias("q")] if quantities else []
+        return [pack(utility or self.x).alias("x"), pack(self.z).alias("z"), *q, F.array(*self._price(read)).alias("p")]
 
     @property
     def names(self) -> list[str]:
@@ -138,8 +139,8 @@ class MDCEV:
         return active
 
     def fit(self, iterations: int = 200) -> Estimates:
-        refuse_nulls(self.df, [*self.x.columns(), *self.z.columns(), *self.goods])
-        rows = self.df.select(*self._packed(), *([F.col(self.weight).cast("double").alias("w")] if self.weight else []))
+        refuse_nulls(self.df, list(dict.fromkeys([*self.x.columns(), *self.z.columns(), *self.goods, *(self.prices or []), *([self.weight] if self.weight else [])])))
+        rows = self.df.select(*self._packed(), *([given(self.weight).alias("w")] if self.weight else []))
         lik = Likelihood(rows, self._kernel(), len(self.names), self._active(), "w" if self.weight else None)
         try:
             start = np.where(self._active(), 0.0, OUTSIDE)
@@ -155,7 +156,7 @@ class MDCEV:
         of = lambda kind: covariance(kind, outer, hessian) * np.outer(slope, slope)
         extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
         self.results = Estimates(self.names, natural, of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
-        return self.results
+        return self.results.frozen(~self._active())
 
     def from_estimates(self, utility: Sequence[float], satiation: Sequence[float], sigma: float) -> Estimates:
         theta = np.array([*utility, *satiation, math.log(sigma)], float)
@@ -167,39 +168,92 @@ class MDCEV:
         nx, nz = len(self.x.names), len(self.z.names)
         theta = self.results.extra["theta"]
         v, u = self.x.utilities(theta[:nx]), self.z.utilities(theta[nx : nx + nz])
-        weight = F.col(self.weight) if self.weight else 1.0
-        return loglik(v, [F.exp(x) for x in u], [F.col(g).cast("double") for g in self.goods], self._price(), float(math.exp(theta[-1])), self.traditional, weight)
+        weight = given(self.weight) if self.weight else 1.0
+        return loglik(v, [F.exp(x) for x in u], [given(g) for g in self.goods], self._price(), float(math.exp(theta[-1])), self.traditional, weight)
+
+    def _simulated(self, runs: Mapping[str, list[Column]], budget: str | float, id_column: str | None) -> tuple[DataFrame, Callable]:
+        """Rows with the packed columns of every run, and what allocates a batch of them for one run and replication."""
+        theta, j, nx, nz = self.results.extra["theta"], len(self.goods), len(self.x.names), len(self.z.names)
+        sigma, names = float(math.exp(theta[-1])), list(runs)
+        money = given(budget) if isinstance(budget, str) and budget in self.df.columns else F.lit(1.0 if isinstance(budget, str) else float(budget))
+        row_id = given(id_column).cast("long") if id_column else F.xxhash64(*self._packed(quantities=False))
+        packed = [c.alias(f"{n}{i}") for i, cols in enumerate(runs.values()) for c, n in zip(cols, "xzp", strict=True)]
+        rows = self.df.select(row_id.alias("row_id"), *packed, money.alias("budget"))
+
+        def prepared(part: pd.DataFrame) -> Callable[[str, int, int], np.ndarray]:
+            n, data = len(part), as_arrays(part)
+            of = {}
+            for i, name in enumerate(names):
+                v = data[f"x{i}"].reshape(n, j, nx) @ theta[:nx]
+                f = np.exp(np.clip(data[f"z{i}"].reshape(n, j, nz) @ theta[nx : nx + nz], OUTSIDE, 300)) if nz else np.ones((n, j))
+                of[name] = v, f, data[f"p{i}"].reshape(n, j)
+
+            def allocated(name: str, seed: int, replication: int) -> np.ndarray:
+                v, f, p = of[name]
+                errors = gumbel(seed, data["row_id"], np.full(n, replication), j) * sigma if seed is not None else 0.0
+                return allocate(v + errors, p, f, data["budget"].astype(float))
+
+            return allocated
+
+        return rows, prepared
 
     def forecast(self, budget: str | float = "tot", replications: int = 200, seed: int = 1234, overrides: Overrides = {}, id_column: str | None = None) -> DataFrame:  # noqa: B006
         """row_id, replication and the quantity of each good: optimal allocations under Gumbel errors.
 
         Each row draws by (seed, row id, replication), so results do not depend on how
         rows are spread.  Without ``id_column`` a row's id is its content's hash.
+        Replications are made where the rows are: a row crosses to its task once.
         """
-        theta, j, nx, nz = self.results.extra["theta"], len(self.goods), len(self.x.names), len(self.z.names)
-        sigma, goods = float(math.exp(theta[-1])), self.goods
-        money = F.col(budget).cast("double") if isinstance(budget, str) and budget in self.df.columns else F.lit(1.0 if isinstance(budget, str) else float(budget))
-        packed = self._packed(overrides)
-        row_id = F.col(id_column).cast("long") if id_column else F.xxhash64(*packed)
-        rows = self.df.select(row_id.alias("row_id"), *packed, money.alias("budget")).withColumn("replication", F.explode(F.sequence(F.lit(0), F.lit(replications - 1))))
+        goods = self.goods
+        rows, prepared = self._simulated({"": self._packed(overrides, quantities=False)}, budget, id_column)
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
-                if not len(part):
-                    continue
-                n = len(part)
-                x, z, p = (np.array(part[c].tolist(), float).reshape(n, j, -1) for c in ("x", "z", "p"))
-                v = x @ theta[:nx] + gumbel(seed, part["row_id"].to_numpy(), part["replication"].to_numpy(), j) * sigma
-                f = np.exp(np.clip(z @ theta[nx : nx + nz], OUTSIDE, 300)) if nz else np.ones((n, j))
-                q = allocate(v, p[:, :, 0], f, part["budget"].to_numpy(float))
-                yield pd.DataFrame({"row_id": part["row_id"], "replication": part["replication"]} | {g: q[:, k] for k, g in enumerate(goods)})
+                if len(part):
+                    allocated = prepared(part)
+                    for r in range(replications):
+                        q = allocated("", seed, r)
+                        yield pd.DataFrame({"row_id": part["row_id"], "replication": r} | {g: q[:, k] for k, g in enumerate(goods)})
 
         return rows.mapInPandas(task, "row_id long, replication int, " + ", ".join(f"`{g}` double" for g in goods))
 
-    def participation(self, **kwargs) -> DataFrame:
+    def allocation(self, budget: str | float = "tot", id_column: str | None = None) -> DataFrame:
+        """row_id and the optimal quantity of each good without errors."""
+        goods = self.goods
+        rows, prepared = self._simulated({"": self._packed(quantities=False)}, budget, id_column)
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                if len(part):
+                    q = prepared(part)("", None, 0)
+                    yield pd.DataFrame({"row_id": part["row_id"]} | {g: q[:, k] for k, g in enumerate(goods)})
+
+        return rows.mapInPandas(task, "row_id long, " + ", ".join(f"`{g}` double" for g in goods))
+
+    def _rates(self, runs: Mapping[str, list[Column]], budget: str | float = "tot", replications: int = 200, seed: int = 1234, id_column: str | None = None) -> DataFrame:
+        """scenario, good, participation, quantity: all runs and replications in one pass, each task summing its own."""
+        goods, names = self.goods, list(runs)
+        rows, prepared = self._simulated(runs, budget, id_column)
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            used, total, n = np.zeros((len(names), len(goods))), np.zeros((len(names), len(goods))), 0
+            for part in batches:
+                if len(part):
+                    allocated = prepared(part)
+                    n += len(part) * replications
+                    for i, name in enumerate(names):
+                        for r in range(replications):
+                            q = allocated(name, seed, r)
+                            used[i] += (q > 0).sum(axis=0)
+                            total[i] += q.sum(axis=0)
+            yield pd.DataFrame({"scenario": np.repeat(names, len(goods)), "good": goods * len(names), "used": used.ravel(), "total": total.ravel(), "n": n})
+
+        sums = rows.mapInPandas(task, "scenario string, good string, used double, total double, n long")
+        return sums.groupBy("scenario", "good").agg((F.sum("used") / F.sum("n")).alias("participation"), (F.sum("total") / F.sum("n")).alias("quantity"))
+
+    def participation(self, overrides: Overrides = {}, **kwargs) -> DataFrame:  # noqa: B006
         """Each good's share of forecasts in which it is consumed, and its mean quantity: good, participation, quantity."""
-        means = self.forecast(**kwargs).agg(*[F.struct(F.avg((F.col(g) > 0).cast("double")).alias("participation"), F.avg(g).alias("quantity")).alias(g) for g in self.goods])
-        return means.select(F.explode(F.array(*[F.struct(F.lit(g).alias("good"), F.col(f"`{g}`.participation"), F.col(f"`{g}`.quantity")) for g in self.goods])).alias("r")).select("r.*")
+        return self._rates({"": self._packed(overrides, quantities=False)}, **kwargs).select("good", "participation", "quantity")
 
     def predict(self, **kwargs) -> DataFrame:
         """good, rate: participation rates normalised to one, the outside good's taken as one."""
@@ -211,12 +265,16 @@ class MDCEV:
         return self.predict(**kwargs).orderBy(F.desc("rate"), F.array_position(F.array(*map(F.lit, self.goods)), F.col("good"))).limit(1)
 
     def ate(self, scenarios: Scenarios, **kwargs) -> DataFrame:
-        """scenario, alternative, share: participation under the table as it is and under each scenario."""
-        parts = [self.participation(overrides=o, **kwargs).select(F.lit(s).alias("scenario"), F.col("good").alias("alternative"), F.col("participation").alias("share")) for s, o in ({"baseline": {}} | scenarios_of(scenarios)).items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """scenario, alternative, share: participation under the table as it is and under each scenario, in one pass."""
+        runs = {"baseline": {}} | scenarios_of(scenarios)
+        return self._shares({s: self._packed(o, quantities=False) for s, o in runs.items()}, **kwargs)
+
+    def ate_cell(self, good: str, coefficient: str, base: float, treatment: float, **kwargs) -> DataFrame:
+        """The same with one cell of the utility's design held at ``base`` and at ``treatment``."""
+        return self._shares({s: self._packed(utility=self.x.with_cell(good, coefficient, to), quantities=False) for s, to in (("base", base), ("treatment", treatment))}, **kwargs)
+
+    def _shares(self, runs: Mapping[str, list[Column]], **kwargs) -> DataFrame:
+        return self._rates(runs, **kwargs).select("scenario", F.col("good").alias("alternative"), F.col("participation").alias("share"))
 
 
 def _whole():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prefero.functions.algebra import COLUMNS, total
 from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, reader, scenarios_of
-from prefero.operators.spec import Design, choice_index, compile_spec
+from prefero.operators.spec import Design, choice_index, compile_spec, given
 from prefero.plans.estimates import Estimates, covariance
 from prefero.plans.optim import newton
 
@@ -85,21 +85,18 @@ def sums(df: DataFrame, design: Design, beta: Sequence[float], y: Column, availa
 class MNL:
     """Multinomial logit over a table with an indicator column for each alternative.
 
-    ``availability``: columns of 0 and 1, or None.  Rows with a null in a column of the
-    model are refused.
+    ``availability``: columns of 0 and 1, or None.  A null in a column of the model is refused: by
+    ``fit`` with the number of rows, by predictions and effects as soon as a task meets it.
     """
 
     def __init__(self, df: DataFrame, alternatives: Sequence[str], spec: Mapping[str, Mapping[str, object]], availability: Sequence[str] | None = None, se: str = "bhhh") -> None:
         self.df, self.se = df, se
         self.design = compile_spec(spec, alternatives, df.columns)
         self.y = choice_index(alternatives) if set(alternatives) <= set(df.columns) else F.col("choice")
-        self.available = None if availability is None else [F.col(c).cast("double") for c in availability]
+        self.available = None if availability is None else [given(c) for c in availability]
+        self.used = list(dict.fromkeys([*self.design.columns(), *(availability or []), *(alternatives if set(alternatives) <= set(df.columns) else ["choice"])]))
         self.results: Estimates | None = None
 
-    @property
-    def used(self) -> list[str]:
-        return self.design.columns()
-
     def fit(self, start: Sequence[float] | None = None) -> Estimates:
         refuse_nulls(self.df, self.used)
         rows = self.df.persist()
@@ -136,12 +133,9 @@ class MNL:
 
     def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:
         """Shares with one cell of the design held at ``base`` and at ``treatment``."""
-        j, v = self.design.alternatives.index(alternative), self.design.names.index(coefficient)
 
         def shares(value: float) -> list[Column]:
-            cells = [list(row) for row in self.design.cells]
-            cells[j][v] = float(value)
-            return probabilities(Design(self.design.names, self.design.alternatives, tuple(map(tuple, cells))).utilities(self.results.theta), self.available)
+            return probabilities(self.design.with_cell(alternative, coefficient, value).utilities(self.results.theta), self.available)
 
         return mean_by_scenario(self.df, {"base": shares(base), "treatment": shares(treatment)}, self.design.alternatives)
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from prefero.functions.algebra import COLUMNS
 from prefero.functions.distributions import bivariate_normal_cdf, normal_cdf
 from prefero.kernels.matrices import angles_of_correlation, correlation_of_angles, jacobian
-from prefero.kernels.mvn import mvn_cdf
+from prefero.kernels.mvn import density, mvn_cdf, phi, phi2
 from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, reader, scenarios_of
-from prefero.operators.spec import choice_index, compile_spec
+from prefero.operators.spec import Design, choice_index, compile_spec, given
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
@@ -34,6 +34,12 @@ def differences(kernel: np.ndarray, chosen: int) -> np.ndarray:
     return m @ whole @ m.T
 
 
+def _pair_shape(cov: np.ndarray) -> list[float]:
+    """Standard deviations of the differences and, of two, their correlation."""
+    sd = np.sqrt(np.diag(cov))
+    return [*sd, cov[0, 1] / (sd[0] * sd[1])] if len(sd) == 2 else [*sd, 0.0]
+
+
 def choice_probability(utilities: list, kernel: np.ndarray, chosen: int, m=COLUMNS):
     """Probability of one of two or three alternatives, in closed form.  ``utilities`` may be of any algebra."""
     cov = differences(kernel, chosen)
@@ -64,6 +70,13 @@ def probabilities(v: np.ndarray, kernel: np.ndarray, which: np.ndarray, availabl
     return out
 
 
+def pair_terms(a: np.ndarray, b: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bivariate normal distribution at (a, b) and its derivatives by a, b and rho."""
+    a, b, q = np.clip(a, -40, 40), np.clip(b, -40, 40), np.sqrt(1 - rho * rho)
+    by_rho = np.exp(-(a * a - 2 * rho * a * b + b * b) / (2 * q * q)) / (2 * np.pi * q)
+    return phi2(a, b, np.asarray(rho)), density(a) * phi((b - rho * a) / q), density(b) * phi((a - rho * b) / q), by_rho
+
+
 class MNP:
     """Multinomial probit over a table with an indicator column for each alternative.
 
@@ -170,15 +183,56 @@ class MNP:
         twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "results")}
         return twin
 
-    def _packed(self, overrides: Overrides = {}) -> list[Column]:  # noqa: B006
-        read = reader(self.df.columns, overrides)
-        j, v = len(self.alternatives), len(self.design.names)
-        x = F.array(*[F.lit(0.0) if (c := self.design.value(k, i, read)) is None else c for k in range(j) for i in range(v)])
-        available = F.array(*[F.lit(1.0)] * j) if self.available is None else F.array(*[F.col(c).cast("double") for c in self.available])
+    def _packed(self, overrides: Overrides = {}, design: Design | None = None) -> list[Column]:  # noqa: B006
+        read, design = reader(self.df.columns, overrides), design or self.design
+        j, v = len(self.alternatives), len(design.names)
+        x = F.array(*[F.lit(0.0) if (c := design.value(k, i, read)) is None else c for k in range(j) for i in range(v)])
+        available = F.array(*[F.lit(1.0)] * j) if self.available is None else F.array(*[given(c) for c in self.available])
         return [x.alias("x"), available.alias("a")]
 
+    @property
+    def used(self) -> list[str]:
+        return list(dict.fromkeys([*self.design.columns(), *(self.available or []), *(self.alternatives if self.has_choice else ["choice"])]))
+
+    def row_scores(self, theta: np.ndarray, x: np.ndarray, which: np.ndarray, available: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability and score of each row in closed form: two or three alternatives, fixed coefficients.
+
+        A row's probability is a normal distribution at limits z = (v_c - v_k) / s_k with a
+        correlation r; s and r depend on the parameters of the covariance alone, so their
+        derivatives are taken once, on the driver's few numbers.
+        """
+        v, j = len(self.design.names), len(self.alternatives)
+        shape = lambda t: np.array([_pair_shape(differences(self.unpack(t)[0], c)) for c in range(j)])
+        at, slope = shape(theta), jacobian(shape, theta).reshape(len(theta), j, -1)
+        out, score = np.full(len(x), np.log(FLOOR)), np.zeros((len(x), len(theta)))
+        for c in range(j):
+            rows = np.flatnonzero((which == c) & (available[:, c] > 0))
+            if not len(rows):
+                continue
+            rivals = [k for k in range(j) if k != c]
+            apart = x[rows][:, [c]] - x[np.ix_(rows, rivals)]
+            there = available[np.ix_(rows, rivals)] > 0
+            z = np.where(there, apart @ theta[:v] / at[c, : j - 1], np.inf)
+            if j == 2:
+                p, by = phi(z[:, 0]), density(z)
+                by_rho = None
+            else:
+                p, by_a, by_b, by_rho = pair_terms(z[:, 0], z[:, 1], at[c, -1])
+                by = np.stack([by_a, by_b], axis=1)
+                by_rho = np.where(there.all(axis=1), by_rho, 0.0)
+            by = np.where(there, by, 0.0)
+            g = np.zeros((len(rows), len(theta)))
+            g[:, :v] = np.einsum("nk,nkv->nv", by / at[c, : j - 1], apart)
+            for i in range(v, len(theta)):
+                g[:, i] = (by * np.where(there, -z / at[c, : j - 1], 0.0)) @ slope[i, c, : j - 1] + (by_rho * slope[i, c, -1] if j == 3 else 0.0)
+            p = np.maximum(p, FLOOR)
+            out[rows], score[rows] = np.log(p), g / p[:, None]
+        return out, score
+
     def fit(self, iterations: int = 200, active: np.ndarray | None = None, start: np.ndarray | None = None, seed: int = 0) -> Estimates:
-        refuse_nulls(self.df, self.design.columns())
+        if active is not None and len(active) != len(self.names):
+            raise ValueError(f"a mask of {len(active)} for {len(self.names)} parameters")
+        refuse_nulls(self.df, self.used)
         j, v, twin = len(self.alternatives), len(self.design.names), self._plain()
         y = choice_index(self.alternatives) if self.has_choice else F.col("choice")
 
@@ -186,7 +240,12 @@ class MNP:
             n = len(data["y"])
             return np.log(np.maximum(twin.row_probabilities(theta, data["x"].reshape(n, j, v), data["y"].astype(int), data["a"].reshape(n, j)), FLOOR))
 
-        lik = Likelihood(self.df.select(*self._packed(), y.alias("y")), kernel, len(self.names), active)
+        def scored(theta: np.ndarray, data: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            n = len(data["y"])
+            return twin.row_scores(theta, data["x"].reshape(n, j, v), data["y"].astype(int), data["a"].reshape(n, j))
+
+        closed = j <= 3 and not self.random and self.segments == 1
+        lik = Likelihood(self.df.select(*self._packed(), y.alias("y")), kernel, len(self.names), active, scored=scored if closed else None)
         if start is None:
             start = np.random.default_rng(seed).normal(0, 0.1, len(self.names)) if self.segments > 1 else np.zeros(len(self.names))
             if self.correlated:
@@ -201,7 +260,8 @@ class MNP:
         of = lambda kind: slope.T @ covariance(kind, outer, hessian) @ slope
         extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
         self.results = Estimates(self.names, self.natural(best.theta), of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
-        return self.results
+        moved = np.ones(len(self.names), bool) if active is None else np.asarray(active, bool)
+        return self.results.frozen(np.abs(slope[moved]).sum(axis=0) < 1e-9)
 
     def from_estimates(self, beta: Sequence[float], kernel: np.ndarray | None = None, theta_rest: Sequence[float] = ()) -> Estimates:
         """Results from coefficients and, unless iid, the kernel covariance (its first entry one); further parameters as in the fit."""
@@ -248,8 +308,15 @@ class MNP:
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, alternative, share: mean probabilities, all scenarios in one pass."""
         runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
+        return self._means({s: self._packed(o) for s, o in runs.items()})
+
+    def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:
+        """Shares with one cell of the design held at ``base`` and at ``treatment``."""
+        return self._means({s: self._packed(design=self.design.with_cell(alternative, coefficient, to)) for s, to in (("base", base), ("treatment", treatment))})
+
+    def _means(self, runs: Mapping[str, list[Column]]) -> DataFrame:
         twin, j, names = self._ready(), len(self.alternatives), list(runs)
-        columns = [c.alias(f"{c_name}{i}") for i, o in enumerate(runs.values()) for c, c_name in zip(self._packed(o), ("x", "a"), strict=True)]
+        columns = [c.alias(f"{c_name}{i}") for i, packed in enumerate(runs.values()) for c, c_name in zip(packed, ("x", "a"), strict=True)]
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = np.zeros((len(names), j)), 0

@@ -10,20 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefero.functions.algebra import ARRAYS, COLUMNS, product
-from prefero.functions.distributions import bivariate_normal_cdf, normal_cdf
+from prefero.functions.algebra import ARRAYS, COLUMNS
+from prefero.functions.distributions import normal_cdf
 from prefero.kernels.matrices import angles_of_correlation, correlation_of_angles, jacobian
 from prefero.kernels.mvn import mvn_rectangle
 from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, reader, scenarios_of
-from prefero.operators.spec import compile_spec, rebased
+from prefero.operators.spec import Design, compile_spec, rebased
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
 
 FLOOR = 1e-300
-#: Stands for an infinite limit where arithmetic must stay finite.
-FAR = 1e6
 STRUCTURES = ("iid", "heteronly", "full")
 
 
@@ -33,17 +31,6 @@ def category_probabilities(mean, thresholds: Sequence[float], sd: float = 1.0, m
     return [b - a for a, b in zip(below[:-1], below[1:], strict=True)]
 
 
-def pair_rectangle(lower: tuple, upper: tuple, rho: float, m=COLUMNS):
-    """P(both within their limits) for two outcomes, from four bivariate distributions.  Limits are finite (FAR for none)."""
-    at = lambda a, b: bivariate_normal_cdf(a, b, rho, m)
-    return at(upper[0], upper[1]) - at(lower[0], upper[1]) - at(upper[0], lower[1]) + at(lower[0], lower[1])
-
-
-def _limit(y: Column, values: Sequence[float], sign: float) -> Column:
-    """The y-th of the values as a Column."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), y + 1)
-
-
 class MORP:
     """``outcomes``: columns of ordered integers.  ``spec``: {coefficient: {outcome: column}}.
 
@@ -66,6 +53,8 @@ class MORP:
         """Learn each outcome's lowest category and number of categories, once."""
         if self.categories is None:
             row = self.df.agg(*[F.min(o).alias(f"a{i}") for i, o in enumerate(self.outcomes)], *[F.max(o).alias(f"b{i}") for i, o in enumerate(self.outcomes)]).collect()[0]
+            if any(row[f"a{i}"] is None for i in range(len(self.outcomes))):
+                raise ValueError("an outcome has no values: the table is empty, or holds nulls alone")
             self.lowest = [float(row[f"a{i}"]) for i in range(len(self.outcomes))]
             self.categories = [int(row[f"b{i}"] - row[f"a{i}"]) + 1 for i in range(len(self.outcomes))]
 
@@ -184,9 +173,9 @@ class MORP:
         self.results = Estimates(self.names, self.natural(theta), extra={"theta": theta})
         return self.results
 
-    def _marginals(self, overrides: Overrides = {}) -> list[list[Column]]:  # noqa: B006
+    def _marginals(self, overrides: Overrides = {}, design: Design | None = None) -> list[list[Column]]:  # noqa: B006
         beta, cuts, cov = self.unpack(self.results.extra["theta"])
-        means = self.design.utilities(beta, reader(self.df.columns, overrides))
+        means = (design or self.design).utilities(beta, reader(self.df.columns, overrides))
         return [category_probabilities(mu, t, float(np.sqrt(cov[i, i]))) for i, (mu, t) in enumerate(zip(means, cuts, strict=True))]
 
     def _labels(self) -> list[tuple[str, int]]:
@@ -207,8 +196,15 @@ class MORP:
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, outcome, category, share: mean marginal probabilities."""
         runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
+        return self._means({s: self._marginals(o) for s, o in runs.items()})
+
+    def ate_cell(self, outcome: str, coefficient: str, base: float, treatment: float) -> DataFrame:
+        """The same with one cell of the design held at ``base`` and at ``treatment``."""
+        return self._means({s: self._marginals(design=self.design.with_cell(outcome, coefficient, to)) for s, to in (("base", base), ("treatment", treatment))})
+
+    def _means(self, runs: Mapping[str, list[list[Column]]]) -> DataFrame:
         labels = [f"{o}:{c}" for o, c in self._labels()]
-        found = mean_by_scenario(self.df, {s: [p for ps in self._marginals(o) for p in ps] for s, o in runs.items()}, labels)
+        found = mean_by_scenario(self.df, {s: [p for ps in marginals for p in ps] for s, marginals in runs.items()}, labels)
         cut = F.length("alternative") - F.length(F.substring_index("alternative", ":", -1)) - 1
         return found.select("scenario", F.col("alternative").substr(F.lit(1), cut).alias("outcome"), F.substring_index("alternative", ":", -1).cast("int").alias("category"), "share")
 
@@ -235,7 +231,3 @@ def marginal(joint: DataFrame, outcome: str) -> DataFrame:
     """category, probability of one outcome from the table of combinations."""
     return joint.groupBy(F.col(outcome).alias("category")).agg(F.sum("probability").alias("probability"))
 
-
-def iid_loglik(means: list, limits: list[tuple], m=COLUMNS):
-    """Log-likelihood of independent outcomes from their (lower, upper) limits."""
-    return m.log(m.greatest(product([normal_cdf(u - mu, m) - normal_cdf(low - mu, m) for mu, (low, u) in zip(means, limits, strict=True)]), FLOOR))

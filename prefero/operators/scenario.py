@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefero.operators.spec import given
+
 Overrides = Mapping[str, object]
 Scenarios = Mapping[str, Overrides]
 
@@ -31,14 +33,14 @@ def reader(columns: Sequence[str], overrides: Overrides) -> Callable[[str], Colu
 
     def read(name: str) -> Column:
         to = overrides.get(name, name)
-        return (F.col(to) if isinstance(to, str) else F.lit(float(to))).cast("double")
+        return given(to) if isinstance(to, str) else F.lit(float(to))
 
     return read
 
 
 def apply_overrides(df: DataFrame, overrides: Overrides) -> DataFrame:
-    read = reader(df.columns, overrides)
-    return df.withColumns({name: read(name) for name in overrides})
+    reader(df.columns, overrides)  # refuses names that the table lacks
+    return df.withColumns({name: (F.col(to) if isinstance(to, str) else F.lit(float(to))).cast("double") for name, to in overrides.items()})
 
 
 def mean_by_scenario(df: DataFrame, columns: Mapping[str, Sequence[Column]], labels: Sequence[str]) -> DataFrame:
@@ -49,15 +51,19 @@ def mean_by_scenario(df: DataFrame, columns: Mapping[str, Sequence[Column]], lab
     return means.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _labels(shares: DataFrame) -> list[str]:
+    return [c for c in shares.columns if c not in ("scenario", "share")]
+
+
 def comparison(shares: DataFrame, base: str, treatment: str) -> DataFrame:
-    """alternative, base, treatment, change in per cent; NaN where the base is not above zero."""
-    wide = shares.groupBy("alternative").agg(
+    """alternative (or outcome and category), base, treatment, change in per cent; NaN where the base is not above zero."""
+    wide = shares.groupBy(*_labels(shares)).agg(
         F.max(F.when(F.col("scenario") == base, F.col("share"))).alias("base"), F.max(F.when(F.col("scenario") == treatment, F.col("share"))).alias("treatment")
     )
     return wide.withColumn("change", F.when(F.col("base") > 0, 100 * (F.col("treatment") - F.col("base")) / F.col("base")).otherwise(F.lit(float("nan"))))
 
 
 def summary(shares: DataFrame) -> str:
-    """Shares as text, a row per alternative and a column per scenario; there are few of either."""
-    table = shares.toPandas().pivot(index="alternative", columns="scenario", values="share")
+    """Shares as text, a row per alternative (or outcome and category) and a column per scenario; there are few of either."""
+    table = shares.toPandas().pivot(index=_labels(shares), columns="scenario", values="share")
     return table.to_string(float_format=lambda x: f"{x:.4f}")

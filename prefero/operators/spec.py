@@ -16,6 +16,11 @@ Cell = str | float | None
 ZERO, ONE = "sero", "uno"
 
 
+def given(name: str) -> Column:
+    """A column of the model as a double; a null in it stops the job, so no row drops out of a mean unseen."""
+    return F.coalesce(F.col(name).cast("double"), F.raise_error(F.lit(f"null in column {name!r} of the model")).cast("double"))
+
+
 @dataclass(frozen=True)
 class Design:
     """cells[j][v]: a column's name, a number, or None for zero."""
@@ -28,12 +33,12 @@ class Design:
         """The table's columns in use, each once."""
         return list(dict.fromkeys(c for row in self.cells for c in row if isinstance(c, str)))
 
-    def value(self, j: int, v: int, read=lambda name: F.col(name).cast("double"), lift=lambda x: F.lit(float(x))) -> object:
+    def value(self, j: int, v: int, read=given, lift=lambda x: F.lit(float(x))) -> object:
         """The value of a cell; None for zero."""
         cell = self.cells[j][v]
         return None if cell is None else read(cell) if isinstance(cell, str) else lift(cell)
 
-    def utilities(self, beta: Sequence[float], read=lambda name: F.col(name).cast("double"), lift=lambda x: F.lit(float(x))) -> list:
+    def utilities(self, beta: Sequence[float], read=given, lift=lambda x: F.lit(float(x))) -> list:
         """Each alternative's sum of coefficient times value."""
         out = []
         for j in range(len(self.alternatives)):
@@ -44,6 +49,13 @@ class Design:
             out.append(total)
         return out
 
+    def with_cell(self, alternative: str, coefficient: str, value: float) -> Design:
+        """The design with one cell held at a number."""
+        j, v = self.alternatives.index(alternative), self.names.index(coefficient)
+        cells = [list(row) for row in self.cells]
+        cells[j][v] = float(value)
+        return Design(self.names, self.alternatives, tuple(map(tuple, cells)))
+
     def packed(self) -> Column:
         """All cells of a row as one array, alternative by alternative."""
         return F.array(*[F.lit(0.0) if (x := self.value(j, v)) is None else x for j in range(len(self.alternatives)) for v in range(len(self.names))])
@@ -84,11 +96,11 @@ def spec_of_matrix(matrix: Sequence[Sequence[object]], alternatives: Sequence[st
 
 
 def choice_index(indicators: Sequence[str]) -> Column:
-    """Number of the first of the greatest indicators, from 0; a row of zeros is 0."""
-    values = F.array(*[F.col(c).cast("double") for c in indicators])
+    """Number of the first of the greatest indicators, from 0; a row of zeros is 0, a null stops the job."""
+    values = F.array(*[given(c) for c in indicators])
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
 def rebased(column: str, lowest: float) -> Column:
     """An ordinal outcome counted from its lowest category in the table that was fitted."""
-    return (F.col(column) - F.lit(lowest)).cast("int")
+    return (given(column) - F.lit(lowest)).cast("int")

@@ -294,18 +294,38 @@ def mdcev_loglik_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def mdcev_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mdcev(spark, sf_dir, True).fit(60).to_dataframe(spark)
+    return _mdcev(spark, sf_dir, True).fit().to_dataframe(spark)
 
 
 @_query()
 def mdcev_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Participation and mean quantity of each good over simulated errors."""
-    return _rounded(_mdcev(spark, sf_dir, True).participation(budget=3.0, replications=20, id_column="c_custkey"), "participation", "quantity")
+    return _rounded(_mdcev(spark, sf_dir, True).participation(budget=3.0, id_column="c_custkey"), "participation", "quantity")
+
+
+#: The optimal quantities by trying every set of inside goods that a falling marginal utility can bring in.
+_ALLOCATION_SQL = f"""WITH {_SPEND_SQL},
+g AS (SELECT c_custkey, list_reverse_sort([{{'gain': exp(-0.5 + 0.3 * wealth), 'f': exp(0.5), 'k': -1}}, {{'gain': exp(-0.4), 'f': exp(0.4), 'k': -2}}, {{'gain': exp(0.2), 'f': exp(0.6), 'k': -3}}]) AS o FROM s),
+l AS (SELECT *, 1.0 / 3.0 AS l0, (1.0 + o[1].f * o[1].gain) / (3.0 + o[1].f) AS l1,
+  (1.0 + o[1].f * o[1].gain + o[2].f * o[2].gain) / (3.0 + o[1].f + o[2].f) AS l2,
+  (1.0 + o[1].f * o[1].gain + o[2].f * o[2].gain + o[3].f * o[3].gain) / (3.0 + o[1].f + o[2].f + o[3].f) AS l3 FROM g),
+m AS (SELECT *, CASE WHEN o[1].gain <= l0 THEN l0 WHEN o[2].gain <= l1 THEN l1 WHEN o[3].gain <= l2 THEN l2 ELSE l3 END AS level,
+  CASE WHEN o[1].gain <= l0 THEN 0 WHEN o[2].gain <= l1 THEN 1 WHEN o[3].gain <= l2 THEN 2 ELSE 3 END AS n FROM l),
+q AS (SELECT c_custkey, 1.0 / level AS q0, [{{'k': o[1].k, 'q': CASE WHEN n >= 1 THEN (o[1].gain / level - 1.0) * o[1].f ELSE 0.0 END}},
+  {{'k': o[2].k, 'q': CASE WHEN n >= 2 THEN (o[2].gain / level - 1.0) * o[2].f ELSE 0.0 END}}, {{'k': o[3].k, 'q': CASE WHEN n >= 3 THEN (o[3].gain / level - 1.0) * o[3].f ELSE 0.0 END}}] AS q FROM m)
+SELECT c_custkey AS row_id, round(q0, 6) AS outside, round(list_filter(q, lambda x: x.k = -1)[1].q, 6) AS urgent,
+  round(list_filter(q, lambda x: x.k = -2)[1].q, 6) AS high, round(list_filter(q, lambda x: x.k = -3)[1].q, 6) AS other FROM q"""
+
+
+@_query(_ALLOCATION_SQL)
+def mdcev_allocation_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimal quantities of each row without errors."""
+    return _rounded(_mdcev(spark, sf_dir, True).allocation(3.0, "c_custkey"), *GOODS)
 
 
 @_query()
 def mdcev_ate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_mdcev(spark, sf_dir, True).ate({"rich": {"wealth": 1.0}}, budget=3.0, replications=20, id_column="c_custkey"), "share")
+    return _rounded(_mdcev(spark, sf_dir, True).ate({"rich": {"wealth": 1.0}}, budget=3.0, id_column="c_custkey"), "share")
 
 
 # --- ordered probit: a line's number; quality and toxicity of texts --------------------------------
@@ -370,7 +390,7 @@ def morp_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def morp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = MORP(_labels(spark, sf_dir), ["quality", "toxic"], {"quality": {"quality": "length"}, "toxic": {"toxic": "length"}}, structure="full")
-    return model.fit(40).to_dataframe(spark)
+    return model.fit().to_dataframe(spark)
 
 
 # --- multinomial probit: the flag of a line --------------------------------------------------------
@@ -416,14 +436,55 @@ def mnp_shares_iid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.ate(), "share")
 
 
-@_query()
+#: Nodes and weights on [0, 1] for the SQL's own integrals.
+_UNIT = [(float((1 + x) / 2), float(w / 2)) for x, w in zip(*np.polynomial.legendre.leggauss(24), strict=True)]
+
+
+def _normal_sql(h: str) -> str:
+    """Normal distribution as a half plus the integral of the density from zero."""
+    return f"(0.5 + ({h}) * 0.3989422804014327 * (" + " + ".join(f"{w!r} * exp(-0.5 * pow(({h}) * {x!r}, 2))" for x, w in _UNIT) + "))"
+
+
+def _pair_sql(h: str, k: str, rho: str) -> str:
+    """Bivariate normal distribution by the integral over the angle, for columns of limits and a correlation."""
+    turn = lambda x: f"sin(asin({rho}) * {x!r})"
+    inside = " + ".join(f"{w!r} * exp(({turn(x)} * {h} * {k} - ({h} * {h} + {k} * {k}) / 2.0) / (1.0 - pow({turn(x)}, 2)))" for x, w in _UNIT)
+    return f"({_normal_sql(h)} * {_normal_sql(k)} + asin({rho}) * 0.15915494309189535 * ({inside}))"
+
+
+def _probit_sql(rows: str, utilities: tuple, spread: tuple | None) -> str:
+    """p0, p1, p2 of ``rows`` (SQL with the columns of the utilities): independent unit errors, plus a coefficient of variance spread[0] on values spread[1]."""
+    zs, ps = [], []
+    for c in range(3):
+        i, k = (x for x in range(3) if x != c)
+        cov = {(a, b): f"({1.0 if a == b else 0.5}" + (f" + {spread[0]!r} * (({spread[1][a]}) - ({spread[1][c]})) * (({spread[1][b]}) - ({spread[1][c]})))" if spread else ")") for a in (i, k) for b in (i, k)}
+        zs += [f"(({utilities[c]}) - ({utilities[x]})) / sqrt({cov[x, x]}) AS z{c}{n}" for n, x in enumerate((i, k))]
+        zs.append(f"{cov[i, k]} / sqrt({cov[i, i]} * {cov[k, k]}) AS r{c}")
+        ps.append(f"{_pair_sql(f'z{c}0', f'z{c}1', f'r{c}')} AS p{c}")
+    return f"SELECT p0 / (p0 + p1 + p2) AS p0, p1 / (p0 + p1 + p2) AS p1, p2 / (p0 + p1 + p2) AS p2 FROM (SELECT {', '.join(ps)} FROM (SELECT {', '.join(zs)} FROM ({rows})))"
+
+
+def _random_sql() -> str:
+    run = lambda d: _probit_sql(f"SELECT l_quantity / 50.0 AS q, {d} AS d FROM lineitem", ("0.4 * q", "0.3", "-0.2 + 0.4 * d"), (float(np.exp(-1.4)), ("q", "0.0", "d")))
+    return " UNION ALL ".join(_shares_sql(FLAGS, f"'{s}' AS scenario, ").replace(" FROM p", f" FROM ({run(d)})") for s, d in (("baseline", "l_discount"), ("no_discount", "0.0")))
+
+
+def _mixture_sql() -> str:
+    share = float(1 / (1 + np.exp(0.4)))
+    rows = "SELECT row_number() OVER () AS r, l_quantity / 50.0 AS q, l_discount AS d FROM lineitem"
+    of = lambda b: _probit_sql("SELECT * FROM o", (f"{b[2]} * q", f"{b[0]}", f"{b[1]} + {b[2]} * d"), None)
+    means = [f"(SELECT avg(p{k}) FROM ({of(b)})) * {s!r}" for k in range(3) for b, s in (((0.3, -0.2, 0.4), share), ((-0.1, 0.2, 0.5), 1 - share))]
+    return f"WITH o AS ({rows}) " + " UNION ALL ".join(f"SELECT 'baseline' AS scenario, '{n}' AS alternative, round({means[2 * k]} + {means[2 * k + 1]}, 6) AS share" for k, n in enumerate(FLAGS))
+
+
+@_query(_random_sql())
 def mnp_random_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _flags(spark, sf_dir, random=["quantity"])
     model.from_estimates(MNP_BETA, theta_rest=[-0.7])
     return _rounded(model.ate({"no_discount": {"discount": 0.0}}), "share")
 
 
-@_query()
+@_query(_mixture_sql())
 def mnp_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _flags(spark, sf_dir, segments=2)
     model.from_estimates(MNP_BETA, theta_rest=[0.4, -0.1, 0.2, 0.5])
@@ -432,7 +493,7 @@ def mnp_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def mnp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir).fit(25).to_dataframe(spark)
+    return _flags(spark, sf_dir).fit().to_dataframe(spark)
 
 
 STATES = ("AF", "NF", "NO", "RF")

@@ -67,8 +67,16 @@ class Estimates:
     def to_pandas(self) -> pd.DataFrame:
         return pd.DataFrame({"parameter": self.names, "estimate": self.theta, "se": self.se, "t": self.t, "p": self.p})
 
+    def frozen(self, held: np.ndarray) -> Estimates:
+        """The same, with no standard errors for the parameters that a fit held."""
+        if self.cov is not None:
+            for cov in (self.cov, *self.extra.get("cov", {}).values()):
+                cov[held, :] = cov[:, held] = np.nan
+        return self
+
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.to_pandas())
+        """The estimates, with the fit's iterations and whether it converged on each row."""
+        return spark.createDataFrame(self.to_pandas().assign(iterations=self.iterations, converged=bool(self.converged)))
 
     def summary(self) -> str:
         head = f"rows {self.n}   mean log-likelihood {self.loglik:.6f}   iterations {self.iterations}   converged {self.converged}"

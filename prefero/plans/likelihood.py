@@ -2,8 +2,8 @@
 
 The driver holds the parameters; each call is one job that brings back the
 number of rows, the log-likelihood, the score and the scores' outer product.
-Scores are central differences of the kernel itself, so they belong to the very
-approximation that is maximised.
+Scores are a model's own where it has a closed form, and else central differences of
+the kernel itself, so they belong to the very approximation that is maximised.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 #: theta, columns as arrays -> log-likelihood of each row.
 Kernel = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
+#: The same, with the score of each row besides.
+Scored = Callable[[np.ndarray, dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
 STEP = 1e-5
 
 
 def as_arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {c: np.array(rows[c].tolist(), float) if rows[c].dtype == object else rows[c].to_numpy() for c in rows.columns}
+    return {c: np.stack(rows[c].to_numpy()).astype(float, copy=False) if rows[c].dtype == object else rows[c].to_numpy() for c in rows.columns}
 
 
 def _steps(theta: np.ndarray) -> np.ndarray:
@@ -39,10 +41,10 @@ def scores(kernel: Kernel, theta: np.ndarray, data: dict[str, np.ndarray], activ
 
 
 class Likelihood:
-    """A kernel over the rows of a table; ``weight`` names a column of weights."""
+    """A kernel over the rows of a table; ``weight`` names a column of weights, ``scored`` gives values and scores at once."""
 
-    def __init__(self, rows: DataFrame, kernel: Kernel, parameters: int, active: np.ndarray | None = None, weight: str | None = None) -> None:
-        self.rows, self.kernel, self.weight = rows.persist(), kernel, weight
+    def __init__(self, rows: DataFrame, kernel: Kernel, parameters: int, active: np.ndarray | None = None, weight: str | None = None, scored: Scored | None = None) -> None:
+        self.rows, self.kernel, self.weight, self.scored = rows.persist(), kernel, weight, scored
         self.active = np.ones(parameters, bool) if active is None else np.asarray(active, bool)
 
     def close(self) -> None:
@@ -63,6 +65,18 @@ class Likelihood:
         sums = self.rows.mapInPandas(task, "s array<double>").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(size)]).alias("s"))
         return np.array(sums.collect()[0]["s"], float)  # one row
 
+    def _both(self) -> Callable:
+        """Values and weighted scores of rows, by the model's closed form or by differences."""
+        kernel, scored = self.kernel, self.scored
+
+        def of(theta: np.ndarray, data: dict[str, np.ndarray], active: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if scored is None:
+                return kernel(theta, data), scores(kernel, theta, data, active, w)
+            value, s = scored(theta, data)
+            return value, s * active * w[:, None]
+
+        return of
+
     def value(self, theta: np.ndarray) -> tuple[float, float]:
         """Rows and log-likelihood."""
         kernel = self.kernel
@@ -71,18 +85,18 @@ class Likelihood:
 
     def at(self, theta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         """Rows, log-likelihood, score and the scores' outer product."""
-        kernel, active, p = self.kernel, self.active, len(theta)
+        both, active, p = self._both(), self.active, len(theta)
 
         def of(data: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
-            s = scores(kernel, theta, data, active, w)
-            return np.concatenate([[len(w), (w * kernel(theta, data)).sum()], s.sum(axis=0), (s.T @ s).ravel()])
+            value, s = both(theta, data, active, w)
+            return np.concatenate([[len(w), (w * value).sum()], s.sum(axis=0), (s.T @ s).ravel()])
 
         out = self._sums(of, 2 + p + p * p)
         return out[0], out[1], out[2 : 2 + p], out[2 + p :].reshape(p, p)
 
     def hessian(self, theta: np.ndarray) -> np.ndarray:
         """Negative Hessian of the log-likelihood, by differences of the score in one job."""
-        kernel, active, p = self.kernel, self.active, len(theta)
+        both, active, p = self._both(), self.active, len(theta)
 
         def of(data: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
             out = np.zeros((p, p))
@@ -90,7 +104,7 @@ class Likelihood:
                 if active[i]:
                     e = np.zeros(p)
                     e[i] = h
-                    out[i] = (scores(kernel, theta + e, data, active, w).sum(axis=0) - scores(kernel, theta - e, data, active, w).sum(axis=0)) / (2 * h)
+                    out[i] = (both(theta + e, data, active, w)[1].sum(axis=0) - both(theta - e, data, active, w)[1].sum(axis=0)) / (2 * h)
             return out.ravel()
 
         h = self._sums(of, p * p).reshape(p, p)

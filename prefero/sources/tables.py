@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,20 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
 
 
 def _spaced(spark: SparkSession, path: str) -> DataFrame:
+    """Lines whose fields stand between commas, if the first line has one, else between white space.
+
+    An empty field between commas is null.  A column is long or double if all its values are, else a string.
+    """
     lines = spark.read.text(path).where(F.trim("value") != "")
     first = lines.first()
     if first is None:
         return spark.createDataFrame([], "value string")
-    names = [n for n in first[0].replace(",", " ").split() if n]
-    fields = F.split(F.trim(F.regexp_replace("value", r"[\s,]+", " ")), " ")
-    rows = lines.where(F.col("value") != first[0]).select(*[F.try_element_at(fields, F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
-    return rows.select(*[F.expr(f"try_cast(`{n}` AS DOUBLE)").alias(n) for n in names])
+    between = "," if "," in first[0] else r"\s+"
+    names = [n.strip() for n in re.split(between, first[0].strip())]
+    fields = F.split(F.trim("value"), between)
+    cell = lambda i: F.trim(F.try_element_at(fields, F.lit(i + 1)))
+    rows = lines.where(F.col("value") != first[0]).select(*[F.when(cell(i) != "", cell(i)).alias(n) for i, n in enumerate(names)])
+    reads = lambda n, kind: F.coalesce(F.bool_and(F.expr(f"`{n}` IS NULL OR try_cast(`{n}` AS {kind}) IS NOT NULL")), F.lit(False))
+    kinds = rows.agg(*[reads(n, k).alias(f"{k}{i}") for i, n in enumerate(names) for k in ("long", "double")]).first()
+    kind = lambda i: "long" if kinds[f"long{i}"] else "double" if kinds[f"double{i}"] else "string"
+    return rows.select(*[F.col(f"`{n}`").cast(kind(i)).alias(n) for i, n in enumerate(names)])
