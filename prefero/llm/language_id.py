@@ -16,7 +16,6 @@ columns pass through, and one named as the result is replaced.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,15 +30,21 @@ from prefero.llm.token_counts import blocks
 #: N-grams in a profile.
 PROFILE = 300
 UNKNOWN = "und"
-#: What Python counts as part of a word though it is no letter: numbers that are no decimal digits.
-NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS = re.compile(rf"[^\W\d_{NO_LETTERS}]+")
+WORDS = re.compile(r"[^\W\d_]+")
 #: N-grams that a task counts before it hands them on.
 HELD = 500_000
 #: Bits of one code point in an n-gram's number.
 BITS = 21
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case.  Python's word characters hold numbers that are no digits, too: those end a run."""
+    found = WORDS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 def _points(joined: str) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
 
@@ -78,7 +83,7 @@ def gram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
 
 def document_ranks(text: str) -> np.ndarray:
     """A document's most frequent n-grams, the most frequent first, ties by number."""
-    words = WORDS.findall(text.lower())
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.int64)
     points = _points(" " + " ".join(words) + " ")
@@ -101,7 +106,7 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for block in blocks(texts):
                 words: Counter = Counter()
                 for t in block:
-                    words.update(WORDS.findall(t.lower()))
+                    words.update(words_of(t))
                 if words:
                     mine = held[lang]
                     for c, n in zip(*map(np.ndarray.tolist, gram_counts(words)), strict=True):
