@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from prefero.functions.algebra import ARRAYS, COLUMNS, product, total
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, reader, scenarios_of
-from prefero.operators.spec import Design, compile_spec, given
+from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, scenarios_of
+from prefero.operators.spec import Design, compile_spec, complete, given
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
@@ -101,9 +101,11 @@ class MDCEV:
 
     def __init__(self, df: DataFrame, goods: Sequence[str], utility: Mapping, satiation: Mapping, prices: Sequence[str] | None = None, traditional: bool = True, weight: str | None = None, se: str = "bhhh", all_se: bool = False) -> None:
         self.all_se = all_se
-        self.df, self.goods, self.traditional, self.weight, self.se = df, list(goods), traditional, weight, se
+        self.given, self.goods, self.traditional, self.weight, self.se = df, list(goods), traditional, weight, se
         self.x, self.z = compile_spec(utility, goods, df.columns), compile_spec(satiation, goods, df.columns)
         self.prices = prices
+        self.used = [*self.x.columns(), *self.z.columns(), *(prices or []), *([weight] if weight else [])]
+        self.df = complete(df, self.used)
         self.results: Estimates | None = None
 
     def _price(self, read=given) -> list[Column]:
@@ -139,7 +141,7 @@ class MDCEV:
         return active
 
     def fit(self, iterations: int = 200) -> Estimates:
-        refuse_nulls(self.df, list(dict.fromkeys([*self.x.columns(), *self.z.columns(), *self.goods, *(self.prices or []), *([self.weight] if self.weight else [])])))
+        refuse_nulls(self.given, list(dict.fromkeys([*self.used, *self.goods])))
         rows = self.df.select(*self._packed(), *([given(self.weight).alias("w")] if self.weight else []))
         lik = Likelihood(rows, self._kernel(), len(self.names), self._active(), "w" if self.weight else None)
         try:
@@ -171,14 +173,16 @@ class MDCEV:
         weight = given(self.weight) if self.weight else 1.0
         return loglik(v, [F.exp(x) for x in u], [given(g) for g in self.goods], self._price(), float(math.exp(theta[-1])), self.traditional, weight)
 
-    def _simulated(self, runs: Mapping[str, list[Column]], budget: str | float, id_column: str | None) -> tuple[DataFrame, Callable]:
+    def _simulated(self, runs: Mapping[str, list[Column]], budget: str | float, id_column: str | None, more: Sequence[str] = ()) -> tuple[DataFrame, Callable]:
         """Rows with the packed columns of every run, and what allocates a batch of them for one run and replication."""
         theta, j, nx, nz = self.results.extra["theta"], len(self.goods), len(self.x.names), len(self.z.names)
         sigma, names = float(math.exp(theta[-1])), list(runs)
-        money = given(budget) if isinstance(budget, str) and budget in self.df.columns else F.lit(1.0 if isinstance(budget, str) else float(budget))
+        of_table = isinstance(budget, str) and budget in self.df.columns
+        money = given(budget) if of_table else F.lit(1.0 if isinstance(budget, str) else float(budget))
         row_id = given(id_column).cast("long") if id_column else F.xxhash64(*self._packed(quantities=False))
         packed = [c.alias(f"{n}{i}") for i, cols in enumerate(runs.values()) for c, n in zip(cols, "xzp", strict=True)]
-        rows = self.df.select(row_id.alias("row_id"), *packed, money.alias("budget"))
+        whole = complete(self.df, [*more, *([budget] if of_table else []), *([id_column] if id_column else [])])
+        rows = whole.select(row_id.alias("row_id"), *packed, money.alias("budget"))
 
         def prepared(part: pd.DataFrame) -> Callable[[str, int, int], np.ndarray]:
             n, data = len(part), as_arrays(part)
@@ -205,7 +209,7 @@ class MDCEV:
         Replications are made where the rows are: a row crosses to its task once.
         """
         goods = self.goods
-        rows, prepared = self._simulated({"": self._packed(overrides, quantities=False)}, budget, id_column)
+        rows, prepared = self._simulated({"": self._packed(overrides, quantities=False)}, budget, id_column, read_by([overrides]))
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
@@ -230,10 +234,10 @@ class MDCEV:
 
         return rows.mapInPandas(task, "row_id long, " + ", ".join(f"`{g}` double" for g in goods))
 
-    def _rates(self, runs: Mapping[str, list[Column]], budget: str | float = "tot", replications: int = 200, seed: int = 1234, id_column: str | None = None) -> DataFrame:
+    def _rates(self, runs: Mapping[str, list[Column]], budget: str | float = "tot", replications: int = 200, seed: int = 1234, id_column: str | None = None, more: Sequence[str] = ()) -> DataFrame:
         """scenario, good, participation, quantity: all runs and replications in one pass, each task summing its own."""
         goods, names = self.goods, list(runs)
-        rows, prepared = self._simulated(runs, budget, id_column)
+        rows, prepared = self._simulated(runs, budget, id_column, more)
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             used, total, n = np.zeros((len(names), len(goods))), np.zeros((len(names), len(goods))), 0
@@ -253,7 +257,7 @@ class MDCEV:
 
     def participation(self, overrides: Overrides = {}, **kwargs) -> DataFrame:  # noqa: B006
         """Each good's share of forecasts in which it is consumed, and its mean quantity: good, participation, quantity."""
-        return self._rates({"": self._packed(overrides, quantities=False)}, **kwargs).select("good", "participation", "quantity")
+        return self._rates({"": self._packed(overrides, quantities=False)}, more=read_by([overrides]), **kwargs).select("good", "participation", "quantity")
 
     def predict(self, **kwargs) -> DataFrame:
         """good, rate: participation rates normalised to one, the outside good's taken as one."""
@@ -267,7 +271,7 @@ class MDCEV:
     def ate(self, scenarios: Scenarios, **kwargs) -> DataFrame:
         """scenario, alternative, share: participation under the table as it is and under each scenario, in one pass."""
         runs = {"baseline": {}} | scenarios_of(scenarios)
-        return self._shares({s: self._packed(o, quantities=False) for s, o in runs.items()}, **kwargs)
+        return self._shares({s: self._packed(o, quantities=False) for s, o in runs.items()}, more=read_by(runs.values()), **kwargs)
 
     def ate_cell(self, good: str, coefficient: str, base: float, treatment: float, **kwargs) -> DataFrame:
         """The same with one cell of the utility's design held at ``base`` and at ``treatment``."""

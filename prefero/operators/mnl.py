@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefero.functions.algebra import COLUMNS, total
-from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, reader, scenarios_of
-from prefero.operators.spec import Design, choice_index, compile_spec, given
+from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, scenarios_of
+from prefero.operators.spec import Design, choice_index, compile_spec, complete, given
 from prefero.plans.estimates import Estimates, covariance
 from prefero.plans.optim import newton
 
@@ -90,15 +90,17 @@ class MNL:
     """
 
     def __init__(self, df: DataFrame, alternatives: Sequence[str], spec: Mapping[str, Mapping[str, object]], availability: Sequence[str] | None = None, se: str = "bhhh") -> None:
-        self.df, self.se = df, se
+        self.given, self.se = df, se
         self.design = compile_spec(spec, alternatives, df.columns)
         self.y = choice_index(alternatives) if set(alternatives) <= set(df.columns) else F.col("choice")
         self.available = None if availability is None else [given(c) for c in availability]
-        self.used = list(dict.fromkeys([*self.design.columns(), *(availability or []), *(alternatives if set(alternatives) <= set(df.columns) else ["choice"])]))
+        self.asked = [*self.design.columns(), *(availability or [])]
+        self.used = list(dict.fromkeys([*self.asked, *(alternatives if set(alternatives) <= set(df.columns) else ["choice"])]))
+        self.df = complete(df, self.asked)
         self.results: Estimates | None = None
 
     def fit(self, start: Sequence[float] | None = None) -> Estimates:
-        refuse_nulls(self.df, self.used)
+        refuse_nulls(self.given, self.used)
         rows = self.df.persist()
         try:
             def objective(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -121,7 +123,7 @@ class MNL:
 
     def predict(self, df: DataFrame | None = None) -> DataFrame:
         """The table with p_<alternative> for each alternative and the most likely one's number."""
-        df = self.df if df is None else df
+        df = self.df if df is None else complete(df, self.asked)
         p = self._shares({})
         best = F.array_position(F.array(*p), F.array_max(F.array(*p))) - 1
         return df.select("*", *[c.alias(f"p_{a}") for c, a in zip(p, self.design.alternatives, strict=True)], best.cast("int").alias("predicted"))
@@ -129,7 +131,7 @@ class MNL:
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, alternative, share: mean probabilities, for the table as it is and under each scenario."""
         runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
-        return mean_by_scenario(self.df, {s: self._shares(o) for s, o in runs.items()}, self.design.alternatives)
+        return mean_by_scenario(complete(self.df, read_by(runs.values())), {s: self._shares(o) for s, o in runs.items()}, self.design.alternatives)
 
     def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:
         """Shares with one cell of the design held at ``base`` and at ``treatment``."""

@@ -14,8 +14,8 @@ from prefero.functions.distributions import bivariate_normal_cdf, normal_cdf
 from prefero.kernels.matrices import angles_of_correlation, correlation_of_angles, jacobian
 from prefero.kernels.mvn import density, mvn_cdf, phi, phi2
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, reader, scenarios_of
-from prefero.operators.spec import Design, choice_index, compile_spec, given
+from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, scenarios_of
+from prefero.operators.spec import Design, choice_index, compile_spec, complete, given
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
@@ -92,13 +92,14 @@ class MNP:
         self.all_se = all_se
         if structure not in STRUCTURES:
             raise ValueError(f"no such structure: {structure!r}")
-        self.df, self.alternatives, self.structure, self.segments, self.method, self.se = df, list(alternatives), structure, segments, method, se
+        self.given, self.alternatives, self.structure, self.segments, self.method, self.se = df, list(alternatives), structure, segments, method, se
         self.design = compile_spec(spec, alternatives, df.columns)
         missing = [r for r in random if r not in self.design.names]
         if missing:
             raise ValueError(f"random coefficients that the specification lacks: {missing}")
         self.random, self.correlated = [self.design.names.index(r) for r in random], correlated
         self.available, self.has_choice = availability, set(alternatives) <= set(df.columns)
+        self.df = complete(df, [*self.design.columns(), *(availability or [])])
         self.results: Estimates | None = None
 
     def _spread_size(self) -> int:
@@ -180,7 +181,7 @@ class MNP:
 
     def _plain(self) -> MNP:
         twin = object.__new__(MNP)
-        twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "results")}
+        twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "given", "results")}
         return twin
 
     def _packed(self, overrides: Overrides = {}, design: Design | None = None) -> list[Column]:  # noqa: B006
@@ -232,7 +233,7 @@ class MNP:
     def fit(self, iterations: int = 200, active: np.ndarray | None = None, start: np.ndarray | None = None, seed: int = 0) -> Estimates:
         if active is not None and len(active) != len(self.names):
             raise ValueError(f"a mask of {len(active)} for {len(self.names)} parameters")
-        refuse_nulls(self.df, self.used)
+        refuse_nulls(self.given, self.used)
         j, v, twin = len(self.alternatives), len(self.design.names), self._plain()
         y = choice_index(self.alternatives) if self.has_choice else F.col("choice")
 
@@ -308,13 +309,13 @@ class MNP:
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, alternative, share: mean probabilities, all scenarios in one pass."""
         runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
-        return self._means({s: self._packed(o) for s, o in runs.items()})
+        return self._means({s: self._packed(o) for s, o in runs.items()}, read_by(runs.values()))
 
     def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:
         """Shares with one cell of the design held at ``base`` and at ``treatment``."""
         return self._means({s: self._packed(design=self.design.with_cell(alternative, coefficient, to)) for s, to in (("base", base), ("treatment", treatment))})
 
-    def _means(self, runs: Mapping[str, list[Column]]) -> DataFrame:
+    def _means(self, runs: Mapping[str, list[Column]], more: Sequence[str] = ()) -> DataFrame:
         twin, j, names = self._ready(), len(self.alternatives), list(runs)
         columns = [c.alias(f"{c_name}{i}") for i, packed in enumerate(runs.values()) for c, c_name in zip(packed, ("x", "a"), strict=True)]
 
@@ -327,5 +328,5 @@ class MNP:
                     n += len(rows)
             yield pd.DataFrame({"scenario": np.repeat(names, j), "alternative": twin.alternatives * len(names), "s": total.ravel(), "n": n})
 
-        sums = self.df.select(*columns).mapInPandas(task, "scenario string, alternative string, s double, n long")
+        sums = complete(self.df, more).select(*columns).mapInPandas(task, "scenario string, alternative string, s double, n long")
         return sums.groupBy("scenario", "alternative").agg((F.sum("s") / F.sum("n")).alias("share"))

@@ -15,8 +15,8 @@ from prefero.functions.distributions import normal_cdf
 from prefero.kernels.matrices import angles_of_correlation, correlation_of_angles, jacobian
 from prefero.kernels.mvn import mvn_rectangle
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, reader, scenarios_of
-from prefero.operators.spec import Design, compile_spec, rebased
+from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, scenarios_of
+from prefero.operators.spec import Design, compile_spec, complete, rebased
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
 from prefero.plans.optim import minimize
@@ -43,8 +43,9 @@ class MORP:
         self.all_se = all_se
         if structure not in STRUCTURES:
             raise ValueError(f"no such structure: {structure!r}")
-        self.df, self.outcomes, self.structure, self.fix_scales, self.method, self.se = df, list(outcomes), structure, fix_scales, method, se
+        self.given, self.outcomes, self.structure, self.fix_scales, self.method, self.se = df, list(outcomes), structure, fix_scales, method, se
         self.design = compile_spec(spec, outcomes, df.columns)
+        self.df = complete(df, self.design.columns())
         self.lowest: list[float] | None = None
         self.categories: list[int] | None = None
         self.results: Estimates | None = None
@@ -52,7 +53,7 @@ class MORP:
     def bind(self) -> None:
         """Learn each outcome's lowest category and number of categories, once."""
         if self.categories is None:
-            row = self.df.agg(*[F.min(o).alias(f"a{i}") for i, o in enumerate(self.outcomes)], *[F.max(o).alias(f"b{i}") for i, o in enumerate(self.outcomes)]).collect()[0]
+            row = self.given.agg(*[F.min(o).alias(f"a{i}") for i, o in enumerate(self.outcomes)], *[F.max(o).alias(f"b{i}") for i, o in enumerate(self.outcomes)]).collect()[0]
             if any(row[f"a{i}"] is None for i in range(len(self.outcomes))):
                 raise ValueError("an outcome has no values: the table is empty, or holds nulls alone")
             self.lowest = [float(row[f"a{i}"]) for i in range(len(self.outcomes))]
@@ -118,8 +119,8 @@ class MORP:
         return np.concatenate([*parts, np.zeros(len(self.names) - sum(map(len, parts)))])
 
     def fit(self, iterations: int = 200) -> Estimates:
+        refuse_nulls(self.given, [*self.design.columns(), *self.outcomes])
         self.bind()
-        refuse_nulls(self.df, [*self.design.columns(), *self.outcomes])
         d, v = len(self.outcomes), len(self.design.names)
         lik = Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names))
         try:
@@ -142,7 +143,7 @@ class MORP:
     def _plain(self) -> MORP:
         """A copy without the table, to go with a task."""
         twin = object.__new__(MORP)
-        twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "results")}
+        twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "given", "results")}
         return twin
 
     def _kernel(self, d: int, v: int):
@@ -196,15 +197,15 @@ class MORP:
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, outcome, category, share: mean marginal probabilities."""
         runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
-        return self._means({s: self._marginals(o) for s, o in runs.items()})
+        return self._means({s: self._marginals(o) for s, o in runs.items()}, read_by(runs.values()))
 
     def ate_cell(self, outcome: str, coefficient: str, base: float, treatment: float) -> DataFrame:
         """The same with one cell of the design held at ``base`` and at ``treatment``."""
         return self._means({s: self._marginals(design=self.design.with_cell(outcome, coefficient, to)) for s, to in (("base", base), ("treatment", treatment))})
 
-    def _means(self, runs: Mapping[str, list[list[Column]]]) -> DataFrame:
+    def _means(self, runs: Mapping[str, list[list[Column]]], more: Sequence[str] = ()) -> DataFrame:
         labels = [f"{o}:{c}" for o, c in self._labels()]
-        found = mean_by_scenario(self.df, {s: [p for ps in marginals for p in ps] for s, marginals in runs.items()}, labels)
+        found = mean_by_scenario(complete(self.df, more), {s: [p for ps in marginals for p in ps] for s, marginals in runs.items()}, labels)
         cut = F.length("alternative") - F.length(F.substring_index("alternative", ":", -1)) - 1
         return found.select("scenario", F.col("alternative").substr(F.lit(1), cut).alias("outcome"), F.substring_index("alternative", ":", -1).cast("int").alias("category"), "share")
 

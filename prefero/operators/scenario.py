@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,11 @@ def reader(columns: Sequence[str], overrides: Overrides) -> Callable[[str], Colu
     return read
 
 
+def read_by(scenarios: Iterable[Overrides]) -> list[str]:
+    """The columns that scenarios put in place of others."""
+    return [to for overrides in scenarios for to in overrides.values() if isinstance(to, str)]
+
+
 def apply_overrides(df: DataFrame, overrides: Overrides) -> DataFrame:
     reader(df.columns, overrides)  # refuses names that the table lacks
     return df.withColumns({name: (F.col(to) if isinstance(to, str) else F.lit(float(to))).cast("double") for name, to in overrides.items()})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Cell = str | float | None
@@ -17,8 +17,23 @@ ZERO, ONE = "sero", "uno"
 
 
 def given(name: str) -> Column:
-    """A column of the model as a double; a null in it stops the job, so no row drops out of a mean unseen."""
-    return F.coalesce(F.col(name).cast("double"), F.raise_error(F.lit(f"null in column {name!r} of the model")).cast("double"))
+    """A column of the model as a double."""
+    return F.col(name).cast("double")
+
+
+def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``df``, stopping the job that meets a null in one of the columns, so that no row drops out of a mean unseen.
+
+    One check a row, in the pass that reads it.
+    """
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return df
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(f"`{c}`").isNotNull()
+    names = F.concat_ws(", ", *[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in columns])
+    return df.where(F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("nulls in columns of the model: "), names)).cast("boolean")))
 
 
 @dataclass(frozen=True)
@@ -96,7 +111,7 @@ def spec_of_matrix(matrix: Sequence[Sequence[object]], alternatives: Sequence[st
 
 
 def choice_index(indicators: Sequence[str]) -> Column:
-    """Number of the first of the greatest indicators, from 0; a row of zeros is 0, a null stops the job."""
+    """Number of the first of the greatest indicators, from 0; a row of zeros is 0."""
     values = F.array(*[given(c) for c in indicators])
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 

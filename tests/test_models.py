@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from prefero.kernels.mvn import mvn_cdf
 from prefero.operators import mdcev, mnp
@@ -200,3 +201,101 @@ def test_covariances_agree_when_information_does():
         np.testing.assert_allclose(covariance(kind, h, h), np.linalg.inv(h))
     with pytest.raises(ValueError):
         covariance("other", h, h)
+
+
+def test_nulls_are_refused_everywhere(spark):
+    """A null in a column of a model stops fits, predictions and effects alike; shares of whole tables add up to one."""
+    df = spark.createDataFrame(choices(40).assign(a=1.0, other=2.0))
+    hole = lambda c: df.withColumn(c, F.when(F.col("x0") > F.lit(0.0), F.col(c)))
+    for column in ("a", "x1"):
+        m = MNL(hole(column), ALTS, SPEC, availability=["a", "a", "a"])
+        m.from_estimates([0.1, 0.2, 0.3])
+        p = MNP(hole(column), ALTS, SPEC, availability=["a", "a", "a"])
+        p.from_estimates([0.1, 0.2, 0.3])
+        for act in (m.fit, p.fit):
+            with pytest.raises(ValueError, match="nulls"):
+                act()
+        for act in (lambda m=m: m.predict().collect(), lambda m=m: m.ate().collect(), lambda p=p: p.predict().collect(), lambda p=p: p.ate().collect()):
+            with pytest.raises(Exception, match="nulls in columns of the model: " + column):
+                act()
+    with pytest.raises(ValueError, match="nulls"):
+        MNL(hole("c1"), ALTS, SPEC).fit()
+    m = MNL(hole("other"), ALTS, SPEC)
+    m.from_estimates([0.1, 0.2, 0.3])
+    assert m.ate({"s": {"x1": 1.0}}).groupBy("scenario").sum("share").collect()[0][1] == pytest.approx(1)
+    with pytest.raises(Exception, match="nulls in columns"):
+        m.ate({"s": {"x1": "other"}}).collect()
+    money = spark.createDataFrame(spending(20).assign(price=1.0, w=1.0, tot=3.0))
+    goods = ["out", "a", "b"]
+    for column in ("price", "w", "tot", "x1", "a"):
+        d = money.withColumn(column, F.when(F.col("id") != 3, F.col(column)))
+        c = MDCEV(d, goods, {"x": {"a": "x1"}}, {"ga": {"a": "uno"}}, prices=["price"] * 3, weight="w")
+        c.from_estimates([0.1], [0.2], 1.0)
+        if column != "tot":
+            with pytest.raises(ValueError, match="nulls"):
+                c.fit()
+        if column != "a":  # forecasts do not read quantities
+            with pytest.raises(Exception, match="nulls in columns"):
+                c.participation(replications=2).collect()
+
+
+def test_probit_scores_by_differences(spark):
+    """The closed-form score of two and three alternatives, with and without all of them available."""
+    from prefero.plans.likelihood import scores
+
+    rng = np.random.default_rng(3)
+    for alts, structure in ((2, "iid"), (3, "iid"), (3, "heteronly"), (3, "full")):
+        names = ALTS[:alts]
+        spec = {"asc1": {"c1": "uno"}, "b": {a: f"x{k}" for k, a in enumerate(names)}}
+        m = MNP(spark.createDataFrame(choices(5)), names, spec, structure=structure)
+        n, j, v = 60, alts, 2
+        data = {"x": rng.normal(size=(n, j, v)), "y": rng.integers(0, j, n), "a": np.ones((n, j))}
+        data["a"][: n // 3, 1] = data["y"][: n // 3] == 1
+        theta = rng.normal(0, 0.3, len(m.names))
+        kernel = lambda t, d, m=m: np.log(m.row_probabilities(t, d["x"], d["y"], d["a"]))
+        value, score = m.row_scores(theta, data["x"], data["y"], data["a"])
+        np.testing.assert_allclose(value, kernel(theta, data), atol=1e-9)
+        np.testing.assert_allclose(score, scores(kernel, theta, data, np.ones(len(theta), bool), np.ones(n)), atol=2e-6)
+
+
+def test_frozen_parameters(spark):
+    df = spark.createDataFrame(choices(100, noise="normal"))
+    r = MNP(df, ALTS, SPEC).fit(30, active=np.array([True, False, True]))
+    assert np.isnan(r.se[1]) and (r.se[[0, 2]] > 0).all() and r.theta[1] == 0
+    with pytest.raises(ValueError, match="mask"):
+        MNP(df, ALTS, SPEC).fit(active=np.array([True, False]))
+
+
+def test_effects_of_one_cell_and_comparisons(spark):
+    """One cell held at two values equals a scenario where the column is that cell alone; comparisons of ordinal outcomes."""
+    from prefero.operators.scenario import comparison, summary
+
+    df = spark.createDataFrame(choices(60))
+    as_dict = lambda rows, *keys: {tuple(r[k] for k in keys): r["share"] for r in rows.collect()}
+    m = MNP(df, ALTS, SPEC)
+    m.from_estimates([0.4, -0.3, 0.8])
+    cell, whole = as_dict(m.ate_cell("c1", "b", 0.0, 1.0), "scenario", "alternative"), as_dict(m.ate({"s": {"x1": 1.0}}), "scenario", "alternative")
+    assert all(cell["treatment", a] == pytest.approx(whole["s", a]) for a in ALTS)
+    o = MORP(spark.createDataFrame(ordinal(80)), ["y1", "y2"], ORD)
+    o.from_estimates([0.5, -0.3], [(-0.5, 0.5), (-0.3, 0.7)])
+    cell, whole = (as_dict(x, "scenario", "outcome", "category") for x in (o.ate_cell("y1", "a", 0.0, 1.0), o.ate({"s": {"x1": 1.0}})))
+    assert all(cell["treatment", k, c] == pytest.approx(whole["s", k, c]) for _, k, c in cell)
+    table = comparison(o.ate({"s": {"x1": 1.0}}), "baseline", "s").toPandas()
+    assert len(table) == 6 and table.groupby("outcome")[["base", "treatment"]].sum().to_numpy() == pytest.approx(np.ones((2, 2)))
+    assert "y1" in summary(o.ate())
+    with pytest.raises(ValueError, match="no values"):
+        MORP(spark.createDataFrame(ordinal(5)).limit(0), ["y1", "y2"], ORD).fit()
+    c = MDCEV(spark.createDataFrame(spending(30)), ["out", "a", "b"], {"x": {"a": "x1", "b": "x2"}}, {"ga": {"a": "uno"}})
+    c.from_estimates([0.4], [0.2], 1.0)
+    kw = {"budget": 3.0, "replications": 3, "id_column": "id"}
+    cell, whole = as_dict(c.ate_cell("a", "x", 0.0, 1.0, **kw), "scenario", "alternative"), as_dict(c.ate({"s": {"x1": 1.0}}, **kw), "scenario", "alternative")
+    assert all(cell["treatment", g] == pytest.approx(whole["s", g]) for g in ("out", "a", "b"))
+
+
+def test_tables_of_text(spark, tmp_path):
+    from prefero.sources.tables import read_table
+
+    (tmp_path / "a.txt").write_text("id,name,x\n1,bob,2\n2,,3\n3,al,\n\n")
+    assert [tuple(r) for r in read_table(spark, str(tmp_path / "a.txt")).collect()] == [(1, "bob", 2), (2, None, 3), (3, "al", None)]
+    (tmp_path / "b.dat").write_text("  id   x\n 1\t0.5\n2   1\n")
+    assert [tuple(r) for r in read_table(spark, str(tmp_path / "b.dat")).collect()] == [(1, 0.5), (2, 1.0)]
