@@ -210,7 +210,7 @@ def test_near_duplicates_by_scattered_edits(spark):
     got = {r["doc_id"]: r["class_size"] for r in order_minhash.with_classes(df).collect()}
     short = {i for i, t in rows if len(t.split()) <= 34}
     assert all(got[i] == 2 for i in short) and max(got.values()) == 2
-    for s, least in ((0.8, 0.85), (0.85, 0.98), (0.9, 1.0)):
+    for s, least in ((0.8, 0.97), (0.85, 0.99), (0.9, 1.0)):
         of = [got[i] == 2 for i, x in share.items() if x == s]
         assert len(of) >= 100 and np.mean(of) >= least, s
 
