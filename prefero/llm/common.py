@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,20 +35,55 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Folder of each staged table; tables staged inside each open ``scratch`` block, the innermost last.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OPEN: list[list[DataFrame]] = []
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    path = _FOLDERS.pop(df, None)
+    if path:
+        files, place = _place(df.sparkSession, path)
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside the block go when it ends; what outlives it is staged with ``outlives``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            discard(df)
+
+
+def staged(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, keeps the result if executors are lost, and freezes what
     an upstream plan might otherwise compute differently the second time.  The
-    folder goes when the driver ends.
+    folder goes with the ``scratch`` block around it (``outlives``: the block around
+    that), at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prefero-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    around = _OPEN[: len(_OPEN) - outlives]
+    if around:
+        around[-1].append(out)
+    return out
 
 
 def _cell_bytes(cell: Column, kind: T.DataType) -> Column:

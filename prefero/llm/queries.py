@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
+from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters, vector_codes
 from prefero.llm.common import LOWER, UPPER, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
@@ -116,8 +116,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e.cast("long")), 2, "0"))), "")
+    found = vector_codes.with_label_errors(coded)
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language, op13_vector_codes)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
@@ -186,5 +193,38 @@ FROM p LEFT JOIN m ON m.n = 1 AND p.page_id IS NOT DISTINCT FROM m.page_id AND p
 """
 
 
+def _op13_sql() -> str:
+    """All rounds spelled out; each part meets every entry of its codebook."""
+    far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    out = """
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS r, q
+  FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), v AS MATERIALIZED (
+  SELECT r, p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS x FROM k, range(8) AS t(p)
+), b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM v WHERE r <= 16)"""
+    for turn in range(7):
+        out += f""", a{turn} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min(ROW({far}, e)) AS m FROM v JOIN b{turn} USING (p) GROUP BY r, p
+)"""
+        if turn < 6:
+            out += f""", s{turn} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, m[2] AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{turn}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL) GROUP BY p, e
+), b{turn + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{turn}.c, b{turn}.c) AS c FROM b{turn} LEFT JOIN s{turn} USING (p, e))"""
+    return (
+        out
+        + """, o AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', m[2]::INT), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM k JOIN a6 USING (r) GROUP BY k.r, k.vec_id, k.label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b6) AS codebooks_sha256
+FROM o
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql(), "op13_vector_codes": _op13_sql()}
