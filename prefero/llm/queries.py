@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table."""
+"""The queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters, vector_codes
+from prefero.llm import conversation_repair, decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters, vector_codes
 from prefero.llm.common import LOWER, UPPER, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
@@ -116,6 +116,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut short, repeated or given to the user, as the hash of their key says."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20).alias("k"))
+    k = F.col("k")
+    role = F.when(k == 4, "user").otherwise(F.col("role"))
+    said = F.when(k == 1, "").when(k == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(k == 0, 0).when(k == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), said.alias("text"), F.explode(F.array_repeat(F.lit(0), times))).drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repaired(damaged(every)).withColumnRenamed("conv_id", "_conv_id")
+    ids = every.select("conv_id").distinct()
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    joined = ids.join(found, ids["conv_id"].eqNullSafe(found["_conv_id"]), "left")
+    return joined.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
     code = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e.cast("long")), 2, "0"))), "")
@@ -124,7 +144,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language, op12_conversation_repair, op13_vector_codes)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
@@ -193,6 +213,54 @@ FROM p LEFT JOIN m ON m.n = 1 AND p.page_id IS NOT DISTINCT FROM m.page_id AND p
 """
 
 
+#: Checksum bit by bit; ways keep the initials said so far, which a pattern accepts or not.
+OP12_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT),
+      lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, b)), 4294967295::BIGINT), 4294967295) % 20 AS k
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM r, LATERAL (SELECT unnest(range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)))
+), o AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS ink FROM d
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS MATERIALIZED (
+  SELECT *, ink = '' AS blank, ink <> '' AND seen > 1 AS duplicate, ink <> '' AND seen = 1 AND right(ink, 1) NOT IN ('.', '!', '?') AS truncated,
+    before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o)
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INT)::BIGINT AS blank, sum(duplicate::INT)::BIGINT AS duplicate,
+    sum(truncated::INT)::BIGINT AS truncated, sum(illegal::INT)::BIGINT AS illegal, max(i) AS n
+  FROM f GROUP BY conv_id
+), ins(said) AS (VALUES (''), ('u'), ('a'), ('ua'), ('au')), way AS (
+  SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS cost, '' AS audit, '' AS roles, []::VARCHAR[] AS lines FROM c
+  UNION ALL
+  SELECT b.conv_id, b.i, b.m.cost, b.m.audit, b.m.roles, b.m.lines FROM (
+    SELECT conv_id, i, right(roles, 1) AS state, min({'cost': cost, 'audit': audit, 'roles': roles, 'lines': lines}) AS m FROM (
+      SELECT way.conv_id, f.i, way.cost + 2 * len(said) + e.cost + CASE WHEN truncated AND e.op <> 'D' THEN 1 ELSE 0 END AS cost,
+        way.audit || repeat('I', len(said)) || e.op AS audit,
+        way.roles || said || CASE e.op WHEN 'D' THEN '' WHEN 'R' THEN left(e.who, 1) ELSE left(f.role, 1) END AS roles,
+        list_concat(way.lines, list_transform(range(1, len(said) + 1), lambda j: CASE said[j] WHEN 'u' THEN 'user:' ELSE 'assistant:' END),
+          CASE e.op WHEN 'D' THEN [] WHEN 'R' THEN [e.who || ':' || f.text] ELSE [f.role || ':' || f.text] END) AS lines
+      FROM way JOIN f ON f.conv_id IS NOT DISTINCT FROM way.conv_id AND f.i = way.i + 1, ins, (VALUES ('K', '', 0), ('R', 'user', 2), ('R', 'assistant', 2), ('D', '', 3)) AS e(op, who, cost)
+      WHERE e.op = 'D' OR NOT (blank OR duplicate)
+    ) WHERE regexp_full_match(roles, 's?(ua)*u?') GROUP BY ALL
+  ) b
+), z AS (
+  SELECT conv_id, min({'cost': way.cost + 2 * len(said), 'audit': audit || repeat('I', len(said)),
+    'lines': list_concat(lines, list_transform(range(1, len(said) + 1), lambda j: CASE said[j] WHEN 'u' THEN 'user:' ELSE 'assistant:' END))}) AS m
+  FROM way JOIN c USING (conv_id), ins WHERE way.i = c.n AND regexp_full_match(roles || said, '(s?(ua)+)?') GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(z.m.cost, 0)::BIGINT AS cost, coalesce(z.m.audit, '') AS audit, sha256(coalesce(array_to_string(z.m.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def _op13_sql() -> str:
     """All rounds spelled out; each part meets every entry of its codebook."""
     far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
@@ -227,4 +295,4 @@ FROM o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql(), "op13_vector_codes": _op13_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql(), "op12_conversation_repair": OP12_SQL, "op13_vector_codes": _op13_sql()}
