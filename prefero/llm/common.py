@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once, however long the texts.
+BATCH_BYTES, BATCH_SETTING = 8_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Folder of each staged table; tables staged inside each open ``scratch`` block, the innermost last.
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _OPEN: list[list[DataFrame]] = []
@@ -86,6 +88,17 @@ def staged(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs inside the block hand rows to Python workers in Arrow batches of about ``most`` bytes; the setting is put back."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def _cell_bytes(cell: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(cell), F.lit(0)).cast("long") + 16

@@ -37,6 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefero.llm.common import scratch, staged
+from prefero.llm.linking import whole_groups
 
 SEGMENT, BATCH_TURNS = 256, 20_000
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
@@ -122,40 +123,18 @@ def _recursed(sql: str, **tables: pd.DataFrame) -> pd.DataFrame:
         return con.execute(sql).df()
 
 
-def _whole(batches: Iterator[pd.DataFrame], key: list[str], most: int) -> Iterator[pd.DataFrame]:
-    """Frames of about ``most`` rows that end where a key ends; the rows come sorted by key."""
-    held: list[pd.DataFrame] = []
-    n = 0
-    for rows in batches:
-        if not len(rows):
-            continue
-        held.append(rows)
-        n += len(rows)
-        if n < most:
-            continue
-        rows = pd.concat(held, ignore_index=True)
-        others = (rows[key] != rows[key].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
-        at = int(others[-1]) + 1 if len(others) else 0
-        if at:
-            yield rows.iloc[:at]
-        held, n = [rows.iloc[at:]], len(rows) - at
-    if n:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _solved_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     edits = edit_table()
-    for rows in _whole(batches, ["c", "seg"], BATCH_TURNS):
-        rows = rows.reset_index(drop=True)
+    for rows in whole_groups(batches, ["c", "seg"], BATCH_TURNS):
         g = rows.groupby(["c", "seg"], sort=False).ngroup()
-        turns = pd.DataFrame({"g": g, "i": rows["at"] - rows["seg"] * SEGMENT + 1, "kind": rows["kind"]})
+        turns = pd.DataFrame({"g": g, "i": rows["i"], "kind": rows["kind"]})
         of = rows[["c", "seg"]].assign(g=g).drop_duplicates("g")
         begun = pd.DataFrame([(x, entry) for x, seg in zip(of["g"], of["seg"], strict=True) for entry in (STATES if seg else (START,))], columns=["g", "entry"])
         yield _recursed(SEGMENTS_SQL, turns=turns, begun=begun, edits=edits).merge(of, on="g")[["c", "seg", "entry", "state", "cost", "audit"]]
 
 
 def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for parts in _whole(batches, ["c"], BATCH_TURNS):
+    for parts in whole_groups(batches, ["c"], BATCH_TURNS):
         yield _recursed(CHAINS_SQL, parts=parts, closing=closing_table())[["c", "cost", "audit"]]
 
 
@@ -209,8 +188,11 @@ def _kind() -> Column:
     return F.when(F.col("blank") | F.col("duplicate"), "-").otherwise(F.concat(F.when(initial.isin("s", "u", "a"), initial).otherwise("?"), F.when(F.col("truncated"), "!").otherwise("")))
 
 
-def repaired(turns: DataFrame) -> DataFrame:
-    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of each conversation of ``turns``."""
+def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of each conversation of ``turns``.
+
+    ``segment``: turns that are solved in one piece.
+    """
     with scratch():
         rows = staged(faults(turns), "turns")
         count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
@@ -219,9 +201,9 @@ def repaired(turns: DataFrame) -> DataFrame:
             F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).cast("long").alias("gaps"),
             *[F.sum(k).alias(k) for k in ("blank", "duplicate", "truncated", "illegal")],
         )
-        seg = F.floor(F.col("at") / SEGMENT).cast("int")
-        slim = rows.select("c", seg.alias("seg"), "at", _kind().alias("kind"))
-        parts = slim.repartition("c", "seg").sortWithinPartitions("c", "seg", "at").mapInPandas(_solved_segments, "c string, seg int, entry int, state int, cost long, audit string")
+        seg = F.floor(F.col("at") / segment).cast("int")
+        slim = rows.select("c", seg.alias("seg"), (F.col("at") % segment + 1).alias("i"), _kind().alias("kind"))
+        parts = slim.repartition("c", "seg").sortWithinPartitions("c", "seg", "i").mapInPandas(_solved_segments, "c string, seg int, entry int, state int, cost long, audit string")
         solved = staged(parts.repartition("c").sortWithinPartitions("c", "seg").mapInPandas(_chained, "c string, cost long, audit string"), "audits")
         # an edit's letters: insertions before it and its own; those after the last turn go with a further row
         letters = F.regexp_extract_all("audit", F.lit("I*[KRD]|I+$"), 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefero.llm import conversation_repair, decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters, vector_codes
+from prefero.llm import conversation_repair, decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, shingle_join, token_counts, url_filters, vector_codes
 from prefero.llm.common import LOWER, UPPER, crc_mod, id_text, table
 
 #: Share of tokens beyond which a text is over the limit.
@@ -116,6 +116,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
 
 
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.with_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Turns dropped, emptied, cut short, repeated or given to the user, as the hash of their key says."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -144,7 +148,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language, op12_conversation_repair, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filters, op3_language_model, op4_decontaminate, op5_token_counts, op6_quality, op7_nearest, op8_near_duplicates, op9_secrets, op10_language, op11_shingle_join, op12_conversation_repair, op13_vector_codes)}
 
 
 #: Sizes, the cycle of weights and the water level as in prefero.llm.mixing, in DuckDB's SQL.
@@ -213,6 +217,22 @@ FROM p LEFT JOIN m ON m.n = 1 AND p.page_id IS NOT DISTINCT FROM m.page_id AND p
 """
 
 
+def _op11_sql() -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+t AS MATERIALIZED (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS run FROM d
+), n AS MATERIALIZED (SELECT r, count(*) AS n FROM t GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS o FROM t a JOIN t b ON a.run = b.run AND a.r <> b.r GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+reach AS (SELECT r, r AS c FROM d UNION SELECT l.y, reach.c FROM reach JOIN l ON l.x = reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.c GROUP BY reach.r) m USING (r)
+"""
+
+
 #: Checksum bit by bit; ways keep the initials said so far, which a pattern accepts or not.
 OP12_SQL = r"""
 WITH RECURSIVE r AS (
@@ -295,4 +315,4 @@ FROM o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql(), "op12_conversation_repair": OP12_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filters": _op2_sql(), "op4_decontaminate": _op4_sql(), "op11_shingle_join": _op11_sql(), "op12_conversation_repair": OP12_SQL, "op13_vector_codes": _op13_sql()}
