@@ -149,7 +149,7 @@ def test_op12_odd_rows(spark):
     assert (got[None]["cost"], got[None]["audit"]) == (0, "KK")
     assert (got[2]["gaps"], got[2]["audit"], got[2]["repaired_sha256"]) == (0, "D", hashlib.sha256(b"").hexdigest())
     assert (got[3]["audit"], got[3]["cost"]) == ("D", 3)
-    assert (got[4]["truncated"], got[4]["duplicate"], got[4]["audit"]) == (1, 1, "DD" if 6 < 1 + 3 + 2 else got[4]["audit"])
+    assert (got[4]["truncated"], got[4]["duplicate"], got[4]["audit"]) == (1, 1, "DD")  # KDI costs as much
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conversation_repair.repaired(none).count() == 0
 
