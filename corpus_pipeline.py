@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,24 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from prefero.llm import common, decontaminate, mixing, order_minhash, quality, secrets_scan
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Rows that go to a Python worker at once: texts may be long, and an executor's JVM and workers each hold a batch.
-BATCH_ROWS = 1_000
 
 
-def with_small_batches(stage: Stage) -> Stage:
-    """The stage, in a session whose Arrow batches hold ``BATCH_ROWS`` rows at most."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        now = int(spark.conf.get(name))
-        spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@with_small_batches
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     score = common.unused("_quality", docs)
@@ -35,7 +18,6 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(f"{score} >= 0.5").drop(score)
 
 
-@with_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one of least id."""
     return order_minhash.deduplicated(docs)
@@ -46,7 +28,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
-@with_small_batches
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     return secrets_scan.redact(docs)

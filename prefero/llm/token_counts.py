@@ -42,8 +42,12 @@ def _pre_token_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
-#: Plain characters: no control or unusual white space, and none whose lower case is two characters.
-UNUSUAL = re.compile(rf"[^\t\n\r\x20-\x7e\xa1-įı-{chr(LATIN_END)}]")
+def _plain(c: str) -> bool:
+    """No control or unusual white space, and its lower case is one character that the pattern covers."""
+    return (c in "\t\n\r" or " " <= c <= "~" or c > "\xa0") and len(c.lower()) == 1 and ord(c.lower()) <= LATIN_END
+
+
+UNUSUAL = re.compile("[^" + "".join(re.escape(c) for c in map(chr, range(LATIN_END + 1)) if _plain(c)) + "]")
 SPECIAL_MARK = "<|"
 
 

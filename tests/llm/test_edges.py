@@ -105,20 +105,35 @@ def test_quality(odd, none, spark):
 
 
 def test_nearest(spark):
+    """Every row is a candidate: of an id that repeats with other vectors, without an id, of another length for its like."""
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [float(i % 7), 1.0, float(i % 3)], 0) for i in range(60)] + [(60, None, 0), (61, [0.0, 0.0, 0.0], 0), (62, [nan, 1.0, 1.0], 0), (63, [inf, 1.0, 1.0], 0), (64, [1.0, 2.0], 0), (65, [1.0, None, 1.0], 0), (None, [1.0, 1.0, 1.0], 0), (5, [5.0, 1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = permutation_index.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, 20).collect()
-    seen = {}
-    for r in got:
-        seen.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(seen) == {0, 20, 40}
-    vectors = {i: v for i, v, _ in rows[:60]}
-    for q, found in seen.items():
-        want = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:20]
-        assert [(r, i, s) for r, (s, i) in enumerate(((-s, i) for s, i in want), 1)] == sorted(found)
-    assert permutation_index.nearest(df.limit(0), F.pmod("vec_id", F.lit(20)) == 0).count() == 0
-    assert permutation_index.nearest(df.where("vec_id = 0"), F.pmod("vec_id", F.lit(20)) == 0).count() == 0
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
+    rows += [(None, [1.0, 1.0, 1.0]), (5, [5.0, 1.0, 2.0]), (5, [9.0, 1.0, 2.0]), (7, [0.0, 1.0, 9.0]), (7, [8.0, 0.0, 1.0]), (20, [2.0, 7.0, 0.5]), (64, [1.0, 2.0]), (80, [1.0, 3.0]), (65, [2.0, -1.0])]
+    none = [(60, None), (61, [0.0, 0.0, 0.0]), (62, [nan, 1.0, 1.0]), (63, [inf, 1.0, 1.0]), (65, [1.0, None, 1.0])]
+    df = spark.createDataFrame([(i, v, 0, "n", 1) for i, v in rows + none], "vec_id long, embedding array<float>, label int, n string, row int").repartition(3)
+    query = F.pmod("vec_id", F.lit(20)) == 0
+    got = sorted((r["query_id"], r["rank"], 99 if r["vec_id"] is None else r["vec_id"], r["score"]) for r in permutation_index.nearest(df, query, 20).collect())
+    want = []
+    for x, (q, v) in enumerate(rows):
+        if q is not None and q % 20 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), 99 if i is None else i) for y, (i, w) in enumerate(rows) if x != y and len(v) == len(w))[:20]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
+    assert got == sorted(want)
+    for few in (df.limit(0), df.where("vec_id = 0")):
+        assert permutation_index.nearest(few, query).count() == 0
+
+
+def test_nearest_of_one_id(spark):
+    """A third of the rows with one id and one vector: blocks stay of one size, and no row is lost."""
+    draw = np.random.default_rng(1)
+    rows = [(1, [0.5, 0.25, -1.0, 2.0])] * 300 + [(2 + i, v.tolist()) for i, v in enumerate(draw.normal(size=(600, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(df, F.col("vec_id") == 1, 20).toPandas()
+    assert len(got) == 6000
+    best = 0.25 + 0.0625 + 1 + 4
+    for q, v in rows[:1]:
+        above = sum(sum(a * b for a, b in zip(v, w, strict=True)) > best for _, w in rows)
+        assert ((got["vec_id"] == q) & (got["score"] == best)).sum() >= 300 * (20 - above) * 0.9
 
 
 def test_near_duplicates(odd, none):

@@ -106,6 +106,23 @@ def test_op5_odd_texts(docs):
     assert all(len(c.library.encode(w, add_special_tokens=False).ids) == 1 for w in list(c.whole)[::500])
 
 
+def test_op5_random_texts():
+    """50,000 random texts of U+0020 to U+2FFF, most of Latin letters, count as the library counts them."""
+    P = pytest.importorskip("public_tokenizers")
+    import random
+
+    from prefero.llm.token_counts import PreTokenCounter
+
+    c, draw = PreTokenCounter(P.path("word_bpe_49k.json")), random.Random(7)
+    pools = [range(0x20, 0x7F), range(0x20, 0x250), range(0x180, 0x250), range(0x20, 0x3000)]
+    texts = ["".join(map(chr, draw.choices(draw.choice(pools), k=draw.randrange(1, 16)))) for _ in range(50_000)]
+    texts += ["ÇÖRƏK", "MÜƏLLIM", "qÊƜ", *map(chr, range(0x20, 0x600))]
+    for i in range(0, len(texts), 5_000):
+        part = texts[i : i + 5_000]
+        want = [len(e.ids) for e in c.library.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, a, b in zip(part, c.count(part), want, strict=True) if a != b] == []
+
+
 def test_op6_and_op10_held_out(spark, sf_dir, duck, docs):
     quality = dict(duck.execute("SELECT doc_id, quality FROM labels").fetchall())
     got = run(spark, sf_dir, "op6_quality")
