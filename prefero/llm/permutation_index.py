@@ -128,15 +128,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         if not len(base) or not len(asked):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64")})
         ids = base["vec_id"].astype("Int64")
-        of = dict(zip(asked["row"], asked["vec_id"], strict=True))
-        found = search_block(base["row"].to_numpy(), ids.fillna(NO_ID).to_numpy(np.int64), np.array(base["v"].tolist()), asked["row"].to_numpy(), np.array(asked["v"].tolist()), k)
+        of = dict(zip(asked["q_row"], asked["q_vec_id"], strict=True))
+        found = search_block(base["row"].to_numpy(), ids.fillna(NO_ID).to_numpy(np.int64), np.array(base["v"].tolist()), asked["q_row"].to_numpy(), np.array(asked["q_v"].tolist()), k)
         return pd.DataFrame({"query": np.array(found[0], np.int64), "query_id": np.array([of[r] for r in found[0]], np.int64), "vec_id": ids.array[np.array(found[1], np.int64)], "score": np.array(found[2], float)})
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # rows are dealt by their number, so a block is of the size asked for however often an id or a vector repeats
     dealt = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "row"), F.col(n)).cast("int")
     base = rows.withColumn("block", dealt("blocks", "block")).withColumn("chunk", every("chunks")).select("n", "block", "chunk", "row", "vec_id", "v")
-    asked = rows.where(is_query).withColumn("chunk", dealt("chunks", "chunk")).withColumn("block", every("blocks")).select("n", "block", "chunk", "row", "vec_id", "v")
-    found = base.groupBy("n", "block", "chunk").cogroup(asked.groupBy("n", "block", "chunk")).applyInPandas(search, "query long, query_id long, vec_id long, score double")
+    asked = rows.where(is_query).withColumn("chunk", dealt("chunks", "chunk")).withColumn("block", every("blocks"))
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "block", "chunk", "row", "vec_id", "v")])
+    found = base.groupBy("n", "block", "chunk").cogroup(asked.groupBy("q_n", "q_block", "q_chunk")).applyInPandas(search, "query long, query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
