@@ -16,10 +16,14 @@ members, so pairs grow with the lists' rows.  A member's difference from its lea
 it from then on: with d(x) for the shingles in just one of x and leader, x and y differ in
 |d(x)| + |d(y)| - 2 |d(x) & d(y)| shingles, so that pair is decided by two short differences.
 Members that a leader's links already hold in one component are skipped whole; only where a leader's
-members fall into several components do their differences meet, outsiders in blocks of ``BLOCK``
+members fall into several components do they meet, outsiders in blocks of ``BLOCK``
 against the others, so no task holds more than two blocks, and a task hands on only links that join
 components.
 
+*Bounds before texts.*  A set carries the parity of its shingles in each of a few bits a shingle.  Two
+sets differ in at least as many shingles as their parities do in bits, so texts are fetched only of
+pairs, and differences made only of members, that those bounds leave in play.
+
 Shingles and sets are told apart by 64-bit hashes.  Null and wordless texts have the empty set, which links
 with nothing, not even with its like: their component is their own id.  Fewer words than ``WIDTH`` are one shingle.
 Whole texts of any length count.  Equal texts and equal sets link; repeated rows get a row each.  Rows without an id
@@ -40,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import lowered_bytes, scratch, small_batches, staged
+from prefero.llm.common import discard, lowered_bytes, scratch, small_batches, staged
 from prefero.llm.linking import components, merged, renamed, whole_groups
 from prefero.llm.order_minhash import WordNumbers
 from prefero.llm.token_counts import blocks
@@ -48,7 +52,7 @@ from prefero.llm.token_counts import blocks
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 WIDTH, PERCENT = 5, 80
 #: Counters of each of the two rows of the table of frequencies, and counters that are summed as one row.
-CELLS, TOGETHER = 1 << 18, 64
+CELLS, TOGETHER = 1 << 19, 64
 #: Members of a leader whose differences a task holds, twice.
 BLOCK = 256
 #: Rows that a task handles together, shingles of texts and set hashes that it remembers.
@@ -132,6 +136,21 @@ def entries(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(keys).view(np.int64), np.concatenate([np.arange(m, dtype=np.int32) for m in reach])
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each bit; at least two bits a shingle, a power of two of them."""
+    m = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    at = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The parities in fewer bits, as 64-bit words."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _set_id(shingles: np.ndarray) -> int:
     """A number for the set: the sum of its shingles, mixed again, and its size."""
     return int(_mixed(np.array([_mixed(shingles * MIX).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
@@ -141,7 +160,7 @@ def _index_task(table: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterato
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, seen = Words(), set()
         for rows in batches:
-            size, number, keys, places = [], [], [], []
+            size, number, bits, keys, places = [], [], [], [], []
             for text in rows["text"]:
                 shingles = np.unique(runs(words.of(text)))
                 n = len(shingles)
@@ -152,22 +171,30 @@ def _index_task(table: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterato
                     if len(seen) > SEEN:
                         seen.clear()
                     seen.add(x)
-                    key, place = entries(shingles, table)
+                    (key, place), bit = entries(shingles, table), parities(shingles)
                 else:
-                    key, place = None, None
+                    key, place, bit = None, None, None
+                bits.append(bit)
                 keys.append(key)
                 places.append(place)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text_key": rows["text_key"], "n": np.array(size, np.int64), "id": pd.array(number, "Int64"), "keys": pd.Series(keys, dtype="object"), "places": pd.Series(places, dtype="object")})
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "text_key": rows["text_key"], "n": np.array(size, np.int64), "id": pd.array(number, "Int64"), "bits": pd.Series(bits, dtype="object"), "keys": pd.Series(keys, dtype="object"), "places": pd.Series(places, dtype="object")})
 
     return run
 
 
-DIFFERENCE = T.StructType([T.StructField("na", T.LongType()), T.StructField("nb", T.LongType()), T.StructField("differ", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType()))])
+@F.pandas_udf(T.BooleanType())
+def _may_link(na: pd.Series, nb: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+    """Whether the parities leave it open that two sets link."""
+    least = [int(np.bitwise_count(folded(x, m := min(len(x), len(y))) ^ folded(y, m)).sum()) for x, y in zip(one, other, strict=True)]
+    return (100 - PERCENT) * (na + nb) >= (100 + PERCENT) * np.array(least, np.int64)
+
+
+DIFFERENCE = T.StructType([T.StructField("differ", T.LongType()), T.StructField("diff", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(DIFFERENCE)
 def _compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Sizes of two texts' sets, the number of shingles in one of them only, and these if asked for."""
+    """The number of shingles in only one of two texts' sets, and these if asked for."""
     words, known, size = Words(), {}, 0
     for one, other, keep in batches:
         out = []
@@ -180,9 +207,9 @@ def _compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
                     size += len(known[t])
             x, y = (known[t] if t in known else np.unique(runs(words.of(t))) for t in (a, b))
             apart = np.setxor1d(x, y, assume_unique=True)
-            out.append((len(x), len(y), len(apart), apart.view(np.int64) if wanted else None))
-        na, nb, differ, diff = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pd.DataFrame({"na": np.array(na, np.int64), "nb": np.array(nb, np.int64), "differ": np.array(differ, np.int64), "diff": pd.Series(diff, dtype="object")})
+            out.append((len(apart), apart.view(np.int64) if wanted else None))
+        differ, diff = zip(*out, strict=True) if out else ((), ())
+        yield pd.DataFrame({"differ": np.array(differ, np.int64), "diff": pd.Series(diff, dtype="object")})
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
@@ -221,6 +248,26 @@ def joining(pairs: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def _close_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of two blocks that the parities leave a partner of another component."""
+    for rows in whole_groups(batches, ["a", "left", "right"], AT_ONCE):
+        out = []
+        for (a, left, right), group in rows.groupby(["a", "left", "right"], sort=False):
+            own, b, n, comp = (group[c].to_numpy() for c in ("block", "b", "n", "comp"))
+            bits = group["bits"].tolist()
+            size = min(map(len, bits))
+            words = np.stack([folded(x, size) for x in bits])
+            one, other = np.flatnonzero(own == left), np.flatnonzero(own == right)
+            near = np.zeros(len(group), bool)
+            for i in one:
+                differ = np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int64)
+                open_ = ((100 - PERCENT) * (n[other] + n[i]) >= (100 + PERCENT) * differ) & (comp[other] != comp[i])
+                near[i] |= open_.any()
+                near[other[open_]] = True
+            out += [(a, x) for x in b[near].tolist()]
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between the components of two blocks of a leader's members, from their differences alone."""
     for rows in whole_groups(batches, ["a", "left", "right"], AT_ONCE):
@@ -228,7 +275,7 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (_, left, right), group in rows.groupby(["a", "left", "right"], sort=False):
             own = group["block"].to_numpy()
             one, other = np.flatnonzero(own == left), np.flatnonzero(own == right)
-            comp, slack = group["comp"].to_numpy(), ((100 - PERCENT) * group["nb"] - (100 + PERCENT) * group["differ"]).to_numpy()
+            comp, slack = group["comp"].to_numpy(), ((100 - PERCENT) * group["n"] - (100 + PERCENT) * group["differ"]).to_numpy()
             diff = group["diff"].tolist()
             both = shared_counts([diff[i] for i in one], [diff[j] for j in other])
             link = (slack[one][:, None] + slack[other][None] + 2 * (100 + PERCENT) * both >= 0) & (comp[one][:, None] != comp[other][None])
@@ -238,13 +285,12 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _open_members(found: DataFrame, comps: DataFrame) -> DataFrame:
-    """a, left, right, block, comp, nb, differ, diff: members of leaders whose members are in several components.
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (a, b, comp, ...) of leaders whose members are in several components, with left, right and block.
 
     Each outsider (not of the leader's most frequent component) meets every member: blocks are
     numbered with those of the outsiders first, and a member goes to each pair of blocks it is in.
     """
-    members = found.where("diff IS NOT NULL").join(renamed(comps, "b", "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
     sizes = members.groupBy("a", "comp").agg(F.count("*").alias("size"))
     one = sizes.groupBy("a").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -255,7 +301,26 @@ def _open_members(found: DataFrame, comps: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.when(is_main, F.col("outside") + F.pmod(dealt, F.col("inside"))).otherwise(F.pmod(dealt, F.col("outside"))).cast("int"))
     last = F.when(is_main, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1
     meets = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
-    return rows.select("a", F.explode(meets).alias("m"), "block", "comp", "nb", "differ", "diff").select("a", "m.left", "m.right", "block", "comp", "nb", "differ", "diff")
+    rows = rows.select(*members.columns, "block", F.explode(meets).alias("m")).select("*", "m.left", "m.right").drop("m")
+    return rows.repartition("a", "left", "right").sortWithinPartitions("a", "left", "right")
+
+
+def _with_differences(pairs: DataFrame, keyed: DataFrame, sets: DataFrame, keep: bool) -> DataFrame:
+    """The pairs (a, b, ...) of sets with how much they differ (and in what, if ``keep``); one text stands for each set."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = staged(keyed.join(sets.select("id", "text_key").join(ids, "id"), "text_key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    one, other = (texts.select(F.col("id").alias(c), F.col("text").alias(t)) for c, t in (("a", "one"), ("b", "other")))
+    found = pairs.join(other, "b").join(one, "a").select(*pairs.columns, _compared("one", "other", F.lit(keep)).alias("d"))
+    found = staged(found.select(*pairs.columns, "d.*"), "differences")
+    discard(texts)
+    return found
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, ends: str) -> DataFrame:
+    """The pairs with size n and parities of the sets at their ``ends``."""
+    for end in ends:
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    return pairs
 
 
 def with_components(docs: DataFrame) -> DataFrame:
@@ -265,27 +330,28 @@ def with_components(docs: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     with scratch(), small_batches(spark):
         table = frequencies(docs)
-        signed = keyed.mapInPandas(_index_task(table), f"doc_id {kinds['doc_id']}, text_key binary, n long, id long, keys array<long>, places array<int>")
+        signed = keyed.mapInPandas(_index_task(table), f"doc_id {kinds['doc_id']}, text_key binary, n long, id long, bits binary, keys array<long>, places array<int>")
         signed = staged(signed, "sets")
         listed = signed.where("keys IS NOT NULL").select("id", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("e.keys", "e.places", "id")
         leader = F.first("id").over(W.partitionBy("keys").orderBy("places", "id"))
         pairs = staged(listed.select(leader.alias("a"), F.col("id").alias("b")).where("a != b").distinct(), "pairs")
-        company = staged(pairs.groupBy("a").agg((F.count("*") > 1).alias("keep")), "company")
-
-        # one text stands for each set of a pair
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        numbers = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("text_key").alias("text_key")).join(ids, "id")
-        texts = staged(keyed.join(numbers, "text_key").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        one, other = (texts.select(F.col("id").alias(c), F.col("text").alias(t)) for c, t in (("a", "one"), ("b", "other")))
-        found = pairs.join(company, "a").join(other, "b").join(one, "a").select("a", "b", _compared("one", "other", "keep").alias("d")).select("a", "b", "d.*")
-        found = staged(found, "differences")
-        links = found.where(f"{100 - PERCENT} * (na + nb) >= {100 + PERCENT} * differ").select("a", "b")
-        comps = components(links)
-        members = _open_members(found, comps).repartition("a", "left", "right").sortWithinPartitions("a", "left", "right")
-        further = staged(members.mapInPandas(_block_links, "a long, b long"), "links")
-        comps = merged(comps, further)
-
+        sets = signed.where("bits IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("text_key").alias("text_key"))
+        sets = staged(sets.join(ids, "id"), "set-bounds")
         rows = staged(signed.select("doc_id", "n", "id"), "rows", outlives=True)
+        discard(signed)
+
+        led = _with_sets(pairs, sets, "ab").where(_may_link("na", "nb", "bits_a", "bits_b")).select("a", "b", "na", "nb")
+        found = _with_differences(staged(led, "led"), keyed, sets, keep=False)
+        comps = components(found.where(f"{100 - PERCENT} * (na + nb) >= {100 + PERCENT} * differ").select("a", "b"))
+
+        members = _with_sets(pairs, sets, "b").join(renamed(comps, "b", "comp"), "b", "left")
+        members = staged(members.select("a", "b", F.col("nb").alias("n"), F.coalesce("comp", "b").alias("comp"), F.col("bits_b").alias("bits")), "members")
+        close = staged(_in_blocks(members).mapInPandas(_close_members, "a long, b long").distinct(), "close")
+        close = staged(close.join(members.drop("bits"), ["a", "b"]), "close-members")
+        further = _in_blocks(_with_differences(close, keyed, sets, keep=True)).mapInPandas(_block_links, "a long, b long")
+        comps = merged(comps, staged(further, "links"))
+
         least = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least")).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         least = staged(least, "least")
         whole = least.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -226,3 +226,15 @@ def test_staged_tables_go(spark):
         staged(spark.range(3), "gone")
         assert len(at() - before) == 2
     assert len(at() - before) == 1 and kept.count() == 3
+
+
+def test_op11_parities_bound_differences():
+    draw = np.random.default_rng(4)
+    for n in (1, 5, 60, 700, 3000):
+        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        for m in (0, 1, n // 10, n // 2):
+            b = np.unique(np.concatenate([a[m:], draw.integers(0, 1 << 63, m + n // 3).astype(np.uint64)]))
+            x, y = shingle_join.parities(a), shingle_join.parities(b)
+            assert len(x) * 8 >= 2 * n
+            for size in (8, min(len(x), len(y))):
+                assert np.bitwise_count(shingle_join.folded(x, size) ^ shingle_join.folded(y, size)).sum() <= len(np.setxor1d(a, b))
