@@ -34,7 +34,6 @@ does not tie their sets together.  An empty table gives an empty result.  Extra
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,10 +45,9 @@ from pyspark.sql import types as T
 
 from prefero.llm.common import discard, lowered_bytes, scratch, small_batches, staged
 from prefero.llm.linking import components, merged, renamed, whole_groups
-from prefero.llm.order_minhash import WordNumbers
+from prefero.llm.order_minhash import numbers_of
 from prefero.llm.token_counts import blocks
 
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 WIDTH, PERCENT = 5, 80
 #: Counters of each of the two rows of the table of frequencies, and counters that are summed as one row.
 CELLS, TOGETHER = 1 << 19, 64
@@ -60,12 +58,9 @@ AT_ONCE, REMEMBERED, SEEN = 512, 2_000_000, 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(WordNumbers):
-    """Word to a 64-bit number."""
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = WORDS.findall(lowered_bytes(text or ""))
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def words_of(text: str | None) -> np.ndarray:
+    """The numbers of a text's words; bytes are split at just the white space that separates words."""
+    return numbers_of(lowered_bytes(text or "").split())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,15 +77,22 @@ def runs(words: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (shingles % np.uint64(CELLS)).astype(np.int64), ((shingles >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64)
+    mask = np.uint64(CELLS - 1)
+    return (shingles & mask).view(np.int64), ((shingles >> np.uint64(32)) & mask).view(np.int64)
 
 
 def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words, total = Words(), np.zeros((2, CELLS), np.int64)
+    total = np.zeros((2, CELLS), np.int64)
     for rows in batches:
         for block in blocks("" if t is None else t for t in rows["text"]):
-            found = np.concatenate([runs(words.of(t)) for t in block])
+            found = np.concatenate([runs(words_of(t)) for t in block])
             for row, cell in zip(total, _cells(found), strict=True):
                 row += np.bincount(cell, minlength=CELLS)
     parts = total.reshape(-1, TOGETHER)
@@ -139,7 +141,7 @@ def entries(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
 def parities(shingles: np.ndarray) -> bytes:
     """The parity of the number of shingles in each bit; at least two bits a shingle, a power of two of them."""
     m = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
-    at = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    at = ((shingles >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
     return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
@@ -158,11 +160,11 @@ def _set_id(shingles: np.ndarray) -> int:
 
 def _index_task(table: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = Words(), set()
+        seen = set()
         for rows in batches:
             size, number, bits, keys, places = [], [], [], [], []
             for text in rows["text"]:
-                shingles = np.unique(runs(words.of(text)))
+                shingles = distinct(runs(words_of(text)))
                 n = len(shingles)
                 x = _set_id(shingles) if n else None
                 size.append(n)
@@ -195,7 +197,7 @@ DIFFERENCE = T.StructType([T.StructField("differ", T.LongType()), T.StructField(
 @F.pandas_udf(DIFFERENCE)
 def _compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """The number of shingles in only one of two texts' sets, and these if asked for."""
-    words, known, size = Words(), {}, 0
+    known, size = {}, 0
     for one, other, keep in batches:
         out = []
         for a, b, wanted in zip(one, other, keep, strict=True):
@@ -203,9 +205,9 @@ def _compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
                 if t not in known:
                     if size > REMEMBERED:
                         known, size = {}, 0
-                    known[t] = np.unique(runs(words.of(t)))
+                    known[t] = distinct(runs(words_of(t)))
                     size += len(known[t])
-            x, y = (known[t] if t in known else np.unique(runs(words.of(t))) for t in (a, b))
+            x, y = (known[t] if t in known else distinct(runs(words_of(t))) for t in (a, b))
             apart = np.setxor1d(x, y, assume_unique=True)
             out.append((len(apart), apart.view(np.int64) if wanted else None))
         differ, diff = zip(*out, strict=True) if out else ((), ())
