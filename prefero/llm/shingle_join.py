@@ -38,6 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,7 +46,6 @@ from pyspark.sql import types as T
 
 from prefero.llm.common import discard, lowered_bytes, scratch, small_batches, staged
 from prefero.llm.linking import components, merged, renamed, whole_groups
-from prefero.llm.order_minhash import numbers_of
 from prefero.llm.token_counts import blocks
 
 WIDTH, PERCENT = 5, 80
@@ -59,8 +59,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> np.ndarray:
-    """The numbers of a text's words; bytes are split at just the white space that separates words."""
-    return numbers_of(lowered_bytes(text or "").split())
+    """A 64-bit number for each word of a text; bytes are split at just the white space that separates words."""
+    words = lowered_bytes(text or "").split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
