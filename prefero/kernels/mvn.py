@@ -9,110 +9,41 @@ factor looks at (screening) and how many are truncated at a time.
 
 from __future__ import annotations
 
-import numpy as np
-
-from prefero.functions.algebra import ARRAYS
-from prefero.functions.distributions import normal_cdf, normal_pdf
-
-NODES, WEIGHTS = np.polynomial.legendre.leggauss(20)
-LONG_NODES, LONG_WEIGHTS = np.polynomial.legendre.leggauss(48)
-TINY = 1e-300
-#: method: variables truncated at a time, variables in the first factor, further variables that each later factor looks at.
-METHODS = {"me": (1, 1, 0), "ovus": (1, 2, 1), "ovbs": (1, 3, 2), "bme": (2, 2, 0), "tvbs": (2, 4, 0), "tg": (1, 1, 0), "tgbme": (2, 2, 0)}
-#: Methods that take what is truncated as known: only means move, spread is the conditional one.
-FIXED = ("tg", "tgbme")
-
-
-def phi(x: np.ndarray) -> np.ndarray:
-    return normal_cdf(np.clip(x, -40, 40), ARRAYS)
-
-
-def density(x: np.ndarray) -> np.ndarray:
-    return normal_pdf(np.clip(x, -40, 40), ARRAYS)
+from collections.abc import Iterator
 
+import numpy as np
 
-def phi2(h: np.ndarray, k: np.ndarray, rho: np.ndarray) -> np.ndarray:
-    """Bivariate normal distribution; panels narrow towards the end of the angle, where the integrand is steep."""
-    h, k, rho = np.broadcast_arrays(np.clip(h, -40, 40), np.clip(k, -40, 40), np.clip(rho, -0.99999, 0.99999))
-    end = np.arcsin(rho)
-    out = phi(h) * phi(k)
-    steep = np.abs(rho) > 0.8
-    edges = (0.0, 0.5, 0.75, 0.875, 0.9375, 0.96875, 0.99, 1.0) if steep.any() else (0.0, 1.0)
-    add = np.zeros_like(out)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        for x, w in zip(NODES, WEIGHTS, strict=True):
-            s = np.sin(end * (a + (b - a) * (1 + x) / 2))
-            add += w * (b - a) / 2 * np.exp(np.minimum((s * h * k - (h * h + k * k) / 2) / (1 - s * s), 0.0))
-    return np.clip(out + end * add / (2 * np.pi), 0.0, 1.0)
+from prefero.kernels.chain import METHODS, PLAIN, TINY, _factor, chained, density, gradient, phi, phi2
+from prefero.kernels.chain import truncated_pair as _truncated_pair
 
+__all__ = ["METHODS", "TINY", "density", "exact", "mvn_cdf", "mvn_cdf_gradient", "mvn_rectangle", "mvn_rectangle_gradient", "phi", "phi2", "truncated_pair"]
 
-def _standard(a: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sd = np.sqrt(np.maximum(np.einsum("nkk->nk", cov), 1e-30))
-    return a / sd, np.clip(cov / (sd[:, :, None] * sd[:, None, :]), -0.9999, 0.9999)
 
 
 def exact(a: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """P(X <= a) by integrating out the first variable until two are left; for up to four variables."""
-    k = a.shape[1]
-    if k == 0:
+    """P(X <= a) of up to four variables."""
+    if a.shape[1] == 0:
         return np.ones(len(a))
-    z, r = _standard(a, cov)
-    if k == 1:
-        return phi(z[:, 0])
-    if k == 2:
-        return phi2(z[:, 0], z[:, 1], r[:, 0, 1])
-    corr = r.copy()
-    corr[:, range(k), range(k)] = 1.0
-    top = np.clip(z[:, 0], -8.5, 8.5)
-    rest = corr[:, 1:, 1:] - corr[:, 1:, :1] * corr[:, :1, 1:]
-    out = np.zeros(len(a))
-    for x, w in zip(LONG_NODES, LONG_WEIGHTS, strict=True):
-        t = -8.5 + (top + 8.5) * (1 + x) / 2
-        out += w * (top + 8.5) / 2 * density(t) * exact(z[:, 1:] - corr[:, 1:, 0] * t[:, None], rest)
-    return np.clip(out, 0.0, 1.0)
+    return _factor(list(a.T), [0.0] * a.shape[1], _listed(cov), a.shape[1], PLAIN)
 
 
-def _truncate_one(a: np.ndarray, mean: np.ndarray, cov: np.ndarray, fixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of the others, once the first variable lies below its limit."""
-    sd = np.sqrt(np.maximum(cov[:, 0, 0], 1e-15))
-    w = (a[:, 0] - mean[:, 0]) / sd
-    shift = -density(w) / np.maximum(phi(w), TINY)
-    kept = np.zeros(len(a)) if fixed else np.maximum(1 + shift * (w - shift), 1e-15)
-    along = cov[:, 1:, 0] / sd[:, None]
-    return mean[:, 1:] + along * shift[:, None], cov[:, 1:, 1:] - (1 - kept)[:, None, None] * along[:, :, None] * along[:, None, :]
+def _listed(cov: np.ndarray) -> list[list]:
+    return [[cov[:, i, j] for j in range(cov.shape[1])] for i in range(cov.shape[1])]
 
 
 def truncated_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean (N, 2) and covariance (N, 2, 2) of a normal pair below its limits."""
-    sd = np.sqrt(np.maximum(np.einsum("nkk->nk", cov), 1e-15))
-    w = np.clip((a - mean) / sd, -37, 37)
-    rho = np.clip(cov[:, 0, 1] / (sd[:, 0] * sd[:, 1]), -0.9999, 0.9999)
-    root = np.sqrt(1 - rho * rho)
-    mass = np.maximum(phi2(w[:, 0], w[:, 1], rho), TINY)
-    f = [density(w[:, i]) * phi((w[:, 1 - i] - rho * w[:, i]) / root) for i in (0, 1)]
-    joint = np.exp(np.minimum(-(w[:, 0] ** 2 - 2 * rho * w[:, 0] * w[:, 1] + w[:, 1] ** 2) / (2 * root * root), 0)) / (2 * np.pi * root)
-    m = [-(f[i] + rho * f[1 - i]) / mass for i in (0, 1)]
-    second = [1 - (w[:, i] * f[i] + rho * rho * w[:, 1 - i] * f[1 - i] - rho * root * root * joint) / mass for i in (0, 1)]
-    cross = rho - (rho * w[:, 0] * f[0] + rho * w[:, 1] * f[1] - root * root * joint) / mass
-    c = np.empty((len(a), 2, 2))
-    c[:, 0, 0], c[:, 1, 1] = (np.maximum(second[i] - m[i] ** 2, 1e-15) for i in (0, 1))
-    c[:, 0, 1] = c[:, 1, 0] = cross - m[0] * m[1]
-    return mean + np.stack(m, axis=1) * sd, c * sd[:, :, None] * sd[:, None, :]
-
-
-def _truncate_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray, fixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    new_mean, new_cov = truncated_pair(a[:, :2], mean[:, :2], cov[:, :2, :2])
-    if fixed:
-        new_cov = np.zeros_like(new_cov)
-    pair = cov[:, :2, :2] + np.eye(2) * 1e-12
-    slope = np.linalg.solve(pair, cov[:, :2, 2:])  # (N, 2, rest)
-    mean_rest = mean[:, 2:] + np.einsum("nir,ni->nr", slope, new_mean - mean[:, :2])
-    return mean_rest, cov[:, 2:, 2:] - np.einsum("nir,nij,njs->nrs", slope, cov[:, :2, :2] - new_cov, slope)
-
-
-def _first(a: np.ndarray, mean: np.ndarray, cov: np.ndarray, n: int) -> np.ndarray:
-    n = min(n, a.shape[1])
-    return exact(a[:, :n] - mean[:, :n], cov[:, :n, :n])
+    m, c = _truncated_pair(list(a.T), list(mean.T), _listed(np.broadcast_to(cov, (len(a), 2, 2))), PLAIN)
+    return np.stack(m, axis=1), np.stack([np.stack(row, axis=1) for row in c], axis=1)
+
+
+def _patterns(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows with the same limits of plus infinity, and the variables that those leave; rows with one of minus infinity are left out."""
+    never, free = np.isneginf(a).any(axis=1), np.isposinf(a)
+    for pattern in np.unique(free, axis=0):
+        at = np.flatnonzero((free == pattern).all(axis=1) & ~never)
+        if len(at):
+            yield at, np.flatnonzero(~pattern)
 
 
 def mvn_cdf(a: np.ndarray, cov: np.ndarray, method: str = "ovus", draws: int = 1000, seed: int = 0) -> np.ndarray:
@@ -126,64 +57,66 @@ def mvn_cdf(a: np.ndarray, cov: np.ndarray, method: str = "ovus", draws: int = 1
     a = np.asarray(a, float)
     cov = np.broadcast_to(np.asarray(cov, float), (len(a), a.shape[1], a.shape[1]))
     out = np.zeros(len(a))
-    never, free = np.isneginf(a).any(axis=1), np.isposinf(a)
-    for pattern in np.unique(free, axis=0):
-        at = np.flatnonzero((free == pattern).all(axis=1) & ~never)
-        use = np.flatnonzero(~pattern)
-        if len(at):
-            out[at] = _finite(a[np.ix_(at, use)], cov[at][:, use][:, :, use], method, draws, seed)
+    for at, use in _patterns(a):
+        out[at] = _finite(a[np.ix_(at, use)], cov[at][:, use][:, :, use], method, draws, seed)
     return out
 
 
+def _is_exact(k: int, method: str) -> bool:
+    return k <= 2 or method in ("exact", "scipy") and k <= 4
+
+
+def _ordered(a: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """The order in which each row's variables are taken."""
+    return np.argsort(np.abs(a / np.sqrt(np.maximum(np.einsum("nkk->nk", cov), 1e-30))), axis=1, kind="stable")
+
+
+def _taken(a: np.ndarray, cov: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by_row = np.take_along_axis(cov, order[:, :, None], axis=1)
+    return np.take_along_axis(a, order, axis=1), np.take_along_axis(by_row, order[:, None, :], axis=2)
+
+
 def _finite(a: np.ndarray, cov: np.ndarray, method: str, draws: int, seed: int) -> np.ndarray:
     k = a.shape[1]
-    if k <= 2 or method in ("exact", "scipy") and k <= 4:
+    if _is_exact(k, method):
         return exact(a, cov)
     if method in ("ssj", "exact", "scipy"):
         return simulated(a, cov, draws if method == "ssj" else 20_000, seed)
-    step, start, ahead = METHODS[method]
-    order = np.argsort(np.abs(_standard(a, cov)[0]), axis=1, kind="stable")
-    a = np.take_along_axis(a, order, axis=1)
-    cov = np.take_along_axis(np.take_along_axis(cov, order[:, :, None], axis=1), order[:, None, :], axis=2)
-    if method == "tvbs" and k == 3:
-        start = 2
-    mean = np.zeros_like(a)
-    out = np.maximum(_first(a, mean, cov, start), TINY)
-    known = start  # variables that the factors so far cover
-    done = 0
-    while known < k:
-        n = min(step, a.shape[1] - 1)
-        mean, cov = _truncate_one(a, mean, cov, method in FIXED) if n == 1 else _truncate_pair(a, mean, cov, method in FIXED)
-        a, done = a[:, n:], done + n
-        have = known - done  # of those left, how many earlier factors cover
-        if step == 2 and have >= 2:
-            continue
-        take = min(have + 1, a.shape[1]) if step == 1 else min(2, a.shape[1])
-        factor = _first(a, mean, cov, take)
-        if have:
-            below = _first(a, mean, cov, have)
-            factor = np.where(below > TINY, factor / np.maximum(below, TINY), phi((a[:, 0] - mean[:, 0]) / np.sqrt(np.maximum(cov[:, 0, 0], 1e-15))))
-        out = out * np.maximum(factor, TINY)
-        known = done + take
-    return np.clip(out, 0.0, 1.0)
+    a, cov = _taken(a, cov, _ordered(a, cov))
+    return chained(list(a.T), _listed(cov), method)
 
 
-def log_mvn_cdf(a: np.ndarray, cov: np.ndarray, method: str = "me") -> np.ndarray:
-    return np.log(np.maximum(mvn_cdf(a, cov, method), TINY))
+def mvn_cdf_gradient(a: np.ndarray, cov: np.ndarray, method: str = "ovus") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(X <= a) by row, and its derivatives by limits (N, K) and covariances (N, K, K), of the very approximation.
 
-
-def mvn_cdf_gradient(a: np.ndarray, cov: np.ndarray, method: str = "ovus", step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Derivatives of the same approximation by limits (N, K) and by the covariances' upper triangles (N, K(K+1)/2)."""
+    A covariance's derivative is shared between its two places.  Infinite limits have none.
+    """
     a = np.asarray(a, float)
     n, k = a.shape
     cov = np.broadcast_to(np.asarray(cov, float), (n, k, k))
-    by_limit = np.stack([(mvn_cdf(a + step * e, cov, method) - mvn_cdf(a - step * e, cov, method)) / (2 * step) for e in np.eye(k)], axis=1)
-    out = []
-    for i, j in zip(*np.triu_indices(k), strict=True):
-        e = np.zeros((k, k))
-        e[i, j] = e[j, i] = step
-        out.append((mvn_cdf(a, cov + e, method) - mvn_cdf(a, cov - e, method)) / (2 * step))
-    return by_limit, np.stack(out, axis=1)
+    value, by_limit, by_cov = np.zeros(n), np.zeros((n, k)), np.zeros((n, k, k))
+    for at, use in _patterns(a):
+        size = len(use)
+        if not size:
+            value[at] = 1.0
+            continue
+        part, c = a[np.ix_(at, use)], cov[at][:, use][:, :, use]
+        if _is_exact(size, method):
+            order, of = np.tile(np.arange(size), (len(at), 1)), lambda z, v, m: _factor(z, [x * 0.0 for x in z], v, len(z), m)
+        elif method in METHODS:
+            order, of = _ordered(part, c), lambda z, v, m: chained(z, v, method, m)
+        else:
+            raise ValueError(f"no closed gradient of {method!r} for {size} variables")
+        value[at], d, s = gradient(*_taken(part, c, order), of)
+        to = use[order]  # where each place of the ordered variables came from
+        rows = at[:, None]
+        by_limit[rows, to] = d
+        by_cov[rows[:, :, None], to[:, :, None], to[:, None, :]] = s
+    return value, by_limit, by_cov
+
+
+def log_mvn_cdf(a: np.ndarray, cov: np.ndarray, method: str = "me") -> np.ndarray:
+    return np.log(np.maximum(mvn_cdf(a, cov, method), TINY))
 
 
 def truncated_moments(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,6 +193,25 @@ def mvn_rectangle(lower: np.ndarray, upper: np.ndarray, cov: np.ndarray, method:
     return np.clip(out, 0.0, 1.0)
 
 
+def mvn_rectangle_gradient(lower: np.ndarray, upper: np.ndarray, cov: np.ndarray, method: str = "ovus") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """P(lower < X <= upper) by row, and its derivatives by both limits (N, K) and by covariances (N, K, K).
+
+    A sum of signed terms over the corners; a side of minus infinity has no corner, one of plus infinity drops its variable.
+    """
+    n, k = lower.shape
+    value, by = np.zeros(n), np.zeros((2, n, k))
+    by_cov = np.zeros((n, k, k))
+    for mask in range(1 << k):
+        low = np.array([mask >> i & 1 for i in range(k)], bool)
+        sign = (-1) ** int(low.sum())
+        p, d, s = mvn_cdf_gradient(np.where(low, lower, upper), cov, method)
+        value += sign * p
+        by[0][:, low] += sign * d[:, low]
+        by[1][:, ~low] += sign * d[:, ~low]
+        by_cov += sign * s
+    return value, by[0], by[1], by_cov
+
+
 def mvn_density(x: np.ndarray, cov: np.ndarray) -> np.ndarray:
     low = np.linalg.cholesky(np.broadcast_to(cov, (len(x), *cov.shape[-2:])))
     z = np.linalg.solve(low, x[:, :, None])[:, :, 0]

@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefero.functions.algebra import ARRAYS, COLUMNS, product, total
+from prefero.functions.algebra import COLUMNS, product, total
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, scenarios_of
-from prefero.operators.spec import Design, compile_spec, complete, given
+from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, runs_of
+from prefero.operators.spec import Design, compile_spec, complete, given, known
 from prefero.plans.estimates import KINDS, Estimates, covariance
-from prefero.plans.likelihood import Likelihood, as_arrays
+from prefero.plans.likelihood import Closed, as_arrays
 from prefero.plans.optim import minimize
 
 FLOOR = 1e-4
@@ -104,7 +104,7 @@ class MDCEV:
         self.given, self.goods, self.traditional, self.weight, self.se = df, list(goods), traditional, weight, se
         self.x, self.z = compile_spec(utility, goods, df.columns), compile_spec(satiation, goods, df.columns)
         self.prices = prices
-        self.used = [*self.x.columns(), *self.z.columns(), *(prices or []), *([weight] if weight else [])]
+        self.used = list(dict.fromkeys([*self.x.columns(), *self.z.columns(), *(prices or []), *([weight] if weight else [])]))
         self.df = complete(df, self.used)
         self.results: Estimates | None = None
 
@@ -121,18 +121,52 @@ class MDCEV:
     def names(self) -> list[str]:
         return [*self.x.names, *[f"g_{n}" for n in self.z.names], "sigma"]
 
-    def _kernel(self):
-        j, nx, nz, traditional = len(self.goods), len(self.x.names), len(self.z.names), self.traditional
+    def _rows(self) -> DataFrame:
+        """The columns that the likelihood reads, numbered, so that no name of the table meets one of the terms."""
+        return self.df.select(*[given(c).cast("double").alias(f"_c{i}") for i, c in enumerate(self._read())])
 
-        def kernel(theta: np.ndarray, data: dict[str, np.ndarray]) -> np.ndarray:
-            rows = len(data["x"])
-            v = data["x"].reshape(rows, j, nx) @ theta[:nx]
-            f = np.exp(np.clip(data["z"].reshape(rows, j, nz) @ theta[nx : nx + nz], OUTSIDE, 300)) if nz else np.ones((rows, j))
-            split = lambda a: [a[:, k] for k in range(j)]
-            with np.errstate(all="ignore"):
-                return loglik(split(v), split(f), split(data["q"]), split(data["p"]), float(np.exp(theta[-1])), traditional, 1.0, ARRAYS)
+    def _read(self) -> list[str]:
+        return list(dict.fromkeys([*self.goods, *self.used]))
 
-        return kernel
+    def terms(self, rows: DataFrame, theta: list[Column], scored: bool = True) -> DataFrame:
+        """``ll`` and the scores ``g0``, ``g1`` ... of the rows (of ``_rows``) by utility coefficients, log-satiations and log scale.
+
+        By a good's utility the log-likelihood moves by r / s, with r the good's being consumed
+        less (M + 1) times its share of ``below``; by the outside good's it moves by the others' sum against it.
+        """
+        at = {c: F.col(f"_c{i}") for i, c in enumerate(self._read())}
+        read, n, nx, nz = at.__getitem__, len(self.goods), len(self.x.names), len(self.z.names)
+        q, price, weight = [at[g] for g in self.goods], self._price(read), at[self.weight] if self.weight else F.lit(1.0)
+        v, u = self.x.utilities(theta[:nx], read), self.z.utilities(theta[nx : nx + nz], read)
+        keep = [c for c in rows.columns]
+        staged = rows.select(*keep, *[x.alias(f"_v{k}") for k, x in enumerate(v)], *[F.exp(x).alias(f"_f{k}") for k, x in enumerate(u) if k], F.exp(theta[-1]).alias("_s"))
+        v, f, s = [F.col(f"_v{k}") for k in range(n)], [F.lit(0.0), *[F.col(f"_f{k}") for k in range(1, n)]], F.col("_s")
+        value = likelihood(v, f, q, price, s, self.traditional)
+        staged = staged.select("*", value.alias("_p"))
+        ll = (F.log(F.when(F.col("_p") > 0, F.col("_p")).otherwise(FLOOR)) * weight).alias("ll")
+        if not scored:
+            return staged.select(*keep, ll)
+        base = v[0] - F.log(price[0]) - (F.log(q[0]) if self.traditional else 0.0)
+        inside = range(1, n)
+        staged = staged.select("*", *[(base - (v[k] - F.log((q[k] + f[k]) / f[k]) - F.log(price[k]))).alias(f"_d{k}") for k in inside])
+        staged = staged.select("*", *[F.exp(-F.col(f"_d{k}") / s).alias(f"_e{k}") for k in inside])
+        is_used = {k: F.when(q[k] > 0, 1.0).otherwise(0.0) for k in inside}
+        many = total([is_used[k] for k in inside]) + 1.0
+        below = total([F.col(f"_e{k}") for k in inside]) + 1.0
+        staged = staged.select("*", *[(is_used[k] - many * F.col(f"_e{k}") / below).alias(f"_r{k}") for k in inside])
+        spent = price[0] * q[0] + total([F.when(q[k] > 0, price[k] * (q[k] + f[k])).otherwise(0.0) for k in inside])
+        r = {k: F.col(f"_r{k}") for k in inside}
+        by_v = [-total([r[k] / s for k in inside]), *[r[k] / s for k in inside]]
+        by_u = [None]
+        for k in inside:
+            own = is_used[k] * (price[k] * f[k] / spent - f[k] / (q[k] + f[k])) if self.traditional else -is_used[k] * f[k] / (q[k] + f[k])
+            by_u.append(r[k] * q[k] / (s * (q[k] + f[k])) + own)
+        staged = staged.select("*", *[x.alias(f"_bv{k}") for k, x in enumerate(by_v)], *[x.alias(f"_bu{k}") for k, x in enumerate(by_u) if k])
+        cells = lambda design, i, kind, first: total([F.col(f"_{kind}{k}") * x for k in range(first, n) if (x := design.value(k, i, read)) is not None] or [F.lit(0.0)])
+        of_scale = total([r[k] * F.col(f"_d{k}") / s - is_used[k] for k in inside])
+        scores = [*[cells(self.x, i, "bv", 0) for i in range(nx)], *[cells(self.z, i, "bu", 1) for i in range(nz)], of_scale]
+        live = F.when(F.col("_p") > 0, weight).otherwise(0.0)
+        return staged.select(*keep, ll, *[(g * live).alias(f"g{i}") for i, g in enumerate(scores)])
 
     def _active(self) -> np.ndarray:
         active = np.ones(len(self.names), bool)
@@ -142,11 +176,10 @@ class MDCEV:
 
     def fit(self, iterations: int = 200) -> Estimates:
         refuse_nulls(self.given, list(dict.fromkeys([*self.used, *self.goods])))
-        rows = self.df.select(*self._packed(), *([given(self.weight).alias("w")] if self.weight else []))
-        lik = Likelihood(rows, self._kernel(), len(self.names), self._active(), "w" if self.weight else None)
+        lik = Closed(self._rows(), self.terms, len(self.names), self._active())
         try:
             start = np.where(self._active(), 0.0, OUTSIDE)
-            best = minimize(lik.objective, start, active=self._active(), iterations=iterations)
+            best = minimize(lik.objective, start, active=self._active(), iterations=iterations, ladder=lik.ladder)
             n, ll, g, outer = lik.at(best.theta)
             hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
         finally:
@@ -171,7 +204,8 @@ class MDCEV:
         theta = self.results.extra["theta"]
         v, u = self.x.utilities(theta[:nx]), self.z.utilities(theta[nx : nx + nz])
         weight = given(self.weight) if self.weight else 1.0
-        return loglik(v, [F.exp(x) for x in u], [given(g) for g in self.goods], self._price(), float(math.exp(theta[-1])), self.traditional, weight)
+        # quantities are refused where they are null like every other column of the model
+        return loglik(v, [F.exp(x) for x in u], [known(g) for g in self.goods], self._price(), float(math.exp(theta[-1])), self.traditional, weight)
 
     def _simulated(self, runs: Mapping[str, list[Column]], budget: str | float, id_column: str | None, more: Sequence[str] = ()) -> tuple[DataFrame, Callable]:
         """Rows with the packed columns of every run, and what allocates a batch of them for one run and replication."""
@@ -270,7 +304,7 @@ class MDCEV:
 
     def ate(self, scenarios: Scenarios, **kwargs) -> DataFrame:
         """scenario, alternative, share: participation under the table as it is and under each scenario, in one pass."""
-        runs = {"baseline": {}} | scenarios_of(scenarios)
+        runs = runs_of(scenarios)
         return self._shares({s: self._packed(o, quantities=False) for s, o in runs.items()}, more=read_by(runs.values()), **kwargs)
 
     def ate_cell(self, good: str, coefficient: str, base: float, treatment: float, **kwargs) -> DataFrame:

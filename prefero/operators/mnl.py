@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefero.functions.algebra import COLUMNS, total
-from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, scenarios_of
+from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, runs_of
 from prefero.operators.spec import Design, choice_index, compile_spec, complete, given
 from prefero.plans.estimates import Estimates, covariance
 from prefero.plans.optim import newton
@@ -101,7 +101,7 @@ class MNL:
 
     def fit(self, start: Sequence[float] | None = None) -> Estimates:
         refuse_nulls(self.given, self.used)
-        rows = self.df.persist()
+        rows = self.df.select(*[F.col(f"`{c}`") for c in self.used]).persist()
         try:
             def objective(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
                 n, ll, g, h, _ = sums(rows, self.design, beta, self.y, self.available)
@@ -130,7 +130,7 @@ class MNL:
 
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, alternative, share: mean probabilities, for the table as it is and under each scenario."""
-        runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
+        runs = runs_of(scenarios)
         return mean_by_scenario(complete(self.df, read_by(runs.values())), {s: self._shares(o) for s, o in runs.items()}, self.design.alternatives)
 
     def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from prefero.functions.algebra import COLUMNS
 from prefero.functions.distributions import bivariate_normal_cdf, normal_cdf
 from prefero.kernels.matrices import angles_of_correlation, correlation_of_angles, jacobian
-from prefero.kernels.mvn import density, mvn_cdf, phi, phi2
+from prefero.kernels.mvn import METHODS, mvn_cdf, mvn_cdf_gradient
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, scenarios_of
-from prefero.operators.spec import Design, choice_index, compile_spec, complete, given
+from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, runs_of
+from prefero.operators.spec import Design, choice_index, compile_spec, complete, given, unused
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Likelihood, as_arrays
-from prefero.plans.optim import minimize
+from prefero.plans.optim import Bounds, minimize
 
 FLOOR = 1e-300
 STRUCTURES = ("iid", "heteronly", "full")
@@ -34,12 +34,6 @@ def differences(kernel: np.ndarray, chosen: int) -> np.ndarray:
     return m @ whole @ m.T
 
 
-def _pair_shape(cov: np.ndarray) -> list[float]:
-    """Standard deviations of the differences and, of two, their correlation."""
-    sd = np.sqrt(np.diag(cov))
-    return [*sd, cov[0, 1] / (sd[0] * sd[1])] if len(sd) == 2 else [*sd, 0.0]
-
-
 def choice_probability(utilities: list, kernel: np.ndarray, chosen: int, m=COLUMNS):
     """Probability of one of two or three alternatives, in closed form.  ``utilities`` may be of any algebra."""
     cov = differences(kernel, chosen)
@@ -70,11 +64,25 @@ def probabilities(v: np.ndarray, kernel: np.ndarray, which: np.ndarray, availabl
     return out
 
 
-def pair_terms(a: np.ndarray, b: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bivariate normal distribution at (a, b) and its derivatives by a, b and rho."""
-    a, b, q = np.clip(a, -40, 40), np.clip(b, -40, 40), np.sqrt(1 - rho * rho)
-    by_rho = np.exp(-(a * a - 2 * rho * a * b + b * b) / (2 * q * q)) / (2 * np.pi * q)
-    return phi2(a, b, np.asarray(rho)), density(a) * phi((b - rho * a) / q), density(b) * phi((a - rho * b) / q), by_rho
+def probability_gradients(v: np.ndarray, kernel: np.ndarray, which: np.ndarray, available: np.ndarray, method: str, spread: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of alternative ``which`` of each row, and its derivatives: by utilities (N, J), by the kernel (N, J-1, J-1), and by the covariance of utilities (N, J, J)."""
+    n, j = v.shape
+    p, by_v, by_all = np.zeros(n), np.zeros((n, j)), np.zeros((n, j, j))
+    for c in range(j):
+        at = np.flatnonzero((which == c) & (available[:, c] > 0))
+        if not len(at):
+            continue
+        m = np.delete(np.eye(j), c, axis=0)
+        m[:, c] -= 1.0
+        rivals = [k for k in range(j) if k != c]
+        limits = np.where(available[np.ix_(at, rivals)] > 0, -(v[at] @ m.T), np.inf)
+        cov = np.broadcast_to(differences(kernel, c), (len(at), j - 1, j - 1))
+        if spread is not None:
+            cov = cov + np.einsum("aj,njk,bk->nab", m, spread[at], m)
+        p[at], by_limit, by_cov = mvn_cdf_gradient(limits, cov, method)
+        by_v[at] = -by_limit @ m
+        by_all[at] = np.einsum("aj,nab,bk->njk", m, by_cov, m)
+    return p, by_v, by_all[:, 1:, 1:], by_all
 
 
 class MNP:
@@ -101,6 +109,7 @@ class MNP:
         self.available, self.has_choice = availability, set(alternatives) <= set(df.columns)
         self.df = complete(df, [*self.design.columns(), *(availability or [])])
         self.results: Estimates | None = None
+        self._slopes: tuple[np.ndarray, np.ndarray] | None = None
 
     def _spread_size(self) -> int:
         r = len(self.random)
@@ -195,42 +204,57 @@ class MNP:
     def used(self) -> list[str]:
         return list(dict.fromkeys([*self.design.columns(), *(self.available or []), *(self.alternatives if self.has_choice else ["choice"])]))
 
+    def _cov_slopes(self, theta: np.ndarray) -> np.ndarray:
+        """Derivatives of the kernel covariance by each parameter (P, J-1, J-1): a few numbers, kept for the last parameters asked for."""
+        if self._slopes is None or not np.array_equal(self._slopes[0], theta):
+            j = len(self.alternatives) - 1
+            self._slopes = theta.copy(), jacobian(lambda t: self.unpack(t)[0].ravel(), theta).reshape(len(theta), j, j)
+        return self._slopes[1]
+
     def row_scores(self, theta: np.ndarray, x: np.ndarray, which: np.ndarray, available: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability and score of each row in closed form: two or three alternatives, fixed coefficients.
+        """Log-probability and score of each row; x is (N, J, V).
 
-        A row's probability is a normal distribution at limits z = (v_c - v_k) / s_k with a
-        correlation r; s and r depend on the parameters of the covariance alone, so their
-        derivatives are taken once, on the driver's few numbers.
+        The probability's derivatives by limits go to the coefficients, those by covariances to scales and
+        correlations and, through each row's own values, to the factor of the random coefficients.  Of a mixture,
+        a segment's score counts by the segment's share in the row's probability.
         """
-        v, j = len(self.design.names), len(self.alternatives)
-        shape = lambda t: np.array([_pair_shape(differences(self.unpack(t)[0], c)) for c in range(j)])
-        at, slope = shape(theta), jacobian(shape, theta).reshape(len(theta), j, -1)
-        out, score = np.full(len(x), np.log(FLOOR)), np.zeros((len(x), len(theta)))
-        for c in range(j):
-            rows = np.flatnonzero((which == c) & (available[:, c] > 0))
-            if not len(rows):
-                continue
-            rivals = [k for k in range(j) if k != c]
-            apart = x[rows][:, [c]] - x[np.ix_(rows, rivals)]
-            there = available[np.ix_(rows, rivals)] > 0
-            z = np.where(there, apart @ theta[:v] / at[c, : j - 1], np.inf)
-            if j == 2:
-                p, by = phi(z[:, 0]), density(z)
-                by_rho = None
-            else:
-                p, by_a, by_b, by_rho = pair_terms(z[:, 0], z[:, 1], at[c, -1])
-                by = np.stack([by_a, by_b], axis=1)
-                by_rho = np.where(there.all(axis=1), by_rho, 0.0)
-            by = np.where(there, by, 0.0)
-            g = np.zeros((len(rows), len(theta)))
-            g[:, :v] = np.einsum("nk,nkv->nv", by / at[c, : j - 1], apart)
-            for i in range(v, len(theta)):
-                g[:, i] = (by * np.where(there, -z / at[c, : j - 1], 0.0)) @ slope[i, c, : j - 1] + (by_rho * slope[i, c, -1] if j == 3 else 0.0)
-            p = np.maximum(p, FLOOR)
-            out[rows], score[rows] = np.log(p), g / p[:, None]
-        return out, score
-
-    def fit(self, iterations: int = 200, active: np.ndarray | None = None, start: np.ndarray | None = None, seed: int = 0) -> Estimates:
+        v, j, n = len(self.design.names), len(self.alternatives), len(x)
+        kernel, betas, omegas, share = self.unpack(theta)
+        z, size = x[:, :, self.random], self._spread_size()
+        fixed = v + (j - 2 + (j - 1) * (j - 2) // 2 * (self.structure == "full") if self.structure != "iid" else 0)
+        logits = fixed + size
+        own = logits + self.segments - 1  # where the second segment's parameters start
+        p, g, of_kernel, parts = np.zeros(n), np.zeros((n, len(theta))), np.zeros((n, j - 1, j - 1)), []
+        for k, (beta, omega, s) in enumerate(zip(betas, omegas, share, strict=True)):
+            spread = None if omega is None else np.einsum("njr,rs,nks->njk", z, omega, z)
+            part, by_v, by_kernel, by_all = probability_gradients(x @ beta, kernel, which, available, self.method, spread)
+            at, more = (0, fixed) if k == 0 else (own + (k - 1) * (v + size), own + (k - 1) * (v + size) + v)
+            g[:, at : at + v] = s * np.einsum("nj,njv->nv", by_v, x)
+            if omega is not None:
+                g[:, more : more + size] = s * self._spread_scores(theta[more : more + size], np.einsum("njr,njk,nks->nrs", z, by_all, z))
+            of_kernel += s * by_kernel
+            p += s * part
+            parts.append(part)
+        if self.structure != "iid":
+            g[:, v:fixed] = np.einsum("nab,pab->np", of_kernel, self._cov_slopes(theta)[v:fixed])
+        for k in range(1, self.segments):
+            g[:, logits + k - 1] = share[k] * (parts[k] - p)
+        live = p > FLOOR
+        return np.log(np.maximum(p, FLOOR)), np.where(live[:, None], g / np.where(live, p, 1.0)[:, None], 0.0)
+
+    def _spread_scores(self, part: np.ndarray, by_omega: np.ndarray) -> np.ndarray:
+        """Derivatives by the parameters of the random coefficients' covariance from those by the covariance (N, R, R)."""
+        if not self.correlated:
+            return 2 * np.exp(2 * part) * np.einsum("nrr->nr", by_omega)
+        low = np.zeros((len(self.random),) * 2)
+        at = np.tril_indices(len(low))
+        low[at] = part
+        return 2 * (by_omega @ low)[:, at[0], at[1]]
+
+    def fit(self, iterations: int = 200, active: np.ndarray | None = None, start: np.ndarray | None = None, seed: int = 0, bounds: Bounds | None = None) -> Estimates:
+        """Estimates by maximum likelihood; ``active``: which parameters move; ``bounds``: (least, greatest) of each, None for none."""
+        if bounds is not None and len(bounds) != len(self.names):
+            raise ValueError(f"bounds of {len(bounds)} for {len(self.names)} parameters")
         if active is not None and len(active) != len(self.names):
             raise ValueError(f"a mask of {len(active)} for {len(self.names)} parameters")
         refuse_nulls(self.given, self.used)
@@ -245,14 +269,14 @@ class MNP:
             n = len(data["y"])
             return twin.row_scores(theta, data["x"].reshape(n, j, v), data["y"].astype(int), data["a"].reshape(n, j))
 
-        closed = j <= 3 and not self.random and self.segments == 1
+        closed = j <= 3 or self.method in METHODS or j <= 5 and self.method in ("exact", "scipy")
         lik = Likelihood(self.df.select(*self._packed(), y.alias("y")), kernel, len(self.names), active, scored=scored if closed else None)
         if start is None:
             start = np.random.default_rng(seed).normal(0, 0.1, len(self.names)) if self.segments > 1 else np.zeros(len(self.names))
             if self.correlated:
                 start[[i for i, n in enumerate(self.names) if n.startswith("omega_")]] += 0.3
         try:
-            best = minimize(lik.objective, start, active=active, iterations=iterations)
+            best = minimize(lik.objective, start, bounds, active, iterations=iterations, ladder=lik.ladder)
             n, ll, g, outer = lik.at(best.theta)
             hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
         finally:
@@ -302,13 +326,14 @@ class MNP:
         def shares(x: pd.Series, a: pd.Series) -> pd.Series:
             return pd.Series(list(twin._all(np.array(x.tolist()), np.array(a.tolist()))), dtype="object") if len(x) else pd.Series([], dtype="object")
 
-        p = self.df.withColumn("_p", shares(*self._packed()))
-        best = F.array_position("_p", F.array_max("_p")) - 1
-        return p.select("*", *[F.get("_p", F.lit(k)).alias(f"p_{n}") for k, n in zip(range(j), self.alternatives, strict=True)], best.cast("int").alias("predicted")).drop("_p")
+        name = unused("_p", self.df)
+        p = self.df.withColumn(name, shares(*self._packed()))
+        best = F.array_position(name, F.array_max(name)) - 1
+        return p.select("*", *[F.get(name, F.lit(k)).alias(f"p_{n}") for k, n in zip(range(j), self.alternatives, strict=True)], best.cast("int").alias("predicted")).drop(name)
 
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, alternative, share: mean probabilities, all scenarios in one pass."""
-        runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
+        runs = runs_of(scenarios)
         return self._means({s: self._packed(o) for s, o in runs.items()}, read_by(runs.values()))
 
     def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:

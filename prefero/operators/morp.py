@@ -10,18 +10,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefero.functions.algebra import ARRAYS, COLUMNS
-from prefero.functions.distributions import normal_cdf
+from prefero.functions.algebra import ARRAYS, COLUMNS, product, total
+from prefero.functions.distributions import normal_cdf, normal_pdf
 from prefero.kernels.matrices import angles_of_correlation, correlation_of_angles, jacobian
-from prefero.kernels.mvn import mvn_rectangle
+from prefero.kernels.mvn import METHODS, mvn_cdf, mvn_rectangle, mvn_rectangle_gradient
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, scenarios_of
-from prefero.operators.spec import Design, compile_spec, complete, rebased
+from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, runs_of
+from prefero.operators.spec import Design, compile_spec, complete, given, rebased
 from prefero.plans.estimates import KINDS, Estimates, covariance
-from prefero.plans.likelihood import Likelihood, as_arrays
+from prefero.plans.likelihood import Closed, Likelihood, as_arrays
 from prefero.plans.optim import minimize
 
 FLOOR = 1e-300
+#: Combinations of a joint table that a task takes on, about.
+VERTICES = 64
 STRUCTURES = ("iid", "heteronly", "full")
 
 
@@ -49,6 +51,7 @@ class MORP:
         self.lowest: list[float] | None = None
         self.categories: list[int] | None = None
         self.results: Estimates | None = None
+        self._slopes: tuple[np.ndarray, np.ndarray] | None = None
 
     def bind(self) -> None:
         """Learn each outcome's lowest category and number of categories, once."""
@@ -91,13 +94,19 @@ class MORP:
         corr = (cov / np.outer(sd, sd))[np.tril_indices(len(sd), -1)] if self.structure == "full" else []
         return np.concatenate([beta, *cuts, sd[1:] if self._scales() else [], corr])
 
-    def _probabilities(self, theta: np.ndarray, means: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Rectangle probability of each row's answers."""
-        _, cuts, cov = self.unpack(theta)
+    @staticmethod
+    def _sides(means: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Limits of the errors between which each answer lies."""
         lower, upper = np.empty(y.shape), np.empty(y.shape)
         for i, t in enumerate(cuts):
             edges = np.concatenate([[-np.inf], t, [np.inf]])
             lower[:, i], upper[:, i] = edges[y[:, i]] - means[:, i], edges[y[:, i] + 1] - means[:, i]
+        return lower, upper
+
+    def _probabilities(self, theta: np.ndarray, means: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rectangle probability of each row's answers."""
+        _, cuts, cov = self.unpack(theta)
+        lower, upper = self._sides(means, y, cuts)
         if self.structure != "full" or y.shape[1] == 1:
             sd = np.sqrt(np.diag(cov))
             edge = lambda x: normal_cdf(np.clip(x / sd, -40, 40), ARRAYS)
@@ -112,6 +121,93 @@ class MORP:
     def _answers(self) -> Column:
         return F.array(*[rebased(o, low) for o, low in zip(self.outcomes, self.lowest, strict=True)])
 
+    def _separate(self) -> bool:
+        """Whether the outcomes are independent, so that all terms are Columns."""
+        return self.structure != "full" or len(self.outcomes) == 1
+
+    def _rows(self) -> DataFrame:
+        """The columns that the likelihood reads, numbered, and the answers from 0."""
+        return self.df.select(*[given(c).alias(f"_c{i}") for i, c in enumerate(self.design.columns())], *[rebased(o, low).alias(f"_y{i}") for i, (o, low) in enumerate(zip(self.outcomes, self.lowest, strict=True))])
+
+    def terms(self, rows: DataFrame, theta: list[Column], scored: bool = True) -> DataFrame:
+        """``ll`` and the scores ``g0``, ``g1`` ... of the rows (of ``_rows``), for independent outcomes.
+
+        An answer's probability lies between two normal distributions; a side without a threshold is constant.
+        """
+        read = {c: F.col(f"_c{i}") for i, c in enumerate(self.design.columns())}.__getitem__
+        keep, v, d = list(rows.columns), len(self.design.names), len(self.outcomes)
+        at = v
+        first, raised = [], []  # places of each outcome's first threshold parameter; its thresholds
+        for c in self.categories:
+            cuts = [theta[at]]
+            for k in range(1, c - 1):
+                cuts.append(cuts[-1] + F.exp(theta[at + k]))
+            first.append(at)
+            raised.append(cuts[: c - 1])
+            at += c - 1
+        sds = [F.lit(1.0)] * d
+        if self._scales():
+            sds = [F.lit(1.0), *[F.exp(theta[at + i]) for i in range(d - 1)]]
+        means = self.design.utilities(theta[:v], read)
+        out = rows.select(*keep, *[F.array(*cuts).alias(f"_t{i}") for i, cuts in enumerate(raised) if cuts], *[m.alias(f"_m{i}") for i, m in enumerate(means)], *[x.alias(f"_s{i}") for i, x in enumerate(sds)])
+        edges = []
+        for i, cuts in enumerate(raised):
+            y, n = F.col(f"_y{i}"), len(cuts)
+            edge = lambda place, i=i: (F.get(f"_t{i}", place) - F.col(f"_m{i}")) / F.col(f"_s{i}")
+            # beyond the outer thresholds the distribution is 0 or 1, which limits of 40 give as well
+            edges += [F.when(y < n, edge(y)).otherwise(40.0).alias(f"_u{i}") if n else F.lit(40.0).alias(f"_u{i}"), F.when(y > 0, edge(y - 1)).otherwise(-40.0).alias(f"_l{i}") if n else F.lit(-40.0).alias(f"_l{i}")]
+        out = out.select("*", *edges)
+        cut = lambda x: F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))
+        out = out.select("*", *[(normal_cdf(cut(F.col(f"_u{i}"))) - normal_cdf(cut(F.col(f"_l{i}")))).alias(f"_p{i}") for i in range(d)])
+        whole = product([F.col(f"_p{i}") for i in range(d)])
+        ll = F.log(F.greatest(whole, F.lit(FLOOR))).alias("ll")
+        if not scored:
+            return out.select(*keep, ll)
+        out = out.select(*out.columns, ll, (whole > FLOOR).alias("_live"))
+        slopes = [F.when(F.col("_live"), normal_pdf(cut(F.col(f"_{side}{i}"))) / (F.col(f"_p{i}") * F.col(f"_s{i}"))).otherwise(0.0).alias(f"_b{side}{i}") for i in range(d) for side in "ul"]
+        out = out.select("*", *slopes)
+        up, down = [F.col(f"_bu{i}") for i in range(d)], [F.col(f"_bl{i}") for i in range(d)]
+        scores = [total([(down[i] - up[i]) * x for i in range(d) if (x := self.design.value(i, k, read)) is not None] or [F.lit(0.0)]) for k in range(v)]
+        for i, cuts in enumerate(raised):
+            y = F.col(f"_y{i}")
+            for k in range(len(cuts)):  # a threshold parameter moves its own threshold and all above
+                inside = F.when((y >= k) & (y < len(cuts)), up[i]).otherwise(0.0) - F.when(y > k, down[i]).otherwise(0.0)
+                scores.append(inside if k == 0 else inside * F.exp(theta[first[i] + k]))
+        if self._scales():
+            scores += [(F.col(f"_l{i}") * down[i] - F.col(f"_u{i}") * up[i]) * F.col(f"_s{i}") for i in range(1, d)]
+        return out.select(*keep, "ll", *[g.alias(f"g{i}") for i, g in enumerate(scores)])
+
+    def row_scores(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability and score of each row for correlated outcomes: x (N, D, V), y (N, D).
+
+        The rectangle's derivatives by its sides go to coefficients and thresholds, those by
+        covariances to scales and correlations, whose few derivatives are the driver's numbers.
+        """
+        v, d, n = len(self.design.names), len(self.outcomes), len(x)
+        beta, cuts, cov = self.unpack(theta)
+        lower, upper = self._sides(x @ beta, y, cuts)
+        p, by_low, by_up, by_cov = mvn_rectangle_gradient(lower, upper, cov, self.method)
+        live = p > FLOOR
+        g = np.zeros((n, len(theta)))
+        g[:, :v] = -np.einsum("nd,ndv->nv", by_low + by_up, x)
+        at = v
+        for i, t in enumerate(cuts):
+            raised = np.exp(theta[at : at + len(t)])
+            for k in range(len(t)):  # a threshold parameter moves its own threshold and all above
+                inside = by_up[:, i] * ((y[:, i] >= k) & (y[:, i] < len(t))) + by_low[:, i] * (y[:, i] > k)
+                g[:, at + k] = inside * (raised[k] if k else 1.0)
+            at += len(t)
+        for k in range(at, len(theta)):
+            g[:, k] = np.einsum("nij,ij->n", by_cov, self._cov_slopes(theta)[k])
+        return np.log(np.maximum(p, FLOOR)), np.where(live[:, None], g / np.where(live, p, 1.0)[:, None], 0.0)
+
+    def _cov_slopes(self, theta: np.ndarray) -> np.ndarray:
+        """Derivatives of the covariance by each parameter (P, D, D); kept for the last parameters asked for."""
+        if self._slopes is None or not np.array_equal(self._slopes[0], theta):
+            d = len(self.outcomes)
+            self._slopes = theta.copy(), jacobian(lambda t: self.unpack(t)[2].ravel(), theta).reshape(len(theta), d, d)
+        return self._slopes[1]
+
     def _start(self) -> np.ndarray:
         parts = [np.zeros(len(self.design.names))]
         for c in self.categories:
@@ -122,9 +218,9 @@ class MORP:
         refuse_nulls(self.given, [*self.design.columns(), *self.outcomes])
         self.bind()
         d, v = len(self.outcomes), len(self.design.names)
-        lik = Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names))
+        lik = Closed(self._rows(), self.terms, len(self.names)) if self._separate() else Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names), scored=self._scored(d, v))
         try:
-            best = minimize(lik.objective, self._start(), iterations=iterations)
+            best = minimize(lik.objective, self._start(), iterations=iterations, ladder=lik.ladder)
             n, ll, g, outer = lik.at(best.theta)
             hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
             if self.structure == "full" and 2 < d <= 4:  # the report is of the exact probability at the optimum
@@ -155,6 +251,13 @@ class MORP:
 
         return kernel
 
+    def _scored(self, d: int, v: int):
+        """Values and scores at once, where the method has them."""
+        if d > 2 and self.method not in METHODS and not (d <= 4 and self.method in ("exact", "scipy")):
+            return None
+        twin = self._plain()
+        return lambda theta, data: twin.row_scores(theta, data["x"].reshape(len(data["x"]), d, v), data["y"].astype(int).reshape(-1, d))
+
     def from_estimates(self, beta: Sequence[float], thresholds: Sequence[Sequence[float]], corr: np.ndarray | None = None, lowest: Sequence[float] | None = None) -> Estimates:
         """Results from natural numbers; variances are one, thresholds must rise."""
         for t in thresholds:
@@ -196,7 +299,7 @@ class MORP:
 
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, outcome, category, share: mean marginal probabilities."""
-        runs = {"baseline": {}} | (scenarios_of(scenarios) if scenarios is not None else {})
+        runs = runs_of(scenarios)
         return self._means({s: self._marginals(o) for s, o in runs.items()}, read_by(runs.values()))
 
     def ate_cell(self, outcome: str, coefficient: str, base: float, treatment: float) -> DataFrame:
@@ -210,22 +313,57 @@ class MORP:
         return found.select("scenario", F.col("alternative").substr(F.lit(1), cut).alias("outcome"), F.substring_index("alternative", ":", -1).cast("int").alias("category"), "share")
 
     def joint(self) -> DataFrame:
-        """One row for each combination of categories (from 1) with its mean probability; marginalise by grouping."""
-        d, v, theta, twin = len(self.outcomes), len(self.design.names), self.results.extra["theta"], self._plain()
-        combos = list(itertools.product(*[range(c) for c in self.categories]))
+        """One row for each combination of categories (from 1) with its mean probability; marginalise by grouping.
+
+        The distribution is taken once at each vertex of the thresholds' lattice, and differences along
+        each axis give every combination.  Slabs of the first outcome's categories go to tasks of their own,
+        so a small table with many combinations is spread as well as a large one.
+        """
+        theta, twin = self.results.extra["theta"], self._plain()
+        d, v, counts = len(self.outcomes), len(self.design.names), list(self.categories)
+        slabs = min(counts[0], max(1, int(np.prod(counts)) // VERTICES))
+        starts = [counts[0] * i // slabs for i in range(slabs + 1)]
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros(len(combos)), 0
+            sums, n = np.zeros(counts), np.zeros(slabs)
             for rows in batches:
                 if len(rows):
-                    means = as_arrays(rows)["x"].reshape(len(rows), d, v) @ twin.unpack(theta)[0]
-                    total += [twin._probabilities(theta, means, np.tile(c, (len(rows), 1))).sum() for c in combos]
-                    n += len(rows)
-            yield pd.DataFrame({"combo": range(len(combos)), "s": total, "n": n})
-
-        sums = self.df.select(*self._packed()).mapInPandas(task, "combo int, s double, n long").groupBy("combo").agg((F.sum("s") / F.sum("n")).alias("probability"))
-        table = F.array(*[F.array(*[F.lit(x + 1) for x in c]) for c in combos])
-        return sums.select(*[F.get(F.get(table, F.col("combo")), F.lit(i)).alias(o) for i, o in enumerate(self.outcomes)], "probability")
+                    x, slab = as_arrays(rows)["x"], rows["slab"].to_numpy()
+                    for s in np.unique(slab):
+                        own = x[slab == s]
+                        means = own.reshape(len(own), d, v) @ twin.unpack(theta)[0]
+                        sums[starts[s] : starts[s + 1]] += twin.lattice(theta, means, starts[s], starts[s + 1])
+                        n[s] += len(own)
+            of = np.repeat(n, np.diff(starts) * int(np.prod(counts[1:])))
+            yield pd.DataFrame({"combo": range(sums.size), "s": sums.ravel(), "n": of})
+
+        rows = self.df.select(*self._packed(), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
+        if slabs > 1:
+            rows = rows.repartition("slab", F.monotonically_increasing_id())
+        found = rows.mapInPandas(task, "combo int, s double, n double").groupBy("combo").agg((F.sum("s") / F.sum("n")).alias("probability"))
+        table = F.array(*[F.array(*[F.lit(x + 1) for x in c]) for c in itertools.product(*[range(c) for c in counts])])
+        return found.select(*[F.get(F.get(table, F.col("combo")), F.lit(i)).alias(o) for i, o in enumerate(self.outcomes)], "probability")
+
+    def lattice(self, theta: np.ndarray, means: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Sums over rows of the probabilities of all combinations whose first category is in [start, end)."""
+        _, cuts, cov = self.unpack(theta)
+        sd, d = np.sqrt(np.diag(cov)), len(cuts)
+        edges = [np.concatenate([[-np.inf], t, [np.inf]]) for t in cuts]
+        edges[0] = edges[0][start : end + 1]
+        if self._separate():
+            parts = [np.diff(normal_cdf(np.clip((e[None] - means[:, [i]]) / sd[i], -40, 40), ARRAYS), axis=1) for i, e in enumerate(edges)]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out[..., None] * p.reshape(len(p), *[1] * (out.ndim - 1), -1)
+            return out.sum(axis=0)
+        sums = np.zeros([len(e) for e in edges])
+        for at in np.ndindex(*sums.shape):
+            limits = np.array([e[k] for e, k in zip(edges, at, strict=True)])
+            if not np.isneginf(limits).any():
+                sums[at] = mvn_cdf(limits[None] - means, cov, self.method).sum()
+        for axis in range(d):
+            sums = np.diff(sums, axis=axis)
+        return sums
 
 
 def marginal(joint: DataFrame, outcome: str) -> DataFrame:

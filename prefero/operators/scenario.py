@@ -21,6 +21,14 @@ def scenarios_of(scenarios: Scenarios | pd.DataFrame) -> dict[str, dict[str, obj
     return {k: dict(v) for k, v in scenarios.items()}
 
 
+def runs_of(scenarios: Scenarios | pd.DataFrame | None) -> dict[str, dict[str, object]]:
+    """The table as it is, named ``baseline``, and the scenarios; none of them may have that name."""
+    found = {} if scenarios is None else scenarios_of(scenarios)
+    if "baseline" in found:
+        raise ValueError("a scenario cannot be named 'baseline': that is the table as it is")
+    return {"baseline": {}} | found
+
+
 def reader(columns: Sequence[str], overrides: Overrides) -> Callable[[str], Column]:
     """How a scenario reads a column: a number stands for every row, a name for that column of the table as it is.
 

@@ -21,6 +21,14 @@ def given(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, made longer until the table has no such column in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``df``, stopping the job that meets a null in one of the columns, so that no row drops out of a mean unseen.
 
@@ -36,6 +44,12 @@ def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.where(F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("nulls in columns of the model: "), names)).cast("boolean")))
 
 
+def known(name: str) -> Column:
+    """A column of the model as a double; a null in it stops the job that meets it."""
+    said = F.raise_error(F.lit(f"nulls in columns of the model: {name}")).cast("double")
+    return F.when(F.col(f"`{name}`").isNull(), said).otherwise(F.col(f"`{name}`").cast("double"))
+
+
 @dataclass(frozen=True)
 class Design:
     """cells[j][v]: a column's name, a number, or None for zero."""
@@ -57,7 +71,7 @@ class Design:
         """Each alternative's sum of coefficient times value."""
         out = []
         for j in range(len(self.alternatives)):
-            terms = [x * float(b) for v, b in enumerate(beta) if (x := self.value(j, v, read, lift)) is not None]
+            terms = [x * (b if isinstance(b, Column) else float(b)) for v, b in enumerate(beta) if (x := self.value(j, v, read, lift)) is not None]
             total = terms[0] if terms else lift(0.0)
             for t in terms[1:]:
                 total = total + t

@@ -1,18 +1,20 @@
-"""Likelihoods whose rows go through a numpy kernel, summed by Spark.
+"""Likelihoods over the rows of a table, summed by Spark.
 
 The driver holds the parameters; each call is one job that brings back the
 number of rows, the log-likelihood, the score and the scores' outer product.
-Scores are a model's own where it has a closed form, and else central differences of
-the kernel itself, so they belong to the very approximation that is maximised.
+
+``Closed`` takes models whose rows' terms are Columns: a call is one aggregate without
+Python workers.  ``Likelihood`` takes those that need a numpy kernel by batch.  Scores are a model's own
+derivatives of the very function that is maximised; a kernel without them is differentiated by differences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: theta, columns as arrays -> log-likelihood of each row.
@@ -77,11 +79,16 @@ class Likelihood:
 
         return of
 
+    def values(self, thetas: Sequence[np.ndarray]) -> tuple[float, np.ndarray]:
+        """Rows, and the log-likelihood at several points, in one job and without scores."""
+        kernel = self.kernel
+        out = self._sums(lambda data, w: np.array([len(w), *[(w * kernel(t, data)).sum() for t in thetas]]), 1 + len(thetas))
+        return out[0], out[1:]
+
     def value(self, theta: np.ndarray) -> tuple[float, float]:
         """Rows and log-likelihood."""
-        kernel = self.kernel
-        n, ll = self._sums(lambda data, w: np.array([len(w), (w * kernel(theta, data)).sum()]), 2)
-        return n, ll
+        n, ll = self.values([theta])
+        return n, ll[0]
 
     def at(self, theta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         """Rows, log-likelihood, score and the scores' outer product."""
@@ -114,3 +121,68 @@ class Likelihood:
         """Mean negative log-likelihood and its gradient."""
         n, ll, g, _ = self.at(theta)
         return -ll / max(n, 1), -g / max(n, 1)
+
+    def ladder(self, thetas: Sequence[np.ndarray]) -> np.ndarray:
+        """Mean negative log-likelihoods, in one job."""
+        n, ll = self.values(thetas)
+        return -ll / max(n, 1)
+
+
+#: rows, parameters, whether scores are asked for -> the rows' log-likelihood ``ll`` and scores ``g0``, ``g1`` ... (of active parameters).
+Terms = Callable[[DataFrame, list[Column], bool], DataFrame]
+
+
+class Closed(Likelihood):
+    """Terms that are Columns.  Parameters are read from an array by the run's number, so one compiled plan serves all of a fit's calls.
+
+    A score that ``terms`` leaves out is zero.
+    """
+
+    RUN = "_run"
+
+    def __init__(self, rows: DataFrame, terms: Terms, parameters: int, active: np.ndarray | None = None) -> None:
+        self.rows, self.terms = rows.withColumn(self.RUN, F.lit(0)).persist(), terms
+        self.active = np.ones(parameters, bool) if active is None else np.asarray(active, bool)
+
+    def frame(self, thetas: Sequence[np.ndarray], scored: bool) -> DataFrame:
+        """The terms of every row at every point; ``_run`` numbers the points."""
+        p, run = len(thetas[0]), F.col(self.RUN)
+        rows = self.rows if len(thetas) == 1 else self.rows.withColumn(self.RUN, F.explode(F.sequence(F.lit(0), F.lit(len(thetas) - 1))))
+        flat = F.lit([float(x) for t in thetas for x in t])
+        return self.terms(rows, [F.get(flat, run * p + i) for i in range(p)], scored)
+
+    def _scores(self, frame: DataFrame) -> list[str]:
+        return [f"g{i}" for i in range(len(self.active)) if self.active[i] and f"g{i}" in frame.columns]
+
+    def at(self, theta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        frame, p = self.frame([theta], True), len(theta)
+        names = self._scores(frame)
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+        row = frame.agg(F.count("*").alias("n"), F.sum("ll").alias("ll"), *[F.sum(g).alias(g) for g in names], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).collect()[0]
+        g, outer = np.zeros(p), np.zeros((p, p))
+        for name in names:
+            g[int(name[1:])] = row[name] or 0.0
+        for a, b in pairs:
+            outer[int(a[1:]), int(b[1:])] = outer[int(b[1:]), int(a[1:])] = row[f"{a}_{b}"] or 0.0
+        return row["n"], row["ll"] or 0.0, g, outer
+
+    def values(self, thetas: Sequence[np.ndarray]) -> tuple[float, np.ndarray]:
+        rows = self.frame(thetas, False).groupBy(self.RUN).agg(F.count("*").alias("n"), F.sum("ll").alias("ll")).collect()  # one a point
+        out = np.zeros(len(thetas))
+        for r in rows:
+            out[r[self.RUN]] = r["ll"]
+        return rows[0]["n"] if rows else 0, out
+
+    def hessian(self, theta: np.ndarray) -> np.ndarray:
+        """Negative Hessian of the log-likelihood, by differences of the score in one job."""
+        p, steps = len(theta), 10 * _steps(theta)
+        moved = np.flatnonzero(self.active)
+        points = [theta + sign * steps[i] * np.eye(p)[i] for i in moved for sign in (1, -1)]
+        frame = self.frame(points, True)
+        names = self._scores(frame)
+        found = {r[self.RUN]: r for r in frame.groupBy(self.RUN).agg(*[F.sum(g).alias(g) for g in names]).collect()}  # two a parameter
+        h = np.zeros((p, p))
+        for k, i in enumerate(moved):
+            for name in names:
+                h[i, int(name[1:])] = (found[2 * k][name] - found[2 * k + 1][name]) / (2 * steps[i]) if found else 0.0
+        return -(h + h.T) / 2

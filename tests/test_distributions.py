@@ -135,9 +135,9 @@ def test_mv_logistic_gradient_by_differences():
 
 def test_mvn_gradient_moments_and_order():
     a, cov = np.array([[0.4, 0.7]]), np.array([[1.0, 0.5], [0.5, 2.0]])
-    by_limit, by_cov = mvn.mvn_cdf_gradient(a, cov)
+    _, by_limit, by_cov = mvn.mvn_cdf_gradient(a, cov)
     np.testing.assert_allclose(by_limit[0, 0], mvn.partial_mvn(a[:, :1], a[:, 1:], cov)[0], atol=1e-6)
-    assert by_cov[0, 1] == pytest.approx(mvn.mvn_density(a, cov)[0], abs=1e-6)  # d P / d covariance is the density
+    assert 2 * by_cov[0, 0, 1] == pytest.approx(mvn.mvn_density(a, cov)[0], abs=1e-9)  # d P / d covariance, in both its places, is the density
     mean, c = mvn.truncated_moments(np.array([[0.4, 40.0]]), np.zeros((1, 2)), cov)
     exact_mean, exact_cov = mvn.truncated_pair(np.array([[0.4, 40.0]]), np.zeros((1, 2)), cov[None])
     np.testing.assert_allclose(mean, exact_mean, atol=1e-6)
@@ -153,3 +153,67 @@ def test_student_skew_t_and_owen():
     z = np.linspace(-60, 60, 240_001)
     assert np.trapezoid(dist.skew_t_pdf(z, 1.5, 5.0), z) == pytest.approx(1, abs=1e-5)
     np.testing.assert_allclose(dist.normal_cdf(x, ARRAYS) - 2 * dist.owen_t(x, 1.5), dist.skew_normal_cdf(x, 1.5, ARRAYS), atol=1e-10)
+
+
+def nested(z, r, panels=40):
+    """Distribution of three or four variables by integrating out the first, on many panels."""
+    x, w = np.polynomial.legendre.leggauss(20)
+    edges = np.linspace(-8.5, min(z[0], 8.5), panels + 1)
+    t = np.concatenate([(a + b) / 2 + (b - a) / 2 * x for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    weight = np.concatenate([(b - a) / 2 * w for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    rest = r[1:, 1:] - np.outer(r[1:, 0], r[0, 1:])
+    sd = np.sqrt(np.diag(rest))
+    u, c = (z[1:] - r[1:, 0] * t[:, None]) / sd, rest / np.outer(sd, sd)
+    inside = mvn.phi2(u[:, 0], u[:, 1], np.full(len(t), c[0, 1])) if len(z) == 3 else np.array([nested(v, c, 20) for v in u])
+    return float((weight * mvn.density(t) * inside).sum())
+
+
+@pytest.mark.parametrize(("k", "n"), [(3, 60), (4, 4)])
+def test_three_and_four_variables_by_nested_integrals(k, n):
+    rng = np.random.default_rng(k)
+    low = rng.normal(size=(n, k, k)) * 0.6 + np.eye(k) * 1.2
+    cov = low @ low.transpose(0, 2, 1)
+    a = rng.normal(size=(n, k)) * 1.2
+    sd = np.sqrt(np.einsum("nkk->nk", cov))
+    want = [nested(z, r) for z, r in zip(a / sd, cov / (sd[:, :, None] * sd[:, None, :]), strict=True)]
+    np.testing.assert_allclose(mvn.exact(a, cov), want, atol=1e-8)
+
+
+@pytest.mark.parametrize("method", [*mvn.METHODS, "exact"])
+def test_gradients_by_differences(method):
+    """One reverse sweep gives the derivatives of each approximation by all limits and covariances."""
+    rng, h = np.random.default_rng(9), 1e-5
+    for k in (1, 2, 3, 4, 5):
+        if method == "exact" and k == 5:
+            continue
+        low = rng.normal(size=(20, k, k)) * 0.3 + np.eye(k)
+        cov, a = low @ low.transpose(0, 2, 1), rng.normal(size=(20, k))
+        a[3, 0], a[4, -1] = np.inf, -np.inf
+        value, by_limit, by_cov = mvn.mvn_cdf_gradient(a, cov, method)
+        np.testing.assert_allclose(value, mvn.mvn_cdf(a, cov, method), atol=1e-12)
+        of = lambda x, c: mvn.mvn_cdf(x, c, method)  # noqa: B023, E731
+        for i in range(k):
+            e = np.eye(k)[i] * h
+            np.testing.assert_allclose(by_limit[:, i], (of(a + e, cov) - of(a - e, cov)) / (2 * h), atol=2e-6)
+            for j in range(i + 1):
+                m = np.zeros((k, k))
+                m[i, j] = m[j, i] = h
+                np.testing.assert_allclose(by_cov[:, i, j] * (1 if i == j else 2), (of(a, cov + m) - of(a, cov - m)) / (2 * h), atol=2e-6)
+
+
+def test_rectangle_gradient_by_differences():
+    rng, h = np.random.default_rng(2), 1e-5
+    low = rng.normal(size=(3, 3)) * 0.4 + np.eye(3)
+    cov, a = low @ low.T, rng.normal(size=(10, 3)) - 0.5
+    b = a + rng.uniform(0.3, 2, size=(10, 3))
+    a[:4, 0], b[2:6, 1] = -np.inf, np.inf
+    p, by_low, by_up, by_cov = mvn.mvn_rectangle_gradient(a, b, cov)
+    of = lambda x, y, c: mvn.mvn_rectangle(x, y, c)
+    np.testing.assert_allclose(p, of(a, b, cov), atol=1e-12)
+    for i in range(3):
+        e = np.eye(3)[i] * h
+        np.testing.assert_allclose(by_low[:, i], (of(a + e, b, cov) - of(a - e, b, cov)) / (2 * h), atol=1e-6)
+        np.testing.assert_allclose(by_up[:, i], (of(a, b + e, cov) - of(a, b - e, cov)) / (2 * h), atol=1e-6)
+    m = np.zeros((3, 3))
+    m[0, 1] = m[1, 0] = h
+    np.testing.assert_allclose(2 * by_cov[:, 0, 1], (of(a, b, cov + m) - of(a, b, cov - m)) / (2 * h), atol=1e-6)

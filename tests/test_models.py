@@ -239,23 +239,174 @@ def test_nulls_are_refused_everywhere(spark):
                 c.participation(replications=2).collect()
 
 
-def test_probit_scores_by_differences(spark):
-    """The closed-form score of two and three alternatives, with and without all of them available."""
+def by_differences(kernel, theta, data):
     from prefero.plans.likelihood import scores
 
+    return scores(kernel, theta, data, np.ones(len(theta), bool), np.ones(len(data["x"])))
+
+
+MNP_KINDS = {
+    "two": (2, {}), "iid": (3, {}), "hetero": (3, {"structure": "heteronly"}), "full": (3, {"structure": "full"}), "four": (4, {"structure": "full"}), "four_exact": (4, {"structure": "full", "method": "exact"}),
+    "five_tvbs": (5, {"structure": "full", "method": "tvbs"}), "five_bme": (5, {"method": "bme"}), "random": (3, {"random": ["b"]}), "random_four": (4, {"structure": "full", "random": ["asc1", "b"], "correlated": True}),
+    "mixture": (3, {"segments": 2}), "mixture_random": (4, {"structure": "heteronly", "segments": 3, "random": ["b", "asc1"]}), "mixture_correlated": (3, {"segments": 2, "random": ["b", "asc1"], "correlated": True}),
+}
+
+
+@pytest.mark.parametrize("kind", list(MNP_KINDS))
+def test_probit_scores_by_differences(spark, kind):
+    """Each row's score is the derivative of the very approximation, with and without all alternatives available."""
     rng = np.random.default_rng(3)
-    for alts, structure in ((2, "iid"), (3, "iid"), (3, "heteronly"), (3, "full")):
-        names = ALTS[:alts]
-        spec = {"asc1": {"c1": "uno"}, "b": {a: f"x{k}" for k, a in enumerate(names)}}
-        m = MNP(spark.createDataFrame(choices(5)), names, spec, structure=structure)
-        n, j, v = 60, alts, 2
-        data = {"x": rng.normal(size=(n, j, v)), "y": rng.integers(0, j, n), "a": np.ones((n, j))}
-        data["a"][: n // 3, 1] = data["y"][: n // 3] == 1
-        theta = rng.normal(0, 0.3, len(m.names))
-        kernel = lambda t, d, m=m: np.log(m.row_probabilities(t, d["x"], d["y"], d["a"]))
-        value, score = m.row_scores(theta, data["x"], data["y"], data["a"])
-        np.testing.assert_allclose(value, kernel(theta, data), atol=1e-9)
-        np.testing.assert_allclose(score, scores(kernel, theta, data, np.ones(len(theta), bool), np.ones(n)), atol=2e-6)
+    j, how = MNP_KINDS[kind]
+    names = [f"c{k}" for k in range(j)]
+    spec = {"asc1": {"c1": "uno"}, "b": {a: f"x{k}" for k, a in enumerate(names)}}
+    m = MNP(spark.createDataFrame(pd.DataFrame({c: [1.0] for k in range(j) for c in (f"c{k}", f"x{k}")})), names, spec, **how)
+    n, v = 60, 2
+    data = {"x": rng.normal(size=(n, j, v)), "y": rng.integers(0, j, n), "a": np.ones((n, j))}
+    data["a"][: n // 3, 1] = data["y"][: n // 3] == 1
+    theta = rng.normal(0, 0.3, len(m.names))
+    kernel = lambda t, d: np.log(m.row_probabilities(t, d["x"], d["y"], d["a"]))
+    value, score = m.row_scores(theta, data["x"], data["y"], data["a"])
+    np.testing.assert_allclose(value, kernel(theta, data), atol=1e-9)
+    np.testing.assert_allclose(score, by_differences(kernel, theta, data), atol=2e-6)
+
+
+@pytest.mark.parametrize("outcomes", [1, 2, 3, 4])
+@pytest.mark.parametrize("fix_scales", [True, False])
+def test_ordered_scores_by_differences(spark, outcomes, fix_scales):
+    rng = np.random.default_rng(outcomes)
+    names = [f"y{i}" for i in range(outcomes)]
+    df = spark.createDataFrame(pd.DataFrame({y: [0, 1 + i % 3] for i, y in enumerate(names)} | {"x": [0.0, 1.0], "z": [1.0, 0.0]}))
+    m = MORP(df, names, {"a": {y: "x" for y in names}, "b": {names[-1]: "z"}}, structure="full", fix_scales=fix_scales)
+    m.bind()
+    n, theta = 40, rng.normal(0, 0.3, len(m.names))
+    data = {"x": rng.normal(size=(n, outcomes, 2)), "y": np.stack([rng.integers(0, c, n) for c in m.categories], axis=1)}
+    kernel = lambda t, d: np.log(np.maximum(m._probabilities(t, d["x"] @ m.unpack(t)[0], d["y"]), 1e-300))
+    value, score = m.row_scores(theta, data["x"], data["y"])
+    np.testing.assert_allclose(value, kernel(theta, data), atol=1e-9)
+    np.testing.assert_allclose(score, by_differences(kernel, theta, data), atol=2e-6, rtol=1e-5)
+
+
+@pytest.mark.parametrize("structure", ["iid", "heteronly"])
+def test_ordered_columns_equal_kernel(spark, structure):
+    """Independent outcomes: terms as Columns against the batch kernel and its differences; the Hessian is symmetric in both."""
+    from prefero.plans.likelihood import Closed
+
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"y": rng.integers(1, 5, 50), "z": rng.integers(0, 2, 50), "w": rng.integers(0, 3, 50), "x": rng.normal(size=50), "_m0": rng.normal(size=50)})
+    m = MORP(spark.createDataFrame(pdf), ["y", "z", "w"], {"b": {"y": "x", "w": "x"}, "c": {"z": "_m0", "y": 0.5}}, structure=structure)
+    m.bind()
+    theta = rng.normal(0, 0.3, len(m.names))
+    closed = Closed(m._rows(), m.terms, len(theta))
+    lik = Likelihood(m.df.select(*m._packed(), m._answers().alias("y")), m._kernel(3, 2), len(theta))
+    for a, b, tolerance in zip(closed.at(theta), lik.at(theta), (0, 1e-9, 1e-5, 1e-4), strict=True):
+        np.testing.assert_allclose(a, b, atol=tolerance, rtol=1e-6)
+    np.testing.assert_allclose(closed.hessian(theta), lik.hessian(theta), atol=2e-2, rtol=1e-3)
+    np.testing.assert_allclose(closed.values([theta, theta + 0.1])[1], lik.values([theta, theta + 0.1])[1])
+
+
+@pytest.mark.parametrize("traditional", [True, False])
+def test_mdcev_scores_by_differences(spark, traditional):
+    from prefero.plans.likelihood import Closed
+
+    df = spark.createDataFrame(spending().assign(w=lambda d: 0.5 + d["x1"].abs(), p=lambda d: 1 + d["x2"].abs(), one=1.0))
+    m = MDCEV(df, ["out", "a", "b"], {"asc_a": {"a": "uno"}, "x": {"out": "x2", "a": "x1", "b": "x2"}}, {"ga": {"a": "uno", "b": "x1"}, "gb": {"b": "uno"}}, ["one", "p", "p"], traditional, "w")
+    lik, theta = Closed(m._rows(), m.terms, 5), np.array([0.2, -0.3, 0.1, -0.2, 0.15])
+    rows = lik.frame([theta], True).toPandas()
+    m.from_estimates(theta[:2], theta[2:4], float(np.exp(theta[4])))
+    np.testing.assert_allclose(sorted(rows["ll"]), sorted(r[0] for r in df.select(m.loglik_column()).collect()), atol=1e-12)
+    h = 1e-5
+    points = [theta + s * h * e for e in np.eye(5) for s in (1, -1)]
+    at = lik.frame(points, False).toPandas()
+    key = [c for c in rows.columns if c.startswith("_c")]
+    for i in range(5):
+        up, down = (at[at["_run"] == 2 * i + k].merge(rows, on=key, suffixes=("", "_0")) for k in (0, 1))
+        np.testing.assert_allclose(up["g%d" % i], (up["ll"] - down["ll"]) / (2 * h), atol=1e-6)
+    n, ll, g, outer = lik.at(theta)
+    np.testing.assert_allclose(g, rows[[f"g{i}" for i in range(5)]].sum())
+    np.testing.assert_allclose(outer, rows[[f"g{i}" for i in range(5)]].T @ rows[[f"g{i}" for i in range(5)]])
+    np.testing.assert_allclose(lik.values(points)[1][:2], [lik.values([p])[1][0] for p in points[:2]])
+    assert n == 60 and ll == pytest.approx(rows["ll"].sum())
+
+
+def test_search_that_runs_out_has_not_converged():
+    rosenbrock = lambda t: (100 * (t[1] - t[0] ** 2) ** 2 + (1 - t[0]) ** 2, np.array([-400 * t[0] * (t[1] - t[0] ** 2) - 2 * (1 - t[0]), 200 * (t[1] - t[0] ** 2)]))
+    scaled = lambda t: tuple(x / 1000 for x in rosenbrock(t))
+    for n in (3, 5, 10):
+        out = minimize(scaled, np.array([-1.2, 1.0]), iterations=n)
+        assert not out.converged and out.iterations == n
+    for ladder in (None, lambda ts: [rosenbrock(t)[0] for t in ts]):
+        out = minimize(rosenbrock, np.array([-1.2, 1.0]), ladder=ladder)
+        assert out.converged and np.allclose(out.theta, 1, atol=1e-4)
+
+
+def test_ladder_saves_jobs():
+    """Steps far too long: shorter ones are tried in one call, so a step takes three calls at most."""
+    calls = []
+
+    def f(t):
+        calls.append("f")
+        return float((np.exp(t) - t).sum() + 1e4 * (t**4).sum()), np.exp(t) - 1 + 4e4 * t**3
+
+    plain = minimize(f, np.array([3.0, -2.0]))
+    before = len(calls)
+    calls.clear()
+    out = minimize(f, np.array([3.0, -2.0]), ladder=lambda ts: calls.append("ladder") or [f(t)[0] for t in ts if calls.pop() or True])
+    assert out.converged and np.allclose(out.theta, plain.theta, atol=1e-3)
+    assert len(calls) <= 3 * out.iterations + 1 and len(calls) <= before
+
+
+def test_bounds_of_a_fit(spark):
+    df = spark.createDataFrame(choices(200, noise="normal"))
+    m = MNP(df, ALTS, SPEC)
+    r = m.fit(bounds=[(None, None), (0.0, None), (None, 0.25)])
+    assert r.theta[1] >= 0 and r.theta[2] <= 0.25 + 1e-12
+    with pytest.raises(ValueError, match="bounds"):
+        m.fit(bounds=[(None, 1.0)])
+
+
+def test_names_and_nulls_that_clash(spark):
+    """A column named as the operator's own comes through; no scenario stands in for the baseline; null quantities are refused."""
+    df = spark.createDataFrame(choices(20, noise="normal").assign(_p=7.0))
+    m = MNP(df, ALTS, SPEC)
+    m.from_estimates([0.1, 0.2, 0.3])
+    out = m.predict().toPandas()
+    assert (out["_p"] == 7).all() and "_p_" not in out.columns
+    logit = MNL(df, ALTS, SPEC)
+    logit.from_estimates([0.1, 0.2, 0.3])
+    for model in (m, logit):
+        with pytest.raises(ValueError, match="baseline"):
+            model.ate({"baseline": {"x1": 1.0}})
+    pdf = spending(5)
+    pdf.loc[2, "a"] = None
+    d = MDCEV(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id long, x1 double, x2 double, out double, a double, b double"), ["out", "a", "b"], {"asc_a": {"a": "uno"}}, {"ga": {"a": "uno"}})
+    d.from_estimates([0.1], [0.2], 1.0)
+    with pytest.raises(Exception, match="nulls in columns of the model"):
+        d.df.select(d.loglik_column().alias("l")).collect()
+
+
+def test_joint_of_the_lattice(spark):
+    """Differences on the lattice equal one rectangle for each combination, in slabs or not, and add up to one."""
+    import itertools
+
+    from prefero.operators import morp
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": rng.normal(size=30), "y": 0, "z": 0, "w": 0})
+    corr = np.array([[1.0, -0.3, 0.2], [-0.3, 1.0, 0.5], [0.2, 0.5, 1.0]])
+    m = MORP(spark.createDataFrame(pdf), ["y", "z", "w"], {"b": {"y": "x", "w": "x"}}, structure="full", method="exact")
+    m.from_estimates((0.4,), [(-1.0, -0.2, 0.3, 0.8), (0.1,), (-0.5, 0.6)], corr, lowest=[0, 0, 0])
+    got = m.joint().toPandas().set_index(["y", "z", "w"])["probability"]
+    theta = m.results.extra["theta"]
+    means = pdf["x"].to_numpy()[:, None] * np.array([0.4, 0.0, 0.4])
+    for c in itertools.product(range(5), range(2), range(3)):
+        assert got[tuple(x + 1 for x in c)] == pytest.approx(m._probabilities(theta, means, np.tile(c, (30, 1))).mean(), abs=1e-9)
+    assert got.sum() == pytest.approx(1, abs=1e-9)
+    before, morp.VERTICES = morp.VERTICES, 6
+    try:
+        again = m.joint().toPandas().set_index(["y", "z", "w"])["probability"]
+    finally:
+        morp.VERTICES = before
+    np.testing.assert_allclose(again.sort_index(), got.sort_index(), atol=1e-12)
 
 
 def test_frozen_parameters(spark):
@@ -295,7 +446,22 @@ def test_effects_of_one_cell_and_comparisons(spark):
 def test_tables_of_text(spark, tmp_path):
     from prefero.sources.tables import read_table
 
-    (tmp_path / "a.txt").write_text("id,name,x\n1,bob,2\n2,,3\n3,al,\n\n")
-    assert [tuple(r) for r in read_table(spark, str(tmp_path / "a.txt")).collect()] == [(1, "bob", 2), (2, None, 3), (3, "al", None)]
-    (tmp_path / "b.dat").write_text("  id   x\n 1\t0.5\n2   1\n")
-    assert [tuple(r) for r in read_table(spark, str(tmp_path / "b.dat")).collect()] == [(1, 0.5), (2, 1.0)]
+    def read(name, text):
+        (tmp_path / name).write_text(text)
+        return [tuple(r) for r in read_table(spark, str(tmp_path / name)).collect()]
+
+    assert read("a.txt", "id,name,x\n1,bob,2\n2,,3\n3,al,\n\n") == [(1, "bob", 2), (2, None, 3), (3, "al", None)]
+    assert read("b.dat", "  id   x\n 1\t0.5\n2   1\n") == [(1, 0.5), (2, 1.0)]
+    assert read("c.dat", "\tid x y\n\t1 1.0 2.5\n2\t 3  4\n") == [(1, 1.0, 2.5), (2, 3.0, 4.0)]
+    assert read("d.txt", 'id, name\n1,"Smith, J"\n2, "a ""b"" c" \n') == [(1, "Smith, J"), (2, 'a "b" c')]
+    assert read("e.dat", 'id name\n1 "two words"\n2 one\n') == [(1, "two words"), (2, "one")]
+    assert read("f.txt", "a b\nx y\na b\n") == [("x", "y"), ("a", "b")]
+    assert read("g.txt", "zip x\n007 NaN\n010 1\n")[0][0] == "007"
+    assert read("h.txt", "\n") == []
+    for text in ("id x\n1 2 3\n", "id x\n1\n", "id,x\n1,2,3\n"):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read("ragged.txt", text)
+    (tmp_path / "many").mkdir()
+    for k in range(2):
+        (tmp_path / "many" / f"{k}.txt").write_text(f"id x\n{k} 1\n")
+    assert sorted(tuple(r) for r in read_table(spark, str(tmp_path / "many"), "spaced").collect()) == [(0, 1), (1, 1)]
