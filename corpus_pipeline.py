@@ -14,8 +14,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     score = common.unused("_quality", docs)
-    scored = quality.with_quality(docs, common.table(spark, sf_dir, "labels"), score)
-    return scored.where(f"{score} >= 0.5").drop(score)
+    # a batch of rows is held by JVM and worker at once, so its bytes are bounded while Python reads whole texts
+    with common.small_batches(spark):
+        scored = quality.with_quality(docs, common.table(spark, sf_dir, "labels"), score)
+        return common.staged(scored.where(f"{score} >= 0.5").drop(score), "quality")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secrets_scan.redact(docs)
+    with common.small_batches(spark):
+        return common.staged(secrets_scan.redact(docs), "secrets")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written once and read again; what a stage read goes when it is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        found = stage(spark, docs, sf_dir)
+        found = found if common.is_staged(found) else common.staged(found, name)
+        common.discard(docs)
+        docs = found
     return docs

@@ -56,6 +56,11 @@ def discard(df: DataFrame) -> None:
         files.cancelDeleteOnExit(place)
 
 
+def is_staged(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as it was staged."""
+    return df in _FOLDERS
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """Tables staged inside the block go when it ends; what outlives it is staged with ``outlives``."""

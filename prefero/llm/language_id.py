@@ -101,6 +101,7 @@ def _as_rows(lang: str, counts: dict[int, int]) -> pd.DataFrame:
 
 def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    size = 0  # n-grams held of all languages together
     for rows in batches:
         for lang, texts in rows.groupby("lang")["text"]:
             for block in blocks(texts):
@@ -109,10 +110,14 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     words.update(words_of(t))
                 if words:
                     mine = held[lang]
+                    size -= len(mine)
                     for c, n in zip(*map(np.ndarray.tolist, gram_counts(words)), strict=True):
                         mine[c] += n
-                    if len(mine) > HELD:
-                        yield _as_rows(lang, held.pop(lang))
+                    size += len(mine)
+                    while size > HELD:  # the language that holds most goes first
+                        most = max(held, key=lambda x: len(held[x]))
+                        size -= len(held[most])
+                        yield _as_rows(most, held.pop(most))
     for lang, mine in held.items():
         yield _as_rows(lang, mine)
 

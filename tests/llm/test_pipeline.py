@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a brute-force version on its own input."""
 
+import hashlib
 import re
 
 import corpus_pipeline
@@ -54,17 +55,46 @@ def test_decontamination(stages, duck):
     assert sorted(after["doc_id"]) == sorted(clean)
 
 
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    """The three kinds of the contract, each by its own pattern."""
+    found = [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return found + [m.span() for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
 def test_secrets(stages):
+    """No character of a secret of the base kinds is left, and text outside all secrets is whole."""
     before, after = (x.set_index("doc_id") for x in stages["secrets"])
-    scanner = secrets_scan.Scanner()
+    scanner, cut = secrets_scan.Scanner(), 0
     assert sorted(before.index) == sorted(after.index)
     for i, t in before["text"].items():
-        spans = scanner.scan([t])[0]
-        if not spans:
-            assert after.loc[i]["text"] == t
-        else:
-            assert "[secret]" in after.loc[i]["text"] and not [s for s in scanner.scan([after.loc[i]["text"]])[0] if s[0] in ("access", "hex")]
-        assert after.loc[i]["n_chars"] == len(after.loc[i]["text"])
+        new = after.loc[i]["text"]
+        assert after.loc[i]["n_chars"] == len(new)
+        covered = {k for a, b in base_spans(t) for k in range(a, b)}
+        added = {k for kind, a, b in scanner.scan([t])[0] if kind not in ("assign", "access", "hex") for k in range(a, b)}
+        if not covered | added:
+            assert new == t
+            continue
+        cut += bool(covered)
+        pieces, k = [], 0  # what is outside of all spans, in order
+        while k < len(t):
+            end = k
+            while end < len(t) and (end in covered or end in added) == (k in covered or k in added):
+                end += 1
+            if k not in covered and k not in added:
+                pieces.append(t[k:end])
+            k = end
+        at = 0
+        for piece in pieces:
+            at = new.find(piece, at)
+            assert at >= 0
+            at += len(piece)
+        left = new.split("[secret]")
+        assert "".join(left) == "".join(pieces) and len(left) > 1
+    assert cut
 
 
 def test_mixing(stages):
@@ -72,6 +102,21 @@ def test_mixing(stages):
     size = before.assign(n=[len(t.split()) for t in before["text"]]).groupby("source")["n"].sum()
     taken = after.assign(n=[len(t.split()) for t in after["text"]]).groupby("source")["n"].sum()
     assert set(after["doc_id"]) <= set(before["doc_id"])
-    assert taken.sum() == pytest.approx(size.sum(), rel=0.25)
     assert (taken <= 3 * size.reindex(taken.index)).all()
-    assert after.groupby("doc_id")["mix_copy"].max().le(3).all()
+    # targets by pouring: weights 5, 2, 1 in order of source; what a full source cannot take is shared anew
+    names = sorted(size.index)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(size.sum())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * size[s]}
+        target |= {s: 3.0 * size[s] for s in full} if full else share
+        left -= sum(3.0 * size[s] for s in full)
+        open_ = open_ - full if full else set()
+    # each document floor(rate) times, and once more if its own draw is below the rest
+    want = {}
+    for i, s, t in before[["doc_id", "source", "text"]].itertuples(index=False):
+        rate = min(3.0, target[s] / size[s]) if size[s] else 0.0
+        draw = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 16**13
+        want[i] = int(rate) + (draw < rate - int(rate))
+    assert after.groupby("doc_id").size().to_dict() == {i: n for i, n in want.items() if n}

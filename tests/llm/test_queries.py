@@ -135,6 +135,89 @@ def test_op6_and_op10_held_out(spark, sf_dir, duck, docs):
     assert got["score"].between(0, 1).all() and (got["held_out"] == got["doc_id"].map(lambda i: fold(i, 5) == 0)).all()
 
 
+def test_op10_brute_force(spark, sf_dir, docs):
+    """Profiles and distances with plain dictionaries of strings."""
+    from collections import Counter
+
+    def grams(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        words = [w for f in words for w in "".join(c if c.isalpha() else " " for c in f).split()]
+        out = Counter()
+        for w in words:
+            padded = f" {w} "
+            out.update(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n].strip())
+        # a space between two words belongs to both: pairs and triples hold it once for each, singles never
+        return out
+
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))][:300]
+    totals = {}
+    for i, t, lang, _ in docs:
+        if fold(i, 5) and lang is not None and t:
+            totals.setdefault(lang, Counter()).update(grams(t))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in totals.items()}
+    got = run(spark, sf_dir, "op10_language").set_index("doc_id")
+    for i, t, *_ in docs:
+        own = ranked(grams(t or ""))
+        if not own:
+            assert tuple(got.loc[i][["lang_pred", "score"]]) == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(r - p[g]) if g in p else 300 for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got.loc[i]["lang_pred"] == best and got.loc[i]["score"] == pytest.approx(1 - apart[best] / (300 * len(own)))
+
+
+def test_op10_counts_are_handed_on_in_time(monkeypatch):
+    """Many languages together hold no more n-grams in a task than one may, and lose none."""
+    import pandas as pd
+
+    from prefero.llm import language_id
+
+    monkeypatch.setattr(language_id, "HELD", 60)
+    rows = pd.DataFrame({"lang": [f"l{i % 30}" for i in range(90)], "text": ["abc def" if i % 2 else "xyz" for i in range(90)]})
+    parts = list(language_id._count_task(iter([rows[:40], rows[40:]])))
+    assert len(parts) > 30 and max(map(len, parts)) <= 80
+    whole = pd.concat(parts).groupby(["lang", "gram"])["n"].sum()
+    monkeypatch.setattr(language_id, "HELD", 10**9)
+    assert whole.equals(pd.concat(list(language_id._count_task(iter([rows])))).groupby(["lang", "gram"])["n"].sum())
+
+
+def test_op6_brute_force(spark, sf_dir, duck, docs):
+    """Word vectors, pooling and network again on one machine, word by word."""
+    from prefero.llm import quality as q
+
+    def entries(text):
+        out = []
+        for t in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or ""):
+            e = 1 if t.isdecimal() else 0 if len(t) > 1 and t.isupper() else 3 + zlib.crc32(t.lower().encode()) % (q.ENTRIES - 3)
+            out.append(e)
+        return [2 if k and out[k] == out[k - 1] and out[k] > 1 else e for k, e in enumerate(out)]
+
+    places, signs = q.index_vectors()
+    index = np.zeros((q.ENTRIES, q.DIMS))
+    for k in range(q.PLACES):
+        index[np.arange(q.ENTRIES), places[:, k]] += signs[:, k]
+    table, texts = np.zeros((q.ENTRIES, q.DIMS)), {i: entries(t) for i, t, *_ in docs}
+    for ids in texts.values():
+        for k, e in enumerate(ids):
+            for other in ids[max(0, k - q.NEAR) : k] + ids[k + 1 : k + 1 + q.NEAR]:
+                table[e] += index[other]
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    used = table.any(axis=1)
+    table = unit(table)
+    table[used] -= table.sum(axis=0) / used.sum()
+    table = unit(table)
+    pooled = {i: np.concatenate([table[ids].mean(axis=0), table[ids].std(axis=0)]) if ids else np.zeros(2 * q.DIMS) for i, ids in texts.items()}
+    labels = dict(duck.execute("SELECT doc_id, quality FROM labels").fetchall())
+    learn = sorted(i for i, y in labels.items() if fold(i, 3) != 1 and y in (0, 1) and i in pooled)
+    assert len(learn) <= q.FIT_ROWS
+    network = q.Network(np.array([pooled[i] for i in learn]), np.array([float(labels[i]) for i in learn]))
+    got = run(spark, sf_dir, "op6_quality").set_index("doc_id")["score"]
+    want = network.scores(np.array([pooled[i] for i in got.index]))
+    np.testing.assert_allclose(got.to_numpy(), want, atol=2e-3)
+    assert ((got.to_numpy() >= 0.5) == (want >= 0.5))[np.abs(want - 0.5) > 2e-3].all()
+
+
 def test_op7_recall(spark, sf_dir, duck):
     rows = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
