@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from prefero.functions.algebra import COLUMNS, product, total
 from prefero.operators.mnl import refuse_nulls
-from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, runs_of
+from prefero.operators.scenario import Overrides, Scenarios, read_by, reader, runs_of, with_row_values
 from prefero.operators.spec import Design, compile_spec, complete, given, known
 from prefero.plans.estimates import KINDS, Estimates, covariance
 from prefero.plans.likelihood import Closed, as_arrays
@@ -235,13 +235,27 @@ class MDCEV:
 
         return rows, prepared
 
-    def forecast(self, budget: str | float = "tot", replications: int = 200, seed: int = 1234, overrides: Overrides = {}, id_column: str | None = None) -> DataFrame:  # noqa: B006
+    def with_values(self, values: DataFrame, id_column: str) -> MDCEV:
+        """The model over its table with each row's own values in place of columns; see ``with_row_values``."""
+        twin = object.__new__(MDCEV)
+        twin.__dict__ = dict(self.__dict__)
+        twin.given = with_row_values(self.given, values, id_column)
+        twin.df = complete(twin.given, self.used)
+        return twin
+
+    def forecast(self, budget: str | float = "tot", replications: int = 200, seed: int = 1234, overrides: Overrides = {}, id_column: str | None = None, values: DataFrame | None = None) -> DataFrame:  # noqa: B006
         """row_id, replication and the quantity of each good: optimal allocations under Gumbel errors.
 
+        ``values`` (the id column and others of the table) puts in each row's own values of those columns.
+
         Each row draws by (seed, row id, replication), so results do not depend on how
         rows are spread.  Without ``id_column`` a row's id is its content's hash.
         Replications are made where the rows are: a row crosses to its task once.
         """
+        if values is not None:
+            if id_column is None:
+                raise ValueError("row values are joined by an id column: name it")
+            return self.with_values(values, id_column).forecast(budget, replications, seed, overrides, id_column)
         goods = self.goods
         rows, prepared = self._simulated({"": self._packed(overrides, quantities=False)}, budget, id_column, read_by([overrides]))
 

@@ -179,6 +179,36 @@ class MNP:
             parts += [b, flat(o)]
         return np.concatenate([np.asarray(p, float) for p in parts])
 
+    def theta_of(self, natural: np.ndarray) -> np.ndarray:
+        """The parameters of the fit from reported ones."""
+        v, j, r, size = len(self.design.names), len(self.alternatives), len(self.random), self._spread_size()
+        natural, parts, at = np.asarray(natural, float), [np.asarray(natural[:v], float)], v
+
+        def spread(part: np.ndarray) -> np.ndarray:
+            if not self.correlated:
+                return np.log(part)
+            omega = np.zeros((r, r))
+            omega[np.tril_indices(r)] = part
+            return np.linalg.cholesky(omega + np.tril(omega, -1).T)[np.tril_indices(r)]
+
+        if self.structure != "iid":
+            parts.append(np.log(natural[at : at + j - 2]))
+            at += j - 2
+            if self.structure == "full":
+                n = (j - 1) * (j - 2) // 2
+                corr = np.eye(j - 1)
+                corr[np.tril_indices(j - 1, -1)] = natural[at : at + n]
+                parts.append(angles_of_correlation(corr + np.tril(corr, -1).T))
+                at += n
+        parts.append(spread(natural[at : at + size]))
+        share = natural[at + size : at + size + self.segments - 1]
+        parts.append(np.log(share / (1 - share.sum())))
+        at += size + self.segments - 1
+        for _ in range(1, self.segments):
+            parts += [natural[at : at + v], spread(natural[at + v : at + v + size])]
+            at += v + size
+        return np.concatenate(parts)
+
     def row_probabilities(self, theta: np.ndarray, x: np.ndarray, which: np.ndarray, available: np.ndarray) -> np.ndarray:
         """x: (N, J, V)."""
         kernel, betas, omegas, share = self.unpack(theta)
@@ -251,12 +281,7 @@ class MNP:
         low[at] = part
         return 2 * (by_omega @ low)[:, at[0], at[1]]
 
-    def fit(self, iterations: int = 200, active: np.ndarray | None = None, start: np.ndarray | None = None, seed: int = 0, bounds: Bounds | None = None) -> Estimates:
-        """Estimates by maximum likelihood; ``active``: which parameters move; ``bounds``: (least, greatest) of each, None for none."""
-        if bounds is not None and len(bounds) != len(self.names):
-            raise ValueError(f"bounds of {len(bounds)} for {len(self.names)} parameters")
-        if active is not None and len(active) != len(self.names):
-            raise ValueError(f"a mask of {len(active)} for {len(self.names)} parameters")
+    def _likelihood(self, active: np.ndarray | None = None, keep: Sequence[str] = ()) -> Likelihood:
         refuse_nulls(self.given, self.used)
         j, v, twin = len(self.alternatives), len(self.design.names), self._plain()
         y = choice_index(self.alternatives) if self.has_choice else F.col("choice")
@@ -270,7 +295,28 @@ class MNP:
             return twin.row_scores(theta, data["x"].reshape(n, j, v), data["y"].astype(int), data["a"].reshape(n, j))
 
         closed = j <= 3 or self.method in METHODS or j <= 5 and self.method in ("exact", "scipy")
-        lik = Likelihood(self.df.select(*self._packed(), y.alias("y")), kernel, len(self.names), active, scored=scored if closed else None)
+        return Likelihood(self.df.select(*[F.col(f"`{c}`") for c in keep], *self._packed(), y.alias("y")), kernel, len(self.names), active, scored=scored if closed else None)
+
+    def natural_sums(self, natural: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Rows, log-likelihood, score and outer product at reported parameters and in their units; scores are turned and multiplied in the tasks."""
+        theta, lik = self.theta_of(natural), self._likelihood()
+        try:
+            return lik.at(theta, np.linalg.pinv(jacobian(self.natural, theta)))
+        finally:
+            lik.close()
+
+    def natural_scores(self, natural: np.ndarray, keep: Sequence[str] = ()) -> DataFrame:
+        """The columns ``keep`` of each row with its log-likelihood and score at reported parameters and in their units."""
+        theta = self.theta_of(natural)
+        return self._likelihood(keep=keep).rows_at(theta, keep, np.linalg.pinv(jacobian(self.natural, theta)))
+
+    def fit(self, iterations: int = 200, active: np.ndarray | None = None, start: np.ndarray | None = None, seed: int = 0, bounds: Bounds | None = None) -> Estimates:
+        """Estimates by maximum likelihood; ``active``: which parameters move; ``bounds``: (least, greatest) of each, None for none."""
+        if bounds is not None and len(bounds) != len(self.names):
+            raise ValueError(f"bounds of {len(bounds)} for {len(self.names)} parameters")
+        if active is not None and len(active) != len(self.names):
+            raise ValueError(f"a mask of {len(active)} for {len(self.names)} parameters")
+        lik = self._likelihood(active)
         if start is None:
             start = np.random.default_rng(seed).normal(0, 0.1, len(self.names)) if self.segments > 1 else np.zeros(len(self.names))
             if self.correlated:
@@ -283,7 +329,7 @@ class MNP:
             lik.close()
         slope = jacobian(self.natural, best.theta)
         of = lambda kind: slope.T @ covariance(kind, outer, hessian) @ slope
-        extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
+        extra = {"theta": best.theta, "natural_gradient": np.linalg.pinv(slope) @ g / max(n, 1)} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
         self.results = Estimates(self.names, self.natural(best.theta), of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
         moved = np.ones(len(self.names), bool) if active is None else np.asarray(active, bool)
         return self.results.frozen(np.abs(slope[moved]).sum(axis=0) < 1e-9)

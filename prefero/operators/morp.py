@@ -94,6 +94,40 @@ class MORP:
         corr = (cov / np.outer(sd, sd))[np.tril_indices(len(sd), -1)] if self.structure == "full" else []
         return np.concatenate([beta, *cuts, sd[1:] if self._scales() else [], corr])
 
+    def theta_of(self, natural: np.ndarray) -> np.ndarray:
+        """The parameters of the fit from reported ones."""
+        natural, d, at = np.asarray(natural, float), len(self.outcomes), len(self.design.names)
+        parts = [natural[:at]]
+        for c in self.categories:
+            cuts = natural[at : at + c - 1]
+            parts.append(np.concatenate([cuts[:1], np.log(np.diff(cuts))]))
+            at += c - 1
+        if self._scales():
+            parts.append(np.log(natural[at : at + d - 1]))
+            at += d - 1
+        if self.structure == "full" and d > 1:
+            corr = np.eye(d)
+            corr[np.tril_indices(d, -1)] = natural[at:]
+            parts.append(angles_of_correlation(corr + np.tril(corr, -1).T))
+        return np.concatenate(parts)
+
+    def _likelihood(self) -> Likelihood:
+        refuse_nulls(self.given, [*self.design.columns(), *self.outcomes])
+        self.bind()
+        d, v = len(self.outcomes), len(self.design.names)
+        if self._separate():
+            return Closed(self._rows(), self.terms, len(self.names))
+        return Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names), scored=self._scored(d, v))
+
+    def natural_sums(self, natural: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Rows, log-likelihood, score and outer product at reported parameters and in their units."""
+        lik = self._likelihood()
+        try:
+            theta = self.theta_of(natural)
+            return lik.at(theta, np.linalg.pinv(jacobian(self.natural, theta)))
+        finally:
+            lik.close()
+
     @staticmethod
     def _sides(means: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Limits of the errors between which each answer lies."""
@@ -215,10 +249,8 @@ class MORP:
         return np.concatenate([*parts, np.zeros(len(self.names) - sum(map(len, parts)))])
 
     def fit(self, iterations: int = 200) -> Estimates:
-        refuse_nulls(self.given, [*self.design.columns(), *self.outcomes])
-        self.bind()
+        lik = self._likelihood()
         d, v = len(self.outcomes), len(self.design.names)
-        lik = Closed(self._rows(), self.terms, len(self.names)) if self._separate() else Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names), scored=self._scored(d, v))
         try:
             best = minimize(lik.objective, self._start(), iterations=iterations, ladder=lik.ladder)
             n, ll, g, outer = lik.at(best.theta)
@@ -232,7 +264,7 @@ class MORP:
             lik.close()
         slope = jacobian(self.natural, best.theta)
         of = lambda kind: slope.T @ covariance(kind, outer, hessian) @ slope
-        extra = {"theta": best.theta} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
+        extra = {"theta": best.theta, "natural_gradient": np.linalg.pinv(slope) @ g / max(n, 1)} | ({"cov": {k: of(k) for k in KINDS}} if self.all_se else {})
         self.results = Estimates(self.names, self.natural(best.theta), of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
         return self.results
 

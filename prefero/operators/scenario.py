@@ -51,6 +51,27 @@ def read_by(scenarios: Iterable[Overrides]) -> list[str]:
     return [to for overrides in scenarios for to in overrides.values() if isinstance(to, str)]
 
 
+def with_row_values(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of ``values`` in place of its own, row by row of the same ``key``.
+
+    Every row of ``df`` needs one row of ``values``: ids that ``values`` repeats, or that it lacks or holds as null, are refused,
+    as are columns that ``df`` does not have.  Ids that only ``values`` has play no part.
+    """
+    given_columns = [c for c in values.columns if c != key]
+    unknown = [c for c in [key, *given_columns] if c not in df.columns] + ([key] if key not in values.columns else [])
+    if unknown:
+        raise ValueError(f"row values name columns that the table does not have: {unknown}")
+    twice = values.groupBy(F.col(f"`{key}`").alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"row values repeat ids, for one {[r['k'] for r in twice]}")
+    side = values.select(F.col(f"`{key}`").alias("_key"), *[F.col(f"`{c}`").alias(f"_value{i}") for i, c in enumerate(given_columns)])
+    lost = df.select(F.col(f"`{key}`").alias("k")).join(side.select(F.col("_key").alias("k")), "k", "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"rows without row values, for one those of ids {[r['k'] for r in lost]}")
+    at = {c: F.col(f"_value{i}") for i, c in enumerate(given_columns)}
+    return df.join(side, df[key] == side["_key"]).select(*[at.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def apply_overrides(df: DataFrame, overrides: Overrides) -> DataFrame:
     reader(df.columns, overrides)  # refuses names that the table lacks
     return df.withColumns({name: (F.col(to) if isinstance(to, str) else F.lit(float(to))).cast("double") for name, to in overrides.items()})

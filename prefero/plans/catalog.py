@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefero.functions import distributions as dist
-from prefero.functions.algebra import COLUMNS, TEXT, Text
+from prefero.functions.algebra import COLUMNS
 from prefero.kernels.mvn import METHODS, mvn_cdf
 from prefero.operators import mnp, scenario
 from prefero.operators.mnl import MNL, sums
@@ -17,6 +17,7 @@ from prefero.operators.mnp import MNP
 from prefero.operators.morp import MORP
 from prefero.operators.mdcev import MDCEV
 from prefero.operators.spec import choice_index, compile_spec, rebased, spec_of_matrix
+from prefero.plans.likelihood import Closed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,6 +44,51 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+# --- integrals for the SQL, apart from the library's formulas ---------------------------------------
+
+#: Nodes and weights on [0, 1] for the SQL's own integrals.
+_UNIT = [(float((1 + x) / 2), float(w / 2)) for x, w in zip(*np.polynomial.legendre.leggauss(24), strict=True)]
+
+
+def _normal_sql(h: str) -> str:
+    """Normal distribution as a half plus the integral of the density from zero."""
+    return f"(0.5 + ({h}) * 0.3989422804014327 * (" + " + ".join(f"{w!r} * exp(-0.5 * pow(({h}) * {x!r}, 2))" for x, w in _UNIT) + "))"
+
+
+def _density_sql(h: str) -> str:
+    return f"(0.3989422804014327 * exp(-0.5 * pow({h}, 2)))"
+
+
+def _pair_sql(h: str, k: str, rho: str) -> str:
+    """Bivariate normal distribution by the integral over the angle, for columns of limits and a correlation."""
+    turn = lambda x: f"sin(asin({rho}) * {x!r})"
+    inside = " + ".join(f"{w!r} * exp(({turn(x)} * {h} * {k} - ({h} * {h} + {k} * {k}) / 2.0) / (1.0 - pow({turn(x)}, 2)))" for x, w in _UNIT)
+    return f"({_normal_sql(h)} * {_normal_sql(k)} + asin({rho}) * 0.15915494309189535 * ({inside}))"
+
+
+def _nodes_sql(n: int) -> str:
+    """Nodes x and weights w on [0, 1] as a list, for integrals inside integrals."""
+    x, w = np.polynomial.legendre.leggauss(n)
+    return "[" + ", ".join(f"{{'x': {float((1 + a) / 2)!r}, 'w': {float(b / 2)!r}}}" for a, b in zip(x, w, strict=True)) + "]"
+
+
+def _listed_normal(u: str) -> str:
+    """Normal distribution over the list of nodes ``t``."""
+    u = f"greatest(least({u}, 8.0), -8.0)"
+    return f"(0.5 + {u} * 0.3989422804014327 * list_sum(list_transform(t, lambda m: m.w * exp(-0.5 * pow({u} * m.x, 2)))))"
+
+
+def _triple_sql(z: tuple[str, str, str], r12: float, r13: float, r23: float) -> str:
+    """Trivariate normal distribution: over the first variable, the bivariate one of the others given it; lists of nodes ``t`` and ``tt``."""
+    a, b = float(np.sqrt(1 - r12 * r12)), float(np.sqrt(1 - r13 * r13))
+    rho = float((r23 - r12 * r13) / (a * b))
+    at = f"(-8.0 + (least({z[0]}, 8.0) + 8.0) * e.x)"
+    u, v = f"(({z[1]} - {r12!r} * {at}) / {a!r})", f"(({z[2]} - {r13!r} * {at}) / {b!r})"
+    turn = f"sin(asin({rho!r}) * m.x)"
+    pair = f"({_listed_normal(u)} * {_listed_normal(v)} + asin({rho!r}) * 0.15915494309189535 * list_sum(list_transform(t, lambda m: m.w * exp(({turn} * {u} * {v} - ({u} * {u} + {v} * {v}) / 2.0) / (1.0 - pow({turn}, 2))))))"
+    return f"((least({z[0]}, 8.0) + 8.0) * list_sum(list_transform(tt, lambda e: e.w * {_density_sql(at)} * {pair})))"
+
+
 # --- multinomial logit: the priority of an order --------------------------------------------------
 
 PRIORITIES = ("urgent", "high", "medium", "unspecified", "low")
@@ -124,7 +170,7 @@ def mnl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, [(n, round(float(x), 4)) for n, x in zip(MNL_SPEC, g, strict=True)], "coefficient string, score double")
 
 
-def _pair_sql(terms: list[str]) -> str:
+def _sums_sql(terms: list[str]) -> str:
     return f"{_MNL_CTE} " + " UNION ALL ".join(f"SELECT {a} AS i, {b} AS j, round(sum({t}), 3) AS value FROM p" for (a, b), t in zip(_PAIRS, terms, strict=True))
 
 
@@ -132,13 +178,13 @@ def _upper(spark: SparkSession, x: np.ndarray) -> DataFrame:
     return _frame(spark, [(a, b, round(float(x[a, b]), 3)) for a, b in _PAIRS], "i int, j int, value double")
 
 
-@_query(_pair_sql([f"({' + '.join([f'p{j} * {_X[a][j]} * {_X[b][j]}' for j in range(5) if _X[a][j] and _X[b][j]] or ['0.0'])}) - ({_MEANS[a]}) * ({_MEANS[b]})" for a, b in _PAIRS]))
+@_query(_sums_sql([f"({' + '.join([f'p{j} * {_X[a][j]} * {_X[b][j]}' for j in range(5) if _X[a][j] and _X[b][j]] or ['0.0'])}) - ({_MEANS[a]}) * ({_MEANS[b]})" for a, b in _PAIRS]))
 def mnl_hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negative Hessian of the log-likelihood, upper triangle."""
     return _upper(spark, _mnl_sums(spark, sf_dir)[3])
 
 
-@_query(_pair_sql([f"{_SCORES[a]} * {_SCORES[b]}" for a, b in _PAIRS]))
+@_query(_sums_sql([f"{_SCORES[a]} * {_SCORES[b]}" for a, b in _PAIRS]))
 def mnl_bhhh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the scores' outer products, upper triangle."""
     return _upper(spark, _mnl_sums(spark, sf_dir)[4])
@@ -292,6 +338,44 @@ def mdcev_loglik_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.df.select("c_custkey", F.round(m.loglik_column(), 6).alias("loglik"))
 
 
+def _mdcev_score_sql(traditional: bool) -> str:
+    """Sums of scores: each good's gap moves the likelihood by its share of the total less whether it is consumed."""
+    psi, f = ["0.0", "(-0.5 + 0.3 * wealth)", "-0.4", "0.2"], ["0.0", "exp(0.5)", "exp(0.4)", "exp(0.6)"]
+    base = "- ln(q0)" if traditional else ""
+    gaps = ", ".join(f"((0.0 {base}) - ({psi[k]} - ln((q{k} + {f[k]}) / {f[k]}))) / 0.8 AS d{k}, (q{k} > 0)::INT AS u{k}, {f[k]} / (q{k} + {f[k]}) AS h{k}" for k in (1, 2, 3))
+    spent = "q0 + " + " + ".join(f"u{k} * (q{k} + {f[k]})" for k in (1, 2, 3))
+    r = ", ".join(f"u{k} - (u1 + u2 + u3 + 1.0) * exp(-d{k}) / (1.0 + exp(-d1) + exp(-d2) + exp(-d3)) AS r{k}" for k in (1, 2, 3))
+    own = {k: f"u{k} * ({f[k]} / spent - h{k})" if traditional else f"-u{k} * h{k}" for k in (1, 2, 3)}
+    terms = {"asc_urgent": "r1 / 0.8", "asc_high": "r2 / 0.8", "asc_other": "r3 / 0.8", "balance": "r1 / 0.8 * wealth"}
+    terms |= {f"g_{n}": f"r{k} * (1.0 - h{k}) / 0.8 + {own[k]}" for k, n in enumerate(GOODS[1:], 1)} | {"sigma": "r1 * d1 + r2 * d2 + r3 * d3 - u1 - u2 - u3"}
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS parameter, round(sum({t}), 3) AS score FROM r" for n, t in terms.items())
+    return f"WITH {_SPEND_SQL}, d AS (SELECT *, {gaps} FROM s), x AS (SELECT *, {spent} AS spent FROM d), r AS (SELECT *, {r} FROM x) {parts}"
+
+
+def _score_rows(spark: SparkSession, names: list[str], g: np.ndarray, digits: int = 3) -> DataFrame:
+    return _frame(spark, [(n, round(float(x), digits)) for n, x in zip(names, g, strict=True)], "parameter string, score double")
+
+
+def _mdcev_score(spark: SparkSession, sf_dir: str, traditional: bool) -> DataFrame:
+    m = _mdcev(spark, sf_dir, traditional)
+    lik = Closed(m._rows(), m.terms, len(m.names), m._active())
+    try:
+        return _score_rows(spark, m.names, lik.at(m.results.extra["theta"])[2])
+    finally:
+        lik.close()
+
+
+@_query(_mdcev_score_sql(True))
+def mdcev_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the rows' scores by coefficients, log-satiations and log scale, in one aggregate."""
+    return _mdcev_score(spark, sf_dir, True)
+
+
+@_query(_mdcev_score_sql(False))
+def mdcev_score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mdcev_score(spark, sf_dir, False)
+
+
 @_query()
 def mdcev_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mdcev(spark, sf_dir, True).fit().to_dataframe(spark)
@@ -331,7 +415,7 @@ def mdcev_ate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ordered probit: a line's number; quality and toxicity of texts --------------------------------
 
 LINE_CUTS = (-1.2, -0.7, -0.2, 0.2, 0.7, 1.3)
-_PHI = lambda x: str(dist.normal_cdf(Text(x), TEXT))
+_PHI = _normal_sql
 _LINES_SQL = "m AS (SELECT l_linenumber - 1 AS y, 0.3 * (l_quantity / 50.0) - 0.2 * l_discount AS mu FROM lineitem)"
 _LINE_P = "c AS (SELECT y, " + ", ".join(f"{_PHI(f'({t} - mu)')} AS c{i + 1}" for i, t in enumerate(LINE_CUTS)) + " FROM m), p AS (SELECT y, c1 AS p0, " + ", ".join(f"c{i + 1} - c{i} AS p{i}" for i in range(1, 6)) + ", 1.0 - c6 AS p6 FROM c)"
 
@@ -362,6 +446,37 @@ def morp_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).predict().groupBy(F.col("category_l_linenumber").alias("category")).agg(F.count("*").alias("n"))
 
 
+def _line_score_sql() -> str:
+    """Sums of scores: of a row, the densities at both its thresholds over its probability."""
+    edges = [None, *LINE_CUTS, None]
+    side = lambda k: "0.0" if edges[k] is None else f"{_density_sql(f'({edges[k]} - mu)')} / p"
+    case = lambda of: "CASE y " + " ".join(f"WHEN {k} THEN {of(k)}" for k in range(7)) + " END"
+    ab = f"ab AS (SELECT y, q, d, {case(lambda k: side(k + 1))} AS a, {case(side)} AS b FROM o)"
+    raw = lambda k: f"sum(CASE WHEN y >= {k} AND y < 6 THEN a ELSE 0.0 END - CASE WHEN y > {k} THEN b ELSE 0.0 END)"
+    terms = {"quantity": "sum((b - a) * q)", "discount": "sum((b - a) * d)", "tau_l_linenumber_1": raw(0)}
+    terms |= {f"tau_l_linenumber_{k + 1}": f"{LINE_CUTS[k] - LINE_CUTS[k - 1]!r} * {raw(k)}" for k in range(1, 6)}
+    rows = f"o AS (SELECT m.*, {case(lambda k: f'p{k}')} AS p FROM (SELECT y, mu, q, d, " + ", ".join(f"{_PHI(f'({t} - mu)')} AS c{i + 1}" for i, t in enumerate(LINE_CUTS)) + " FROM l) m, LATERAL (SELECT c1 AS p0, " + ", ".join(f"c{i + 1} - c{i} AS p{i}" for i in range(1, 6)) + ", 1.0 - c6 AS p6))"
+    lines = "l AS (SELECT l_linenumber - 1 AS y, l_quantity / 50.0 AS q, l_discount AS d, 0.3 * (l_quantity / 50.0) - 0.2 * l_discount AS mu FROM lineitem)"
+    return f"WITH {lines}, {rows}, {ab} " + " UNION ALL ".join(f"SELECT '{n}' AS parameter, round({t}, 3) AS score FROM ab" for n, t in terms.items())
+
+
+@_query(_line_score_sql())
+def morp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the rows' scores by coefficients and threshold parameters (the first threshold, logs of steps), in one aggregate."""
+    model = _lines(spark, sf_dir)
+    lik = Closed(model._rows(), model.terms, len(model.names))
+    try:
+        return _score_rows(spark, model.names, lik.at(model.results.extra["theta"])[2])
+    finally:
+        lik.close()
+
+
+@_query()
+def morp_lines_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit of one outcome of seven categories: an aggregate a step."""
+    return _lines(spark, sf_dir).fit().to_dataframe(spark)
+
+
 RHO = -0.35
 
 
@@ -372,19 +487,44 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIR_P = {
-    (1, 1): str(dist.bivariate_normal_cdf(Text("h"), Text("k"), RHO, TEXT)),
-    (1, 2): f"({_PHI('h')} - {dist.bivariate_normal_cdf(Text('h'), Text('k'), RHO, TEXT)})",
-    (2, 1): f"({_PHI('k')} - {dist.bivariate_normal_cdf(Text('h'), Text('k'), RHO, TEXT)})",
+    (1, 1): _pair_sql("h", "k", repr(RHO)),
+    (1, 2): f"({_PHI('h')} - {_pair_sql('h', 'k', repr(RHO))})",
+    (2, 1): f"({_PHI('k')} - {_pair_sql('h', 'k', repr(RHO))})",
 }
-_PAIR_P[(2, 2)] = f"(1.0 - {_PHI('h')} - {_PHI('k')} + {dist.bivariate_normal_cdf(Text('h'), Text('k'), RHO, TEXT)})"
+_PAIR_P[(2, 2)] = f"(1.0 - {_PHI('h')} - {_PHI('k')} + {_pair_sql('h', 'k', repr(RHO))})"
 
 
 @_query("WITH m AS (SELECT -1.0 - 0.2 * ln(1.0 + n_chars) / 10.0 AS h, 1.1 - 0.4 * ln(1.0 + n_chars) / 10.0 AS k FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL) " + " UNION ALL ".join(f"SELECT {a} AS quality, {b} AS toxic, round(avg({p}), 6) AS probability FROM m" for (a, b), p in _PAIR_P.items()))
 def morp_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean probability of each combination of two correlated answers."""
+    return _rounded(_pair_model(spark, sf_dir).joint(), "probability")
+
+
+def _pair_score_sql() -> str:
+    """Sums of scores in reporting units: an answer below its threshold keeps the limit's sign, one above turns it."""
+    root = float(np.sqrt(1 - RHO * RHO))
+    signs = "CASE WHEN quality = 0 THEN 1.0 ELSE -1.0 END AS s, CASE WHEN toxic = 0 THEN 1.0 ELSE -1.0 END AS t"
+    rows = "m AS (SELECT ln(1.0 + n_chars) / 10.0 AS x, quality, toxic FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+    at = f"a AS (SELECT x, -1.0 - 0.2 * x AS h, 1.1 - 0.4 * x AS k, {signs} FROM m), b AS (SELECT *, s * h AS sh, t * k AS tk, s * t * {RHO!r} AS r FROM a)"
+    p = f"p AS (SELECT *, {_pair_sql('sh', 'tk', 'r')} AS p FROM b)"
+    by_h = f"s * {_density_sql('h')} * {_normal_sql(f'((tk - r * sh) / {root!r})')} / p"
+    by_k = f"t * {_density_sql('k')} * {_normal_sql(f'((sh - r * tk) / {root!r})')} / p"
+    by_r = f"s * t * exp(-(h * h - 2.0 * {RHO!r} * h * k + k * k) / {2 * root * root!r}) / {2 * np.pi * root!r} / p"
+    terms = {"quality": "sum(-g * x)", "toxic": "sum(-f * x)", "tau_quality_1": "sum(g)", "tau_toxic_1": "sum(f)", "corr_quality_toxic": "sum(e)"}
+    return f"WITH {rows}, {at}, {p}, g AS (SELECT x, {by_h} AS g, {by_k} AS f, {by_r} AS e FROM p) " + " UNION ALL ".join(f"SELECT '{n}' AS parameter, round({t}, 3) AS score FROM g" for n, t in terms.items())
+
+
+def _pair_model(spark: SparkSession, sf_dir: str) -> MORP:
     model = MORP(_labels(spark, sf_dir), ["quality", "toxic"], {"quality": {"quality": "length"}, "toxic": {"toxic": "length"}}, structure="full")
     model.from_estimates((0.2, 0.4), [(-1.0,), (1.1,)], np.array([[1.0, RHO], [RHO, 1.0]]), lowest=[0, 0])
-    return _rounded(model.joint(), "probability")
+    return model
+
+
+@_query(_pair_score_sql())
+def morp_score_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the rows' scores by coefficients, thresholds and the correlation itself."""
+    model = _pair_model(spark, sf_dir)
+    return _score_rows(spark, model.names, model.natural_sums(model.results.theta)[2])
 
 
 @_query()
@@ -416,7 +556,7 @@ def _mnp_sql(kernel: np.ndarray, tail: str, beta: tuple = MNP_BETA) -> str:
         rivals = [k for k in range(3) if k != c]
         limits += [f"(({v[c]}) - ({v[k]})) / {float(np.sqrt(cov[i, i]))!r} AS z{c}{i}" for i, k in enumerate(rivals)]
         rho = float(cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1]))
-        ps.append(f"{dist.bivariate_normal_cdf(Text(f'z{c}0'), Text(f'z{c}1'), rho, TEXT)} AS p{c}")
+        ps.append(f"{_pair_sql(f'z{c}0', f'z{c}1', repr(rho))} AS p{c}")
     return f"WITH o AS (SELECT l_quantity / 50.0 AS q, l_discount AS d FROM lineitem), z AS (SELECT {', '.join(limits)} FROM o), p AS (SELECT {', '.join(ps)} FROM z) {tail}"
 
 
@@ -436,22 +576,6 @@ def mnp_shares_iid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.ate(), "share")
 
 
-#: Nodes and weights on [0, 1] for the SQL's own integrals.
-_UNIT = [(float((1 + x) / 2), float(w / 2)) for x, w in zip(*np.polynomial.legendre.leggauss(24), strict=True)]
-
-
-def _normal_sql(h: str) -> str:
-    """Normal distribution as a half plus the integral of the density from zero."""
-    return f"(0.5 + ({h}) * 0.3989422804014327 * (" + " + ".join(f"{w!r} * exp(-0.5 * pow(({h}) * {x!r}, 2))" for x, w in _UNIT) + "))"
-
-
-def _pair_sql(h: str, k: str, rho: str) -> str:
-    """Bivariate normal distribution by the integral over the angle, for columns of limits and a correlation."""
-    turn = lambda x: f"sin(asin({rho}) * {x!r})"
-    inside = " + ".join(f"{w!r} * exp(({turn(x)} * {h} * {k} - ({h} * {h} + {k} * {k}) / 2.0) / (1.0 - pow({turn(x)}, 2)))" for x, w in _UNIT)
-    return f"({_normal_sql(h)} * {_normal_sql(k)} + asin({rho}) * 0.15915494309189535 * ({inside}))"
-
-
 def _probit_sql(rows: str, utilities: tuple, spread: tuple | None) -> str:
     """p0, p1, p2 of ``rows`` (SQL with the columns of the utilities): independent unit errors, plus a coefficient of variance spread[0] on values spread[1]."""
     zs, ps = [], []
@@ -491,6 +615,38 @@ def mnp_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.ate(), "share")
 
 
+def _flag_score_sql() -> str:
+    """Sums of scores of three alternatives with independent unit errors: the rivals' differences have variance 1 and correlation 0.5."""
+    v, parts = ["0.4 * q", "0.3", "-0.2 + 0.4 * d"], []
+    x = [("0.0", "1.0", "0.0"), ("0.0", "0.0", "1.0"), ("q", "0.0", "d")]
+    for c in range(3):
+        i, k = (j for j in range(3) if j != c)
+        a, b = f"({v[c]} - ({v[i]}))", f"({v[c]} - ({v[k]}))"
+        root = repr(float(np.sqrt(0.75)))
+        by = f"{_density_sql('a')} * {_normal_sql(f'((b - 0.5 * a) / {root})')} / p AS by_a, {_density_sql('b')} * {_normal_sql(f'((a - 0.5 * b) / {root})')} / p AS by_b"
+        slopes = ", ".join(f"by_a * ({of[c]} - {of[i]}) + by_b * ({of[c]} - {of[k]}) AS g{n}" for n, of in enumerate(x))
+        parts.append(f"SELECT {slopes} FROM (SELECT *, {by} FROM (SELECT *, {_pair_sql('a', 'b', '0.5')} AS p FROM (SELECT q, d, {a} AS a, {b} AS b FROM o WHERE y = {c})))")
+    rows = "o AS (SELECT l_quantity / 50.0 AS q, l_discount AS d, list_position(['A', 'N', 'R'], l_returnflag) - 1 AS y FROM lineitem)"
+    return f"WITH {rows}, g AS ({' UNION ALL '.join(parts)}) " + " UNION ALL ".join(f"SELECT '{n}' AS parameter, round(sum(g{k}), 3) AS score FROM g" for k, n in enumerate(MNP_SPEC))
+
+
+@_query(_flag_score_sql())
+def mnp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the rows' scores by coefficients, one reverse sweep a batch."""
+    model = _flags(spark, sf_dir)
+    lik = model._likelihood()
+    try:
+        return _score_rows(spark, model.names, lik.at(np.array(MNP_BETA))[2])
+    finally:
+        lik.close()
+
+
+@_query()
+def mnp_random_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coefficient with normal variation, fitted with its scores in closed form."""
+    return _flags(spark, sf_dir, random=["quantity"]).fit().to_dataframe(spark)
+
+
 @_query()
 def mnp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).fit().to_dataframe(spark)
@@ -499,24 +655,86 @@ def mnp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATES = ("AF", "NF", "NO", "RF")
 
 
-@_query()
-def mnp_four_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four alternatives with free covariance: trivariate probabilities by the batch kernel."""
+STATE_BETA, STATE_KERNEL = (-0.4, 0.3, 0.5), np.array([[1.0, 0.4, 0.3], [0.4, 1.2, 0.5], [0.3, 0.5, 0.9]])
+
+
+def _states(spark: SparkSession, sf_dir: str, **how) -> MNP:
     li = _table(spark, sf_dir, "lineitem")
     state = F.concat("l_returnflag", "l_linestatus")
     df = li.select(*[(state == s).cast("int").alias(s) for s in STATES], (F.col("l_quantity") / 50.0).alias("quantity"), F.col("l_discount").alias("discount"))
-    model = MNP(df, STATES, {"asc_nf": {"NF": "uno"}, "asc_no": {"NO": "uno"}, "quantity": {"AF": "quantity", "RF": "discount"}}, structure="full")
-    model.from_estimates((-0.4, 0.3, 0.5), np.array([[1.0, 0.4, 0.3], [0.4, 1.2, 0.5], [0.3, 0.5, 0.9]]))
-    return _rounded(model.ate({"no_discount": {"discount": 0.0}}), "share")
+    model = MNP(df, STATES, {"asc_nf": {"NF": "uno"}, "asc_no": {"NO": "uno"}, "quantity": {"AF": "quantity", "RF": "discount"}}, structure="full", **how)
+    model.from_estimates(STATE_BETA, STATE_KERNEL)
+    return model
+
+
+@_query()
+def mnp_four_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four alternatives with free covariance: trivariate probabilities by the batch kernel."""
+    return _rounded(_states(spark, sf_dir).ate({"no_discount": {"discount": 0.0}}), "share")
+
+
+def _states_sql() -> str:
+    """Shares over the different pairs of quantity and discount, each as often as it occurs."""
+    v, ps = [f"{STATE_BETA[2]} * q", f"{STATE_BETA[0]}", f"{STATE_BETA[1]}", f"{STATE_BETA[2]} * d"], []
+    for c in range(4):
+        cov = mnp.differences(STATE_KERNEL, c)
+        sd = np.sqrt(np.diag(cov))
+        r = cov / np.outer(sd, sd)
+        z = tuple(f"((({v[c]}) - ({v[k]})) / {float(sd[i])!r})" for i, k in enumerate(k for k in range(4) if k != c))
+        ps.append(f"{_triple_sql(z, float(r[0, 1]), float(r[0, 2]), float(r[1, 2]))} AS p{c}")
+    rows = f"nodes AS (SELECT {_nodes_sql(24)} AS t, {_nodes_sql(48)} AS tt)"
+    runs = []
+    for name, d in (("baseline", "l_discount"), ("no_discount", "0.0")):
+        per = f"SELECT n AS times, {', '.join(ps)} FROM (SELECT l_quantity / 50.0 AS q, {d} AS d, count(*) AS n FROM lineitem GROUP BY ALL), nodes"
+        runs += [f"SELECT '{name}' AS scenario, '{a}' AS alternative, round(sum(times * p{k} / (p0 + p1 + p2 + p3)) / sum(times), 6) AS share FROM ({per})" for k, a in enumerate(STATES)]
+    return f"WITH {rows} " + " UNION ALL ".join(runs)
+
+
+@_query(_states_sql())
+def mnp_four_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by exact trivariate probabilities."""
+    return _rounded(_states(spark, sf_dir, method="exact").ate({"no_discount": {"discount": 0.0}}), "share")
+
+
+THREE_CORR = np.array([[1.0, -0.3, 0.2], [-0.3, 1.0, 0.1], [0.2, 0.1, 1.0]])
+
+
+def _three(spark: SparkSession, sf_dir: str, **how) -> MORP:
+    df = _labels(spark, sf_dir).withColumn("long", (F.col("length") > 0.75).cast("int"))
+    model = MORP(df, ["quality", "toxic", "long"], {"b": {"quality": "length", "toxic": "length"}}, structure="full", **how)
+    model.from_estimates((0.3,), [(-1.0,), (1.1,), (0.2,)], THREE_CORR, lowest=[0, 0, 0])
+    return model
 
 
 @_query()
 def morp_three_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joint probabilities of three correlated answers."""
-    df = _labels(spark, sf_dir).withColumn("long", (F.col("length") > 0.75).cast("int"))
-    model = MORP(df, ["quality", "toxic", "long"], {"b": {"quality": "length", "toxic": "length"}}, structure="full")
-    model.from_estimates((0.3,), [(-1.0,), (1.1,), (0.2,)], np.array([[1.0, -0.3, 0.2], [-0.3, 1.0, 0.1], [0.2, 0.1, 1.0]]), lowest=[0, 0, 0])
-    return _rounded(model.joint(), "probability")
+    return _rounded(_three(spark, sf_dir).joint(), "probability")
+
+
+def _three_sql() -> str:
+    """Both answers of each outcome from the distribution below all thresholds and those of pairs and single outcomes."""
+    z = ("h", "k", "0.2")
+    of = {(0, 1, 2): _triple_sql(z, -0.3, 0.2, 0.1), (): "1.0"} | {(i,): _normal_sql(z[i]) for i in range(3)} | {(i, j): _pair_sql(z[i], z[j], repr(float(THREE_CORR[i, j]))) for i in range(3) for j in range(i + 1, 3)}
+    name = lambda some: "b" + "".join(map(str, some))
+    out = []
+    for combo in range(8):
+        answers = [combo >> 2 & 1, combo >> 1 & 1, combo & 1]
+        below, above = [i for i in range(3) if not answers[i]], [i for i in range(3) if answers[i]]
+        terms = []
+        for mask in range(1 << len(above)):  # above a threshold: everything less what is below
+            more = [above[i] for i in range(len(above)) if mask >> i & 1]
+            terms.append(f"{'-' if len(more) % 2 else '+'} {name(sorted(below + more))}")
+        out.append(f"SELECT {answers[0] + 1} AS quality, {answers[1] + 1} AS toxic, {answers[2] + 1} AS long, round(avg({' '.join(terms)}), 6) AS probability FROM b")
+    rows = "m AS (SELECT -1.0 - 0.3 * ln(1.0 + n_chars) / 10.0 AS h, 1.1 - 0.3 * ln(1.0 + n_chars) / 10.0 AS k FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+    values = ", ".join(f"{sql} AS {name(some)}" for some, sql in of.items())
+    return f"WITH {rows}, nodes AS (SELECT {_nodes_sql(24)} AS t, {_nodes_sql(48)} AS tt), b AS (SELECT {values} FROM m, nodes) " + " UNION ALL ".join(out)
+
+
+@_query(_three_sql())
+def morp_three_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by exact trivariate probabilities, differences on the lattice of thresholds."""
+    return _rounded(_three(spark, sf_dir, method="exact").joint(), "probability")
 
 
 # --- functions of rows ----------------------------------------------------------------------------
@@ -524,34 +742,64 @@ def morp_three_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROW = "l_orderkey, l_linenumber"
 
 
-def _function_query(name: str, formulas: dict[str, Callable]) -> None:
-    """A query of scalar functions of x (from quantity) and y (from discount), with SQL from the same formulas."""
-    sql = f"WITH o AS (SELECT {_ROW}, l_quantity / 10.0 - 2.5 AS x, l_discount * 20.0 - 1.0 AS y FROM lineitem) SELECT {_ROW}, " + ", ".join(f"round({f(Text('x'), Text('y'), TEXT)}, 6) AS {n}" for n, f in formulas.items()) + " FROM o"
+def _function_query(name: str, formulas: dict[str, tuple[Callable, str]]) -> None:
+    """A query of scalar functions of x (from quantity) and y (from discount); each with SQL of its own."""
+    sql = f"WITH o AS (SELECT {_ROW}, l_quantity / 10.0 - 2.5 AS x, l_discount * 20.0 - 1.0 AS y FROM lineitem) SELECT {_ROW}, " + ", ".join(f"round({text}, 6) AS {n}" for n, (_, text) in formulas.items()) + " FROM o"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         o = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10.0 - 2.5).alias("x"), (F.col("l_discount") * 20.0 - 1.0).alias("y"))
-        return o.select("l_orderkey", "l_linenumber", *[F.round(f(F.col("x"), F.col("y"), COLUMNS), 6).alias(n) for n, f in formulas.items()])
+        return o.select("l_orderkey", "l_linenumber", *[F.round(f(F.col("x"), F.col("y"), COLUMNS), 6).alias(n) for n, (f, _) in formulas.items()])
 
     run.__name__ = name
     _query(sql)(run)
 
 
-_function_query("dist_normal", {"pdf": lambda x, y, m: dist.normal_pdf(x, m), "logpdf": lambda x, y, m: dist.normal_logpdf(x, m), "cdf": lambda x, y, m: dist.normal_cdf(x, m)})
-_function_query("dist_bivariate_normal", {"cdf": lambda x, y, m: dist.bivariate_normal_cdf(x, y, 0.6, m)})
-_function_query("dist_extreme", {"gumbel": lambda x, y, m: dist.gumbel_cdf(x, m), "gumbel_pdf": lambda x, y, m: dist.gumbel_pdf(x, m), "reverse": lambda x, y, m: dist.reverse_gumbel_cdf(x, m), "reverse_pdf": lambda x, y, m: dist.reverse_gumbel_pdf(x, m), "logistic": lambda x, y, m: dist.logistic_cdf(x, m), "logistic_pdf": lambda x, y, m: dist.logistic_pdf(x, m)})
-_function_query("dist_truncated_normal", {"pdf": lambda x, y, m: dist.truncated_normal_pdf(x, -1.0, 2.0, 0.2, 1.3, m), "cdf": lambda x, y, m: dist.truncated_normal_cdf(x, -1.0, 2.0, 0.2, 1.3, m), "mean": lambda x, y, m: dist.truncated_normal_mean(x, m), "variance": lambda x, y, m: dist.truncated_normal_variance(x, m)})
-_function_query("dist_skew_normal", {"pdf": lambda x, y, m: dist.skew_normal_pdf(x, 1.5, m), "cdf": lambda x, y, m: dist.skew_normal_cdf(x, 1.5, m)})
+_function_query(
+    "dist_normal",
+    {
+        "pdf": (lambda x, y, m: dist.normal_pdf(x, m), _density_sql("x")),
+        "logpdf": (lambda x, y, m: dist.normal_logpdf(x, m), "-0.5 * x * x - 0.5 * ln(2.0 * pi())"),
+        "cdf": (lambda x, y, m: dist.normal_cdf(x, m), _normal_sql("x")),
+    },
+)
+_function_query("dist_bivariate_normal", {"cdf": (lambda x, y, m: dist.bivariate_normal_cdf(x, y, 0.6, m), _pair_sql("x", "y", "0.6"))})
+_function_query(
+    "dist_extreme",
+    {
+        "gumbel": (lambda x, y, m: dist.gumbel_cdf(x, m), "exp(-exp(-x))"),
+        "gumbel_pdf": (lambda x, y, m: dist.gumbel_pdf(x, m), "exp(-x) * exp(-exp(-x))"),
+        "reverse": (lambda x, y, m: dist.reverse_gumbel_cdf(x, m), "1.0 - exp(-exp(x))"),
+        "reverse_pdf": (lambda x, y, m: dist.reverse_gumbel_pdf(x, m), "exp(x) * exp(-exp(x))"),
+        "logistic": (lambda x, y, m: dist.logistic_cdf(x, m), "1.0 / (1.0 + exp(-x))"),
+        "logistic_pdf": (lambda x, y, m: dist.logistic_pdf(x, m), "exp(-x) / pow(1.0 + exp(-x), 2)"),
+    },
+)
+_BETWEEN = f"({_normal_sql('(1.8 / 1.3)')} - {_normal_sql('(-1.2 / 1.3)')})"
+_BELOW_MEAN = f"(-{_density_sql('x')} / {_normal_sql('x')})"
+_function_query(
+    "dist_truncated_normal",
+    {
+        "pdf": (lambda x, y, m: dist.truncated_normal_pdf(x, -1.0, 2.0, 0.2, 1.3, m), f"CASE WHEN x BETWEEN -1.0 AND 2.0 THEN {_density_sql('((x - 0.2) / 1.3)')} / 1.3 / {_BETWEEN} ELSE 0.0 END"),
+        "cdf": (lambda x, y, m: dist.truncated_normal_cdf(x, -1.0, 2.0, 0.2, 1.3, m), f"CASE WHEN x <= -1.0 THEN 0.0 WHEN x >= 2.0 THEN 1.0 ELSE ({_normal_sql('((x - 0.2) / 1.3)')} - {_normal_sql('(-1.2 / 1.3)')}) / {_BETWEEN} END"),
+        "mean": (lambda x, y, m: dist.truncated_normal_mean(x, m), _BELOW_MEAN),
+        "variance": (lambda x, y, m: dist.truncated_normal_variance(x, m), f"1.0 + {_BELOW_MEAN} * x - pow({_BELOW_MEAN}, 2)"),
+    },
+)
+#: Owen's T of x and 1.5 by its own integral.
+_OWEN = "(1.5 * 0.15915494309189535 * (" + " + ".join(f"{w!r} * exp(-0.5 * x * x * {1 + (1.5 * t) ** 2!r}) / {1 + (1.5 * t) ** 2!r}" for t, w in _UNIT) + "))"
+_function_query("dist_skew_normal", {"pdf": (lambda x, y, m: dist.skew_normal_pdf(x, 1.5, m), f"2.0 * {_density_sql('x')} * {_normal_sql('(1.5 * x)')}"), "cdf": (lambda x, y, m: dist.skew_normal_cdf(x, 1.5, m), f"{_normal_sql('x')} - 2.0 * {_OWEN}")})
+_LOGISTIC = lambda x, y: f"(1.0 / (1.0 + exp(-({x})) + exp(-({y}))))"
 _function_query(
     "mv_logistic",
     {
-        "cdf": lambda x, y, m: dist.mv_logistic_cdf([x, y], m),
-        "pdf": lambda x, y, m: dist.mv_logistic_pdf([x, y], m),
-        "partial": lambda x, y, m: dist.mv_logistic_partial([x], [y], m),
-        "survival": lambda x, y, m: dist.mv_logistic_survival([x, y], m),
-        "rectangle": lambda x, y, m: dist.mv_logistic_rectangle([x - 1.0, y - 1.0], [x, y], m),
-        "mixed": lambda x, y, m: dist.mv_logistic_mixed([x], [0.5 * x], [y], m),
-        "slope": lambda x, y, m: dist.mv_logistic_gradient([x], [0.5 * x], [y], m)[2],
-        "located": lambda x, y, m: dist.mv_logistic_pdf(dist.located([x, y], [0.1, -0.2], [1.5, 0.8]), m) / (1.5 * 0.8),
+        "cdf": (lambda x, y, m: dist.mv_logistic_cdf([x, y], m), _LOGISTIC("x", "y")),
+        "pdf": (lambda x, y, m: dist.mv_logistic_pdf([x, y], m), "2.0 * exp(-x - y) / pow(1.0 + exp(-x) + exp(-y), 3)"),
+        "partial": (lambda x, y, m: dist.mv_logistic_partial([x], [y], m), "exp(-x) / pow(1.0 + exp(-x) + exp(-y), 2)"),
+        "survival": (lambda x, y, m: dist.mv_logistic_survival([x, y], m), f"1.0 - 1.0 / (1.0 + exp(-x)) - 1.0 / (1.0 + exp(-y)) + {_LOGISTIC('x', 'y')}"),
+        "rectangle": (lambda x, y, m: dist.mv_logistic_rectangle([x - 1.0, y - 1.0], [x, y], m), f"{_LOGISTIC('x', 'y')} - {_LOGISTIC('x - 1.0', 'y')} - {_LOGISTIC('x', 'y - 1.0')} + {_LOGISTIC('x - 1.0', 'y - 1.0')}"),
+        "mixed": (lambda x, y, m: dist.mv_logistic_mixed([x], [0.5 * x], [y], m), "exp(-x) / pow(1.0 + exp(-x) + exp(-0.5 * x), 2) - exp(-x) / pow(1.0 + exp(-x) + exp(-0.5 * x) + exp(-y), 2)"),
+        "slope": (lambda x, y, m: dist.mv_logistic_gradient([x], [0.5 * x], [y], m)[2], "-2.0 * exp(-x - y) / pow(1.0 + exp(-x) + exp(-0.5 * x) + exp(-y), 3)"),
+        "located": (lambda x, y, m: dist.mv_logistic_pdf(dist.located([x, y], [0.1, -0.2], [1.5, 0.8]), m) / (1.5 * 0.8), "2.0 * exp(-(x - 0.1) / 1.5 - (y + 0.2) / 0.8) / pow(1.0 + exp(-(x - 0.1) / 1.5) + exp(-(y + 0.2) / 0.8), 3) / 1.2"),
     },
 )
 

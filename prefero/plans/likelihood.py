@@ -90,17 +90,33 @@ class Likelihood:
         n, ll = self.values([theta])
         return n, ll[0]
 
-    def at(self, theta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
-        """Rows, log-likelihood, score and the scores' outer product."""
+    def at(self, theta: np.ndarray, to: np.ndarray | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Rows, log-likelihood, score and the scores' outer product; ``to`` turns each row's score into other units where it is made."""
         both, active, p = self._both(), self.active, len(theta)
 
         def of(data: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
             value, s = both(theta, data, active, w)
+            s = s if to is None else s @ to.T
             return np.concatenate([[len(w), (w * value).sum()], s.sum(axis=0), (s.T @ s).ravel()])
 
         out = self._sums(of, 2 + p + p * p)
         return out[0], out[1], out[2 : 2 + p], out[2 + p :].reshape(p, p)
 
+    def rows_at(self, theta: np.ndarray, keep: Sequence[str] = (), to: np.ndarray | None = None) -> DataFrame:
+        """The columns ``keep`` of each row with its log-likelihood and its (weighted) score."""
+        both, active, weight, kinds = self._both(), self.active, self.weight, self.rows.select(*keep).schema if keep else None
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                if len(rows):
+                    data = as_arrays(rows.drop(columns=list(keep)))
+                    value, s = both(theta, data, active, data[weight] if weight else np.ones(len(rows)))
+                    s = s if to is None else s @ to.T
+                    yield rows[list(keep)].assign(loglik=value, score=list(s))
+
+        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds or ()], "loglik double, score array<double>"])
+        return self.rows.mapInPandas(task, schema)
+
     def hessian(self, theta: np.ndarray) -> np.ndarray:
         """Negative Hessian of the log-likelihood, by differences of the score in one job."""
         both, active, p = self._both(), self.active, len(theta)
@@ -154,7 +170,7 @@ class Closed(Likelihood):
     def _scores(self, frame: DataFrame) -> list[str]:
         return [f"g{i}" for i in range(len(self.active)) if self.active[i] and f"g{i}" in frame.columns]
 
-    def at(self, theta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def at(self, theta: np.ndarray, to: np.ndarray | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
         frame, p = self.frame([theta], True), len(theta)
         names = self._scores(frame)
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
@@ -164,7 +180,7 @@ class Closed(Likelihood):
             g[int(name[1:])] = row[name] or 0.0
         for a, b in pairs:
             outer[int(a[1:]), int(b[1:])] = outer[int(b[1:]), int(a[1:])] = row[f"{a}_{b}"] or 0.0
-        return row["n"], row["ll"] or 0.0, g, outer
+        return (row["n"], row["ll"] or 0.0, g, outer) if to is None else (row["n"], row["ll"] or 0.0, to @ g, to @ outer @ to.T)
 
     def values(self, thetas: Sequence[np.ndarray]) -> tuple[float, np.ndarray]:
         rows = self.frame(thetas, False).groupBy(self.RUN).agg(F.count("*").alias("n"), F.sum("ll").alias("ll")).collect()  # one a point

@@ -5,7 +5,7 @@ from conftest import same_rows
 
 from prefero.plans import catalog
 
-FITS = {"mnl_fit", "mdcev_fit", "mnp_fit", "morp_fit"}
+FITS = {"mnl_fit", "mdcev_fit", "mnp_fit", "mnp_random_fit", "morp_fit", "morp_lines_fit"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

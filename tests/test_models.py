@@ -384,6 +384,56 @@ def test_names_and_nulls_that_clash(spark):
         d.df.select(d.loglik_column().alias("l")).collect()
 
 
+def test_reporting_space(spark):
+    """Parameters go to the report and back; scores in its units give the standard errors that the delta method gives."""
+    df = spark.createDataFrame(choices(150, noise="normal"))
+    for how in ({"structure": "full"}, {"random": ["b", "asc1"], "correlated": True}, {"segments": 2, "random": ["b"]}):
+        m = MNP(df, ALTS, SPEC, **how)
+        theta = np.random.default_rng(1).normal(0.2, 0.2, len(m.names))
+        natural = m.natural(theta)
+        np.testing.assert_allclose(m.natural(m.theta_of(natural)), natural, atol=1e-8)
+    m = MNP(df, ALTS, SPEC, structure="heteronly")
+    r = m.fit()
+    n, ll, g, outer = m.natural_sums(r.theta)
+    assert n == 150 and ll == pytest.approx(r.loglik * 150)
+    np.testing.assert_allclose(np.sqrt(np.diag(np.linalg.inv(outer))), r.se, rtol=1e-4)
+    np.testing.assert_allclose(g / n, r.extra["natural_gradient"], atol=1e-8)
+    rows = m.natural_scores(r.theta, ["x1"]).toPandas()
+    s = np.stack(rows["score"].to_numpy())
+    np.testing.assert_allclose(s.T @ s, outer, rtol=1e-9)
+    h = 1e-5
+    for i in range(len(r.theta)):
+        e = np.eye(len(r.theta))[i] * h
+        up, down = (m.natural_scores(r.theta + k * e, ["x1"]).toPandas().sort_values("x1")["loglik"].to_numpy() for k in (1, -1))
+        np.testing.assert_allclose(np.stack(rows.sort_values("x1")["score"].to_numpy())[:, i], (up - down) / (2 * h), atol=1e-5)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"y": rng.integers(0, 3, 80), "z": rng.integers(0, 2, 80), "x": rng.normal(size=80)})
+    for how in ({"structure": "heteronly"}, {"structure": "full", "fix_scales": False}):
+        o = MORP(spark.createDataFrame(pdf), ["y", "z"], {"b": {"y": "x", "z": "x"}}, **how)
+        fit = o.fit(30)
+        n, ll, g, outer = o.natural_sums(fit.theta)
+        np.testing.assert_allclose(np.sqrt(np.maximum(np.diag(np.linalg.pinv(outer)), 0)), fit.se, rtol=2e-2, atol=1e-3)
+        np.testing.assert_allclose(g / n, fit.extra["natural_gradient"], atol=1e-7)
+
+
+def test_forecast_with_row_values(spark):
+    pdf = spending(20)
+    df = spark.createDataFrame(pdf)
+    m = MDCEV(df, ["out", "a", "b"], {"asc_a": {"a": "uno"}, "x": {"a": "x1", "b": "x2"}}, {"ga": {"a": "uno"}, "gb": {"b": "uno"}})
+    m.from_estimates([0.3, 0.5], [0.1, 0.2], 0.9)
+    new = pdf[["id"]].assign(x1=np.linspace(-2, 2, 20))
+    got = m.forecast(3.0, 3, id_column="id", values=spark.createDataFrame(new)).toPandas()
+    other = MDCEV(spark.createDataFrame(pdf.assign(x1=new["x1"])), ["out", "a", "b"], {"asc_a": {"a": "uno"}, "x": {"a": "x1", "b": "x2"}}, {"ga": {"a": "uno"}, "gb": {"b": "uno"}})
+    other.results = m.results
+    want, key = other.forecast(3.0, 3, id_column="id").toPandas(), ["row_id", "replication"]
+    np.testing.assert_allclose(got.sort_values(key).to_numpy(), want.sort_values(key).to_numpy())
+    for bad, said in ((pd.concat([new, new[:1]]), "repeat"), (new[1:], "without"), (new.assign(q=1.0), "does not have"), (new[["id"]].assign(id=lambda d: d["id"] + 1), "without")):
+        with pytest.raises(ValueError, match=said):
+            m.forecast(3.0, 3, id_column="id", values=spark.createDataFrame(bad))
+    with pytest.raises(ValueError, match="id column"):
+        m.forecast(3.0, 3, values=spark.createDataFrame(new))
+
+
 def test_joint_of_the_lattice(spark):
     """Differences on the lattice equal one rectangle for each combination, in slabs or not, and add up to one."""
     import itertools
