@@ -25,6 +25,8 @@ from prefero.llm.common import ascii_lower, id_text, parts_between, small_side,
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a span that must be found wherever it is shared, and words of a k-gram.
 SPAN, K = 10, 5
+#: Matching hashes of a text up to which each of its places is looked up among them.
+FEW = 64
 
 
 def words_of(text: Column) -> Column:
@@ -83,16 +85,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     matched = small_side(staged(found.groupBy("key").agg(F.collect_set("fp").alias("fps")), "matched-prints"))
 
     # equal texts are extended once; their words are needed only where something matched
-    texts = keyed.join(matched, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("fps").alias("fps"))
-    texts = texts.select("key", "fps", words_of(F.col("text")).alias("words"))
+    texts = staged(keyed.join(matched, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("fps").alias("fps")), "matched-texts")
+    texts = _with_places(texts.select("key", "fps", words_of(F.col("text")).alias("words")), list(dict.fromkeys([k, *lengths])))
     size = F.size("words")
     near = F.transform(
-        _matching(F.col("words"), k, F.col("fps")),
+        F.col(_places_name(k)),
         lambda p: F.when(F.least(p, size - (span - 1)) >= 1, F.sequence(F.greatest(F.lit(1), p - (span - k)), F.greatest(F.lit(1), F.least(p, size - (span - 1))))).otherwise(F.array().cast("array<int>")),
     )
     starts = F.transform(F.array_distinct(F.flatten(near)), lambda s: F.struct(s.alias("start"), F.lit(span).alias("length")))
     for n in lengths:
-        starts = F.concat(starts, _short_starts(F.col("words"), n, F.col("fps")))
+        starts = F.concat(starts, _starts_of(n))
     at = texts.select("key", "words", F.explode(starts).alias("s"))
     at = at.select("key", "s", _runs(F.col("words"), F.col("s.start"), F.col("s.length")).alias("run"))
 
@@ -104,13 +106,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     return by_key.select("key", hits.alias("hits"), "items")
 
 
-def _matching(words: Column, length: int, fps: Column) -> Column:
+def _places_name(length: int) -> str:
+    return f"_places_{length}"
+
+
+def _looked_up(length: int) -> Column:
     """Places whose run of ``length`` words has one of the hashes ``fps``."""
-    return F.filter(_places(F.size(words) - (length - 1)), lambda i: F.array_contains(fps, F.xxhash64(F.slice(words, i, F.lit(length)))))
+    return F.filter(_places(F.size("words") - (length - 1)), lambda i: F.array_contains("fps", F.xxhash64(F.slice("words", i, F.lit(length)))))
+
+
+def _starts_of(length: int) -> Column:
+    return F.transform(_places_name(length), lambda s: F.struct(s.alias("start"), F.lit(length).alias("length")))
 
 
-def _short_starts(words: Column, length: int, fps: Column) -> Column:
-    return F.transform(_matching(words, length, fps), lambda s: F.struct(s.alias("start"), F.lit(length).alias("length")))
+def _with_places(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """``texts`` (key, fps, words) with the places whose run of each length has one of the hashes ``fps``.
+
+    A text of few hashes looks each place up in their list.  One of more than ``FEW`` joins its places to
+    them, so a long text that is copied throughout takes time in proportion to its words.
+    """
+    few, many = texts.where(F.size("fps") <= FEW), texts.where(F.size("fps") > FEW)
+    few = few.select("*", *[_looked_up(n).alias(_places_name(n)) for n in lengths])
+    own = many.select("key", F.explode("fps").alias("fp"))
+    for n in lengths:
+        runs = many.select("key", F.posexplode(grams_of(F.col("words"), n)).alias("i", "fp"))
+        found = runs.join(own, ["key", "fp"]).groupBy("key").agg(F.sort_array(F.collect_list(F.col("i") + 1)).alias("found"))
+        many = many.join(found, "key", "left").withColumn(_places_name(n), F.coalesce("found", F.array().cast("array<int>"))).drop("found")
+    return few.unionByName(many)
 
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, out: str = "leak") -> DataFrame:

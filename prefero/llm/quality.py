@@ -13,7 +13,8 @@ lowest hash of their id); the vectors use every document.  Empty and null texts
 pool to zeros and get the network's score for that.  Equal texts get equal scores; repeated rows are
 scored each; texts of any length are read whole; an empty table gives an empty result; extra columns
 pass through, and one named as the result is replaced.  Without usable labels of
-both classes each text gets the labels' mean, or 1 if there are none.
+both classes each text gets the labels' mean, or 1 if there are none.  Ties: texts of one score are all predicted alike, and a score of just a half
+counts as good; of rows of one hash of id, the smaller id is learned from first.
 """
 
 from __future__ import annotations

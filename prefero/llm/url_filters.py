@@ -11,7 +11,8 @@ first); block wins over allow between equals.
 URLs that are null or have no host, and captures without a fetch time, match no
 entry and get the verdict ``none``.  Of events at one instant, putting on the list wins.
 Events with a null field play no part.  Repeated captures get the same verdict,
-and are joined once; extra columns pass through.
+and are joined once; extra columns pass through, whatever their names.  Whole URLs are read, however long.  An
+empty list gives ``none`` to all; without captures the result is empty.
 """
 
 from __future__ import annotations
@@ -42,16 +43,30 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """The (kind, entry) pairs that would cover a host and path."""
+def _depths(active: DataFrame) -> tuple[int, int]:
+    """The most labels of a domain on the list, and the most segments of a prefix: no part of a URL beyond them can match."""
+    labels, segments = F.size(F.split("entry", r"\.")), F.size(F.split("entry", "/")) - 1
+    found = active.agg(F.max(F.when(F.col("kind") == "domain", labels)), F.max(F.when(F.col("kind") == "prefix", segments))).collect()[0]
+    return found[0] or 0, found[1] or 0
+
+
+def _covers(asked: DataFrame, depths: tuple[int, int]) -> DataFrame:
+    """place, of: each place with the (kind, entry) pairs that would cover it and may be on the list.
+
+    A URL of any length makes as many pairs as the list's longest entries have parts, not as many as it has itself.
+    """
+    host = F.col("place.host")
     labels = F.split(host, r"\.")
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    kinds = {k: F.lit(k).alias("kind") for k in KINDS}
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(kinds["domain"], F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("entry")))
-    prefixes = F.transform(
-        F.sequence(F.lit(0), F.size(segments)), lambda i: F.struct(kinds["prefix"], F.concat_ws("/", F.array(host), F.when(i > 0, F.slice(segments, F.lit(1), i)).otherwise(F.array().cast("array<string>"))).alias("entry"))
-    )
-    return F.concat(domains, F.array(F.struct(kinds["host"], host.alias("entry"))), prefixes)
+    split = asked.select("place", labels.alias("labels"), F.filter(F.split("place.path", "/"), lambda s: s != "").alias("segments"))
+    last = F.least(F.size("labels"), F.lit(depths[0]))
+    ends = F.slice("labels", F.size("labels") - last + 1, last)
+    short = split.select("place", ends.alias("labels"), F.slice("segments", 1, depths[1]).alias("segments"))
+    kind = lambda k: F.lit(k).alias("kind")
+    places = F.when(F.size("labels") > 0, F.sequence(F.lit(1), F.size("labels"))).otherwise(F.array().cast("array<int>"))
+    domains = F.transform(places, lambda i: F.struct(kind("domain"), F.array_join(F.slice("labels", i, F.size("labels")), ".").alias("entry")))
+    begun = lambda i: F.when(i > 0, F.slice("segments", F.lit(1), i)).otherwise(F.array().cast("array<string>"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("segments")), lambda i: F.struct(kind("prefix"), F.concat_ws("/", F.array(host), begun(i)).alias("entry")))
+    return short.select("place", F.explode(F.concat(domains, F.array(F.struct(kind("host"), host.alias("entry"))), prefixes)).alias("of"))
 
 
 def with_verdicts(captures: DataFrame, events: DataFrame, out: str = "filter") -> DataFrame:
@@ -61,10 +76,12 @@ def with_verdicts(captures: DataFrame, events: DataFrame, out: str = "filter") -
     verdicts found, are broadcast if their measured size is small; else they join by
     shuffle, where AQE splits what a hot host brings together.
     """
-    active = small_side(staged(intervals(events), "intervals"))
+    active = staged(intervals(events), "intervals")
+    depths = _depths(active)
+    active = small_side(active)
     place = F.struct(host_of(F.col("url")).alias("host"), F.regexp_extract("url", PATH, 1).alias("path"), F.col("fetched").alias("fetched"))
     asked = captures.select(place.alias("place")).where("place.host IS NOT NULL AND place.fetched IS NOT NULL").distinct()
-    asked = asked.select("place", F.explode(_keys(F.col("place.host"), F.col("place.path"))).alias("of"))
+    asked = _covers(asked, depths)
     on = (asked["of.kind"] == active["kind"]) & (asked["of.entry"] == active["entry"]) & (active["since"] <= asked["place.fetched"]) & (active["until"].isNull() | (asked["place.fetched"] < active["until"]))
     order = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.length("entry"), F.col("action") == "block", "action", "since")
     best = F.max_by(F.struct(F.col("action").alias("verdict"), "entry", "kind", "since"), order)

@@ -104,6 +104,53 @@ def test_quality(odd, none, spark):
     assert {r["quality_score"] for r in quality.with_quality(odd, labels.limit(0)).collect()} == {1.0}
 
 
+def test_url_filters_of_empty_tables_and_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://bad.example.com/" + "a/" * 50_000 + "end", "2024-05-01"), (2, "http://" + "x" * 100_000 + ".bad.example.com/", "2024-05-01"), (3, "http://good.example.com/", "2024-05-01")], "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date"))
+    ev = spark.createDataFrame([("bad.example.com", "domain", "block", "2024-02-01", True)], "entry string, kind string, action string, at string, listed boolean").withColumn("at", F.col("at").cast("date"))
+    verdicts = lambda pages, events: {r["page_id"]: r["filter"]["verdict"] for r in url_filters.with_verdicts(pages, events).collect()}
+    assert verdicts(df, ev) == {1: "block", 2: "block", 3: "none"}
+    assert verdicts(df, ev.limit(0)) == {1: "none", 2: "none", 3: "none"}
+    assert verdicts(df.limit(0), ev) == {} and verdicts(df.limit(0), ev.limit(0)) == {}
+
+
+def test_quality_of_ties(spark):
+    """Equal texts score alike whatever their rows; of one that is labelled both ways, the labels' mean counts."""
+    texts = [f"good words number {i} here" for i in range(30)] + [f"BAD!! 999 {i} junk junk" for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, texts[0]), (5, texts[5])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)] + [(3, 0), (100, 1)], "doc_id long, quality int")
+    got = quality.with_quality(docs, labels, "score").toPandas()
+    assert len(got) == 63 and got.groupby("text")["score"].nunique().max() == 1
+    assert (got[got["doc_id"].isin([0, 100, 101, 5])]["score"] >= 0.5).all()
+
+
+def test_decontamination_of_a_text_of_many_hits(spark, monkeypatch):
+    """A text that holds most of the benchmark joins its places to its hashes, with the same hits as by looking up."""
+    draw = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in draw.integers(0, 3000, n)]
+    items = [word(n) for n in [*range(1, 12), *[40] * 25]]
+    texts = [" ".join(w for item in items for w in [*item, *word(3)]), " ".join([*word(20), *items[-1], *word(20)]), " ".join(word(50)), " ".join(items[0] * 200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {}
+    for few in (0, 5, 10**6):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        rows = decontaminate.with_contamination(docs, bench).collect()
+        got[few] = {r["doc_id"]: r["leak"] and (sorted(r["leak"]["hits"]), r["leak"]["items"]) for r in rows}
+    assert got[0] == got[5] == got[10**6]
+    windows = {}
+    for i, w in enumerate(items):
+        for j in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[j : j + 10]), set()).add(str(i))
+    for i, t in enumerate(texts):
+        w, hit, found = t.split(), set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[s : s + n])):
+                    hit |= set(range(s + 1, s + n + 1))
+                    found |= own
+        assert got[5][i] == ((sorted(hit), sorted(found)) if hit else None)
+
+
 def test_nearest(spark):
     """Every row is a candidate: of an id that repeats with other vectors, without an id, of another length for its like."""
     nan, inf = float("nan"), float("inf")
