@@ -13,8 +13,8 @@ HART_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866
 HART_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 HART_END = 7.07106781186547
 ROOT_2PI = math.sqrt(2 * math.pi)
-#: Nodes and weights of the bivariate integral.
-NODES, NODE_WEIGHTS = np.polynomial.legendre.leggauss(20)
+#: Nodes and weights of the bivariate integral: so many do up to each |rho|, and the most beyond.
+RULES = tuple((most, list(zip(*(a.tolist() for a in np.polynomial.legendre.leggauss(n)), strict=True))) for most, n in ((0.3, 6), (0.75, 12), (1.0, 20)))
 
 
 def _powers(coefficients: tuple, x: object) -> object:
@@ -42,12 +42,17 @@ def normal_cdf(x, m=COLUMNS):
 
 
 def bivariate_normal_cdf(h, k, rho, m=COLUMNS):
-    """P(X <= h, Y <= k): the product of the margins and Plackett's integral over the angle, for |rho| up to about 0.95."""
-    angle = m.asin(m.lift(rho)) / 2.0
-    terms = []
-    for x, w in zip(NODES.tolist(), NODE_WEIGHTS.tolist(), strict=True):
-        s = m.sin(angle * (1.0 + x))
-        terms.append(w * m.exp((s * h * k - (h * h + k * k) / 2.0) / (1.0 - s * s)))
+    """P(X <= h, Y <= k): the product of the margins and Plackett's integral over the angle, for |rho| up to about 0.95.
+
+    Of a correlation that is a number, the angles are numbers too, and a small one takes fewer nodes.
+    """
+    known = isinstance(rho, int | float)
+    nodes = next(rule for most, rule in RULES if not known and most == 1.0 or known and abs(rho) <= most)
+    angle = math.asin(rho) / 2.0 if known else m.asin(m.lift(rho)) / 2.0
+    both, squares, terms = h * k, (h * h + k * k) / 2.0, []
+    for x, w in nodes:
+        s = math.sin(angle * (1.0 + x)) if known else m.sin(angle * (1.0 + x))
+        terms.append(w * m.exp((s * both - squares) / (1.0 - s * s)))
     return normal_cdf(h, m) * normal_cdf(k, m) + angle * total(terms) / (2.0 * math.pi)
 
 
@@ -214,6 +219,7 @@ def normal_ppf(p: np.ndarray) -> np.ndarray:
     q = np.minimum(p, 1 - p)
     with np.errstate(divide="ignore", invalid="ignore"):
         t = np.sqrt(-2 * np.log(q))
+        # fixed values: the rational start of a normal quantile
         x = -(t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308))))
         for _ in range(4):
             x = x - np.where((q > 0) & np.isfinite(x), (normal_cdf(x, ARRAYS) - q) / np.maximum(normal_pdf(x, ARRAYS), 1e-300), 0.0)

@@ -193,6 +193,19 @@ class MDCEV:
         self.results = Estimates(self.names, natural, of(self.se), ll / max(n, 1), int(n), g / max(n, 1), best.iterations, best.converged, extra)
         return self.results.frozen(~self._active())
 
+    def natural_sums(self, natural: Sequence[float]) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Rows, log-likelihood, score and outer product at reported parameters (the scale itself) and in their units."""
+        refuse_nulls(self.given, list(dict.fromkeys([*self.used, *self.goods])))
+        theta = np.array(natural, float)
+        theta[-1] = math.log(theta[-1])
+        to = np.ones(len(theta))
+        to[-1] = 1 / natural[-1]
+        lik = Closed(self._rows(), self.terms, len(self.names), self._active())
+        try:
+            return lik.at(theta, np.diag(to))
+        finally:
+            lik.close()
+
     def from_estimates(self, utility: Sequence[float], satiation: Sequence[float], sigma: float) -> Estimates:
         theta = np.array([*utility, *satiation, math.log(sigma)], float)
         self.results = Estimates(self.names, np.array([*utility, *satiation, sigma], float), extra={"theta": theta})

@@ -14,7 +14,7 @@ from prefero.kernels.mvn import METHODS, mvn_cdf
 from prefero.operators import mnp, scenario
 from prefero.operators.mnl import MNL, sums
 from prefero.operators.mnp import MNP
-from prefero.operators.morp import MORP
+from prefero.operators.morp import MORP, marginal
 from prefero.operators.mdcev import MDCEV
 from prefero.operators.spec import choice_index, compile_spec, rebased, spec_of_matrix
 from prefero.plans.likelihood import Closed
@@ -737,6 +737,12 @@ def morp_three_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_three(spark, sf_dir, method="exact").joint(), "probability")
 
 
+@_query(f"WITH j AS ({_three_sql().replace(', 6) AS probability', ', 15) AS probability')}) SELECT quality AS category, round(sum(probability), 5) AS probability FROM j GROUP BY quality")
+def morp_joint_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer's probabilities from the joint table of three."""
+    return marginal(_three(spark, sf_dir, method="exact").joint(), "quality").withColumn("probability", F.round("probability", 5))
+
+
 # --- functions of rows ----------------------------------------------------------------------------
 
 _ROW = "l_orderkey, l_linenumber"

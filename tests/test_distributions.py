@@ -7,6 +7,7 @@ from prefero.functions import distributions as dist
 from prefero.functions.algebra import ARRAYS, TEXT, Text
 from prefero.kernels import mvn
 
+# A covariance and limits whose probabilities are known, with how far each method may be from them.
 COV = np.array([[1, 0.3, 0.1], [0.3, 1, 0.4], [0.1, 0.4, 1]])
 A = np.array([[1.0, 0.5, 0.8]])
 

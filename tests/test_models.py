@@ -416,6 +416,14 @@ def test_reporting_space(spark):
         np.testing.assert_allclose(g / n, fit.extra["natural_gradient"], atol=1e-7)
 
 
+def test_reporting_space_of_spending(spark):
+    m = MDCEV(spark.createDataFrame(spending()), ["out", "a", "b"], {"asc_a": {"a": "uno"}, "x": {"a": "x1", "b": "x2"}}, {"ga": {"a": "uno"}, "gb": {"b": "uno"}})
+    r = m.fit()
+    n, ll, g, outer = m.natural_sums(r.theta)
+    assert r.converged and n == 60 and ll == pytest.approx(r.loglik * 60)
+    np.testing.assert_allclose(np.sqrt(np.diag(np.linalg.inv(outer))), r.se, rtol=1e-6)
+
+
 def test_forecast_with_row_values(spark):
     pdf = spending(20)
     df = spark.createDataFrame(pdf)
