@@ -104,6 +104,11 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(BATCH_SETTING, before)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by columns to as many tasks as the session shuffles to, few bytes or many: for work that is heavy by the row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _cell_bytes(cell: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(cell), F.lit(0)).cast("long") + 16

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefero.llm.common import scratch, staged
+from prefero.llm.common import scratch, spread, staged
 from prefero.llm.linking import whole_groups
 
 SEGMENT, BATCH_TURNS = 256, 20_000
@@ -203,12 +203,12 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         )
         seg = F.floor(F.col("at") / segment).cast("int")
         slim = rows.select("c", seg.alias("seg"), (F.col("at") % segment + 1).alias("i"), _kind().alias("kind"))
-        parts = slim.repartition("c", "seg").sortWithinPartitions("c", "seg", "i").mapInPandas(_solved_segments, "c string, seg int, entry int, state int, cost long, audit string")
-        solved = staged(parts.repartition("c").sortWithinPartitions("c", "seg").mapInPandas(_chained, "c string, cost long, audit string"), "audits")
+        parts = spread(slim, "c", "seg").sortWithinPartitions("c", "seg", "i").mapInPandas(_solved_segments, "c string, seg int, entry int, state int, cost long, audit string")
+        solved = staged(spread(parts, "c").sortWithinPartitions("c", "seg").mapInPandas(_chained, "c string, cost long, audit string"), "audits")
         # an edit's letters: insertions before it and its own; those after the last turn go with a further row
         letters = F.regexp_extract_all("audit", F.lit("I*[KRD]|I+$"), 0)
         edits = solved.select("c", F.posexplode(letters).alias("at", "letters"))
         lines = rows.select("c", "at", "role", "text").join(edits, ["c", "at"], "right")
         lines = lines.select("c", "at", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "letters")
-        hashes = lines.repartition("c").sortWithinPartitions("c", "at").mapInPandas(_repaired_hashes, "c string, repaired_sha256 string")
+        hashes = spread(lines, "c").sortWithinPartitions("c", "at").mapInPandas(_repaired_hashes, "c string, repaired_sha256 string")
         return staged(said.join(solved, "c").join(hashes, "c").drop("c"), "repaired", outlives=True)

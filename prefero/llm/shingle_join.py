@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import discard, lowered_bytes, scratch, small_batches, staged
+from prefero.llm.common import discard, lowered_bytes, scratch, small_batches, spread, staged
 from prefero.llm.linking import components, merged, renamed, whole_groups
 from prefero.llm.token_counts import blocks
 
@@ -305,7 +305,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     last = F.when(is_main, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1
     meets = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
     rows = rows.select(*members.columns, "block", F.explode(meets).alias("m")).select("*", "m.left", "m.right").drop("m")
-    return rows.repartition("a", "left", "right").sortWithinPartitions("a", "left", "right")
+    return spread(rows, "a", "left", "right").sortWithinPartitions("a", "left", "right")
 
 
 def _with_differences(pairs: DataFrame, keyed: DataFrame, sets: DataFrame, keep: bool) -> DataFrame:

@@ -132,11 +132,11 @@ def test_decontamination_of_a_text_of_many_hits(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     got = {}
-    for few in (0, 5, 10**6):
+    for few in (5, 10**6):
         monkeypatch.setattr(decontaminate, "FEW", few)
         rows = decontaminate.with_contamination(docs, bench).collect()
         got[few] = {r["doc_id"]: r["leak"] and (sorted(r["leak"]["hits"]), r["leak"]["items"]) for r in rows}
-    assert got[0] == got[5] == got[10**6]
+    assert got[5] == got[10**6]
     windows = {}
     for i, w in enumerate(items):
         for j in range(max(1, len(w) - 9)):
