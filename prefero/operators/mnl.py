@@ -13,6 +13,7 @@ from prefero.functions.algebra import COLUMNS, total
 from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, runs_of
 from prefero.operators.spec import Design, choice_index, compile_spec, complete, given
 from prefero.plans.estimates import Estimates, covariance
+from prefero.plans.likelihood import small_methods
 from prefero.plans.optim import newton
 
 #: The likelihood's floor.
@@ -67,13 +68,15 @@ def sums(df: DataFrame, design: Design, beta: Sequence[float], y: Column, availa
     ll, score, curve = row_terms(design, beta, y, available)
     v = len(design.names)
     ins = df.select(ll.alias("ll"), *[s.alias(f"g{i}") for i, s in enumerate(score)], *[c.alias(f"h{a}_{b}") for (a, b), c in curve.items()])
-    row = ins.agg(
+    total_of = ins.agg(
         F.count("*").alias("n"),
         F.sum("ll").alias("ll"),
         *[F.sum(f"g{i}").alias(f"g{i}") for i in range(v)],
         *[F.sum(f"h{a}_{b}").alias(f"h{a}_{b}") for a, b in curve],
         *[F.sum(F.col(f"g{a}") * F.col(f"g{b}")).alias(f"b{a}_{b}") for a, b in curve],
-    ).collect()[0]
+    )
+    with small_methods(df.sparkSession):
+        row = total_of.collect()[0]
     g = np.array([row[f"g{i}"] or 0.0 for i in range(v)])
     h, b = np.zeros((v, v)), np.zeros((v, v))
     for i, j in curve:

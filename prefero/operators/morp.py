@@ -197,7 +197,7 @@ class MORP:
         ll = F.log(F.greatest(whole, F.lit(FLOOR))).alias("ll")
         if not scored:
             return out.select(*keep, ll)
-        out = out.select(*out.columns, ll, (whole > FLOOR).alias("_live"))
+        out = out.select("*", ll, (whole > FLOOR).alias("_live"))
         slopes = [F.when(F.col("_live"), normal_pdf(cut(F.col(f"_{side}{i}"))) / (F.col(f"_p{i}") * F.col(f"_s{i}"))).otherwise(0.0).alias(f"_b{side}{i}") for i in range(d) for side in "ul"]
         out = out.select("*", *slopes)
         up, down = [F.col(f"_bu{i}") for i in range(d)], [F.col(f"_bl{i}") for i in range(d)]

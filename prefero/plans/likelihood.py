@@ -10,11 +10,12 @@ derivatives of the very function that is maximised; a kernel without them is dif
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: theta, columns as arrays -> log-likelihood of each row.
@@ -144,28 +145,57 @@ class Likelihood:
         return -ll / max(n, 1)
 
 
+@contextlib.contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside the block whose generated method would be too long for the JVM to compile (8,000 bytes) run as shorter ones; the setting is put back."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: rows, parameters, whether scores are asked for -> the rows' log-likelihood ``ll`` and scores ``g0``, ``g1`` ... (of active parameters).
+#: The rows may only be selected from: what is selected is built once and applied again for each call.
 Terms = Callable[[DataFrame, list[Column], bool], DataFrame]
 
 
+class _Recipe:
+    """Takes the place of a table while its terms are written down."""
+
+    def __init__(self, columns: list[str], steps: tuple = ()) -> None:
+        self.columns, self.steps = columns, steps
+
+    def select(self, *columns: Column | str) -> _Recipe:
+        return _Recipe(self.columns, (*self.steps, columns))
+
+
 class Closed(Likelihood):
     """Terms that are Columns.  Parameters are read from an array by the run's number, so one compiled plan serves all of a fit's calls.
 
     A score that ``terms`` leaves out is zero.
     """
 
-    RUN = "_run"
+    RUN, THETA = "_run", "_theta"
 
     def __init__(self, rows: DataFrame, terms: Terms, parameters: int, active: np.ndarray | None = None) -> None:
         self.rows, self.terms = rows.withColumn(self.RUN, F.lit(0)).persist(), terms
         self.active = np.ones(parameters, bool) if active is None else np.asarray(active, bool)
+        self._steps: dict[bool, tuple] = {}
 
     def frame(self, thetas: Sequence[np.ndarray], scored: bool) -> DataFrame:
         """The terms of every row at every point; ``_run`` numbers the points."""
-        p, run = len(thetas[0]), F.col(self.RUN)
+        p = len(self.active)
+        if scored not in self._steps:
+            theta = [F.get(F.col(self.THETA), F.col(self.RUN) * p + i) for i in range(p)]
+            self._steps[scored] = self.terms(_Recipe([*self.rows.columns, self.THETA]), theta, scored).steps
         rows = self.rows if len(thetas) == 1 else self.rows.withColumn(self.RUN, F.explode(F.sequence(F.lit(0), F.lit(len(thetas) - 1))))
-        flat = F.lit([float(x) for t in thetas for x in t])
-        return self.terms(rows, [F.get(flat, run * p + i) for i in range(p)], scored)
+        rows = rows.withColumn(self.THETA, F.lit([float(x) for t in thetas for x in t]))
+        for columns in self._steps[scored]:
+            rows = rows.select(*columns)
+        return rows
 
     def _scores(self, frame: DataFrame) -> list[str]:
         return [f"g{i}" for i in range(len(self.active)) if self.active[i] and f"g{i}" in frame.columns]
@@ -174,7 +204,9 @@ class Closed(Likelihood):
         frame, p = self.frame([theta], True), len(theta)
         names = self._scores(frame)
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-        row = frame.agg(F.count("*").alias("n"), F.sum("ll").alias("ll"), *[F.sum(g).alias(g) for g in names], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).collect()[0]
+        sums = [F.count("*").alias("n"), F.sum("ll").alias("ll"), *[F.sum(g).alias(g) for g in names], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]]
+        with small_methods(frame.sparkSession):
+            row = frame.agg(*sums).collect()[0]
         g, outer = np.zeros(p), np.zeros((p, p))
         for name in names:
             g[int(name[1:])] = row[name] or 0.0
@@ -183,7 +215,8 @@ class Closed(Likelihood):
         return (row["n"], row["ll"] or 0.0, g, outer) if to is None else (row["n"], row["ll"] or 0.0, to @ g, to @ outer @ to.T)
 
     def values(self, thetas: Sequence[np.ndarray]) -> tuple[float, np.ndarray]:
-        rows = self.frame(thetas, False).groupBy(self.RUN).agg(F.count("*").alias("n"), F.sum("ll").alias("ll")).collect()  # one a point
+        with small_methods(self.rows.sparkSession):
+            rows = self.frame(thetas, False).groupBy(self.RUN).agg(F.count("*").alias("n"), F.sum("ll").alias("ll")).collect()  # one a point
         out = np.zeros(len(thetas))
         for r in rows:
             out[r[self.RUN]] = r["ll"]
@@ -196,7 +229,8 @@ class Closed(Likelihood):
         points = [theta + sign * steps[i] * np.eye(p)[i] for i in moved for sign in (1, -1)]
         frame = self.frame(points, True)
         names = self._scores(frame)
-        found = {r[self.RUN]: r for r in frame.groupBy(self.RUN).agg(*[F.sum(g).alias(g) for g in names]).collect()}  # two a parameter
+        with small_methods(frame.sparkSession):
+            found = {r[self.RUN]: r for r in frame.groupBy(self.RUN).agg(*[F.sum(g).alias(g) for g in names]).collect()}  # two a parameter
         h = np.zeros((p, p))
         for k, i in enumerate(moved):
             for name in names:
