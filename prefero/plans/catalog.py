@@ -89,6 +89,28 @@ def _triple_sql(z: tuple[str, str, str], r12: float, r13: float, r23: float) ->
     return f"((least({z[0]}, 8.0) + 8.0) * list_sum(list_transform(tt, lambda e: e.w * {_density_sql(at)} * {pair})))"
 
 
+def _ordered_sql(rows: str, cases: dict[str, tuple[tuple[str, str, str], np.ndarray]], keep: str) -> str:
+    """Columns of the trivariate approximation that truncates one variable and looks at pairs, over ``rows``: name -> limits and correlations.
+
+    Variables go by rising size of their limits.  The first pair is exact; once the first variable lies below its
+    limit, the second pair has other means and covariances, and counts given its first variable.
+    """
+    sql = f"SELECT {keep}, " + ", ".join("list_sort([" + ", ".join(f"{{'size': abs({z}), 'i': {i + 1}, 'z': {z}}}" for i, z in enumerate(zs)) + f"]) AS s_{n}" for n, (zs, _) in cases.items()) + f" FROM ({rows})"
+    flat = lambda r: "[" + ", ".join(repr(float(x)) for x in np.ravel(r)) + "]"
+    steps = [
+        lambda n, r: ", ".join([f"s_{n}[{i + 1}].z AS z{i}_{n}" for i in range(3)] + [f"{flat(r)}[(s_{n}[{i}].i - 1) * 3 + s_{n}[{j}].i] AS r{i}{j}_{n}" for i, j in ((1, 2), (1, 3), (2, 3))]),
+        lambda n, r: f"*, -{_density_sql(f'z0_{n}')} / {_normal_sql(f'z0_{n}')} AS l_{n}",
+        lambda n, r: f"*, -l_{n} * (z0_{n} - l_{n}) AS g_{n}",
+        lambda n, r: f"*, (z1_{n} - r12_{n} * l_{n}) / sqrt(1.0 - g_{n} * r12_{n} * r12_{n}) AS v_{n}, (z2_{n} - r13_{n} * l_{n}) / sqrt(1.0 - g_{n} * r13_{n} * r13_{n}) AS w_{n}, (r23_{n} - g_{n} * r12_{n} * r13_{n}) / sqrt((1.0 - g_{n} * r12_{n} * r12_{n}) * (1.0 - g_{n} * r13_{n} * r13_{n})) AS c_{n}",
+        lambda n, r: f"{_pair_sql(f'z0_{n}', f'z1_{n}', f'r12_{n}')} * {_pair_sql(f'v_{n}', f'w_{n}', f'c_{n}')} / {_normal_sql(f'v_{n}')} AS {n}",
+    ]
+    for k, step in enumerate(steps):
+        parts = [step(n, r) for n, (_, r) in cases.items()]
+        some = [x.removeprefix("*, ") for x in parts]
+        sql = f"SELECT {'*' if k not in (0, len(steps) - 1) else keep}, {', '.join(some)} FROM ({sql})"
+    return sql
+
+
 # --- multinomial logit: the priority of an order --------------------------------------------------
 
 PRIORITIES = ("urgent", "high", "medium", "unspecified", "low")
@@ -667,30 +689,32 @@ def _states(spark: SparkSession, sf_dir: str, **how) -> MNP:
     return model
 
 
-@_query()
-def mnp_four_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four alternatives with free covariance: trivariate probabilities by the batch kernel."""
-    return _rounded(_states(spark, sf_dir).ate({"no_discount": {"discount": 0.0}}), "share")
-
-
-def _states_sql() -> str:
+def _states_sql(exact: bool) -> str:
     """Shares over the different pairs of quantity and discount, each as often as it occurs."""
-    v, ps = [f"{STATE_BETA[2]} * q", f"{STATE_BETA[0]}", f"{STATE_BETA[1]}", f"{STATE_BETA[2]} * d"], []
+    v, ps, cases = [f"{STATE_BETA[2]} * q", f"{STATE_BETA[0]}", f"{STATE_BETA[1]}", f"{STATE_BETA[2]} * d"], [], {}
     for c in range(4):
         cov = mnp.differences(STATE_KERNEL, c)
         sd = np.sqrt(np.diag(cov))
         r = cov / np.outer(sd, sd)
         z = tuple(f"((({v[c]}) - ({v[k]})) / {float(sd[i])!r})" for i, k in enumerate(k for k in range(4) if k != c))
         ps.append(f"{_triple_sql(z, float(r[0, 1]), float(r[0, 2]), float(r[1, 2]))} AS p{c}")
+        cases[f"p{c}"] = z, r
     rows = f"nodes AS (SELECT {_nodes_sql(24)} AS t, {_nodes_sql(48)} AS tt)"
     runs = []
     for name, d in (("baseline", "l_discount"), ("no_discount", "0.0")):
-        per = f"SELECT n AS times, {', '.join(ps)} FROM (SELECT l_quantity / 50.0 AS q, {d} AS d, count(*) AS n FROM lineitem GROUP BY ALL), nodes"
+        pairs = f"SELECT l_quantity / 50.0 AS q, {d} AS d, count(*) AS times FROM lineitem GROUP BY ALL"
+        per = f"SELECT times, {', '.join(ps)} FROM ({pairs}), nodes" if exact else _ordered_sql(pairs, cases, "times")
         runs += [f"SELECT '{name}' AS scenario, '{a}' AS alternative, round(sum(times * p{k} / (p0 + p1 + p2 + p3)) / sum(times), 6) AS share FROM ({per})" for k, a in enumerate(STATES)]
     return f"WITH {rows} " + " UNION ALL ".join(runs)
 
 
-@_query(_states_sql())
+@_query(_states_sql(exact=False))
+def mnp_four_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four alternatives with free covariance: trivariate probabilities by the batch kernel."""
+    return _rounded(_states(spark, sf_dir).ate({"no_discount": {"discount": 0.0}}), "share")
+
+
+@_query(_states_sql(exact=True))
 def mnp_four_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by exact trivariate probabilities."""
     return _rounded(_states(spark, sf_dir, method="exact").ate({"no_discount": {"discount": 0.0}}), "share")
@@ -706,16 +730,10 @@ def _three(spark: SparkSession, sf_dir: str, **how) -> MORP:
     return model
 
 
-@_query()
-def morp_three_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint probabilities of three correlated answers."""
-    return _rounded(_three(spark, sf_dir).joint(), "probability")
-
-
-def _three_sql() -> str:
+def _three_sql(exact: bool = True) -> str:
     """Both answers of each outcome from the distribution below all thresholds and those of pairs and single outcomes."""
     z = ("h", "k", "0.2")
-    of = {(0, 1, 2): _triple_sql(z, -0.3, 0.2, 0.1), (): "1.0"} | {(i,): _normal_sql(z[i]) for i in range(3)} | {(i, j): _pair_sql(z[i], z[j], repr(float(THREE_CORR[i, j]))) for i in range(3) for j in range(i + 1, 3)}
+    of = {(0, 1, 2): _triple_sql(z, -0.3, 0.2, 0.1) if exact else "b012", (): "1.0"} | {(i,): _normal_sql(z[i]) for i in range(3)} | {(i, j): _pair_sql(z[i], z[j], repr(float(THREE_CORR[i, j]))) for i in range(3) for j in range(i + 1, 3)}
     name = lambda some: "b" + "".join(map(str, some))
     out = []
     for combo in range(8):
@@ -728,7 +746,14 @@ def _three_sql() -> str:
         out.append(f"SELECT {answers[0] + 1} AS quality, {answers[1] + 1} AS toxic, {answers[2] + 1} AS long, round(avg({' '.join(terms)}), 6) AS probability FROM b")
     rows = "m AS (SELECT -1.0 - 0.3 * ln(1.0 + n_chars) / 10.0 AS h, 1.1 - 0.3 * ln(1.0 + n_chars) / 10.0 AS k FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
     values = ", ".join(f"{sql} AS {name(some)}" for some, sql in of.items())
-    return f"WITH {rows}, nodes AS (SELECT {_nodes_sql(24)} AS t, {_nodes_sql(48)} AS tt), b AS (SELECT {values} FROM m, nodes) " + " UNION ALL ".join(out)
+    source = "m, nodes" if exact else f"({_ordered_sql('SELECT * FROM m', {'b012': (z, THREE_CORR)}, 'h, k')})"
+    return f"WITH {rows}, nodes AS (SELECT {_nodes_sql(24)} AS t, {_nodes_sql(48)} AS tt), b AS (SELECT {values} FROM {source}) " + " UNION ALL ".join(out)
+
+
+@_query(_three_sql(exact=False))
+def morp_three_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint probabilities of three correlated answers."""
+    return _rounded(_three(spark, sf_dir).joint(), "probability")
 
 
 @_query(_three_sql())
