@@ -71,6 +71,34 @@ def test_likelihood_sums_do_not_depend_on_partitions(spark):
         np.testing.assert_allclose([ll, g[0], b[0, 0]], [got[0][1], got[0][2][0], got[0][3][0, 0]], rtol=1e-9)
 
 
+def rows_of_a_fit(monkeypatch, of, model):
+    """How many rows a fit's likelihood reads at each call, and the fit."""
+    read, init = [], of.__init__
+
+    def counted(self, *args, **kwargs):
+        init(self, *args, **kwargs)
+        read.append(self.rows.count())
+
+    monkeypatch.setattr(of, "__init__", counted)
+    return read, model.fit(iterations=3)
+
+
+@pytest.mark.parametrize("random", [[], ["b"]])
+def test_probit_fit_reads_each_different_row_once(spark, monkeypatch, random):
+    """40 rows, repeated up to 30 times each, are 40 rows to each step; sums are those of all rows."""
+    few = choices(40)
+    every = few.loc[few.index.repeat(1 + np.arange(40) * 7 % 30)]
+    m = MNP(spark.createDataFrame(every), ALTS, SPEC, random=random, se="sandwich")
+    theta, one, all_rows = np.full(len(m.names), 0.2), m._likelihood(together=True), m._likelihood()
+    for a, b in zip(one.at(theta), all_rows.at(theta), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(one.hessian(theta), all_rows.hessian(theta), rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(one.values([theta, -theta])[1], all_rows.values([theta, -theta])[1])
+    assert m.natural_scores(m.natural(theta)).count() == len(every)
+    read, fitted = rows_of_a_fit(monkeypatch, Likelihood, m)
+    assert read == [40] and fitted.n == len(every)
+
+
 def test_mnp_closed_form_equals_kernel(spark):
     df = spark.createDataFrame(choices(100))
     cov = np.array([[1.0, 0.3], [0.3, 1.7]])
