@@ -18,7 +18,7 @@ from prefero.operators.mnl import refuse_nulls
 from prefero.operators.scenario import Overrides, Scenarios, mean_by_scenario, read_by, reader, runs_of
 from prefero.operators.spec import Design, compile_spec, complete, given, rebased
 from prefero.plans.estimates import KINDS, Estimates, covariance
-from prefero.plans.likelihood import Closed, Likelihood, as_arrays
+from prefero.plans.likelihood import TIMES, Closed, Likelihood, alike, as_arrays
 from prefero.plans.optim import minimize
 
 FLOOR = 1e-300
@@ -112,12 +112,13 @@ class MORP:
         return np.concatenate(parts)
 
     def _likelihood(self) -> Likelihood:
+        """Sums over the rows; those that are alike are one row with their number."""
         refuse_nulls(self.given, [*self.design.columns(), *self.outcomes])
         self.bind()
         d, v = len(self.outcomes), len(self.design.names)
         if self._separate():
-            return Closed(self._rows(), self.terms, len(self.names))
-        return Likelihood(self.df.select(*self._packed(), self._answers().alias("y")), self._kernel(d, v), len(self.names), scored=self._scored(d, v))
+            return Closed(alike(self._rows()), self.terms, len(self.names), times=TIMES)
+        return Likelihood(alike(self.df.select(*self._packed(), self._answers().alias("y"))), self._kernel(d, v), len(self.names), scored=self._scored(d, v), times=TIMES)
 
     def natural_sums(self, natural: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         """Rows, log-likelihood, score and outer product at reported parameters and in their units."""
@@ -257,7 +258,7 @@ class MORP:
             hessian = lik.hessian(best.theta) if self.se != "bhhh" or self.all_se else None
             if self.structure == "full" and 2 < d <= 4:  # the report is of the exact probability at the optimum
                 approximate, self.method = self.method, "exact"
-                exact = Likelihood(lik.rows, self._kernel(d, v), len(self.names))
+                exact = Likelihood(lik.rows, self._kernel(d, v), len(self.names), times=TIMES)
                 n, ll = exact.value(best.theta)
                 self.method = approximate
         finally:

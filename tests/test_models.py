@@ -332,6 +332,26 @@ def test_ordered_columns_equal_kernel(spark, structure):
     np.testing.assert_allclose(closed.values([theta, theta + 0.1])[1], lik.values([theta, theta + 0.1])[1])
 
 
+@pytest.mark.parametrize("structure", ["iid", "full"])
+def test_ordered_fit_reads_each_different_row_once(spark, monkeypatch, structure):
+    """Repeated rows are one row to each step, in Columns and in the kernel; sums are those of all rows."""
+    from prefero.plans.likelihood import Closed
+
+    rng = np.random.default_rng(8)
+    few = pd.DataFrame({"y": rng.integers(0, 3, 30), "z": rng.integers(0, 2, 30), "x": rng.normal(size=30)})
+    every = few.loc[few.index.repeat(1 + np.arange(30) % 9)]
+    m = MORP(spark.createDataFrame(every), ["y", "z"], {"b": {"y": "x", "z": "x"}}, structure=structure)
+    one = m._likelihood()
+    theta = np.full(len(m.names), 0.2)
+    all_rows = Closed(m._rows(), m.terms, len(theta)) if structure == "iid" else Likelihood(m.df.select(*m._packed(), m._answers().alias("y")), m._kernel(2, 1), len(theta), scored=m._scored(2, 1))
+    for a, b in zip(one.at(theta), all_rows.at(theta), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(one.hessian(theta), all_rows.hessian(theta), rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(one.values([theta, -theta])[1], all_rows.values([theta, -theta])[1])
+    read, fitted = rows_of_a_fit(monkeypatch, Closed if structure == "iid" else Likelihood, m)
+    assert read == [30] and fitted.n == len(every)
+
+
 @pytest.mark.parametrize("traditional", [True, False])
 def test_mdcev_scores_by_differences(spark, traditional):
     from prefero.plans.likelihood import Closed
