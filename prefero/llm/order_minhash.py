@@ -25,9 +25,19 @@ No bucket is expanded into its pairs, whatever its size:
 3. a bucket that still holds texts outside its centre's class gets a second centre,
    the one of those with the most company, which is compared with every text of another class.
 
-So pairs are at most texts times buckets of a text, at any size of any group.  Of many
-classes in one bucket, as where all share a passage, two texts that are links meet in
-those of their buckets that the crowd is not in, since their sketches reach beyond the passage.
+So these pairs are at most texts times buckets of a text, at any size of any group.
+
+What sketches and centres leave out is found by an exact search, so classes are those of all links:
+
+4. a text's runs of three words are ordered by how often they occur, rarest first (an order
+   for all texts); its ``beginning`` is so many of them that no edits of a link touch them all.
+   Two texts that are links share a run of both beginnings: else the beginning that ends first
+   would be without a run in the other text, so edits would have touched all of it.
+   Runs that only one class holds are dropped.  Texts of other classes that share a run, in blocks of ``BLOCK``
+   texts, are compared if their lengths and the parities of their words allow a link.
+
+Pairs of step 4 grow with the square of the texts of different classes that share
+their rarest runs, as far as the bounds leave them; no task holds more than two blocks.
 
 Texts that are null or hold no word are in a class with equal texts only; a null
 text equals the empty one.  Whole texts of any length are compared.  Rows without an id are classed by
@@ -39,23 +49,28 @@ pass through ``deduplicated``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import scratch, small_batches, staged, unused
+from prefero.llm.common import discard, scratch, small_batches, staged, unused
 from prefero.llm.linking import components, merged, renamed
+from prefero.llm.shingle_join import cells, folded, frequencies
 
 #: Bytes of words, A-Z in lower case; all other ASCII is a space.
 LETTERS = bytes(c if c > 0x7F else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
 K, ORDER, SKETCHES, SIMILARITY = 5, 2, 120, 0.8
 #: Words up to which one edit is allowed; words up to which texts meet in every run of RUN words.
 ONE_EDIT, SHORT, RUN = 9, 42, 3
+#: Texts of a run that meet in one block.
+BLOCK = 256
 #: Numbers hashed at once, and words of texts that a task remembers.
 AT_ONCE, REMEMBERED = 1 << 18, 1_000_000
 #: Odd multipliers of the hash functions, two for each, drawn from a fixed seed.
@@ -124,16 +139,28 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _one_edit(words: np.ndarray) -> np.ndarray:
+    """Numbers of what is left of a short text without any one word, if an edit of it may be a link."""
+    n, keys = len(words), [np.zeros(0, np.uint64)]
+    if n <= ONE_EDIT and int(n * (1 - SIMILARITY) + 1e-9):
+        for i in range(n):
+            left = labelled_kmers(np.delete(words, i), n)[:1]
+            keys += [_mixed(left + np.uint64(n - 1)), _mixed(left + np.uint64(n << 8 | i))]  # what is left; what is left around place i
+    return np.concatenate(keys)
+
+
+def _whole(words: np.ndarray) -> np.ndarray:
+    """The number of what is left of those that become this text by losing a word."""
+    n = len(words)
+    return _mixed(labelled_kmers(words, n)[:1] + np.uint64(n))
+
+
 def short_keys(words: np.ndarray) -> np.ndarray:
     """Numbers of the buckets that a text of up to SHORT words is in besides; none for longer texts."""
     n = len(words)
     if not 0 < n <= SHORT:
         return np.zeros(0, np.int64)
-    keys = [np.zeros(0, np.uint64)]
-    if n <= ONE_EDIT and int(n * (1 - SIMILARITY) + 1e-9):
-        for i in range(n):
-            left = labelled_kmers(np.delete(words, i), n)[:1]
-            keys += [_mixed(left + np.uint64(n - 1)), _mixed(left + np.uint64(n << 8 | i))]  # what is left; what is left around place i
+    keys = [_one_edit(words)]
     if int((ONE_EDIT + 1) * SIMILARITY) <= n:  # may be a link of a text of more words than ONE_EDIT
         keys.append(labelled_kmers(words, RUN))
     return np.unique(np.concatenate(keys)).view(np.int64)
@@ -142,7 +169,62 @@ def short_keys(words: np.ndarray) -> np.ndarray:
 def own_key(words: np.ndarray) -> int | None:
     """The bucket of those that become this short text by losing a word; the text is its centre."""
     n = len(words)
-    return int(_mixed(labelled_kmers(words, n)[:1] + np.uint64(n)).view(np.int64)[0]) if 0 < n < ONE_EDIT else None
+    return int(_whole(words).view(np.int64)[0]) if 0 < n < ONE_EDIT else None
+
+
+@functools.cache
+def _numbers() -> WordNumbers:
+    """The numbers of words that a process remembers."""
+    return WordNumbers()
+
+
+def word_runs(words: np.ndarray) -> np.ndarray:
+    """A number for the RUN words from each place on."""
+    x = np.zeros(max(0, len(words) - RUN + 1), np.uint64)
+    for j in range(RUN):
+        x = _mixed(x + words[j : j + len(x)])
+    return x
+
+
+def _word_runs_of(text: str) -> np.ndarray:
+    return word_runs(_numbers().of(text))
+
+
+def edits_to_touch(places: np.ndarray) -> int:
+    """The least cost of edits that touch the runs at all of ``places`` (rising).
+
+    A word deleted or replaced touches runs at RUN places in a row and costs 5; a word put in touches
+    one less and costs 4, since it makes the longer text longer.  Of a link, edits cost at most the text's words: with
+    d edits, 5 d is at most the longer text's words, which are the text's own and at most the words put in.
+    """
+    most, less = (np.searchsorted(places, places + k).tolist() for k in (RUN, RUN - 1))
+    cost = [0] * (len(places) + 1)
+    for i in range(len(places) - 1, -1, -1):
+        cost[i] = min(5 + cost[most[i]], 4 + cost[less[i]])
+    return cost[0]
+
+
+def beginning(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Numbers, one at least of which a text shares with each of its links: the rarest runs of a text, or of short ones the buckets of one edit."""
+    n, keys = len(words), [np.zeros(0, np.uint64)]
+    if n <= ONE_EDIT:
+        keys.append(np.concatenate([_one_edit(words), _whole(words)]))
+    x = word_runs(words)
+    if len(x):
+        one, other = cells(x)
+        order = np.lexsort((x, np.minimum(table[0, one], table[1, other])))
+        ordered, m = x[order], min(len(x), 2 * n // 5 + 1)
+        while m < len(x) and (ordered[m] == ordered[m - 1] or edits_to_touch(np.sort(order[:m])) <= n):
+            m += 1 if ordered[m] == ordered[m - 1] else min(len(x) - m, max(1, n // 24))
+        keys.append(ordered[:m])
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
+def word_parities(words: np.ndarray) -> bytes:
+    """The parity of the number of words in each bit; at least four bits a word, a power of two of them."""
+    m = max(64, 1 << int(4 * len(words) - 1).bit_length())
+    at = ((words >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
+    return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
 def _run_alike(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
@@ -211,21 +293,32 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 #: What a task computes of a text.
-SIGNATURE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("own", T.LongType())])
+SIGNATURE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("own", T.LongType()), T.StructField("bits", T.BinaryType())])
 
 
 @F.pandas_udf(SIGNATURE)
 def _signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Words, sketches (none if every link of the text is a short text) and the further buckets of short texts."""
-    numbers = WordNumbers()
+    """Words, sketches (none if every link of the text is a short text), the further buckets of short texts, and the words' parities."""
+    numbers = _numbers()
 
     def signed(text: str | None) -> tuple:
         words = numbers.of(text)  # of one text at a time, so a batch's words are never held together
-        return len(words), sketches(words if len(words) >= int((SHORT + 1) * SIMILARITY) else words[:0]), short_keys(words), own_key(words)
+        return len(words), sketches(words if len(words) >= int((SHORT + 1) * SIMILARITY) else words[:0]), short_keys(words), own_key(words), word_parities(words)
 
     for texts in batches:
-        n, bands, short, own = zip(*map(signed, texts), strict=True) if len(texts) else ((), (), (), ())
-        yield pd.DataFrame({"n": np.array(n, np.int32), "bands": pd.Series(bands, dtype="object"), "short": pd.Series(short, dtype="object"), "own": pd.array(own, "Int64")})
+        n, bands, short, own, bits = zip(*map(signed, texts), strict=True) if len(texts) else ((),) * 5
+        yield pd.DataFrame({"n": np.array(n, np.int32), "bands": pd.Series(bands, dtype="object"), "short": pd.Series(short, dtype="object"), "own": pd.array(own, "Int64"), "bits": pd.Series(bits, dtype="object")})
+
+
+def _beginnings(table: np.ndarray) -> Callable:
+    """The beginning of each text, by the order that ``table`` makes."""
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([beginning(_numbers().of(t), table) for t in texts], dtype="object")
+
+    return of
 
 
 @F.pandas_udf(T.DoubleType())
@@ -244,6 +337,13 @@ def _aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(T.BooleanType())
+def _may_link(na: pd.Series, nb: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+    """Whether the parities leave it open that two texts are a link: an edit changes two words at most."""
+    least = [int(np.bitwise_count(folded(x, m := min(len(x), len(y))) ^ folded(y, m)).sum()) for x, y in zip(one, other, strict=True)]
+    return np.array(least, np.int64) <= 2 * (np.maximum(na, nb) * (1 - SIMILARITY) + 1e-9).astype("int64")
+
+
 def _close(a: str, b: str) -> Column:
     """Texts of so many words may be links."""
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
@@ -272,6 +372,30 @@ def buckets(signed: DataFrame) -> DataFrame:
     return staged(rows.join(sizes, "band"), "buckets")
 
 
+def _texts(keyed: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the text numbers ``ids``."""
+    return staged(keyed.join(signed.select("id", "key").join(ids, "id"), "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+
+
+def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b), a the greater, of texts of different classes and like lengths that share a run of their beginnings."""
+    rows = keyed.select(F.xxhash64("key").alias("id"), F.explode(_beginnings(frequencies(keyed, _word_runs_of))("text")).alias("run"))
+    # the one shuffle of all runs; most are of one text alone, and go
+    of = W.partitionBy("run")
+    rows = rows.select("run", "id", F.min("id").over(of).alias("one"), F.max("id").over(of).alias("other")).where("one != other").select("run", "id")
+    rows = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.select("run", "id", "comp", F.min("comp").over(of).alias("one"), F.max("comp").over(of).alias("other")).where("one != other")
+    rows = staged(rows.select("run", "id", "comp").distinct().join(signed.select("id", "n"), "id"), "runs")
+    several = staged(rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "run-sizes")
+    # each block of a run's texts meets each, so a run of very many texts is the work of many tasks
+    dealt = rows.join(several, "run").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
+    dealt = staged(dealt.select("run", "id", "n", "comp", "block", F.explode(meets).alias("m")).select("run", "m.left", "m.right", "id", "n", "comp", "block"), "run-blocks")
+    one, other = (dealt.where(F.col("block") == F.col(side)).select("run", "left", "right", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "comp")]) for side in ("left", "right"))
+    met = one.join(other, ["run", "left", "right"]).where("comp_left != comp_right AND (left < right OR id_left < id_right)").where(_close("n_left", "n_right"))
+    return met.select(F.greatest("id_left", "id_right").alias("a"), F.least("id_left", "id_right").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Text numbers (id, key: md5 of the text, n), links (a, b, similarity) and classes (id, comp) of the texts of ``docs``.
 
@@ -279,11 +403,10 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     keyed = docs.select(text_key().alias("key"), "text")
     signed = keyed.select("key", _signature("text").alias("s")).groupBy("key").agg(F.first("s").alias("s"))
-    signed = staged(signed.where("s.n > 0").select(F.monotonically_increasing_id().alias("id"), "key", "s.*"), "signatures")
+    signed = staged(signed.where("s.n > 0").select(F.xxhash64("key").alias("id"), "key", "s.*"), "signatures")
     shared = buckets(signed)
     company = staged(shared.groupBy("id").agg(F.sum("size").alias("company"), F.first("n").alias("n")), "company")
-    numbers = signed.select("id", "key").join(company.select("id"), "id")
-    texts = staged(keyed.join(numbers, "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    texts = _texts(keyed, signed, company.select("id"))
 
     top = F.max(F.struct("own", "company", "id", "n"))
     centres = staged(shared.join(company.select("id", "company"), "id").groupBy("band").agg(top.alias("c")).select("band", F.col("c.id").alias("a"), F.col("c.n").alias("centre_n")), "centres")
@@ -307,7 +430,16 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last = last.select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).distinct()
     done = tested.unionByName(others).unionByName(others.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = _links(staged(last.join(done, ["a", "b"], "left_anti"), "pairs"), texts)
-    return signed.select("id", "key", "n"), found.union(more).union(rest), merged(comps, rest)
+    comps, links = merged(comps, rest), found.union(more).union(rest)
+
+    for read in (shared, centres, stars, classed, second):
+        discard(read)
+    left = staged(_sharing(keyed, signed, comps).join(done, ["a", "b"], "left_anti"), "pairs")
+    for end in "ab":
+        left = left.join(signed.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    left = staged(left.where(_may_link("na", "nb", "bits_a", "bits_b")).select("a", "b"), "pairs")
+    missed = _links(left, _texts(keyed, signed, left.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    return signed.select("id", "key", "n"), links.union(missed), merged(comps, missed)
 
 
 def text_key() -> Column:

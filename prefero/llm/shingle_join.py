@@ -84,27 +84,34 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(CELLS - 1)
     return (shingles & mask).view(np.int64), ((shingles >> np.uint64(32)) & mask).view(np.int64)
 
 
-def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros((2, CELLS), np.int64)
-    for rows in batches:
-        for block in blocks("" if t is None else t for t in rows["text"]):
-            found = np.concatenate([runs(words_of(t)) for t in block])
-            for row, cell in zip(total, _cells(found), strict=True):
-                row += np.bincount(cell, minlength=CELLS)
-    parts = total.reshape(-1, TOGETHER)
-    used = np.flatnonzero(parts.any(axis=1))
-    if len(used):
-        yield pd.DataFrame({"part": used, "counts": list(parts[used])})
+def _runs_of(text: str) -> np.ndarray:
+    return runs(words_of(text))
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Two rows of CELLS counters of shingles over all texts, on a scale of 16 bits."""
-    counted = docs.select("text").mapInPandas(_count_task, "part int, counts array<long>")
+def _count_task(of: Callable[[str], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, CELLS), np.int64)
+        for rows in batches:
+            for block in blocks("" if t is None else t for t in rows["text"]):
+                found = np.concatenate([of(t) for t in block])
+                for row, cell in zip(total, cells(found), strict=True):
+                    row += np.bincount(cell, minlength=CELLS)
+        parts = total.reshape(-1, TOGETHER)
+        used = np.flatnonzero(parts.any(axis=1))
+        if len(used):
+            yield pd.DataFrame({"part": used, "counts": list(parts[used])})
+
+    return run
+
+
+def frequencies(docs: DataFrame, of: Callable[[str], np.ndarray] = _runs_of) -> np.ndarray:
+    """Two rows of CELLS counters of shingles (what ``of`` finds in a text) over all texts, on a scale of 16 bits."""
+    counted = docs.select("text").mapInPandas(_count_task(of), "part int, counts array<long>")
     summed = counted.groupBy("part").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(TOGETHER)]).alias("counts"))
     rows = summed.toPandas()  # a fixed number: 2 * CELLS / TOGETHER
     total = np.zeros((2 * CELLS // TOGETHER, TOGETHER))
@@ -130,7 +137,7 @@ def needed(a: int, b: int) -> int:
 def entries(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The blocks of index lists that a set (sorted hashes) enters, and at which position."""
     n = len(shingles)
-    one, other = _cells(shingles)
+    one, other = cells(shingles)
     ordered = shingles[np.argsort(np.minimum(table[0, one], table[1, other]), kind="stable")]
     own = int(np.searchsorted(class_starts(), n, side="right")) - 1
     larger = int(class_starts()[own + 1])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, token_counts, url_filters
+from prefero.llm import decontaminate, interpolated_lm, language_id, mixing, order_minhash, permutation_index, quality, secrets_scan, shingle_join, token_counts, url_filters
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, mix string, mix_copy string, key string, hits string, words string, comp string, s string, place string, found string, _quality string, _leak string, _leak_key string, _redacted string, _dedup_row string, _place string, _found string, id string, band string"
 LONG = "the quick brown fox jumps over lazy dogs again " * 3000
@@ -277,6 +277,62 @@ def test_near_duplicates_by_scattered_edits(spark):
         assert len(of) >= 100 and np.mean(of) >= least, s
 
 
+def test_near_duplicates_lose_no_link(spark):
+    """Links without a five-word run in common, and links in a crowd between texts that are no centres: classes equal brute force."""
+    rng = np.random.default_rng(5)
+    word = lambda n: ["w" + str(x) for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for n in (43, 60, 100, 301):
+        a = word(n)
+        b, c = a.copy(), a.copy()
+        b[4 : 5 * (n // 5) : 5] = word(n // 5)  # every fifth word is another
+        for i in range(4, n + n // 5 - 1, 5):  # words put in
+            c.insert(i, word(1)[0])
+        texts += [a, b, c]
+    shared = word(70)
+    for k in range(120):  # a passage is common; every fourth text has a link that differs in every fifth word
+        own = shared + word(22)
+        texts.append(own)
+        if k % 4 == 0:
+            other = own.copy()
+            other[k % 5 :: 5] = word(len(other[k % 5 :: 5]))
+            texts.append(other[:92])
+    numbers = [order_minhash.WordNumbers().of(" ".join(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and order_minhash.similarity(numbers[i], numbers[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.with_classes(df).collect()}
+    assert got == {i: least[r] for i, r in enumerate(root)} and len(set(got.values())) < len(texts)
+
+
+def test_beginnings_of_links_meet():
+    """Whatever the order of runs, a text and what edits make of it share a number if they are a link."""
+    rng = np.random.default_rng(1)
+    table = rng.integers(0, 60, (2, shingle_join.CELLS)).astype(np.uint16)
+    links = 0
+    for _ in range(1_500):
+        pool = rng.integers(0, 1 << 63, rng.choice([3, 30, 5000])).astype(np.uint64)
+        a = pool[rng.integers(0, len(pool), rng.integers(1, 90))]
+        b, kind = a.tolist(), rng.integers(0, 4)
+        for _ in range(rng.integers(0, len(a) // 4 + 2)):
+            i, k = int(rng.integers(0, len(b) + 1)), kind if kind < 3 else rng.integers(0, 3)
+            b[i : i + (k > 0)] = [int(rng.choice(pool))] if k < 2 else []
+        b = np.array(b, np.uint64)
+        if order_minhash.similarity(a, b):
+            links += 1
+            assert np.intersect1d(order_minhash.beginning(a, table), order_minhash.beginning(b, table)).size
+            one, other = order_minhash.word_parities(a), order_minhash.word_parities(b)
+            size = min(len(one), len(other))
+            assert np.bitwise_count(shingle_join.folded(one, size) ^ shingle_join.folded(other, size)).sum() <= 2 * int(max(len(a), len(b)) / 5 + 1e-9)
+    assert links > 500
+
+
 def test_near_duplicates_of_a_crowd(spark, monkeypatch):
     """Texts that share a passage but are no links: pairs compared grow with the texts, and links among them are found."""
     compared = {}
