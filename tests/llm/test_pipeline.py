@@ -130,3 +130,11 @@ def test_mixing(stages):
         draw = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 16**13
         want[i] = int(rate) + (draw < rate - int(rate))
     assert after.groupby("doc_id").size().to_dict() == {i: n for i, n in want.items() if n}
+
+
+def test_near_copies_without_a_common_sketch_go(spark):
+    """Texts that differ in every fifth word have no run of five words in common, and are near duplicates all the same."""
+    a = [f"w{i}" for i in range(100)]
+    b = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(a)]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "another text")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3]
