@@ -34,10 +34,12 @@ What sketches and centres leave out is found by an exact search, so classes are
    Two texts that are links share a run of both beginnings: else the beginning that ends first
    would be without a run in the other text, so edits would have touched all of it.
    Runs that only one class holds are dropped.  Texts of other classes that share a run, in blocks of ``BLOCK``
-   texts, are compared if their lengths and the parities of their words allow a link.
+   texts, are compared if their lengths, the run's places and the parities of their words allow a link;
+5. texts of which a run is held by more than ``CROWD`` rows meet by words instead: links have all but a fifth of the longer
+   text's words in common, so they share one of the ``rare_words`` of both, a fifth of each text's and one more.
 
-Pairs of step 4 grow with the square of the texts of different classes that share
-their rarest runs, as far as the bounds leave them; no task holds more than two blocks.
+Pairs of step 4 grow with the texts, ``CROWD`` a run at most.  Those of step 5 grow with the square of the texts of
+crowds that share their rarest words, as far as the bounds leave them; no task holds more than two blocks.
 
 Texts that are null or hold no word are in a class with equal texts only; a null
 text equals the empty one.  Whole texts of any length are compared.  Rows without an id are classed by
@@ -60,7 +62,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import discard, scratch, small_batches, staged, unused
+from prefero.llm.common import discard, scratch, small_batches, small_side, staged, unused
 from prefero.llm.linking import components, merged, renamed
 from prefero.llm.shingle_join import cells, folded, frequencies
 
@@ -69,27 +71,48 @@ LETTERS = bytes(c if c > 0x7F else ord(chr(c).lower()) if chr(c).isalnum() else
 K, ORDER, SKETCHES, SIMILARITY = 5, 2, 120, 0.8
 #: Words up to which one edit is allowed; words up to which texts meet in every run of RUN words.
 ONE_EDIT, SHORT, RUN = 9, 42, 3
-#: Texts of a run that meet in one block.
-BLOCK = 256
+#: Texts of a run that meet in one block; rows of a run beyond which its texts meet by their rare words instead.
+BLOCK, CROWD = 256, 256
 #: Numbers hashed at once, and words of texts that a task remembers.
 AT_ONCE, REMEMBERED = 1 << 18, 1_000_000
+#: Words up to which texts are aligned by bits.
+IN_BITS = 4096
 #: Odd multipliers of the hash functions, two for each, drawn from a fixed seed.
 MULTIPLIERS = np.random.default_rng(77).integers(1, 1 << 31, (2, SKETCHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text whose words are numbered at once, and of the longest word numbered by eights; what is kept of eight bytes.
+PIECE, LONG = 1 << 17, 1 << 10
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class WordNumbers(dict):
-    """Word to a 64-bit number; starts anew when it holds many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        number = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return number
+class WordNumbers:
+    """The 64-bit numbers of words: of eight bytes after eight; of words beyond LONG bytes a digest."""
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").translate(LETTERS).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        data = (text or "").encode("utf-8", "replace").translate(LETTERS)
+        out, start = [np.zeros(0, np.uint64)], 0
+        while start < len(data):  # pieces that end between words
+            end = data.rfind(b" ", start, start + PIECE) if start + PIECE < len(data) else len(data)
+            end = end if end > start else data.find(b" ", start + PIECE)
+            end = end if end >= 0 else len(data)
+            out.append(self._piece(data[start:end]))
+            start = end + 1
+        return np.concatenate(out)
+
+    def _piece(self, data: bytes) -> np.ndarray:
+        inside = np.frombuffer(b" " + data + b" ", np.uint8) != 0x20
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, size = edges[::2], edges[1::2] - edges[::2]
+        eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the bytes from each place on
+        x = _mixed((eight[first] & KEPT[np.minimum(size, 8)]) + size.view(np.uint64))
+        long, at, k = np.flatnonzero(size > LONG), np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(at):
+            x[at] = _mixed(x[at] + (eight[first[at] + k] & KEPT[np.minimum(size[at] - k, 8)]))
+            k += 8
+            at = at[size[at] > k]
+        for i in long.tolist():
+            x[i] = int.from_bytes(hashlib.blake2b(data[first[i] : first[i] + size[i]], digest_size=8).digest(), "little")
+        return x
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -106,10 +129,10 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     x = np.zeros(n, np.uint64)
     for j in range(k):
         x = _mixed(x + words[j : j + n])
-    order = np.argsort(x, kind="stable")
-    ordered = x[order]
+    ordered = np.sort(x)
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     if not first.all():
+        order = np.argsort(x, kind="stable")
         starts = np.flatnonzero(first)
         label = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
         x[order] = np.where(label > 0, _mixed(ordered + label.astype(np.uint64) * MIX), ordered)
@@ -190,6 +213,10 @@ def _word_runs_of(text: str) -> np.ndarray:
     return word_runs(_numbers().of(text))
 
 
+def _labelled_words_of(text: str) -> np.ndarray:
+    return labelled_kmers(_numbers().of(text), 1)
+
+
 def edits_to_touch(places: np.ndarray) -> int:
     """The least cost of edits that touch the runs at all of ``places`` (rising).
 
@@ -200,29 +227,56 @@ def edits_to_touch(places: np.ndarray) -> int:
     most, less = (np.searchsorted(places, places + k).tolist() for k in (RUN, RUN - 1))
     cost = [0] * (len(places) + 1)
     for i in range(len(places) - 1, -1, -1):
-        cost[i] = min(5 + cost[most[i]], 4 + cost[less[i]])
+        one, other = 5 + cost[most[i]], 4 + cost[less[i]]
+        cost[i] = one if one < other else other
     return cost[0]
 
 
-def beginning(words: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Numbers, one at least of which a text shares with each of its links: the rarest runs of a text, or of short ones the buckets of one edit."""
-    n, keys = len(words), [np.zeros(0, np.uint64)]
+def by_rarity(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Numbers anew, whose order is the one for all texts: how often the number occurs in 16 bits, then the number's upper bits."""
+    one, other = cells(x)
+    return np.minimum(table[0, one], table[1, other]).astype(np.uint64) << np.uint64(48) | x >> np.uint64(16)
+
+
+def _placed(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``beginning`` and the place of each in the text; -1 of those at several places or none."""
+    n, keys = len(words), np.zeros(0, np.uint64)
     if n <= ONE_EDIT:
-        keys.append(np.concatenate([_one_edit(words), _whole(words)]))
-    x = word_runs(words)
+        keys = np.concatenate([_one_edit(words), _whole(words)])
+    places = np.full(len(keys), -1)
+    x = by_rarity(word_runs(words), table)
     if len(x):
-        one, other = cells(x)
-        order = np.lexsort((x, np.minimum(table[0, one], table[1, other])))
+        order = np.argsort(x)
         ordered, m = x[order], min(len(x), 2 * n // 5 + 1)
-        while m < len(x) and (ordered[m] == ordered[m - 1] or edits_to_touch(np.sort(order[:m])) <= n):
-            m += 1 if ordered[m] == ordered[m - 1] else min(len(x) - m, max(1, n // 24))
-        keys.append(ordered[:m])
-    return np.unique(np.concatenate(keys)).view(np.int64)
+        while m < len(x):
+            if ordered[m] == ordered[m - 1]:
+                m += 1
+            elif (cost := edits_to_touch(np.sort(order[:m]))) <= n:
+                m += min(len(x) - m, max(1, n // 32, (n - cost) // 2))
+            else:
+                break
+        once = np.ones(m, bool)
+        once[1:] &= (same := ordered[1:m] != ordered[: m - 1])
+        once[:-1] &= same
+        keys, places = np.concatenate([keys, ordered[:m]]), np.concatenate([places, np.where(once, order[:m], -1)])
+        keep = np.concatenate([np.ones(len(keys) - m, bool), [True], same])
+        keys, places = keys[keep], places[keep]
+    return keys.view(np.int64), places
+
+
+def beginning(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Numbers, one at least of which a text shares with each of its links: the rarest runs of a text, or of short ones the buckets of one edit."""
+    return np.unique(_placed(words, table)[0])
+
+
+def rare_words(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Labelled words, rarest first, of which a text shares one with each of its links: those have all but a fifth of the longer text's words in common."""
+    return np.sort(by_rarity(labelled_kmers(words, 1), table))[: int(len(words) * (1 - SIMILARITY) + 1e-9) + 1].view(np.int64)
 
 
 def word_parities(words: np.ndarray) -> bytes:
-    """The parity of the number of words in each bit; at least four bits a word, a power of two of them."""
-    m = max(64, 1 << int(4 * len(words) - 1).bit_length())
+    """The parity of the number of words in each bit; at least two bits a word, a power of two of them."""
+    m = max(64, 1 << int(2 * len(words) - 1).bit_length())
     at = ((words >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
     return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
 
@@ -241,6 +295,46 @@ def _run_alike(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Words to insert, delete or replace to make b of a; None beyond ``most``.
 
+    What is alike at both ends costs nothing.  What is left of up to IN_BITS words is aligned with a column of
+    the table of distances as the bits of two integers (Myers), longer by diagonals.
+    """
+    start = _run_alike(a, b, 0, 0)
+    a, b = a[start:], b[start:]
+    end = _run_alike(a[::-1], b[::-1], 0, 0)
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if abs(len(a) - len(b)) > most:
+        return None
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    return _by_bits(a.tolist(), b.tolist(), most) if len(a) <= IN_BITS else _by_diagonals(a, b, most)
+
+
+def _by_bits(a: list[int], b: list[int], most: int) -> int | None:
+    """``edit_distance``; the distances of a column rise by one at the bits of ``up`` and fall at those of ``down``."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    whole, top, d = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down, left = whole, 0, len(b)
+    for w in b:
+        alike = at.get(w, 0)
+        same = (((alike & up) + up) ^ up) | alike | down
+        right_up, right_down = down | whole & ~(same | up), same & up
+        left -= 1
+        if right_up & top:
+            d += 1
+        elif right_down & top:
+            d -= 1
+        if d - left > most:  # the words to come take one off each
+            return None
+        right_up = right_up << 1 | 1
+        up, down = (right_down << 1 | ~(same | right_up)) & whole, right_up & same & whole
+    return d
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """``edit_distance`` of long texts.
+
     Follows only the diagonals within ``most`` of the main one: of each, the
     furthest place that every number of edits reaches.
     """
@@ -310,15 +404,26 @@ def _signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": np.array(n, np.int32), "bands": pd.Series(bands, dtype="object"), "short": pd.Series(short, dtype="object"), "own": pd.array(own, "Int64"), "bits": pd.Series(bits, dtype="object")})
 
 
-def _beginnings(table: np.ndarray) -> Callable:
-    """The beginning of each text, by the order that ``table`` makes."""
+def _rows_of(of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows run, id, n, place of each text, by the numbers and places that ``of`` finds in its words."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            held, size = [], 0
+            for i, (key, text) in enumerate(zip(rows["id"], rows["text"], strict=True), 1):
+                words = _numbers().of(text)
+                held.append((key, len(words), *of(words)))
+                size += len(held[-1][2])
+                if size > AT_ONCE or i == len(rows):
+                    ids, ns, runs, places = zip(*held, strict=True)
+                    times = [len(x) for x in runs]
+                    yield pd.DataFrame({"run": np.concatenate(runs), "id": np.repeat(np.array(ids, np.int64), times), "n": np.repeat(np.array(ns, np.int32), times), "place": np.concatenate(places).astype(np.int32)})
+                    held, size = [], 0
+
+    return task
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([beginning(_numbers().of(t), table) for t in texts], dtype="object")
 
-    return of
+ROWS = "run long, id long, n int, place int"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -352,7 +457,7 @@ def _close(a: str, b: str) -> Column:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of text numbers whose alignment is close enough, with their similarity."""
     one, other = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
-    found = pairs.join(other, "b").join(one, "a").select("a", "b", _aligned("one", "other").alias("similarity"))
+    found = small_side(pairs).join(other, "b").join(one, "a").select("a", "b", _aligned("one", "other").alias("similarity"))
     return staged(found.where(F.col("similarity") >= SIMILARITY), "links")
 
 
@@ -367,33 +472,55 @@ def buckets(signed: DataFrame) -> DataFrame:
     plain = F.transform(F.concat("bands", "short"), lambda x: F.struct(x.alias("band"), F.lit(False).alias("own")))
     by_kind = F.when(F.col("own").isNotNull(), F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("own")))).otherwise(F.array())
     rows = signed.select("id", "n", F.explode(F.concat(plain, by_kind)).alias("e")).select("e.band", "id", "n", "e.own")
-    # written before it is joined, so a bucket of very many texts is a skewed join that Spark splits
-    sizes = staged(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
-    return staged(rows.join(sizes, "band"), "buckets")
+    # the one shuffle of all rows, of a few numbers each; written, so a bucket of very many texts is a skewed join that Spark splits
+    return staged(rows.withColumn("size", F.count("*").over(W.partitionBy("band"))).where("size > 1"), "buckets")
 
 
 def _texts(keyed: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
     """id, text of the text numbers ``ids``."""
-    return staged(keyed.join(signed.select("id", "key").join(ids, "id"), "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    wanted = small_side(staged(signed.select("id", "key").join(ids, "id"), "wanted"))
+    return staged(keyed.join(wanted, "key").groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
 
 
-def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b), a the greater, of texts of different classes and like lengths that share a run of their beginnings."""
-    rows = keyed.select(F.xxhash64("key").alias("id"), F.explode(_beginnings(frequencies(keyed, _word_runs_of))("text")).alias("run"))
-    # the one shuffle of all runs; most are of one text alone, and go
+def _shared(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (run, id, n, place) of runs that several classes hold, with comp and how many rows hold the run."""
+    # the one shuffle of all rows; most are of one text alone, and go
     of = W.partitionBy("run")
-    rows = rows.select("run", "id", F.min("id").over(of).alias("one"), F.max("id").over(of).alias("other")).where("one != other").select("run", "id")
-    rows = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = rows.select("run", "id", "comp", F.min("comp").over(of).alias("one"), F.max("comp").over(of).alias("other")).where("one != other")
-    rows = staged(rows.select("run", "id", "comp").distinct().join(signed.select("id", "n"), "id"), "runs")
-    several = staged(rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "run-sizes")
+    rows = rows.select("*", F.min("id").over(of).alias("one"), F.max("id").over(of).alias("other"), F.count("*").over(of).alias("held")).where("one != other").drop("one", "other")
+    rows = rows.join(small_side(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.select("*", F.min("comp").over(of).alias("one"), F.max("comp").over(of).alias("other")).where("one != other")
+    return rows.select("run", "id", "n", "place", "comp", "held").distinct()  # copies of a text
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b), a the greater, of texts of different classes that share a run, where lengths and places allow a link."""
+    several = staged(rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1"), "run-sizes")
     # each block of a run's texts meets each, so a run of very many texts is the work of many tasks
-    dealt = rows.join(several, "run").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.join(small_side(several), "run", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
-    dealt = staged(dealt.select("run", "id", "n", "comp", "block", F.explode(meets).alias("m")).select("run", "m.left", "m.right", "id", "n", "comp", "block"), "run-blocks")
-    one, other = (dealt.where(F.col("block") == F.col(side)).select("run", "left", "right", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "comp")]) for side in ("left", "right"))
-    met = one.join(other, ["run", "left", "right"]).where("comp_left != comp_right AND (left < right OR id_left < id_right)").where(_close("n_left", "n_right"))
-    return met.select(F.greatest("id_left", "id_right").alias("a"), F.least("id_left", "id_right").alias("b")).distinct()
+    dealt = dealt.select("run", "id", "n", "place", "comp", "block", F.explode(meets).alias("m")).select("run", "m.left", "m.right", "id", "n", "place", "comp", "block")
+    one, other = (dealt.where(F.col("block") == F.col(side)).select("run", "left", "right", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", "comp")]) for side in ("left", "right"))
+    # of a run that no edit touches, edits before it and after it make up for its places
+    moved = F.abs(F.expr("place_left - place_right")) + F.abs(F.expr("(n_left - place_left) - (n_right - place_right)"))
+    placed = (F.least("place_left", "place_right") < 0) | (moved <= F.floor(F.greatest("n_left", "n_right") * (1 - SIMILARITY) + 1e-9))
+    met = one.join(other, ["run", "left", "right"]).where("comp_left != comp_right AND (left < right OR id_left < id_right)").where(_close("n_left", "n_right") & placed)
+    return met.select(F.greatest("id_left", "id_right").alias("a"), F.least("id_left", "id_right").alias("b"))
+
+
+def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b), a the greater, of texts of different classes and like lengths that share a run of their beginnings, and if many share it, a rare word."""
+    table = frequencies(keyed, _word_runs_of)
+    rows = keyed.select(F.xxhash64("key").alias("id"), "text").mapInPandas(_rows_of(lambda words: _placed(words, table)), ROWS)
+    runs = staged(_shared(rows, comps), "runs")
+    pairs = _meeting(runs.where(F.col("held") <= CROWD))
+    crowd = staged(runs.where(F.col("held") > CROWD).select("id").distinct(), "crowd")
+    if crowd.limit(1).count():
+        # two texts of a crowd meet by a word that is rare among those of crowds
+        texts = _texts(keyed, signed, crowd)
+        among = frequencies(texts, _labelled_words_of)
+        rows = texts.mapInPandas(_rows_of(lambda words: (found := rare_words(words, among), np.full(len(found), -1))), ROWS)
+        pairs = pairs.union(_meeting(staged(_shared(rows, comps), "runs")))
+    return pairs.distinct()
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -360,6 +360,25 @@ def test_near_duplicates_of_a_crowd(spark, monkeypatch):
     assert compared[400] <= 4.5 * compared[100]
 
 
+def test_near_duplicates_of_a_crowd_meet_by_rare_words(spark):
+    """Texts that share most of their words are not paired each with each, and links that differ in every fifth word still meet."""
+    rng = np.random.default_rng(6)
+    word = lambda n: ["w" + str(x) for x in rng.integers(0, 10**9, n)]
+    shared, texts, linked = word(60), [], []
+    for k in range(400):
+        texts.append(shared + word(25))
+        if k % 40 == 0:
+            other = texts[-1].copy()
+            other[4::5] = word(17)
+            linked.append((" ".join(texts[-1]), " ".join(other)))
+            texts.append(other)
+    keyed = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").select(order_minhash.text_key().alias("key"), "text")
+    signed = keyed.select(F.xxhash64("key").alias("id"), "key", F.lit(85).alias("n"))
+    number = {r["text"]: r["id"] for r in keyed.select("text", F.xxhash64("key").alias("id")).collect()}
+    pairs = {(r["a"], r["b"]) for r in order_minhash._sharing(keyed, signed, spark.createDataFrame([], "id long, comp long")).collect()}
+    assert {tuple(sorted((number[a], number[b]), reverse=True)) for a, b in linked} <= pairs and len(pairs) <= len(texts)
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     """One id on several different texts loses none of them; near copies without id are one class."""
     text = lambda s: " ".join(f"{s}{i}" for i in range(30))
