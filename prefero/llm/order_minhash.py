@@ -33,13 +33,15 @@ What sketches and centres leave out is found by an exact search, so classes are
    for all texts); its ``beginning`` is so many of them that no edits of a link touch them all.
    Two texts that are links share a run of both beginnings: else the beginning that ends first
    would be without a run in the other text, so edits would have touched all of it.
-   Runs that only one class holds are dropped.  Texts of other classes that share a run, in blocks of ``BLOCK``
-   texts, are compared if their lengths, the run's places and the parities of their words allow a link;
+   Runs that only one class holds are dropped.  Texts of other classes that share a run are
+   compared if their lengths, the run's places and the parities of their words allow a link;
 5. texts of which a run is held by more than ``CROWD`` rows meet by words instead: links have all but a fifth of the longer
    text's words in common, so they share one of the ``rare_words`` of both, a fifth of each text's and one more.
+   Blocks of ``BLOCK`` texts of a word meet inside a task, which hands on only pairs that lengths and parities leave, each once.
 
-Pairs of step 4 grow with the texts, ``CROWD`` a run at most.  Those of step 5 grow with the square of the texts of
-crowds that share their rarest words, as far as the bounds leave them; no task holds more than two blocks.
+Texts are fetched only of pairs that parities leave open, in every step.  Pairs of step 4 grow with the texts, ``CROWD`` a run at
+most.  In step 5, work inside the tasks grows with the square of the texts of crowds that share a rare word, and pairs handed on
+with those that have all but about a fifth of their words in common and yet are of different classes; no task holds more than two blocks.
 
 Texts that are null or hold no word are in a class with equal texts only; a null
 text equals the empty one.  Whole texts of any length are compared.  Rows without an id are classed by
@@ -62,8 +64,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import discard, scratch, small_batches, small_side, staged, unused
-from prefero.llm.linking import components, merged, renamed
+from prefero.llm.common import discard, scratch, small_batches, small_side, spread, staged, unused
+from prefero.llm.linking import components, merged, renamed, whole_groups
 from prefero.llm.shingle_join import cells, folded, frequencies
 
 #: Bytes of words, A-Z in lower case; all other ASCII is a space.
@@ -72,7 +74,9 @@ K, ORDER, SKETCHES, SIMILARITY = 5, 2, 120, 0.8
 #: Words up to which one edit is allowed; words up to which texts meet in every run of RUN words.
 ONE_EDIT, SHORT, RUN = 9, 42, 3
 #: Texts of a run that meet in one block; rows of a run beyond which its texts meet by their rare words instead.
-BLOCK, CROWD = 256, 256
+BLOCK, CROWD = 256, 64
+#: Rows of blocks that a task brings together at once.
+AT_MEETING = 512
 #: Numbers hashed at once, and words of texts that a task remembers.
 AT_ONCE, REMEMBERED = 1 << 18, 1_000_000
 #: Words up to which texts are aligned by bits.
@@ -274,10 +278,10 @@ def rare_words(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.sort(by_rarity(labelled_kmers(words, 1), table))[: int(len(words) * (1 - SIMILARITY) + 1e-9) + 1].view(np.int64)
 
 
-def word_parities(words: np.ndarray) -> bytes:
-    """The parity of the number of words in each bit; at least two bits a word, a power of two of them."""
-    m = max(64, 1 << int(2 * len(words) - 1).bit_length())
-    at = ((words >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
+def word_parities(words: np.ndarray, bits: int = 2) -> bytes:
+    """The parity of the number of labelled words (so repeats do not cancel out) in each bit; at least so many bits a word, a power of two of them."""
+    m = max(64, 1 << int(bits * len(words) - 1).bit_length())
+    at = ((labelled_kmers(words, 1) >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
     return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
@@ -442,11 +446,38 @@ def _aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out, dtype="float64")
 
 
+def _open(na: np.ndarray, nb: np.ndarray, one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Whether the parities leave it open that two texts are a link: an edit changes two labelled words at most, one if it changes the length."""
+    least = [int(np.bitwise_count(folded(x, m := min(len(x), len(y))) ^ folded(y, m)).sum()) for x, y in zip(one, other, strict=True)]
+    return np.array(least, np.int64) <= 2 * (np.maximum(na, nb) * (1 - SIMILARITY) + 1e-9).astype(np.int64) - np.abs(na - nb)
+
+
 @F.pandas_udf(T.BooleanType())
 def _may_link(na: pd.Series, nb: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
-    """Whether the parities leave it open that two texts are a link: an edit changes two words at most."""
-    least = [int(np.bitwise_count(folded(x, m := min(len(x), len(y))) ^ folded(y, m)).sum()) for x, y in zip(one, other, strict=True)]
-    return np.array(least, np.int64) <= 2 * (np.maximum(na, nb) * (1 - SIMILARITY) + 1e-9).astype("int64")
+    return pd.Series(_open(na.to_numpy(), nb.to_numpy(), one.tolist(), other.tolist()))
+
+
+@F.pandas_udf(T.BinaryType())
+def _parities(texts: pd.Series) -> pd.Series:
+    """More bits than a signature holds, for the few texts of crowds."""
+    return pd.Series([word_parities(_numbers().of(t), 4) for t in texts], dtype="object")
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs (a, b), a the greater, of two blocks of a word's texts that classes, lengths and parities leave open, each at the first word that both texts share."""
+    for rows in whole_groups(batches, ["run", "left", "right"], AT_MEETING):
+        run, ids, n, comp, block = (rows[c].to_numpy() for c in ("run", "id", "n", "comp", "block"))
+        ends = np.flatnonzero(np.append((rows[["run", "left", "right"]].to_numpy()[1:] != rows[["run", "left", "right"]].to_numpy()[:-1]).any(axis=1), True)) + 1
+        within, bits, found = (rows["left"] == rows["right"]).to_numpy(), rows["bits"].tolist(), []
+        before = [frozenset(w[w < r].tolist()) for w, r in zip(rows["words"], run.tolist(), strict=True)]
+        for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            one, other = (x + start for x in np.triu_indices(end - start, 1))
+            keep = (comp[one] != comp[other]) & (np.minimum(n[one], n[other]) >= SIMILARITY * np.maximum(n[one], n[other])) & (within[start] | (block[one] != block[other]))
+            found += [(i, j) for i, j in zip(one[keep].tolist(), other[keep].tolist(), strict=True) if before[i].isdisjoint(before[j])]
+        one, other = np.array(found, np.int64).reshape(-1, 2).T
+        near = _open(n[one], n[other], [bits[i] for i in one.tolist()], [bits[j] for j in other.tolist()])
+        one, other = ids[one[near]], ids[other[near]]
+        yield pd.DataFrame({"a": np.maximum(one, other), "b": np.minimum(one, other)})
 
 
 def _close(a: str, b: str) -> Column:
@@ -461,6 +492,14 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(found.where(F.col("similarity") >= SIMILARITY), "links")
 
 
+def _bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...; staged) that lengths and parities leave open, so texts are fetched of these only."""
+    found = small_side(pairs)
+    for end in "ba":
+        found = found.join(signed.select(F.col("id").alias(end), F.col("n").alias(f"_n{end}"), F.col("bits").alias(f"_bits_{end}")), end)
+    return found.where(_may_link("_na", "_nb", "_bits_a", "_bits_b")).select(*pairs.columns)
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose classes differ."""
     of = pairs.join(renamed(comps, "a", "x"), "a", "left").join(renamed(comps, "b", "y"), "b", "left")
@@ -482,6 +521,13 @@ def _texts(keyed: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
     return staged(keyed.join(wanted, "key").groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
 
 
+def _links_of(pairs: DataFrame, keyed: DataFrame, signed: DataFrame) -> DataFrame:
+    """The links among the pairs (a, b; staged), with their similarity."""
+    # few bytes, but heavy by the row
+    left = staged(spread(_bounded(pairs, signed), "a", "b"), "pairs")
+    return _links(left, _texts(keyed, signed, left.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+
+
 def _shared(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows (run, id, n, place) of runs that several classes hold, with comp and how many rows hold the run."""
     # the one shuffle of all rows; most are of one text alone, and go
@@ -494,17 +540,26 @@ def _shared(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _meeting(rows: DataFrame) -> DataFrame:
     """The pairs (a, b), a the greater, of texts of different classes that share a run, where lengths and places allow a link."""
-    several = staged(rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1"), "run-sizes")
-    # each block of a run's texts meets each, so a run of very many texts is the work of many tasks
-    dealt = rows.join(small_side(several), "run", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
-    dealt = dealt.select("run", "id", "n", "place", "comp", "block", F.explode(meets).alias("m")).select("run", "m.left", "m.right", "id", "n", "place", "comp", "block")
-    one, other = (dealt.where(F.col("block") == F.col(side)).select("run", "left", "right", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", "comp")]) for side in ("left", "right"))
+    rows = spread(rows.select("run", "id", "n", "place", "comp"), "run")  # one shuffle for both sides
+    one, other = (rows.select("run", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", "comp")]) for side in ("left", "right"))
     # of a run that no edit touches, edits before it and after it make up for its places
     moved = F.abs(F.expr("place_left - place_right")) + F.abs(F.expr("(n_left - place_left) - (n_right - place_right)"))
     placed = (F.least("place_left", "place_right") < 0) | (moved <= F.floor(F.greatest("n_left", "n_right") * (1 - SIMILARITY) + 1e-9))
-    met = one.join(other, ["run", "left", "right"]).where("comp_left != comp_right AND (left < right OR id_left < id_right)").where(_close("n_left", "n_right") & placed)
-    return met.select(F.greatest("id_left", "id_right").alias("a"), F.least("id_left", "id_right").alias("b"))
+    met = one.join(other, "run").where("comp_left != comp_right AND id_left > id_right").where(_close("n_left", "n_right") & placed)
+    return met.select(F.col("id_left").alias("a"), F.col("id_right").alias("b")).distinct()
+
+
+def _meeting_in_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b), a the greater, of texts of different classes that share a word, where lengths and parities allow a link."""
+    several = staged(rows.groupBy("run").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1"), "run-sizes")
+    # each block of a word's texts meets each, so a word of very many texts is the work of many tasks
+    dealt = rows.join(small_side(several), "run", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
+    # a pair is handed on at the first of its words only; texts of more words than these hand on some pairs again
+    words = F.slice(F.sort_array(F.collect_list("run")), 1, BLOCK).alias("words")
+    of = staged(rows.groupBy("id").agg(words).join(texts.select("id", _parities("text").alias("bits")), "id"), "crowd-words")
+    dealt = dealt.select("run", "id", "n", "comp", "block", F.explode(meets).alias("m")).select("run", "m.left", "m.right", "id", "n", "comp", "block").join(small_side(of), "id")
+    return spread(dealt, "run", "left", "right").sortWithinPartitions("run", "left", "right").mapInPandas(_met, "a long, b long")
 
 
 def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
@@ -519,7 +574,7 @@ def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame
         texts = _texts(keyed, signed, crowd)
         among = frequencies(texts, _labelled_words_of)
         rows = texts.mapInPandas(_rows_of(lambda words: (found := rare_words(words, among), np.full(len(found), -1))), ROWS)
-        pairs = pairs.union(_meeting(staged(_shared(rows, comps), "runs")))
+        pairs = pairs.union(_meeting_in_blocks(staged(_shared(rows, comps), "runs"), texts))
     return pairs.distinct()
 
 
@@ -533,12 +588,13 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = staged(signed.where("s.n > 0").select(F.xxhash64("key").alias("id"), "key", "s.*"), "signatures")
     shared = buckets(signed)
     company = staged(shared.groupBy("id").agg(F.sum("size").alias("company"), F.first("n").alias("n")), "company")
-    texts = _texts(keyed, signed, company.select("id"))
 
     top = F.max(F.struct("own", "company", "id", "n"))
     centres = staged(shared.join(company.select("id", "company"), "id").groupBy("band").agg(top.alias("c")).select("band", F.col("c.id").alias("a"), F.col("c.n").alias("centre_n")), "centres")
     members = shared.join(centres, "band").where((F.col("id") != F.col("a")) & _close("n", "centre_n"))
-    stars = staged(members.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("times")), "stars")
+    near = staged(members.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("times")), "near")
+    stars = staged(_bounded(near, signed), "stars")
+    texts = _texts(keyed, signed, stars.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     best = staged(stars.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")).select("a", "b"), "pairs")
     found = _links(best, texts)
     comps = components(found)
@@ -556,16 +612,14 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last = classed.join(second, "band").where((F.col("comp") != F.col("o.comp")) & _close("n", "o.n"))
     last = last.select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).distinct()
     done = tested.unionByName(others).unionByName(others.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = _links(staged(last.join(done, ["a", "b"], "left_anti"), "pairs"), texts)
+    last = staged(last.join(done, ["a", "b"], "left_anti"), "pairs")
+    rest = _links_of(last, keyed, signed)
     comps, links = merged(comps, rest), found.union(more).union(rest)
 
-    for read in (shared, centres, stars, classed, second):
+    for read in (shared, near, centres, stars, classed, second, texts):
         discard(read)
     left = staged(_sharing(keyed, signed, comps).join(done, ["a", "b"], "left_anti"), "pairs")
-    for end in "ab":
-        left = left.join(signed.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    left = staged(left.where(_may_link("na", "nb", "bits_a", "bits_b")).select("a", "b"), "pairs")
-    missed = _links(left, _texts(keyed, signed, left.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    missed = _links_of(left, keyed, signed)
     return signed.select("id", "key", "n"), links.union(missed), merged(comps, missed)
 
 

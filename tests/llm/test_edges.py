@@ -379,6 +379,43 @@ def test_near_duplicates_of_a_crowd_meet_by_rare_words(spark):
     assert {tuple(sorted((number[a], number[b]), reverse=True)) for a, b in linked} <= pairs and len(pairs) <= len(texts)
 
 
+def test_near_duplicates_of_a_crowd_with_rare_words_in_common(spark):
+    """Texts that share a passage and some rare words each with each, but are no links, make no pairs; links among them do, each once."""
+    rng = np.random.default_rng(8)
+    word = lambda n: ["w" + str(x) for x in rng.integers(0, 10**9, n)]
+    shared, pool, texts, linked = word(60), word(400), [], []
+    for k in range(300):
+        texts.append(shared + [pool[i] for i in rng.choice(400, 30, replace=False)])
+        if k % 50 == 0:
+            other = texts[-1].copy()
+            other[4::10] = word(9)
+            linked.append((" ".join(texts[-1]), " ".join(other)))
+            texts.append(other)
+    keyed = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").select(order_minhash.text_key().alias("key"), "text")
+    signed = keyed.select(F.xxhash64("key").alias("id"), "key", F.lit(90).alias("n"))
+    number = {r["text"]: r["id"] for r in keyed.select("text", F.xxhash64("key").alias("id")).collect()}
+    found = [(r["a"], r["b"]) for r in order_minhash._sharing(keyed, signed, spark.createDataFrame([], "id long, comp long")).collect()]
+    assert {tuple(sorted((number[a], number[b]), reverse=True)) for a, b in linked} <= set(found) and len(set(found)) == len(found) <= len(texts)
+
+
+def test_near_duplicates_bounds_leave_links_open():
+    """Parities never rule out a link, and rule out texts whose repeats of a line differ in number."""
+    rng = np.random.default_rng(9)
+    bits = lambda a, b, k: order_minhash._open(np.array([len(a)]), np.array([len(b)]), [order_minhash.word_parities(a, k)], [order_minhash.word_parities(b, k)])[0]
+    for n in (1, 5, 20, 100, 511, 513):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 63, 8 if rng.random() < 0.3 else 4096, dtype=np.uint64)[rng.integers(0, 8, n)]
+            b = a.tolist()
+            for _ in range(n // 5):
+                i, kind = int(rng.integers(0, max(1, len(b)))), rng.integers(0, 3)
+                b[i : i + (kind != 0)] = [] if kind == 1 and len(b) > 1 else [int(rng.integers(0, 1 << 63))]
+            b = np.array(b, np.uint64)
+            if order_minhash.similarity(a, b):
+                assert bits(a, b, 2) and bits(a, b, 4)
+    line, own = rng.integers(0, 1 << 63, 10, dtype=np.uint64), rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    assert not bits(np.concatenate([own, np.tile(line, 20)]), np.concatenate([own, np.tile(line, 8), np.tile(own[:8], 15)]), 2)
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     """One id on several different texts loses none of them; near copies without id are one class."""
     text = lambda s: " ".join(f"{s}{i}" for i in range(30))
