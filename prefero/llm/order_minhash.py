@@ -64,7 +64,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import discard, scratch, small_batches, small_side, spread, staged, unused
+from prefero.llm.common import BROADCAST_BYTES, discard, measured_bytes, scratch, small_batches, small_side, spread, staged, unused
 from prefero.llm.linking import components, merged, renamed, whole_groups
 from prefero.llm.shingle_join import cells, folded, frequencies
 
@@ -488,7 +488,11 @@ def _close(a: str, b: str) -> Column:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of text numbers whose alignment is close enough, with their similarity."""
     one, other = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
-    found = small_side(pairs).join(other, "b").join(one, "a").select("a", "b", _aligned("one", "other").alias("similarity"))
+    if measured_bytes(texts) <= BROADCAST_BYTES:  # so the pairs' tasks share the work, not those of a few texts
+        one, other = F.broadcast(one), F.broadcast(other)
+    else:
+        pairs = small_side(pairs)
+    found = pairs.join(other, "b").join(one, "a").select("a", "b", _aligned("one", "other").alias("similarity"))
     return staged(found.where(F.col("similarity") >= SIMILARITY), "links")
 
 
