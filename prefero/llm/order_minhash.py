@@ -55,10 +55,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,15 +79,17 @@ ONE_EDIT, SHORT, RUN = 9, 42, 3
 BLOCK, CROWD = 256, 64
 #: Rows of blocks that a task brings together at once.
 AT_MEETING = 512
-#: Numbers hashed at once, and words of texts that a task remembers.
-AT_ONCE, REMEMBERED = 1 << 18, 1_000_000
+#: Numbers hashed at once, so few that a core's cache holds them; rows of texts handed on at once, and words of texts that a task remembers.
+HASHED, AT_ONCE, REMEMBERED = 1 << 16, 1 << 18, 1_000_000
 #: Words up to which texts are aligned by bits.
 IN_BITS = 4096
 #: Odd multipliers of the hash functions, two for each, drawn from a fixed seed.
 MULTIPLIERS = np.random.default_rng(77).integers(1, 1 << 31, (2, SKETCHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, LEAST_OUT = np.uint64(0x9E3779B97F4A7C15), np.uint32(0xFFFFFFFF)
 #: Bytes of a text whose words are numbered at once, and of the longest word numbered by eights; what is kept of eight bytes.
 PIECE, LONG = 1 << 17, 1 << 10
+#: Bytes of texts whose words are numbered together.
+TOGETHER = 1 << 16
 KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -93,17 +97,43 @@ class WordNumbers:
     """The 64-bit numbers of words: of eight bytes after eight; of words beyond LONG bytes a digest."""
 
     def of(self, text: str | None) -> np.ndarray:
-        data = (text or "").encode("utf-8", "replace").translate(LETTERS)
+        return self._of(_letters(text))
+
+    def together(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of the words of several texts after one another, and where each text's begin, with the end of the last.
+
+        Texts come in lots of about TOGETHER bytes, so that a short text does not pay for each array by itself.
+        """
+        held, size = [], 0
+        for data in map(_letters, texts):
+            if held and size + len(data) > TOGETHER:
+                yield self._lot(held)
+                held, size = [], 0
+            held.append(data)
+            size += len(data) + 1
+        if held:
+            yield self._lot(held)
+
+    def _lot(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(held) == 1:
+            words = self._of(held[0])
+            return words, np.array([0, len(words)])
+        first, words = self._piece(b" ".join(held))
+        sizes = np.array([len(data) + 1 for data in held])
+        return words, np.append(0, np.searchsorted(first, np.cumsum(sizes)))
+
+    def _of(self, data: bytes) -> np.ndarray:
         out, start = [np.zeros(0, np.uint64)], 0
         while start < len(data):  # pieces that end between words
             end = data.rfind(b" ", start, start + PIECE) if start + PIECE < len(data) else len(data)
             end = end if end > start else data.find(b" ", start + PIECE)
             end = end if end >= 0 else len(data)
-            out.append(self._piece(data[start:end]))
+            out.append(self._piece(data[start:end])[1])
             start = end + 1
         return np.concatenate(out)
 
-    def _piece(self, data: bytes) -> np.ndarray:
+    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and their numbers."""
         inside = np.frombuffer(b" " + data + b" ", np.uint8) != 0x20
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         first, size = edges[::2], edges[1::2] - edges[::2]
@@ -116,42 +146,75 @@ class WordNumbers:
             at = at[size[at] > k]
         for i in long.tolist():
             x[i] = int.from_bytes(hashlib.blake2b(data[first[i] : first[i] + size[i]], digest_size=8).digest(), "little")
-        return x
+        return first, x
+
+
+def _letters(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").translate(LETTERS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX
-    return x ^ (x >> np.uint64(29))
+    y = x >> np.uint64(31)
+    y ^= x
+    y *= MIX
+    y ^= y >> np.uint64(29)
+    return y
+
+
+def runs_of(words: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k words from each place on."""
+    x = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        x = _mixed(x + words[j : j + len(x)])
+    return x
 
 
 def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     """Numbers of the k-mers with their occurrence; a text of fewer words is one k-mer."""
     if not len(words):
         return words
-    k = min(k, len(words))
-    n = len(words) - k + 1
-    x = np.zeros(n, np.uint64)
-    for j in range(k):
-        x = _mixed(x + words[j : j + n])
+    return _labelled(runs_of(words, min(k, len(words))))
+
+
+def _labelled(x: np.ndarray) -> np.ndarray:
+    """Numbers with their occurrence."""
     ordered = np.sort(x)
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    if not first.all():
-        order = np.argsort(x, kind="stable")
-        starts = np.flatnonzero(first)
-        label = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        x[order] = np.where(label > 0, _mixed(ordered + label.astype(np.uint64) * MIX), ordered)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return x
+    order = np.argsort(x, kind="stable")
+    out = np.empty_like(x)
+    out[order] = _labelled_in_order(ordered)
+    return out
+
+
+def _labelled_in_order(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers with their occurrence."""
+    at = np.flatnonzero(x[1:] == x[:-1]) + 1
+    if len(at):
+        k = np.arange(len(at))
+        second = np.append(True, at[1:] != at[:-1] + 1)
+        label = k - np.maximum.accumulate(np.where(second, k, 0)) + 1
+        x[at] = _mixed(x[at] + label.astype(np.uint64) * MIX)
     return x
 
 
+def labelled_words(words: np.ndarray) -> np.ndarray:
+    """``labelled_kmers`` of one word, in any order."""
+    return _labelled_in_order(np.sort(_mixed(words)))
+
+
 def sketches(words: np.ndarray) -> np.ndarray:
     """One number for each hash function: the kept k-mers in the order of the text."""
-    kmers = labelled_kmers(words)
+    return sketches_of(labelled_kmers(words))
+
+
+def sketches_of(kmers: np.ndarray) -> np.ndarray:
     if not len(kmers):
         return np.zeros(0, np.int64)
     kept = min(ORDER, len(kmers))
     short = (kmers >> np.uint64(32)).astype(np.uint32)
     out = np.arange(SKETCHES, dtype=np.uint64)
-    step = max(1, AT_ONCE // len(kmers))
+    step = max(1, HASHED // len(kmers))
     for a in range(0, SKETCHES, step):
         hashed = short * MULTIPLIERS[0, a : a + step]
         hashed ^= hashed >> np.uint32(15)
@@ -159,7 +222,7 @@ def sketches(words: np.ndarray) -> np.ndarray:
         at = np.empty((len(hashed), kept), np.int64)
         for j in range(kept):  # the least, then the least of the rest
             at[:, j] = hashed.argmin(axis=1)
-            hashed[np.arange(len(hashed)), at[:, j]] = np.iinfo(np.uint32).max
+            hashed[np.arange(len(hashed)), at[:, j]] = LEAST_OUT
         at.sort(axis=1)
         for j in range(kept):
             out[a : a + step] = _mixed(out[a : a + step] + kmers[at[:, j]])
@@ -207,18 +270,22 @@ def _numbers() -> WordNumbers:
 
 def word_runs(words: np.ndarray) -> np.ndarray:
     """A number for the RUN words from each place on."""
-    x = np.zeros(max(0, len(words) - RUN + 1), np.uint64)
-    for j in range(RUN):
-        x = _mixed(x + words[j : j + len(x)])
-    return x
+    return runs_of(words, RUN)
 
 
-def _word_runs_of(text: str) -> np.ndarray:
-    return word_runs(_numbers().of(text))
+def _word_runs_of(texts: list[str]) -> np.ndarray:
+    found = []
+    for words, starts in _numbers().together(texts):
+        x = word_runs(words)
+        inside = np.ones(len(words), bool)
+        for j in range(1, RUN):  # the last places of a text, from which a run would go on into the next
+            inside[np.maximum(starts[1:] - j, 0)[starts[1:] > 0]] = False
+        found.append(x[inside[: len(x)]])
+    return np.concatenate(found)
 
 
-def _labelled_words_of(text: str) -> np.ndarray:
-    return labelled_kmers(_numbers().of(text), 1)
+def _labelled_words_of(texts: list[str]) -> np.ndarray:
+    return np.concatenate([labelled_words(_numbers().of(t)) for t in texts])
 
 
 def edits_to_touch(places: np.ndarray) -> int:
@@ -228,12 +295,17 @@ def edits_to_touch(places: np.ndarray) -> int:
     one less and costs 4, since it makes the longer text longer.  Of a link, edits cost at most the text's words: with
     d edits, 5 d is at most the longer text's words, which are the text's own and at most the words put in.
     """
-    most, less = (np.searchsorted(places, places + k).tolist() for k in (RUN, RUN - 1))
-    cost = [0] * (len(places) + 1)
-    for i in range(len(places) - 1, -1, -1):
-        one, other = 5 + cost[most[i]], 4 + cost[less[i]]
-        cost[i] = one if one < other else other
-    return cost[0]
+    one = two = three = 0  # the costs from the next place on, from that after it and from the third
+    after = RUN
+    for gap in [*np.diff(places).tolist(), RUN][::-1] if len(places) else ():
+        if gap == 1:
+            cost = 4 + two if after > 1 or two <= three + 1 else 5 + three
+        elif gap == 2:
+            cost = 4 + one if one <= two + 1 else 5 + two
+        else:
+            cost = 4 + one
+        one, two, three, after = cost, one, two, gap
+    return one
 
 
 def by_rarity(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -242,13 +314,12 @@ def by_rarity(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.minimum(table[0, one], table[1, other]).astype(np.uint64) << np.uint64(48) | x >> np.uint64(16)
 
 
-def _placed(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of ``beginning`` and the place of each in the text; -1 of those at several places or none."""
+def _placed(words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``beginning``, of runs ``x`` by rarity, and the place of each in the text; -1 of those at several places or none."""
     n, keys = len(words), np.zeros(0, np.uint64)
     if n <= ONE_EDIT:
         keys = np.concatenate([_one_edit(words), _whole(words)])
     places = np.full(len(keys), -1)
-    x = by_rarity(word_runs(words), table)
     if len(x):
         order = np.argsort(x)
         ordered, m = x[order], min(len(x), 2 * n // 5 + 1)
@@ -259,29 +330,50 @@ def _placed(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 m += min(len(x) - m, max(1, n // 32, (n - cost) // 2))
             else:
                 break
-        once = np.ones(m, bool)
-        once[1:] &= (same := ordered[1:m] != ordered[: m - 1])
-        once[:-1] &= same
-        keys, places = np.concatenate([keys, ordered[:m]]), np.concatenate([places, np.where(once, order[:m], -1)])
-        keep = np.concatenate([np.ones(len(keys) - m, bool), [True], same])
-        keys, places = keys[keep], places[keep]
+        found, at, other = ordered[:m], order[:m], ordered[1:m] != ordered[: m - 1]
+        if not other.all():
+            once = np.append(True, other) & np.append(other, True)
+            found, at = found[keep := np.append(True, other)], np.where(once, at, -1)[keep]
+        keys, places = np.concatenate([keys, found]), np.concatenate([places, at])
     return keys.view(np.int64), places
 
 
 def beginning(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Numbers, one at least of which a text shares with each of its links: the rarest runs of a text, or of short ones the buckets of one edit."""
-    return np.unique(_placed(words, table)[0])
+    return np.unique(_placed(words, by_rarity(word_runs(words), table))[0])
+
+
+def _all_placed(table: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """``_placed`` of each text of a lot."""
+
+    def of(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = by_rarity(word_runs(words), table)
+        for start, end in itertools.pairwise(starts.tolist()):
+            yield _placed(words[start:end], x[start : max(start, end - RUN + 1)])
+
+    return of
 
 
 def rare_words(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Labelled words, rarest first, of which a text shares one with each of its links: those have all but a fifth of the longer text's words in common."""
-    return np.sort(by_rarity(labelled_kmers(words, 1), table))[: int(len(words) * (1 - SIMILARITY) + 1e-9) + 1].view(np.int64)
+    return np.sort(by_rarity(labelled_words(words), table))[: int(len(words) * (1 - SIMILARITY) + 1e-9) + 1].view(np.int64)
+
+
+def _all_rare(table: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """``rare_words`` of each text of a lot, without places."""
+
+    def of(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start, end in itertools.pairwise(starts.tolist()):
+            found = rare_words(words[start:end], table)
+            yield found, np.full(len(found), -1)
+
+    return of
 
 
 def word_parities(words: np.ndarray, bits: int = 2) -> bytes:
     """The parity of the number of labelled words (so repeats do not cancel out) in each bit; at least so many bits a word, a power of two of them."""
     m = max(64, 1 << int(bits * len(words) - 1).bit_length())
-    at = ((labelled_kmers(words, 1) >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
+    at = ((labelled_words(words) >> np.uint64(20)) & np.uint64(m - 1)).view(np.int64)
     return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
@@ -322,8 +414,8 @@ def _by_bits(a: list[int], b: list[int], most: int) -> int | None:
     up, down, left = whole, 0, len(b)
     for w in b:
         alike = at.get(w, 0)
-        same = (((alike & up) + up) ^ up) | alike | down
-        right_up, right_down = down | whole & ~(same | up), same & up
+        same = (((alike & up) + up ^ up | alike) & whole | down) if alike else down
+        right_up, right_down = down | (same | up) ^ whole, same & up
         left -= 1
         if right_up & top:
             d += 1
@@ -331,8 +423,8 @@ def _by_bits(a: list[int], b: list[int], most: int) -> int | None:
             d -= 1
         if d - left > most:  # the words to come take one off each
             return None
-        right_up = right_up << 1 | 1
-        up, down = (right_down << 1 | ~(same | right_up)) & whole, right_up & same & whole
+        right_up = right_up << 1 & whole | 1
+        up, down = right_down << 1 & whole | (same | right_up) ^ whole, right_up & same
     return d
 
 
@@ -368,8 +460,11 @@ def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 def _in_common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two multisets of numbers."""
-    found, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    return int(np.minimum(np.bincount(at[: len(a)], minlength=len(found)), np.bincount(at[len(a) :], minlength=len(found))).sum())
+    # of a number in both, its times in the one come first, so each of those finds its like in the other as long as that has some
+    a, b = np.sort(a), np.sort(b)
+    times = np.arange(len(a)) - np.searchsorted(a, a)
+    at = np.searchsorted(b, a) + times
+    return int((b[at[at < len(b)]] == a[at < len(b)]).sum())
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -380,12 +475,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
         return 0.0
     words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
+    replaced = int((x != y).sum()) if len(x) == len(y) else longer + 1
     # an edit takes at most n runs of n words from either text
     for n in (1, 2, 3):
         if longer >= n:
             run = lambda z: sum(z[j : len(z) - n + 1 + j] * len(words) ** (n - 1 - j) for j in range(n)) if n > 1 else z  # noqa: B023, E731
-            if longer - n + 1 - _in_common(run(x), run(y)) > n * most:
+            if (lost := longer - n + 1 - _in_common(run(x), run(y))) > n * most:
                 return 0.0
+            if replaced * n <= lost:  # no fewer edits than the words replaced in place
+                return 1 - replaced / longer
     d = edit_distance(x, y, most)
     return 0.0 if d is None else 1 - d / longer
 
@@ -394,35 +492,44 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 SIGNATURE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("own", T.LongType()), T.StructField("bits", T.BinaryType())])
 
 
-@F.pandas_udf(SIGNATURE)
-def _signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(SIGNATURE)
+def _signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Words, sketches (none if every link of the text is a short text), the further buckets of short texts, and the words' parities."""
-    numbers = _numbers()
+    numbers, none = _numbers(), np.zeros(0, np.uint64)
 
-    def signed(text: str | None) -> tuple:
-        words = numbers.of(text)  # of one text at a time, so a batch's words are never held together
-        return len(words), sketches(words if len(words) >= int((SHORT + 1) * SIMILARITY) else words[:0]), short_keys(words), own_key(words), word_parities(words)
+    def signed(texts: list[str | None]) -> Iterator[tuple]:
+        for words, starts in numbers.together(texts):  # of few texts at a time, so a batch's words are never held together
+            kmers = runs_of(words, K)
+            for start, end in itertools.pairwise(starts.tolist()):
+                own = words[start:end]
+                bands = sketches_of(_labelled(kmers[start : end - K + 1]) if end - start >= int((SHORT + 1) * SIMILARITY) else none)
+                yield end - start, bands, short_keys(own), own_key(own), word_parities(own)
+
+    def lists(of: tuple[np.ndarray, ...]) -> pa.Array:
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, of)], dtype=np.int32), np.concatenate(of))
 
     for texts in batches:
-        n, bands, short, own, bits = zip(*map(signed, texts), strict=True) if len(texts) else ((),) * 5
-        yield pd.DataFrame({"n": np.array(n, np.int32), "bands": pd.Series(bands, dtype="object"), "short": pd.Series(short, dtype="object"), "own": pd.array(own, "Int64"), "bits": pd.Series(bits, dtype="object")})
+        n, bands, short, own, bits = zip(*signed(texts.to_pylist()), strict=True) if len(texts) else ((), (none.view(np.int64),), (none.view(np.int64),), (), ())
+        columns = [pa.array(n, pa.int32()), lists(bands)[: len(n)], lists(short)[: len(n)], pa.array(own, pa.int64()), pa.array(bits, pa.binary())]
+        yield pa.StructArray.from_arrays(columns, SIGNATURE.names)
 
 
-def _rows_of(of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows run, id, n, place of each text, by the numbers and places that ``of`` finds in its words."""
+def _rows_of(of: Callable[[np.ndarray, np.ndarray], Iterable[tuple[np.ndarray, np.ndarray]]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows run, id, n, place of each text, by the numbers and places that ``of`` finds in the words of each of a lot."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            held, size = [], 0
-            for i, (key, text) in enumerate(zip(rows["id"], rows["text"], strict=True), 1):
-                words = _numbers().of(text)
-                held.append((key, len(words), *of(words)))
-                size += len(held[-1][2])
-                if size > AT_ONCE or i == len(rows):
-                    ids, ns, runs, places = zip(*held, strict=True)
+            ids, ns, runs, places, done = rows["id"].to_numpy(), [], [], [], 0
+            for words, starts in _numbers().together(rows["text"]):
+                ns.append(np.diff(starts))
+                for run, place in of(words, starts):
+                    runs.append(run)
+                    places.append(place)
+                if sum(map(len, runs)) > AT_ONCE or done + len(runs) == len(rows):
                     times = [len(x) for x in runs]
-                    yield pd.DataFrame({"run": np.concatenate(runs), "id": np.repeat(np.array(ids, np.int64), times), "n": np.repeat(np.array(ns, np.int32), times), "place": np.concatenate(places).astype(np.int32)})
-                    held, size = [], 0
+                    yield pd.DataFrame({"run": np.concatenate(runs), "id": np.repeat(ids[done : done + len(runs)], times), "n": np.repeat(np.concatenate(ns).astype(np.int32), times), "place": np.concatenate(places).astype(np.int32)})
+                    done += len(runs)
+                    ns, runs, places = [], [], []
 
     return task
 
@@ -542,15 +649,23 @@ def _shared(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.select("run", "id", "n", "place", "comp", "held").distinct()  # copies of a text
 
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b), a the greater, of texts of different classes that share a run, where lengths and places allow a link."""
-    rows = spread(rows.select("run", "id", "n", "place", "comp"), "run")  # one shuffle for both sides
-    one, other = (rows.select("run", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "place", "comp")]) for side in ("left", "right"))
+def _members(rows: DataFrame) -> DataFrame:
+    """run, alone, members of ``_shared`` rows, one row for each run (``alone`` is null); of runs of a crowd one for each text, ``alone``.
+
+    Rows are together by run already, so this shuffles nothing; no list holds more than CROWD rows.
+    """
+    alone = F.when(F.col("held") > CROWD, F.col("id")).alias("alone")
+    return rows.groupBy("run", alone).agg(F.collect_list(F.struct("id", "n", "place", "comp")).alias("members"))
+
+
+def _meeting(runs: DataFrame) -> DataFrame:
+    """The pairs (a, b), a the greater, of texts of different classes among a run's members, where lengths and places allow a link."""
+    met = runs.select("members", F.explode("members").alias("x")).select("x", F.explode("members").alias("y"))
+    met = met.where("x.id > y.id AND x.comp != y.comp").select(*[F.col(f"{e}.{c}").alias(f"{c}_{side}") for e, side in (("x", "left"), ("y", "right")) for c in ("id", "n", "place")])
     # of a run that no edit touches, edits before it and after it make up for its places
     moved = F.abs(F.expr("place_left - place_right")) + F.abs(F.expr("(n_left - place_left) - (n_right - place_right)"))
     placed = (F.least("place_left", "place_right") < 0) | (moved <= F.floor(F.greatest("n_left", "n_right") * (1 - SIMILARITY) + 1e-9))
-    met = one.join(other, "run").where("comp_left != comp_right AND id_left > id_right").where(_close("n_left", "n_right") & placed)
-    return met.select(F.col("id_left").alias("a"), F.col("id_right").alias("b")).distinct()
+    return met.where(_close("n_left", "n_right") & placed).select(F.col("id_left").alias("a"), F.col("id_right").alias("b")).distinct()
 
 
 def _meeting_in_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -569,15 +684,15 @@ def _meeting_in_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs (a, b), a the greater, of texts of different classes and like lengths that share a run of their beginnings, and if many share it, a rare word."""
     table = frequencies(keyed, _word_runs_of)
-    rows = keyed.select(F.xxhash64("key").alias("id"), "text").mapInPandas(_rows_of(lambda words: _placed(words, table)), ROWS)
-    runs = staged(_shared(rows, comps), "runs")
-    pairs = _meeting(runs.where(F.col("held") <= CROWD))
-    crowd = staged(runs.where(F.col("held") > CROWD).select("id").distinct(), "crowd")
+    rows = keyed.select(F.xxhash64("key").alias("id"), "text").mapInPandas(_rows_of(_all_placed(table)), ROWS)
+    runs = staged(_members(_shared(rows, comps)), "runs")
+    pairs = _meeting(runs.where("alone IS NULL"))
+    crowd = staged(runs.where("alone IS NOT NULL").select(F.col("alone").alias("id")).distinct(), "crowd")
     if crowd.limit(1).count():
         # two texts of a crowd meet by a word that is rare among those of crowds
         texts = _texts(keyed, signed, crowd)
         among = frequencies(texts, _labelled_words_of)
-        rows = texts.mapInPandas(_rows_of(lambda words: (found := rare_words(words, among), np.full(len(found), -1))), ROWS)
+        rows = texts.mapInPandas(_rows_of(_all_rare(among)), ROWS)
         pairs = pairs.union(_meeting_in_blocks(staged(_shared(rows, comps), "runs"), texts))
     return pairs.distinct()
 

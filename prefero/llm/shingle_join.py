@@ -89,16 +89,16 @@ def cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (shingles & mask).view(np.int64), ((shingles >> np.uint64(32)) & mask).view(np.int64)
 
 
-def _runs_of(text: str) -> np.ndarray:
-    return runs(words_of(text))
+def _runs_of(texts: list[str]) -> np.ndarray:
+    return np.concatenate([runs(words_of(t)) for t in texts])
 
 
-def _count_task(of: Callable[[str], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _count_task(of: Callable[[list[str]], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, CELLS), np.int64)
         for rows in batches:
             for block in blocks("" if t is None else t for t in rows["text"]):
-                found = np.concatenate([of(t) for t in block])
+                found = of(block)
                 for row, cell in zip(total, cells(found), strict=True):
                     row += np.bincount(cell, minlength=CELLS)
         parts = total.reshape(-1, TOGETHER)
@@ -109,8 +109,8 @@ def _count_task(of: Callable[[str], np.ndarray]) -> Callable[[Iterator[pd.DataFr
     return run
 
 
-def frequencies(docs: DataFrame, of: Callable[[str], np.ndarray] = _runs_of) -> np.ndarray:
-    """Two rows of CELLS counters of shingles (what ``of`` finds in a text) over all texts, on a scale of 16 bits."""
+def frequencies(docs: DataFrame, of: Callable[[list[str]], np.ndarray] = _runs_of) -> np.ndarray:
+    """Two rows of CELLS counters of shingles (what ``of`` finds in texts) over all texts, on a scale of 16 bits."""
     counted = docs.select("text").mapInPandas(_count_task(of), "part int, counts array<long>")
     summed = counted.groupBy("part").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(TOGETHER)]).alias("counts"))
     rows = summed.toPandas()  # a fixed number: 2 * CELLS / TOGETHER

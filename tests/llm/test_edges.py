@@ -416,6 +416,37 @@ def test_near_duplicates_bounds_leave_links_open():
     assert not bits(np.concatenate([own, np.tile(line, 20)]), np.concatenate([own, np.tile(line, 8), np.tile(own[:8], 15)]), 2)
 
 
+def test_near_duplicates_words_of_texts_together():
+    """Words and runs of texts numbered together are those of each text by itself."""
+    texts = ["", "one", None, "Two words", "three of them", "ünï, cödé! a-b", "x" * 5_000 + " y z w", " , ", "the end of it all"] * 30
+    lots = list(order_minhash.WordNumbers().together(texts))
+    got = [words[a:b].tolist() for words, starts in lots for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    alone = [order_minhash.WordNumbers().of(t) for t in texts]
+    assert got == [x.tolist() for x in alone] and 1 < len(lots) < len(texts)
+    assert order_minhash._word_runs_of(texts).tolist() == np.concatenate([order_minhash.word_runs(x) for x in alone]).tolist()
+
+
+def test_edits_to_touch():
+    """The least cost, by trying all edits from each place on."""
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        places = np.flatnonzero(rng.random(rng.integers(0, 40)) < rng.random())
+        cost = [0] * (len(places) + 1)
+        for i in range(len(places) - 1, -1, -1):
+            cost[i] = min(5 + cost[np.searchsorted(places, places[i] + 3)], 4 + cost[np.searchsorted(places, places[i] + 2)])
+        assert order_minhash.edits_to_touch(places) == cost[0]
+
+
+def test_near_duplicates_runs_are_shuffled_once(spark):
+    """The rows of the exact search cross the network once, by run; their members meet where they are."""
+    rows = spark.createDataFrame([(r, i, 10, 3) for r in range(20) for i in range(r + 2)], "run long, id long, n int, place int")
+    none = order_minhash.staged(spark.createDataFrame([], "id long, comp long"), "none")
+    runs = order_minhash._members(order_minhash._shared(rows, none))
+    plan = runs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in order_minhash._meeting(runs.where("alone IS NULL")).collect()} == {(a, b) for a in range(21) for b in range(a)}
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     """One id on several different texts loses none of them; near copies without id are one class."""
     text = lambda s: " ".join(f"{s}{i}" for i in range(30))
