@@ -30,7 +30,7 @@ So these pairs are at most texts times buckets of a text, at any size of any gro
 What sketches and centres leave out is found by an exact search, so classes are those of all links:
 
 4. a text's runs of three words are ordered by how often they occur, rarest first (an order
-   for all texts); its ``beginning`` is so many of them that no edits of a link touch them all.
+   for all texts, by levels of exact counts, scattered within a level); its ``beginning`` is so many of them that no edits of a link touch them all.
    Two texts that are links share a run of both beginnings: else the beginning that ends first
    would be without a run in the other text, so edits would have touched all of it.
    Runs that only one class holds are dropped.  Texts of other classes that share a run are
@@ -66,7 +66,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefero.llm.common import BROADCAST_BYTES, discard, measured_bytes, scratch, small_batches, small_side, spread, staged, unused
+from prefero.llm.common import BROADCAST_BYTES, discard, measured_bytes, scratch, short_shuffles, small_batches, small_side, spread, staged, unused
 from prefero.llm.linking import components, merged, renamed, whole_groups
 from prefero.llm.shingle_join import cells, folded, frequencies
 
@@ -79,6 +79,10 @@ ONE_EDIT, SHORT, RUN = 9, 42, 3
 BLOCK, CROWD = 256, 64
 #: Rows of blocks that a task brings together at once.
 AT_MEETING = 512
+#: Times of a run in all texts beyond which it is of the next level; cells of runs that share a level, and segments of cells that are counted together.
+LEVELS, LEVEL_BITS, SEGMENT_BITS = tuple(4 << k for k in range(15)), 24, 12
+#: Packed rows of a task that cross the network as one lot, lots of runs dealt to one task, and rows that a task unpacks before it hands on those of crowds.
+PACKED, LOTS, UNPACKED = 1 << 19, 8, 1 << 22
 #: Numbers hashed at once, so few that a core's cache holds them; rows of texts handed on at once, and words of texts that a task remembers.
 HASHED, AT_ONCE, REMEMBERED = 1 << 16, 1 << 18, 1_000_000
 #: Words up to which texts are aligned by bits.
@@ -314,6 +318,58 @@ def by_rarity(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.minimum(table[0, one], table[1, other]).astype(np.uint64) << np.uint64(48) | x >> np.uint64(16)
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of unsigned numbers, byte by byte of all, so that those that are nearly always alike compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def _counted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows segment, runs, times of a batch's runs (their upper 48 bits): each once, sorted, as the steps between them."""
+    for rows in batches:
+        x, times = np.unique(_word_runs_of(rows["text"]) >> np.uint64(16), return_counts=True)
+        at = np.flatnonzero(np.diff(x >> np.uint64(48 - SEGMENT_BITS), prepend=np.uint64(1 << 63)))
+        runs = [_planes(np.diff(part, prepend=np.uint64(0)), 6) for part in np.split(x, at[1:])] if len(at) else []
+        times = [_planes(part, 4) for part in np.split(times, at[1:])] if len(at) else []
+        yield pd.DataFrame({"segment": (x[at] >> np.uint64(48 - SEGMENT_BITS)).astype(np.int32), "runs": pd.Series(runs, dtype="object"), "times": pd.Series(times, dtype="object")})
+
+
+def _levels_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The levels of a segment's cells, of the most frequent run of each."""
+    for rows in whole_groups(batches, ["segment"], 1):
+        for segment, own in rows.groupby("segment", sort=False):
+            x, times = (np.concatenate(parts) for parts in ([np.cumsum(_from_planes(r, 6), dtype=np.uint64) for r in own["runs"]], [_from_planes(t, 4) for t in own["times"]]))
+            order = np.argsort(x)
+            x, times = x[order], times[order]
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            level = np.searchsorted(LEVELS, np.add.reduceat(times, first).astype(np.int64)).astype(np.uint8)
+            cell = (x[first] >> np.uint64(48 - LEVEL_BITS)).astype(np.int64) & (1 << LEVEL_BITS - SEGMENT_BITS) - 1
+            cells_ = np.zeros(1 << LEVEL_BITS - SEGMENT_BITS, np.uint8)
+            np.maximum.at(cells_, cell[level > 0], level[level > 0])
+            yield pd.DataFrame({"segment": [segment], "levels": [(cells_[::2] | cells_[1::2] << np.uint8(4)).tobytes()]})
+
+
+def run_levels(docs: DataFrame) -> np.ndarray:
+    """Four bits for each cell of runs: the level of how often the cell's most frequent run occurs in all texts, counted whole; a table of one size for any input."""
+    counted = spread(docs.select("text").mapInPandas(_counted_runs, "segment int, runs binary, times binary"), "segment").sortWithinPartitions("segment")
+    out = np.zeros((1 << SEGMENT_BITS, 1 << LEVEL_BITS - SEGMENT_BITS - 1), np.uint8)
+    for segment, levels in counted.mapInPandas(_levels_of, "segment int, levels binary").collect():
+        out[segment] = np.frombuffer(levels, np.uint8)
+    return out.reshape(-1)
+
+
+def by_level(x: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Numbers anew, whose order is the one for all texts: the level of the number's cell in four bits, then the number's upper bits."""
+    cell = (x >> np.uint64(64 - LEVEL_BITS)).view(np.int64)
+    level = levels[cell >> 1] >> (cell & 1).astype(np.uint8) * np.uint8(4) & np.uint8(15)
+    return level.astype(np.uint64) << np.uint64(60) | _mixed(x) >> np.uint64(4)
+
+
 def _placed(words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of ``beginning``, of runs ``x`` by rarity, and the place of each in the text; -1 of those at several places or none."""
     n, keys = len(words), np.zeros(0, np.uint64)
@@ -343,11 +399,11 @@ def beginning(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.unique(_placed(words, by_rarity(word_runs(words), table))[0])
 
 
-def _all_placed(table: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+def _all_placed(levels: np.ndarray) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
     """``_placed`` of each text of a lot."""
 
     def of(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x = by_rarity(word_runs(words), table)
+        x = by_level(word_runs(words), levels)
         for start, end in itertools.pairwise(starts.tolist()):
             yield _placed(words[start:end], x[start : max(start, end - RUN + 1)])
 
@@ -535,6 +591,85 @@ def _rows_of(of: Callable[[np.ndarray, np.ndarray], Iterable[tuple[np.ndarray, n
 
 
 ROWS = "run long, id long, n int, place int"
+#: Bytes of a packed row's run (its upper ones: runs that agree in these meet, and are told apart by their texts), id, length and place.
+WIDTHS, DROPPED = {"run": 6, "id": 8, "n": 4, "place": 4}, np.uint64(16)
+
+
+def _packed(of: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], lots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The rows of ``of`` dealt to lots by run, many of a task's as one row: as plain rows each pays for its fixed width, the more the more tasks they are dealt to."""
+
+    def pack(held: list[pd.DataFrame]) -> pd.DataFrame:
+        columns = {c: np.concatenate([rows[c].to_numpy() for rows in held]) for c in WIDTHS}
+        columns["run"] = columns["run"].view(np.uint64) >> DROPPED
+        lot = (_mixed(columns["run"]) % np.uint64(lots)).astype(np.uint16)
+        order = np.argsort(lot, kind="stable")
+        at = np.flatnonzero(np.diff(lot[order].astype(np.int32), prepend=-1))
+        parts = [np.split(x[order].view(f"u{x.itemsize}"), at[1:]) for x in columns.values()]
+        data = [b"".join(_planes(x, width) for x, width in zip(own, WIDTHS.values(), strict=True)) for own in zip(*parts, strict=True)]
+        return pd.DataFrame({"lot": lot[order][at].astype(np.int32), "data": pd.Series(data, dtype="object")})
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for rows in of(batches):
+            held.append(rows)
+            n += len(rows)
+            if n >= PACKED:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return task
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    ends = np.cumsum([0, *WIDTHS.values()]) * (len(data) // sum(WIDTHS.values()))
+    run, ids, n, place = (_from_planes(data[a:b], width) for (a, b), width in zip(itertools.pairwise(ends.tolist()), WIDTHS.values(), strict=True))
+    return [(run << DROPPED).view(np.int64), ids.view(np.int64), n.astype(np.int32), place.astype(np.uint32).view(np.int32)]
+
+
+def _of_several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of packed rows, sorted by lot, those of runs that several texts hold."""
+    crowds: set[int] = set()
+    held: list[list[np.ndarray]] = []
+    lot, n = None, 0
+
+    def several(last: bool) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+        """The rows that go, and if more of the lot are to come, those that stay."""
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(columns[0])
+        columns = [x[order] for x in columns]
+        run, ids = columns[:2]
+        start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        size = np.diff(np.append(start, len(run)))
+        go = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+        if not last:
+            go &= size > CROWD
+            crowds.update(run[start[go]].tolist())
+        if crowds:
+            go |= np.fromiter((r in crowds for r in run[start].tolist()), bool, len(start))
+        go = np.repeat(go, size)
+        return [x[go] for x in columns], [] if last else [[x[~go] for x in columns]]
+
+    def framed(columns: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        for a in range(0, len(columns[0]), AT_ONCE):
+            yield pd.DataFrame({c: x[a : a + AT_ONCE] for c, x in zip(WIDTHS, columns, strict=True)})
+
+    for rows in batches:
+        for own, data in zip(rows["lot"].tolist(), rows["data"], strict=True):
+            if own != lot and held:
+                yield from framed(several(last=True)[0])
+                held, n = [], 0
+                crowds.clear()
+            lot = own
+            held.append(_unpacked(data))
+            n += len(held[-1][0])
+            if n > UNPACKED:
+                found, held = several(last=False)
+                n = len(held[0][0])
+                yield from framed(found)
+    if held:
+        yield from framed(several(last=True)[0])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -641,7 +776,6 @@ def _links_of(pairs: DataFrame, keyed: DataFrame, signed: DataFrame) -> DataFram
 
 def _shared(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows (run, id, n, place) of runs that several classes hold, with comp and how many rows hold the run."""
-    # the one shuffle of all rows; most are of one text alone, and go
     of = W.partitionBy("run")
     rows = rows.select("*", F.min("id").over(of).alias("one"), F.max("id").over(of).alias("other"), F.count("*").over(of).alias("held")).where("one != other").drop("one", "other")
     rows = rows.join(small_side(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -683,9 +817,13 @@ def _meeting_in_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _sharing(keyed: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs (a, b), a the greater, of texts of different classes and like lengths that share a run of their beginnings, and if many share it, a rare word."""
-    table = frequencies(keyed, _word_runs_of)
-    rows = keyed.select(F.xxhash64("key").alias("id"), "text").mapInPandas(_rows_of(_all_placed(table)), ROWS)
+    spark = keyed.sparkSession
+    lots = min(1 << 16, LOTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = keyed.select(F.xxhash64("key").alias("id"), "text").mapInPandas(_packed(_rows_of(_all_placed(run_levels(keyed))), lots), "lot int, data binary")
+    # most runs are of one text alone, and go before rows are plain
+    rows = staged(spread(packed, "lot").sortWithinPartitions("lot").mapInPandas(_of_several, ROWS), "rows")
     runs = staged(_members(_shared(rows, comps)), "runs")
+    discard(rows)
     pairs = _meeting(runs.where("alone IS NULL"))
     crowd = staged(runs.where("alone IS NOT NULL").select(F.col("alone").alias("id")).distinct(), "crowd")
     if crowd.limit(1).count():
@@ -706,6 +844,8 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = keyed.select("key", _signature("text").alias("s")).groupBy("key").agg(F.first("s").alias("s"))
     signed = staged(signed.where("s.n > 0").select(F.xxhash64("key").alias("id"), "key", "s.*"), "signatures")
     shared = buckets(signed)
+    sketched, signed = signed, staged(signed.select("id", "key", "n", "bits"), "texts-signed")
+    discard(sketched)
     company = staged(shared.groupBy("id").agg(F.sum("size").alias("company"), F.first("n").alias("n")), "company")
 
     top = F.max(F.struct("own", "company", "id", "n"))
@@ -769,7 +909,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
     class's different texts; ``n_verified`` the links of the row's text that the search verified,
     which tie the class together and need not be all that exist in it.
     """
-    with scratch(), small_batches(docs.sparkSession):
+    with scratch(), small_batches(docs.sparkSession), short_shuffles(docs.sparkSession):
         texts = staged(_text_classes(docs), "text-classes", outlives=True)
     return docs.select("doc_id", text_key().alias("key")).join(texts, "key").select("doc_id", "key", "comp", "class_id", "class_size", "class_texts", "n_verified")
 

@@ -1,9 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator."""
 
 import hashlib
+import os
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +450,53 @@ def test_near_duplicates_runs_are_shuffled_once(spark):
     assert {tuple(r) for r in order_minhash._meeting(runs.where("alone IS NULL")).collect()} == {(a, b) for a in range(21) for b in range(a)}
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """What a step shuffled goes with it, so the disk in use is that of one step and not of all before it."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kept = lambda: sum(f.startswith("shuffle_") for d in local for _, _, names in os.walk(d) for f in names)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("w" + str(x) for x in rng.integers(0, 10**6, 40))) for i in range(50)]
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = kept()
+    assert order_minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")) is not None
+    for _ in range(20):
+        if kept() <= before:
+            break
+        time.sleep(0.5)
+    assert kept() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_near_duplicates_runs_by_level(spark):
+    """Runs are counted whole over all tasks, however many there are: a run of so many texts comes after all those of fewer."""
+    rng = np.random.default_rng(5)
+    word = lambda n: ["w" + str(x) for x in rng.integers(0, 10**9, n)]
+    shared = {times: word(3) for times in (1, 3, 6, 30, 200)}
+    texts = [" ".join(word(20) + [w for times, run in shared.items() if i < times for w in run + word(5)]) for i in range(300)]
+    levels = order_minhash.run_levels(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    of = lambda times: int(order_minhash.by_level(order_minhash.word_runs(order_minhash.WordNumbers().of(" ".join(shared[times]))), levels)[0] >> np.uint64(60))
+    assert [of(times) for times in shared] == [0, 0, 1, 3, 6]
+    x = order_minhash._word_runs_of(texts)
+    ordered = order_minhash.by_level(x, levels)
+    assert len(np.unique(ordered)) == len(np.unique(x)) and (ordered >> np.uint64(60) > 0).sum() < 2 * (6 + 30 + 200)
+
+
+def test_near_duplicates_packed_rows(monkeypatch):
+    """Rows come out of packed lots as they went in, those of runs that one text holds alone left out; in parts too, if a lot is large."""
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"run": rng.integers(-(1 << 63), 1 << 63, 400)[rng.integers(0, 400, 3_000)] >> 16 << 16, "id": rng.integers(-(1 << 63), 1 << 63, 900)[rng.integers(0, 900, 3_000)], "n": rng.integers(1, 1 << 30, 3_000).astype(np.int32), "place": rng.integers(-1, 1 << 30, 3_000).astype(np.int32)})
+    rows.loc[:800, "run"] = rows["run"][0]  # a crowd
+    rows.loc[2_500:, "run"] = (np.arange(500) << 40)  # of one text each
+    wanted = sorted(map(tuple, rows[rows.groupby("run")["id"].transform("nunique") > 1].to_numpy().tolist()))
+    monkeypatch.setattr(order_minhash, "PACKED", 700)
+    packed = pd.concat(order_minhash._packed(lambda batches: batches, 5)(rows[i : i + 273] for i in range(0, 3_000, 273)))
+    for most in (100, 1 << 22):
+        monkeypatch.setattr(order_minhash, "UNPACKED", most)
+        lots = packed.sort_values("lot", kind="stable")
+        found = pd.concat(order_minhash._of_several(iter([lots[:9], lots[9:]])))
+        assert sorted(map(tuple, found.to_numpy().tolist())) == wanted and set(packed["lot"]) == set(range(5))
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     """One id on several different texts loses none of them; near copies without id are one class."""
     text = lambda s: " ".join(f"{s}{i}" for i in range(30))
