@@ -918,7 +918,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class: the one with the least id (rows without id last); of repeated rows, one."""
     mark = unused("_dedup_row", docs)
     rows = docs.withColumn(mark, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", text_key().alias("key")))
-    with scratch():
+    with scratch(), short_shuffles(docs.sparkSession):
         own = staged(with_classes(docs).groupBy("doc_id", "key", "comp").agg(F.count("*").alias("times")), "row-classes")
         order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
         kept = own.groupBy("comp").agg(F.min(F.struct(order.alias("first"), "times")).alias("of"))
