@@ -18,9 +18,10 @@ RULES = tuple((most, list(zip(*(a.tolist() for a in np.polynomial.legendre.legga
 
 
 def _powers(coefficients: tuple, x: object) -> object:
-    out = coefficients[0]
-    for c in coefficients[1:]:
-        out = out * x + c
+    out = coefficients[0] * x + coefficients[1]
+    for c in coefficients[2:]:  # in place where the algebra can
+        out *= x
+        out += c
     return out
 
 
@@ -35,9 +36,9 @@ def normal_logpdf(x, m=COLUMNS):
 def normal_cdf(x, m=COLUMNS):
     """Hart's approximation, to the last digits of a double."""
     a = m.abs(m.lift(x))
-    near = m.exp(-(a * a) / 2.0) * _powers(HART_TOP, a) / _powers(HART_BOTTOM, a)
-    far = m.exp(-(a * a) / 2.0) / (a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))) / ROOT_2PI
-    tail = m.where(a < HART_END, near, m.where(a > 37.0, 0.0, far))
+    near = lambda a: m.exp(-(a * a) / 2.0) * _powers(HART_TOP, a) / _powers(HART_BOTTOM, a)
+    far = lambda a: m.where(a > 37.0, 0.0, m.exp(-(a * a) / 2.0) / (a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))) / ROOT_2PI)
+    tail = m.either(a < HART_END, near, far, a)
     return m.where(m.lift(x) > 0.0, 1.0 - tail, tail)
 
 

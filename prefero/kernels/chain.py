@@ -26,6 +26,8 @@ RULES = [np.polynomial.legendre.leggauss(n) for n in COUNTS]
 EDGES = (0.0, 0.5, 0.75, 0.875, 0.9375, 0.96875, 0.99, 1.0)
 #: The same for integrals of three and four variables.
 LONG_LEVELS = (0.3, 0.7)
+#: A correlation matrix with no smaller eigenvalue is smooth enough for the first rule up to the last level: against the second, at most 1e-15 differs.
+SMOOTH = 0.2
 
 
 def phi(x: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ def density2(h: np.ndarray, k: np.ndarray, rho: np.ndarray) -> np.ndarray:
 def _given_pair(z1, zk, za, r1k, r1a, rka) -> tuple[np.ndarray, np.ndarray]:
     """Limit of a third variable less its mean, and its variance, given that two stand at their limits."""
     q = np.maximum(1 - r1k * r1k, 1e-14)
-    mean = ((r1a - rka * r1k) * z1 + (rka - r1k * r1a) * zk) / q
+    mean = (r1a - rka * r1k) / q * z1 + (rka - r1k * r1a) / q * zk
     var = 1 - (r1a * r1a - 2 * r1k * r1a * rka + rka * rka) / q
     return za - mean, np.maximum(var, 1e-14)
 
@@ -95,10 +97,11 @@ def _plackett(z: list, r: list[list], last, plan: list[tuple[float, float]]) ->
         end = np.arcsin(rho)
         safe = np.where(np.abs(rho) > 1e-12, rho, 1.0)
         rest = [i for i in range(1, n) if i != k]
+        both, squares = z[0] * z[k], (z[0] * z[0] + z[k] * z[k]) / 2
         for x, w in plan:
             s = np.sin(end * x)
             t = np.where(np.abs(rho) > 1e-12, s / safe, 0.0)
-            weight = np.exp(np.minimum((s * z[0] * z[k] - (z[0] * z[0] + z[k] * z[k]) / 2) / (1 - s * s), 0.0))
+            weight = np.exp(np.minimum((s * both - squares) / (1 - s * s), 0.0))
             of = [_given_pair(z[0], z[k], z[i], s, t * r[0][i], r[k][i]) for i in rest]
             if len(rest) == 2:
                 a, b = rest
@@ -106,7 +109,7 @@ def _plackett(z: list, r: list[list], last, plan: list[tuple[float, float]]) ->
                 inside = last([u / np.sqrt(v) for u, v in of], cross / np.sqrt(of[0][1] * of[1][1]))
             else:
                 inside = last([u / np.sqrt(v) for u, v in of], None)
-            out = out + end * w * weight * inside
+            out = out + weight * inside * (end * w)
     return out / (2 * np.pi)
 
 
@@ -136,10 +139,19 @@ def normal(z: list, r: list[list]) -> np.ndarray:
     if n == 2:
         return phi2(z[0], z[1], r[0][1])
     z = [np.clip(np.asarray(x, float), -40, 40) for x in z]
+    last = (lambda u, _: phi(u[0])) if n == 3 else (lambda u, c: phi2(u[0], u[1], np.clip(c, -0.99999, 0.99999)))
+    if all(np.ndim(r[i][j]) == 0 for i in range(n) for j in range(n) if i != j):  # one correlation matrix for all rows
+        one = np.array([[1.0 if i == j else np.clip(r[i][j], -0.99999, 0.99999) for j in range(n)] for i in range(n)])
+        first = int(np.abs(one - np.eye(n)).max(axis=1).argmin())
+        order = [first, *[i for i in range(n) if i != first]]
+        z, one = [z[i] for i in order], one[np.ix_(order, order)]
+        level = int(np.searchsorted(LONG_LEVELS, np.abs(one[0, 1:]).max()))
+        if level == 1 and np.linalg.eigvalsh(one)[0] >= SMOOTH:
+            level = 0
+        return np.clip(phi(z[0]) * normal(z[1:], one[1:, 1:]) + _plackett(z, one, last, LONG_PLANS[level]), 0.0, 1.0)
     shape = np.broadcast_shapes(*[x.shape for x in z], *[np.shape(r[i][j]) for i in range(n) for j in range(i)])
     z, r = _rearranged([np.broadcast_to(x, shape) for x in z], [[np.broadcast_to(1.0 if i == j else np.clip(r[i][j], -0.99999, 0.99999), shape) for j in range(n)] for i in range(n)], np.broadcast_to(_front(r, n), shape))
     out = phi(z[0]) * normal(z[1:], [row[1:] for row in r[1:]])
-    last = (lambda u, _: phi(u[0])) if n == 3 else (lambda u, c: phi2(u[0], u[1], np.clip(c, -0.99999, 0.99999)))
     level = np.searchsorted(LONG_LEVELS, np.max([np.abs(r[0][k]) for k in range(1, n)], axis=0))
     for x in np.unique(level):  # rows take as many nodes as their correlations ask for
         at = level == x

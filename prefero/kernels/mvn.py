@@ -28,7 +28,8 @@ def exact(a: np.ndarray, cov: np.ndarray) -> np.ndarray:
 
 
 def _listed(cov: np.ndarray) -> list[list]:
-    return [[cov[:, i, j] for j in range(cov.shape[1])] for i in range(cov.shape[1])]
+    """An array a row for each place, or a number where all rows have one matrix."""
+    return [[cov[..., i, j] for j in range(cov.shape[-1])] for i in range(cov.shape[-1])]
 
 
 def truncated_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +41,7 @@ def truncated_pair(a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np
 def _patterns(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows with the same limits of plus infinity, and the variables that those leave; rows with one of minus infinity are left out."""
     never, free = np.isneginf(a).any(axis=1), np.isposinf(a)
-    for pattern in np.unique(free, axis=0):
+    for pattern in np.unique(free, axis=0) if free.any() else free[:1]:
         at = np.flatnonzero((free == pattern).all(axis=1) & ~never)
         if len(at):
             yield at, np.flatnonzero(~pattern)
@@ -55,10 +56,10 @@ def mvn_cdf(a: np.ndarray, cov: np.ndarray, method: str = "ovus", draws: int = 1
     (up to four variables) and ``ssj`` (quasi-random simulation).
     """
     a = np.asarray(a, float)
-    cov = np.broadcast_to(np.asarray(cov, float), (len(a), a.shape[1], a.shape[1]))
+    cov = np.asarray(cov, float)
     out = np.zeros(len(a))
     for at, use in _patterns(a):
-        out[at] = _finite(a[np.ix_(at, use)], cov[at][:, use][:, :, use], method, draws, seed)
+        out[at] = _finite(a[np.ix_(at, use)], cov[np.ix_(use, use)] if cov.ndim == 2 else cov[np.ix_(at, use, use)], method, draws, seed)
     return out
 
 
@@ -68,12 +69,14 @@ def _is_exact(k: int, method: str) -> bool:
 
 def _ordered(a: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """The order in which each row's variables are taken."""
-    return np.argsort(np.abs(a / np.sqrt(np.maximum(np.einsum("nkk->nk", cov), 1e-30))), axis=1, kind="stable")
+    return np.argsort(np.abs(a / np.sqrt(np.maximum(np.einsum("...kk->...k", cov), 1e-30))), axis=1, kind="stable")
 
 
 def _taken(a: np.ndarray, cov: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by_row = np.take_along_axis(cov, order[:, :, None], axis=1)
-    return np.take_along_axis(a, order, axis=1), np.take_along_axis(by_row, order[:, None, :], axis=2)
+    """Limits and covariances of each row in its order; those of one place lie side by side in memory."""
+    rows, order = np.arange(len(a)), order.T
+    i, j = order[:, None], order[None, :]
+    return a[rows, order].T, np.moveaxis(cov[i, j] if cov.ndim == 2 else cov[rows, i, j], -1, 0)
 
 
 def _finite(a: np.ndarray, cov: np.ndarray, method: str, draws: int, seed: int) -> np.ndarray:
@@ -173,7 +176,7 @@ def simulated(a: np.ndarray, cov: np.ndarray, draws: int = 1000, seed: int = 0)
 
     n, k = a.shape
     points = halton(draws, max(k - 1, 1), seed)
-    low = np.linalg.cholesky(cov + np.eye(k) * 1e-12)
+    low = np.broadcast_to(np.linalg.cholesky(cov + np.eye(k) * 1e-12), (n, k, k))
     y, mass = np.zeros((n, draws, k)), np.ones((n, draws))
     for i in range(k):
         e = phi((a[:, i, None] - np.einsum("ndj,nj->nd", y[:, :, :i], low[:, i, :i])) / low[:, i, i, None])

@@ -55,7 +55,7 @@ def probabilities(v: np.ndarray, kernel: np.ndarray, which: np.ndarray, availabl
             continue
         rivals = [k for k in range(j) if k != c]
         limits = np.where(available[np.ix_(at, rivals)] > 0, v[at][:, [c]] - v[np.ix_(at, rivals)], np.inf)
-        cov = np.broadcast_to(differences(kernel, c), (len(at), j - 1, j - 1))
+        cov = differences(kernel, c)  # one for all rows, unless utilities vary by row
         if spread is not None:
             m = np.delete(np.eye(j), c, axis=0)
             m[:, c] -= 1.0

@@ -218,3 +218,51 @@ def test_rectangle_gradient_by_differences():
     m = np.zeros((3, 3))
     m[0, 1] = m[1, 0] = h
     np.testing.assert_allclose(2 * by_cov[:, 0, 1], (of(a, b, cov + m) - of(a, b, cov - m)) / (2 * h), atol=1e-6)
+
+
+def test_normal_cdf_beyond_its_near_formula():
+    x = np.array([-np.inf, -38.0, -36.0, -7.5, -7.0, 0.0, 7.0, 7.2, 36.0, 38.0, np.inf])
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) if abs(v) < 37 else float(v > 0) for v in x])
+    np.testing.assert_allclose(mvn.phi(x), want, rtol=1e-7, atol=0)
+    np.testing.assert_array_equal([float(mvn.phi(v)) for v in x], mvn.phi(x))
+
+
+def test_far_tail_is_worked_out_for_far_rows_only():
+    met = []
+    out = ARRAYS.either(np.array([True, False, True]), lambda x: x + 1, lambda x: met.append(x) or -x, np.array([1.0, 2.0, 3.0]))
+    np.testing.assert_array_equal(out, [2.0, -2.0, 4.0])
+    np.testing.assert_array_equal(met, [[2.0]])
+
+
+CORRELATIONS = {
+    "smooth": [[1.0, 0.5, 0.4], [0.5, 1.0, 0.45], [0.4, 0.45, 1.0]],
+    "slight": [[1.0, 0.2, -0.1], [0.2, 1.0, 0.25], [-0.1, 0.25, 1.0]],
+    "nearly singular": [[1.0, 0.6, -0.6], [0.6, 1.0, 0.25], [-0.6, 0.25, 1.0]],
+    "strong": [[1.0, 0.9, 0.85], [0.9, 1.0, 0.95], [0.85, 0.95, 1.0]],
+    "four": [[1.0, 0.5, 0.4, 0.1], [0.5, 1.0, 0.45, 0.0], [0.4, 0.45, 1.0, -0.2], [0.1, 0.0, -0.2, 1.0]],
+}
+
+
+@pytest.mark.parametrize("kind", list(CORRELATIONS))
+@pytest.mark.parametrize("method", ["exact", "ovus", "tvbs"])
+def test_one_covariance_for_all_rows_equals_one_a_row(kind, method):
+    cov = np.array(CORRELATIONS[kind]) * 1.7
+    k = len(cov)
+    a = np.random.default_rng(5).normal(size=(300, k)) * 2
+    a[::7, 0], a[::11, k - 1], a[::13, 1] = np.inf, -np.inf, 30.0
+    a[5], a[6] = np.inf, 0.0
+    by_row = mvn.mvn_cdf(a, np.repeat(cov[None], len(a), axis=0), method)
+    np.testing.assert_allclose(mvn.mvn_cdf(a, cov, method), by_row, rtol=0, atol=2e-15)
+    assert len(mvn.mvn_cdf(a[:0], cov, method)) == 0
+
+
+def test_one_covariance_is_not_spread_over_the_rows(monkeypatch):
+    """Angles, conditional variances and the number of nodes are worked out once, not by row."""
+    from prefero.kernels import chain
+
+    seen, plackett = [], chain._plackett
+    monkeypatch.setattr(chain, "_plackett", lambda z, r, last, plan: seen.append((np.ndim(r[0][1]), len(plan))) or plackett(z, r, last, plan))
+    a = np.random.default_rng(6).normal(size=(50, 3))
+    for kind, nodes in (("smooth", 14), ("slight", 14), ("nearly singular", 24), ("strong", 24 * (len(chain.EDGES) - 1))):
+        mvn.mvn_cdf(a, np.array(CORRELATIONS[kind]), "exact")
+        assert seen.pop() == (0, nodes) and not seen, kind
