mnp_four_alternatives: shares send each column once instead of packed designs

Symptom: mnp_four_alternatives spent 1,684 CPU seconds a GB on 600,000 lineitem rows (tool with, its lower bound of 0.01 GB counts as input): Python 1,449, JVM 223, GC 6.
Evidence: the plan built four arrays a row for two scenarios, 32 doubles of which two are columns and the rest constants; each array became a Python object that the task stacked again. In the kernel a sort of infinite limits took a quarter of the time and two gathers copied the covariance of each row, which is the same one.
Fix: probit shares select each column that some scenario reads once, as a double, and the tasks fill cells and constants in; covariances are gathered once from the shared matrix, those of one place side by side. The kernel's part of this came with the commit before.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 1590 -> 903 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 135 -> 75 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 9154 -> 4275 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.28 -> 0.28 GB, longest task 247 -> 113 s, most memory of a task 34 -> 34 MB.

@@ -54,7 +54,7 @@ def probabilities(v: np.ndarray, kernel: np.ndarray, which: np.ndarray, availabl
         if not len(at):
             continue
         rivals = [k for k in range(j) if k != c]
-        limits = np.where(available[np.ix_(at, rivals)] > 0, v[at][:, [c]] - v[np.ix_(at, rivals)], np.inf)
+        limits = np.where(available[np.ix_(at, rivals)] > 0, v[at, c][:, None] - v[np.ix_(at, rivals)], np.inf)
         cov = differences(kernel, c)  # one for all rows, unless utilities vary by row
         if spread is not None:
             m = np.delete(np.eye(j), c, axis=0)
@@ -223,12 +223,14 @@ class MNP:
         twin.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("df", "given", "results")}
         return twin
 
-    def _packed(self, overrides: Overrides = {}, design: Design | None = None) -> list[Column]:  # noqa: B006
-        read, design = reader(self.df.columns, overrides), design or self.design
-        j, v = len(self.alternatives), len(design.names)
-        x = F.array(*[F.lit(0.0) if (c := design.value(k, i, read)) is None else c for k in range(j) for i in range(v)])
-        available = F.array(*[F.lit(1.0)] * j) if self.available is None else F.array(*[given(c) for c in self.available])
-        return [x.alias("x"), available.alias("a")]
+    def _cells(self, overrides: Overrides = {}, design: Design | None = None) -> tuple[list[str | float], list[str | float]]:  # noqa: B006
+        """Of x and of availability, alternative by alternative: the column that a scenario reads, or the number that stands for every row."""
+        reader(self.df.columns, overrides)  # refuses names that the table lacks
+        to = [overrides.get(c, c) if isinstance(c, str) else c or 0.0 for row in (design or self.design).cells for c in row]
+        return [c if isinstance(c, str) else float(c) for c in to], [1.0] * len(self.alternatives) if self.available is None else list(self.available)
+
+    def _packed(self) -> list[Column]:
+        return [F.array(*[given(c) if isinstance(c, str) else F.lit(c) for c in cells]).alias(name) for name, cells in zip(("x", "a"), self._cells(), strict=True)]
 
     @property
     def used(self) -> list[str]:
@@ -382,22 +384,30 @@ class MNP:
     def ate(self, scenarios: Scenarios | None = None) -> DataFrame:
         """scenario, alternative, share: mean probabilities, all scenarios in one pass."""
         runs = runs_of(scenarios)
-        return self._means({s: self._packed(o) for s, o in runs.items()}, read_by(runs.values()))
+        return self._means({s: self._cells(o) for s, o in runs.items()}, read_by(runs.values()))
 
     def ate_cell(self, alternative: str, coefficient: str, base: float, treatment: float) -> DataFrame:
         """Shares with one cell of the design held at ``base`` and at ``treatment``."""
-        return self._means({s: self._packed(design=self.design.with_cell(alternative, coefficient, to)) for s, to in (("base", base), ("treatment", treatment))})
+        return self._means({s: self._cells(design=self.design.with_cell(alternative, coefficient, to)) for s, to in (("base", base), ("treatment", treatment))})
 
-    def _means(self, runs: Mapping[str, list[Column]], more: Sequence[str] = ()) -> DataFrame:
+    def _means(self, runs: Mapping[str, tuple[list[str | float], list[str | float]]], more: Sequence[str] = ()) -> DataFrame:
+        """Mean probabilities of each run's cells.  A task gets each column that some run reads once, as a double, and fills the cells itself."""
         twin, j, names = self._ready(), len(self.alternatives), list(runs)
-        columns = [c.alias(f"{c_name}{i}") for i, packed in enumerate(runs.values()) for c, c_name in zip(packed, ("x", "a"), strict=True)]
+        read = {c: f"c{i}" for i, c in enumerate(dict.fromkeys(c for run in runs.values() for cells in run for c in cells if isinstance(c, str)))}
+        columns = [given(c).alias(name) for c, name in read.items()] or [F.lit(0.0).alias("c0")]  # without a column a batch would have no rows
+
+        def filled(cells: list[str | float], data: dict[str, np.ndarray], n: int) -> np.ndarray:
+            out = np.empty((n, len(cells)))
+            for i, c in enumerate(cells):
+                out[:, i] = data[read[c]] if isinstance(c, str) else c
+            return out
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = np.zeros((len(names), j)), 0
             for rows in batches:
                 if len(rows):
                     data = as_arrays(rows)
-                    total += [twin._all(data[f"x{i}"], data[f"a{i}"]).sum(axis=0) for i in range(len(names))]
+                    total += [twin._all(filled(x, data, len(rows)), filled(a, data, len(rows))).sum(axis=0) for x, a in runs.values()]
                     n += len(rows)
             yield pd.DataFrame({"scenario": np.repeat(names, j), "alternative": twin.alternatives * len(names), "s": total.ravel(), "n": n})
 

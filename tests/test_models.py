@@ -571,3 +571,42 @@ def test_tables_of_text(spark, tmp_path):
     for k in range(2):
         (tmp_path / "many" / f"{k}.txt").write_text(f"id x\n{k} 1\n")
     assert sorted(tuple(r) for r in read_table(spark, str(tmp_path / "many"), "spaced").collect()) == [(0, 1), (1, 1)]
+
+
+def _mean_probabilities(m, x, available):
+    return m._ready()._all(np.asarray(x, float).reshape(len(x), -1), np.asarray(available, float)).mean(axis=0)
+
+
+def test_probit_shares_read_each_column_once(spark):
+    """Rows reach the tasks as the columns that the scenarios read, none twice and nothing packed; cells are filled there."""
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"x0": rng.normal(size=40), "x1": rng.integers(-3, 3, 40), "av": rng.integers(0, 2, 40), "on": 1})
+    rows = pd.concat([rows, rows.iloc[:5]], ignore_index=True)
+    names = ["a", "b", "c", "d"]
+    spec = {"asc": {"b": "uno", "c": 0.5}, "beta": {"a": "x0", "b": "x1", "d": "x0"}}
+    m = MNP(spark.createDataFrame(rows), names, spec, availability=["on", "av", "on", "on"], structure="full", method="exact")
+    m.from_estimates([0.3, -0.6], np.array([[1.0, 0.4, 0.3], [0.4, 1.2, 0.5], [0.3, 0.5, 0.9]]))
+    frame = m.ate({"swap": {"x0": "x1", "x1": "x0"}, "held": {"x1": 2}})
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(" not in plan and plan.count(" AS c") == 4, plan
+    got = frame.toPandas().pivot(index="scenario", columns="alternative", values="share")[names]
+    one, x0, x1, av = np.ones(len(rows)), rows["x0"].to_numpy(), rows["x1"].to_numpy(float), rows["av"].to_numpy(float)
+    for scenario, (p, q) in {"baseline": (x0, x1), "swap": (x1, x0), "held": (x0, 2 * one)}.items():
+        x = np.stack([0 * one, p, one, q, 0.5 * one, 0 * one, 0 * one, p], axis=1)
+        np.testing.assert_allclose(got.loc[scenario], _mean_probabilities(m, x, np.stack([one, av, one, one], axis=1)), atol=1e-12)
+    cell = m.ate_cell("d", "beta", 0.0, 1.5).toPandas().pivot(index="scenario", columns="alternative", values="share")[names]
+    x = np.stack([0 * one, x0, one, x1, 0.5 * one, 0 * one, 0 * one, 1.5 * one], axis=1)
+    np.testing.assert_allclose(cell.loc["treatment"], _mean_probabilities(m, x, np.stack([one, av, one, one], axis=1)), atol=1e-12)
+    with pytest.raises(ValueError, match="nothing"):
+        m.ate({"s": {"nothing": 1.0}})
+
+
+def test_probit_shares_without_columns_or_rows(spark):
+    """A specification of constants reads no column, and still counts every row; no rows have no shares."""
+    df = spark.range(30).selectExpr("id AS k")
+    m = MNP(df, ["a", "b", "c", "d"], {"asc": {"b": "uno", "d": -0.5}})
+    m.from_estimates([0.4])
+    got = {r["alternative"]: r["share"] for r in m.ate().collect()}
+    np.testing.assert_allclose([got[n] for n in "abcd"], _mean_probabilities(m, [[0.0, 1.0, 0.0, -0.5]], np.ones((1, 4))), atol=1e-12)
+    m.df = m.df.limit(0)
+    assert all(r["share"] is None for r in m.ate().collect())
