@@ -1,5 +1,7 @@
 """Fits on generated data, agreement of closed forms with kernels, and sums that do not depend on partitions."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +13,7 @@ from prefero.operators.mdcev import MDCEV
 from prefero.operators.mnl import MNL, sums
 from prefero.operators.mnp import MNP
 from prefero.operators.morp import MORP
+from prefero.operators.scenario import mean_by_scenario
 from prefero.plans.estimates import covariance
 from prefero.plans.likelihood import Likelihood
 from prefero.plans.optim import minimize, newton
@@ -610,3 +613,29 @@ def test_probit_shares_without_columns_or_rows(spark):
     np.testing.assert_allclose([got[n] for n in "abcd"], _mean_probabilities(m, [[0.0, 1.0, 0.0, -0.5]], np.ones((1, 4))), atol=1e-12)
     m.df = m.df.limit(0)
     assert all(r["share"] is None for r in m.ate().collect())
+
+
+def test_normal_columns_keep_their_values_on_odd_rows(spark):
+    from prefero.functions.algebra import ARRAYS
+    from prefero.functions.distributions import normal_cdf
+
+    xs = [0.0, -0.0, 3.0, -3.0, 7.0, 7.5, -7.5, -36.0, 38.0, -38.0, float("inf"), float("-inf")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(normal_cdf(F.col("x"))).collect()]
+    np.testing.assert_allclose(got, normal_cdf(np.clip(xs, -40, 40), ARRAYS), rtol=1e-13, atol=0)
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(normal_cdf(F.col("x"))).collect()
+    assert [r[0] for r in odd] == [None, 1.0]  # to Spark, NaN is above every number
+
+
+@pytest.mark.parametrize("corr", [0.2, 0.5, -0.5, 0.9])
+def test_probit_columns_are_short_enough_to_be_compiled(spark, capsys, corr):
+    """The JVM leaves generated methods of more than 8,000 bytes to its interpreter."""
+    m = MNP(spark.createDataFrame(choices(20)), ALTS, SPEC, structure="full")
+    m.from_estimates([0.4, -0.3, 0.8], np.array([[1.0, 1.2 * corr], [1.2 * corr, 1.44]]))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        mean_by_scenario(m.df, {"baseline": m.closed_shares()}, ALTS).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000, sizes
